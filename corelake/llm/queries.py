@@ -46,5 +46,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document in strings of 200 that start elsewhere too."""
+    from .suffix_dedup import dedup
+
+    found = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), texts_out=False)
+    return found.select("doc.doc_id", "n_bytes", F.expr("aggregate(removed, 0L, (a, x) -> a + x.stop - x.start)").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op6_license_scan, op7_decontamination, op9_simhash)}
+    return {f.__name__: f for f in (op1_packing, op6_license_scan, op7_decontamination, op9_simhash, op10_suffix_dedup)}
