@@ -19,6 +19,17 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc.doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two thirds of those that are labelled."""
+    from .langid import identify, learn
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    found = identify(docs.select("doc_id", "text"), learn(docs, where=~held_out), keep=["doc_id"])
+    held_out = F.coalesce(F.crc32(F.col("doc.doc_id").cast("string")) % 3 == 1, F.lit(False))
+    return found.select("doc.doc_id", held_out.alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and template matches of every document."""
     from .licenses import scan_licenses
@@ -55,4 +66,4 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op6_license_scan, op7_decontamination, op9_simhash, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_packing, op5_language_id, op6_license_scan, op7_decontamination, op9_simhash, op10_suffix_dedup)}
