@@ -19,6 +19,16 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc.doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability under a model of six sevenths of them."""
+    from .lm import perplexity, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = lambda c: F.coalesce(F.crc32(F.col(c).cast("string")) % 7 == 2, F.lit(False))
+    found = perplexity(docs, train(docs, where=~held_out("doc_id")), keep=["doc_id"])
+    return found.select("doc.doc_id", held_out("doc.doc_id").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from two thirds of those that are labelled."""
     from .langid import identify, learn
@@ -66,4 +76,4 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op5_language_id, op6_license_scan, op7_decontamination, op9_simhash, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_packing, op4_lm_scoring, op5_language_id, op6_license_scan, op7_decontamination, op9_simhash, op10_suffix_dedup)}
