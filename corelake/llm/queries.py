@@ -59,6 +59,14 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), "contaminated")
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from .extract import extract_main_text
+
+    found = extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"), keep=["page_id", "url"])
+    return found.select("doc.page_id", "doc.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     from .simhash import near_duplicates
@@ -76,4 +84,4 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op4_lm_scoring, op5_language_id, op6_license_scan, op7_decontamination, op9_simhash, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_packing, op4_lm_scoring, op5_language_id, op6_license_scan, op7_decontamination, op8_html_extraction, op9_simhash, op10_suffix_dedup)}
