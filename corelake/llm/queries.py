@@ -19,6 +19,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc.doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every twentieth one."""
+    from .ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's probability under a model of six sevenths of them."""
     from .lm import perplexity, train
@@ -84,4 +91,4 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op4_lm_scoring, op5_language_id, op6_license_scan, op7_decontamination, op8_html_extraction, op9_simhash, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_packing, op3_nearest_neighbours, op4_lm_scoring, op5_language_id, op6_license_scan, op7_decontamination, op8_html_extraction, op9_simhash, op10_suffix_dedup)}
