@@ -19,6 +19,15 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc.doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; keep is false for those of poor quality and toxic ones."""
+    from .quality import learn, score_quality
+
+    docs = table(spark, sf_dir, "documents")
+    found = score_quality(docs, learn(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return found.select("doc.doc_id", "quality", "toxic", "score", (F.col("score") >= 0.5).alias("keep"))
+
+
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors found for every twentieth one."""
     from .ann import nearest
@@ -91,4 +100,4 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op3_nearest_neighbours, op4_lm_scoring, op5_language_id, op6_license_scan, op7_decontamination, op8_html_extraction, op9_simhash, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_quality, op3_nearest_neighbours, op4_lm_scoring, op5_language_id, op6_license_scan, op7_decontamination, op8_html_extraction, op9_simhash, op10_suffix_dedup)}
