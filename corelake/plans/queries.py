@@ -1,13 +1,541 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries: every operator over the driver's tables, with its SQL where SQL can state it."""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+import tempfile
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def queries():
-    return {}
+from ..functions import distance as dist
+from ..operators import assign, bicriteria, facility_location, kmedoids, quality, scale, sensitivity
+from ..sources.points import points as as_points
+from ..sources.points import read_labelled_csv, validate_points, write_csv
+from ..streaming.facilities import merge, stream_facilities
+from .cluster import ClusterModel
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
-def oracle_sql():
-    return {}
+# --- inputs ---
+
+
+def vectors(spark: SparkSession, sf: str, weighted: bool = False) -> DataFrame:
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet")
+    rows = rows.withColumn("weight", 0.5 + F.col("vec_id") % 26 / 10)
+    return as_points(rows, id="vec_id", vector="embedding", weight="weight" if weighted else None, extra=("label",))
+
+
+def centres(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fiftieth vector: centres that don't hang on a random choice."""
+    return vectors(spark, sf).where("id % 50 = 0").select(F.col("id").alias("rank"), F.col("id").alias("center_id"), F.col("v").alias("center"))
+
+
+def line_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of orders as vectors of four numbers; the id is a hash of the whole line."""
+    keys = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet")
+    v = F.array(F.col("l_quantity") / 50, F.col("l_extendedprice") / 1e5, F.col("l_discount") * 10, F.col("l_tax") * 10)
+    return as_points(rows.withColumns({"id": F.xxhash64(*keys), "v": v}), extra=("l_returnflag",))
+
+
+def integers(df: DataFrame) -> DataFrame:
+    return df.withColumn("v", F.transform("v", lambda x: F.floor(x * 8).cast("double")))
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c), 6) + 0.0 for c in columns})
+
+
+_POINTS = "points as (select vec_id as id, embedding::double[] as v, 1.0::double as w, 0.5 + (vec_id % 26) / 10.0 as ww, label from embeddings)"
+_CENTRES = "centres as (select id as rank, v as c from points where id % 50 = 0)"
+_L1 = "list_sum(list_transform(list_zip({a}, {b}), lambda z: abs(z[1] - z[2])))"
+_L2 = "sqrt(list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
+_DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2]))"
+
+
+def _all(d: str, extra: str = "") -> str:
+    return f"with {_POINTS}, {_CENTRES}, pair as (select id, w, ww, label, rank, {d.format(a='v', b='c')} as d from points, centres){extra}"
+
+
+def _near(d: str = _L2) -> str:
+    return _all(d, ", near as (select * from (select *, row_number() over (partition by id order by d, rank) as n from pair) where n = 1)")
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return put
+
+
+# --- distances ---
+
+
+def _distances(name: str) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        p, c = vectors(spark, sf), centres(spark, sf)
+        if name == "hamming":
+            p, c = integers(p), integers(c.withColumnRenamed("center", "v")).withColumnRenamed("v", "center")
+        pairs = p.select("id", "v").crossJoin(F.broadcast(c.where("rank < 1000")))  # twenty centres at most
+        return rounded(pairs.select("id", "rank", dist.get(name).expr(F.col("v"), F.col("center")).alias("d")), "d")
+
+    return run
+
+
+_HAMMING = "list_sum(list_transform(list_zip({a}, {b}), lambda z: case when floor(z[1] * 8) = floor(z[2] * 8) then 0.0 else 1.0 end)) / len({a})"
+_COSINE = f"greatest(0.0, 1 - {_DOT} / (sqrt({_DOT.replace('{b}', '{a}')}) * sqrt({_DOT.replace('{a}', '{b}')})))"
+for _name, _sql in (("l1", _L1), ("l2", _L2), ("cosine", _COSINE), ("hamming", _HAMMING)):
+    query(f"dist_{_name}", _all(_sql) + " select id, rank, round(d, 6) + 0.0 as d from pair where rank < 1000")(_distances(_name))
+
+# --- facilities ---
+
+
+def _nearest(name: str, native: bool) -> Query:
+    return lambda spark, sf: rounded(assign.nearest(vectors(spark, sf), centres(spark, sf), name, native=native).select("id", "rank", "dist"), "dist")
+
+
+for _name, _sql in (("l1", _L1), ("l2", _L2)):
+    query(f"nearest_{_name}", _near(_sql) + " select id, rank, round(d, 6) + 0.0 as dist from near")(_nearest(_name, False))
+query("nearest_l2_native", _near() + " select id, rank, round(d, 6) + 0.0 as dist from near")(_nearest("l2", True))
+
+
+@query("match_radius", _near() + " select id, d <= 1.25 as matched from near")
+def match_radius(spark: SparkSession, sf: str) -> DataFrame:
+    return assign.within(vectors(spark, sf), centres(spark, sf), 1.25).select("id", "matched")
+
+
+_SUMS = " select rank, round(coalesce(sum({w}), 0), 6) + 0.0 as weight, round(coalesce(sum({w} * d), 0), 6) + 0.0 as cost from centres left join near using (rank) group by rank"
+
+
+@query("dispatch_data", _near() + _SUMS.format(w="w"))
+def dispatch_data(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(assign.dispatch(vectors(spark, sf), centres(spark, sf)).select("rank", "weight", "cost"), "weight", "cost")
+
+
+@query("dispatch_weighted", _near(_L1) + _SUMS.format(w="ww"))
+def dispatch_weighted(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(assign.dispatch(vectors(spark, sf, True), centres(spark, sf), "l1", native=True).select("rank", "weight", "cost"), "weight", "cost")
+
+
+@query("total_cost", _near() + " select (select count(*) from centres) as facilities, round(sum(w), 6) as weight, round(sum(w * d), 6) as cost from near")
+def total_cost(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(assign.totals(assign.dispatch(vectors(spark, sf), centres(spark, sf))), "weight", "cost")
+
+
+@query("facilities_weighted", _near() + " select rank as id, round(coalesce(sum(ww), 0), 6) + 0.0 as w, round(any_value(c[1]), 6) + 0.0 as v0 from centres left join near using (rank) group by rank")
+def facilities_weighted(spark: SparkSession, sf: str) -> DataFrame:
+    found = assign.weighted_data(assign.dispatch(vectors(spark, sf, True), centres(spark, sf)))
+    return rounded(found.select("id", "w", F.col("v")[0].alias("v0")), "w", "v0")
+
+
+_LABELS = ", cell as (select rank, label, count(*) as c, sum(w) as w, sum(w * d) as cost from near group by 1, 2), fac as (select rank, sum(w) as weight, sum(cost) as cost, cast(sum(c) as bigint) as n, greatest(0, ln(sum(c)) - sum(c * ln(c)) / sum(c)) as entropy from cell group by rank)"
+
+
+@query("dispatch_labels", _near() + _LABELS + " select rank, round(weight, 6) as weight, round(cost, 6) + 0.0 as cost, n, round(entropy, 6) + 0.0 as entropy from fac")
+def dispatch_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(assign.dispatch_labels(vectors(spark, sf), centres(spark, sf), "label"), "weight", "cost", "entropy")
+
+
+@query("mean_entropy", _near() + _LABELS + " select round(sum(weight * entropy) / sum(weight), 6) as entropy from fac")
+def mean_entropy(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(assign.mean_entropy(assign.dispatch_labels(vectors(spark, sf), centres(spark, sf), "label")), "entropy")
+
+
+@query("label_histogram", _near() + " select rank, label, count(*) as n from near group by 1, 2")
+def label_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return assign.label_histogram(vectors(spark, sf), centres(spark, sf), "label")
+
+
+_Q = "(values {}) as t(q)"
+
+
+def _values(at: tuple[float, ...]) -> str:
+    return _Q.format(", ".join(f"({q}::double)" for q in at))
+
+
+@query("cross_distances", f"with {_POINTS}, {_CENTRES}, d as (select {_L2.format(a='x.c', b='y.c')} as d from centres x, centres y where x.rank != y.rank) select q, round((select quantile_cont(d, [0.01, 0.05, 0.1, 0.5, 0.75]) from d)[i], 6) as dist from (values (0.01::double, 1), (0.05, 2), (0.1, 3), (0.5, 4), (0.75, 5)) as t(q, i)")
+def cross_distances(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(assign.cross_distances(centres(spark, sf)), "dist")
+
+
+# --- sensitivity ---
+
+
+def _assigned(spark: SparkSession, sf: str) -> DataFrame:
+    return assign.nearest(vectors(spark, sf), centres(spark, sf)).select("id", "w", "rank", "dist")
+
+
+_P = _near() + ", f as (select rank, sum(w) as wf, sum(w * d) as cf from near group by 1), tot as (select count(*) as b, sum(cf) as cost from f), prob as (select id, 0.5 * (w * d / cost + w / (b * wf)) as p from near join f using (rank), tot)"
+_CDF = _P + ", cdf as (select id, p / sum(p) over () as p, sum(p) over (order by id rows unbounded preceding) / sum(p) over () as hi, max(id) over () as last from prob), itv as (select id, p, hi - p as lo, case when id = last then 1.0 else hi end as hi from cdf)"
+_DRAWS = 55
+_U = f", u as (select cast('0x' || substr(md5('14537:' || j::varchar), 1, 13) as bigint) / 4503599627370496.0 as u from range({_DRAWS}) t(j)), drawn as (select id, count(*) as n, any_value(p) as p from u join itv on u >= lo and u < hi group by id)"
+
+
+@query("sensitivity", _P + " select id, round(p, 9) as p from prob")
+def sensitivities(spark: SparkSession, sf: str) -> DataFrame:
+    return sensitivity.sampling_distribution(_assigned(spark, sf)).select("id", F.round("p", 9).alias("p"))
+
+
+@query("discrete_cdf", _CDF + " select id, round(p, 9) as p, round(lo, 6) + 0.0 as lo, round(hi, 6) as hi from itv")
+def discrete_cdf(spark: SparkSession, sf: str) -> DataFrame:
+    found = sensitivity.intervals(sensitivity.sampling_distribution(_assigned(spark, sf)))
+    return rounded(found.withColumn("p", F.round("p", 9)), "lo", "hi")
+
+
+@query("draws", _CDF + _U + f" select id, n, round(n / (p * {_DRAWS}), 6) as weight from drawn")
+def draws(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(sensitivity.draw(sensitivity.sampling_distribution(_assigned(spark, sf)), _DRAWS), "weight")
+
+
+@query("summary_points", _CDF + _U + f" select id, round(n / (p * {_DRAWS}), 6) as weight, round(v[1], 6) + 0.0 as v0 from drawn join points using (id)")
+def summary_points(spark: SparkSession, sf: str) -> DataFrame:
+    chosen = sensitivity.draw(sensitivity.sampling_distribution(_assigned(spark, sf)), _DRAWS)
+    found = vectors(spark, sf).join(chosen, "id").select("id", "weight", F.col("v")[0].alias("v0"))
+    return rounded(found, "weight", "v0")
+
+
+@query("pairwise_matrix", f"with {_POINTS}, {_CENTRES} select x.rank as i, y.rank as j, round({_L2.format(a='x.c', b='y.c')}, 6) + 0.0 as d from centres x, centres y")
+def pairwise_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(sensitivity.pairwise(centres(spark, sf).select(F.col("rank").alias("id"), F.col("center").alias("v"))), "d")
+
+
+# --- facilities in one pass ---
+
+
+@query("bmor_facilities", "select count(*)::double as weight, true as bounded, true as from_data from embeddings")
+def bmor_facilities(spark: SparkSession, sf: str) -> DataFrame:
+    points = vectors(spark, sf)
+    found = bicriteria.fit(points, 10, shards=4)
+    n = points.count()
+    return _checked(found, points, bicriteria.facility_bound(10, n, 2.0))
+
+
+def _checked(found: DataFrame, points: DataFrame, bound: int) -> DataFrame:
+    """Total weight; whether the facilities are within the bound, and are points."""
+    joined = found.join(points.select(F.col("id").alias("center_id"), "v"), "center_id", "left")
+    same = F.coalesce(F.col("v") == F.col("center"), F.lit(False))
+    return joined.agg(F.round(F.sum("weight"), 6).alias("weight"), (F.count("*") <= bound).alias("bounded"), F.bool_and(same).alias("from_data"))
+
+
+@query("bmor_contraction", "select count(*)::double as weight, true as bounded, true as from_data from embeddings")
+def bmor_contraction(spark: SparkSession, sf: str) -> DataFrame:
+    points = vectors(spark, sf)
+    return _checked(bicriteria.fit(points, 10, shards=4, contraction=True), points, bicriteria.facility_bound(10, points.count(), 2.0))
+
+
+@query("bmor_lines", "select count(*)::double as weight, true as bounded, true as from_data from lineitem")
+def bmor_lines(spark: SparkSession, sf: str) -> DataFrame:
+    points = line_points(spark, sf)
+    return _checked(bicriteria.fit(points, 10, shards=8), points, bicriteria.facility_bound(10, points.count(), 2.0))
+
+
+@query("bmor_entropy")
+def bmor_entropy(spark: SparkSession, sf: str) -> DataFrame:
+    """Facilities by one pass and contraction, with the labels' entropy at each."""
+    points = vectors(spark, sf)
+    found = bicriteria.fit(points, 10, beta=2.2, gamma=2.2, distance="l1", shards=4, contraction=True).persist()
+    return rounded(assign.dispatch_labels(points, found.select("rank", "center_id", "center"), "label", "l1"), "weight", "cost", "entropy")
+
+
+@query("summary_bmor", "select true as small, true as whole_draws from embeddings limit 1")
+def summary_bmor(spark: SparkSession, sf: str) -> DataFrame:
+    points = vectors(spark, sf)
+    found = ClusterModel(10, shards=4).summary(points)
+    return found.agg((F.count("*") <= int(0.11 * points.count())).alias("small"), F.bool_and(F.col("weight") > 0).alias("whole_draws"))
+
+
+# --- k-medoids ---
+
+
+def _summary(spark: SparkSession, sf: str) -> DataFrame:
+    """A summary that doesn't hang on a random choice: every seventh of the first 500 vectors, weighted."""
+    return vectors(spark, sf, True).where("id % 7 = 0 and id < 500").select("id", F.col("w").alias("weight"), "v")
+
+
+_S = f"with {_POINTS}, s as (select id, ww as weight, v from points where id % 7 = 0 and id < 500), med as (select id as cid, v as c, row_number() over (order by id) - 1 as cluster from s where id % 70 = 0)"
+_ASSIGN = _S + f", asg as (select * from (select id, weight, v, cluster, {_L2.format(a='v', b='c')} as d, row_number() over (partition by id order by {_L2.format(a='v', b='c')}, cluster) as n from s, med) where n = 1)"
+
+
+def _medoids(spark: SparkSession, sf: str) -> DataFrame:
+    s = _summary(spark, sf).where("id % 70 = 0")
+    return s.select(F.floor(F.col("id") / 70).alias("rank"), F.col("id").alias("center_id"), F.col("v").alias("center"))
+
+
+def _clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return assign.nearest(_summary(spark, sf), _medoids(spark, sf)).withColumnRenamed("rank", "cluster")
+
+
+def _initial_sql(k: int) -> str:
+    parts = [f"{_S}, c0 as (select id, v from s order by weight desc, id limit 1)"]
+    for j in range(1, k):
+        far = ", ".join(f"{_L2.format(a='s.v', b=f'c{i}.v')} * s.weight" for i in range(j))
+        parts.append(f", c{j} as (select s.id, s.v from s, {', '.join(f'c{i}' for i in range(j))} where s.id not in ({', '.join(f'(select id from c{i})' for i in range(j))}) order by greatest({far}) desc, s.id limit 1)")
+    return "".join(parts) + " " + " union all ".join(f"select {j}::int as cluster, id as center_id from c{j}" for j in range(k))
+
+
+@query("kmedoid_init", _initial_sql(5))
+def kmedoid_init(spark: SparkSession, sf: str) -> DataFrame:
+    return kmedoids.initial(_summary(spark, sf), 5)
+
+
+@query("kmedoid_assign", _ASSIGN + " select id, cluster, round(d, 6) + 0.0 as dist from asg")
+def kmedoid_assign(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_clusters(spark, sf).select("id", "cluster", "dist"), "dist")
+
+
+@query("kmedoid_recentre", _ASSIGN + f", cost as (select x.cluster, x.id, sum({_L2.format(a='x.v', b='y.v')} * y.weight) as cost from asg x join asg y using (cluster) group by 1, 2) select cluster, id as center_id, round(cost, 6) + 0.0 as cost from (select *, row_number() over (partition by cluster order by round(cost, 9), id) as n from cost) where n = 1")
+def kmedoid_recentre(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(kmedoids.recentred(_clusters(spark, sf)), "cost")
+
+
+@query("kmedoid_cost", _ASSIGN + " select cluster, count(*) as n, round(sum(weight), 6) as weight, round(sum(weight * d), 6) + 0.0 as cost from asg group by 1")
+def kmedoid_cost(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(kmedoids.cluster_costs(_clusters(spark, sf)), "weight", "cost")
+
+
+@query("kmedoid_close_pair", _ASSIGN + f", m as (select cluster, c, mean from med join (select cluster, sum(weight * d) / sum(weight) as mean from asg group by 1) using (cluster)) select x.cluster as c1, y.cluster as c2, round(2 * {_L2.format(a='x.c', b='y.c')} / (x.mean + y.mean), 6) as value from m x join m y on x.cluster < y.cluster where x.mean + y.mean > 0 order by 2 * {_L2.format(a='x.c', b='y.c')} / (x.mean + y.mean), 1, 2 limit 1")
+def kmedoid_close_pair(spark: SparkSession, sf: str) -> DataFrame:
+    medoids = _medoids(spark, sf).withColumnRenamed("rank", "cluster")
+    return rounded(kmedoids.closest_pair(medoids, kmedoids.cluster_costs(_clusters(spark, sf))), "value")
+
+
+# --- facility location ---
+
+
+@query(
+    "weighted_ball_radius",
+    _S + f", pr as (select x.id, y.id as j, y.weight as w, {_L2.format(a='x.v', b='y.v')} as d from s x, s y), "
+    "cum as (select id, d, row_number() over o as n, sum(w) over o as sw, sum(w * d) over o as swd from pr window o as (partition by id order by d, j rows unbounded preceding)), "
+    "t as (select id, 0.5 * max(case when n = 1 + greatest(1, floor(log2((select count(*) from s)))) then d * sw - swd end) as target from cum group by 1), "
+    "l as (select id, target, sw, swd, row_number() over (partition by id order by n desc) as k from cum join t using (id) where d * sw - swd <= target) "
+    "select id, round((target + swd) / sw, 6) as r from l where k = 1",
+)
+def weighted_ball_radius(spark: SparkSession, sf: str) -> DataFrame:
+    points = _summary(spark, sf).withColumnRenamed("weight", "w")
+    return rounded(facility_location.weighted_radii(points, 0.5).select("id", "r"), "r")
+
+
+def _separated(found: DataFrame, radii: DataFrame) -> DataFrame:
+    """Whether facilities lie further apart than twice the larger radius, and each point within twice its own."""
+    r = radii.select(F.col("id").alias("center_id"), "r")
+    f = found.join(r, "center_id")
+    a, b = f.select(F.col("rank").alias("i"), F.col("center").alias("a"), F.col("r").alias("ra")), f.select(F.col("rank").alias("j"), F.col("center").alias("b"), F.col("r").alias("rb"))
+    d = dist.get("l2").expr(F.col("a"), F.col("b"))
+    apart = a.join(b, F.col("i") < F.col("j")).agg(F.coalesce(F.bool_and(d > 2 * F.greatest("ra", "rb")), F.lit(True)).alias("apart"))
+    covered = assign.nearest(radii, found.select("rank", "center_id", "center")).agg(F.bool_and(F.col("dist") <= 2 * F.col("r")).alias("covered"))
+    return apart.crossJoin(covered)  # one row each
+
+
+@query("mp_facilities", "select true as apart, true as covered")
+def mp_facilities(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.scale import neighbourhood_size
+
+    points = vectors(spark, sf)
+    radii = facility_location.estimated_radii(points, 0.5 * neighbourhood_size(points, 0.999)).select("id", "v", "w", "r").persist()
+    return _separated(facility_location.choose(radii), radii)
+
+
+@query("mp_entropy")
+def mp_entropy(spark: SparkSession, sf: str) -> DataFrame:
+    """Facilities by estimated ball radii, with the labels' entropy at each."""
+    points = vectors(spark, sf)
+    return rounded(assign.dispatch_labels(points, facility_location.facilities(points, 0.75), "label"), "weight", "cost", "entropy")
+
+
+@query("wmp_facilities", "select true as apart, true as covered")
+def wmp_facilities(spark: SparkSession, sf: str) -> DataFrame:
+    radii = facility_location.weighted_radii(_summary(spark, sf).withColumnRenamed("weight", "w"), 0.5).persist()
+    return _separated(facility_location.choose(radii), radii)
+
+
+@query("wmp_weights", "select round(sum(0.5 + (vec_id % 26) / 10.0), 6)::double as weight from embeddings where vec_id % 7 = 0 and vec_id < 500")
+def wmp_weights(spark: SparkSession, sf: str) -> DataFrame:
+    found = facility_location.weighted_facilities(_summary(spark, sf).withColumnRenamed("weight", "w"))
+    return found.agg(F.round(F.sum("weight"), 6).alias("weight"))
+
+
+# --- the whole clustering ---
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """Summary, k-medoids, assignment of every vector, and agreement with the labels."""
+    points = validate_points(vectors(spark, sf))
+    model = ClusterModel(10, distance="l1", iterations=25, shards=4)
+    assigned = model.transform(points, model.fit(points)).persist()
+    table = quality.contingency(assigned.select("id", F.col("cluster").alias("label")), points.select("id", "label"))
+    cost = assigned.agg(F.sum("dist").alias("cost"))
+    return rounded(quality.information(table).crossJoin(cost), "h1", "h2", "h12", "information", "nmi_joint", "nmi_max", "nmi_mean", "nmi_sqrt", "cost")
+
+
+query("cluster_quality")(flagship)
+
+
+@query("cluster_fit", "select true as k_centres, true as from_data")
+def cluster_fit(spark: SparkSession, sf: str) -> DataFrame:
+    points = vectors(spark, sf)
+    medoids = ClusterModel(10, shards=4).fit(points)
+    joined = medoids.join(points.select(F.col("id").alias("center_id"), "v"), "center_id", "left")
+    return joined.agg((F.count_distinct("center_id") == 10).alias("k_centres"), F.bool_and(F.coalesce(F.col("v") == F.col("center"), F.lit(False))).alias("from_data"))
+
+
+@query("cluster_assign", "select count(*) as points, count(*) as ids, true as nearest from embeddings")
+def cluster_assign(spark: SparkSession, sf: str) -> DataFrame:
+    points = vectors(spark, sf)
+    model = ClusterModel(10, shards=4)
+    medoids = model.fit(points).persist()
+    assigned = model.transform(points, medoids)
+    check = assign.nearest(points, medoids.select(F.col("cluster").alias("rank"), "center_id", "center"), native=True).select("id", F.col("rank").alias("own"))
+    return assigned.join(check, "id").agg(F.count("*").alias("points"), F.count_distinct("id").alias("ids"), F.bool_and(F.col("cluster") == F.col("own")).alias("nearest"))
+
+
+@query("cluster_lines", "select count(*) as points from lineitem")
+def cluster_lines(spark: SparkSession, sf: str) -> DataFrame:
+    points = line_points(spark, sf)
+    centres_ = bicriteria.fit(points, 10, shards=8).persist()
+    return assign.dispatch(points, centres_.select("rank", "center_id", "center")).agg(F.sum("weight").cast("long").alias("points"))
+
+
+@query("kmeans_compare", "select count(*) as points, true as k_clusters from embeddings")
+def kmeans_compare(spark: SparkSession, sf: str) -> DataFrame:
+    """Spark's own k-means under L2, as the measure of the medoids' cost."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = vectors(spark, sf).select("id", array_to_vector("v").alias("features"))
+    found = KMeans(k=10, seed=1, maxIter=10).fit(rows).transform(rows)
+    return found.agg(F.count("*").alias("points"), (F.count_distinct("prediction") <= 10).alias("k_clusters"))
+
+
+# --- agreement ---
+
+
+def _contingency(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.contingency(vectors(spark, sf).select("id", "label"), _assigned(spark, sf).select("id", F.col("rank").alias("label")))
+
+
+_T = _near() + ", t as (select label as l1, rank as l2, count(*) as n from near group by 1, 2)"
+_H = "greatest(0, ln(sum(n)) - sum(n * ln(n)) / sum(n))"
+
+
+@query("contingency", _T + " select l1, l2, n from t")
+def contingency(spark: SparkSession, sf: str) -> DataFrame:
+    return _contingency(spark, sf)
+
+
+@query("contingency_dense", _near() + " select label as l1, count(*) filter (rank = 0) as \"0\", count(*) filter (rank = 50) as \"50\" from near group by 1 having count(*) filter (rank in (0, 50)) > 0")
+def contingency_dense(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.dense(_contingency(spark, sf).where("l2 in (0, 50)"), [0, 50])
+
+
+@query("row_entropy", _T + f" select l1, cast(sum(n) as bigint) as n, round({_H}, 6) + 0.0 as entropy from t group by 1")
+def row_entropy(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(quality.row_entropies(_contingency(spark, sf)), "entropy")
+
+
+@query("col_entropy", _T + f" select l2, cast(sum(n) as bigint) as n, round({_H}, 6) + 0.0 as entropy from t group by 1")
+def col_entropy(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(quality.column_entropies(_contingency(spark, sf)), "entropy")
+
+
+_INFO = _T + (
+    f", a as (select {_H} as h12, sum(n) as total from t), b as (select {_H} as h1, count(*) as r from (select sum(n) as n from t group by l1)), c as (select {_H} as h2, count(*) as k from (select sum(n) as n from t group by l2)),"
+    " x as (select *, h1 + h2 - h12 as i, ln((total + r * k - r - k) / (total - 1)) as e from a, b, c)"
+)
+
+
+@query("entropies", _INFO + " select cast(total as bigint) as n, round(h1, 6) as h1, round(h2, 6) as h2, round(h12, 6) as h12, round(h12 - h2, 6) as h1_given_2, round(i, 6) as information from x")
+def entropies(spark: SparkSession, sf: str) -> DataFrame:
+    found = quality.information(_contingency(spark, sf))
+    return rounded(found.select("n", "h1", "h2", "h12", "h1_given_2", "information"), "h1", "h2", "h12", "h1_given_2", "information")
+
+
+@query("nmi_all", _INFO + " select round(i / h12, 6) as nmi_joint, round(i / greatest(h1, h2), 6) as nmi_max, round(2 * i / (h1 + h2), 6) as nmi_mean, round(i / sqrt(h1 * h2), 6) as nmi_sqrt from x")
+def nmi_all(spark: SparkSession, sf: str) -> DataFrame:
+    names = ("nmi_joint", "nmi_max", "nmi_mean", "nmi_sqrt")
+    return rounded(quality.information(_contingency(spark, sf)).select(*names), *names)
+
+
+@query("info_bound", _INFO + " select round(e, 6) as e_bound, round((i - e) / (sqrt(h1 * h2) - e), 6) as ami_bound from x")
+def info_bound(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(quality.information(_contingency(spark, sf)).select("e_bound", "ami_bound"), "e_bound", "ami_bound")
+
+
+# --- scales ---
+
+
+def _quantile_sql(source: str, column: str, at: tuple[float, ...]) -> str:
+    pairs = ", ".join(f"({q}::double, {i})" for i, q in enumerate(at, 1))
+    return f"select q, round((select quantile_cont({column}, {list(at)}) from {source})[i], 6) as value from (values {pairs}) as t(q, i)"
+
+
+_HEX = "cast('0x' || substr(md5('{s}:' || {x}::varchar), 1, 13) as bigint)"
+_PAIRS = f"with {_POINTS}, sm as (select v, row_number() over (order by id) - 1 as place from (select id, v from points order by md5('7:' || id::varchar), id limit 5000)), num as (select {_HEX.format(s='7a', x='j')} % (select count(*) from sm) as i, {_HEX.format(s='7b', x='j')} % (select count(*) from sm) as k from range(5000) t(j)), d as (select {_L2.format(a='x.v', b='y.v')} as d from num join sm x on x.place = i join sm y on y.place = k where i != k) "
+
+
+@query("pair_quantiles", _PAIRS + _quantile_sql("d", "d", scale.PAIRS))
+def pair_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(scale.pair_quantiles(vectors(spark, sf), 5000), "value")
+
+
+@query("weight_quantiles", f"with {_POINTS} " + _quantile_sql("points", "ww", scale.WEIGHTS))
+def weight_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(scale.quantiles(vectors(spark, sf, True), "w", scale.WEIGHTS), "value")
+
+
+# --- sources, sinks, streams ---
+
+
+@query("csv_roundtrip", "select o_orderkey as id, round(o_totalprice, 6) as weight from orders")
+def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{_shared(spark)}/csv"
+    rows = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("weight"))
+    write_csv(rows, path, "id", "weight")
+    return rounded(spark.read.csv(path, header=True, schema="id long, weight double", mode="FAILFAST"), "weight")
+
+
+@query("csv_labelled", "select o_orderkey % 10 as label, count(*) as n, round(sum(o_totalprice), 2) as total from orders group by 1")
+def csv_labelled(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{_shared(spark)}/labelled"
+    rows = spark.read.parquet(f"{sf}/orders.parquet").select((F.col("o_orderkey") % 10).alias("label"), F.col("o_totalprice").alias("p0"), F.col("o_custkey").alias("p1"))
+    write_csv(rows, path, "label", "p0", "p1")
+    return read_labelled_csv(spark, path, 2).groupBy(F.col("label").cast("long").alias("label")).agg(F.count_distinct("id").alias("n"), F.round(F.sum(F.col("v")[0]), 2).alias("total"))
+
+
+def _shared(spark: SparkSession) -> str:
+    """A new folder below the one that the cluster shares; a temporary one only where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    import uuid
+
+    return f"{named.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+@query("stream_bmor", "select count(*)::double as weight, true as bounded from events")
+def stream_bmor(spark: SparkSession, sf: str) -> DataFrame:
+    """Facilities of the events, read as a stream of (value, hour) vectors in several triggers."""
+    source = f"{sf}/events.parquet"
+    schema = spark.read.parquet(source).schema
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{source}*")
+    v = F.array(F.col("value") / 100, F.hour("ts") / 24.0)
+    points = events.select(F.col("event_id").alias("id"), v.alias("v"), F.lit(1.0).alias("w"))
+    n = spark.read.parquet(source).count()
+    out = _shared(spark)
+    emitted = stream_facilities(points, 10, max(1, n // 4), shards=4)
+    write = lambda batch, number: batch.write.mode("append").parquet(f"{out}/facilities")
+    running = emitted.writeStream.outputMode("update").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
+    running.awaitTermination()
+    found = merge(spark.read.parquet(f"{out}/facilities"), 10)
+    return found.agg(F.round(F.sum("weight"), 6).alias("weight"), (F.count("*") <= bicriteria.facility_bound(10, n, 2.0)).alias("bounded"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
