@@ -25,8 +25,10 @@ def _centre_arrays(centres: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
     n, width = centres.agg(F.count("*"), F.max(F.size("center"))).first()
     if n == 0:
         raise ValueError("there are no centres")
-    if n * width > MOST_VALUES:
-        return None
+    return None if n * width > MOST_VALUES else _collected(centres)
+
+
+def _collected(centres: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     rows = centres.select("rank", "center").orderBy("rank").collect()
     return np.array([r["rank"] for r in rows], np.int64), np.array([r["center"] for r in rows], np.float64)
 
@@ -40,6 +42,10 @@ def nearest(points: DataFrame, centres: DataFrame, distance: str | dist.Distance
     held = _centre_arrays(centres)
     if held is None:
         return _nearest_blocks(points, centres, d)
+    return _nearest_held(points, centres, d, held, native)
+
+
+def _nearest_held(points: DataFrame, centres: DataFrame, d: dist.Distance, held: tuple[np.ndarray, np.ndarray], native: bool) -> DataFrame:
     if native:
         packed = centres.agg(F.sort_array(F.collect_list(F.struct("rank", "center"))).alias("_c"))  # one row, its size is checked
         best = F.array_min(F.transform("_c", lambda c: F.struct(d.expr(F.col("v"), c["center"]).alias("dist"), c["rank"].cast("long").alias("rank"))))
@@ -66,12 +72,12 @@ def _nearest_blocks(points: DataFrame, centres: DataFrame, d: dist.Distance) ->
     width = centres.select(F.max(F.size("center"))).first()[0]
     n = centres.count()
     blocks = -(-n * width // MOST_VALUES)
-    for k in range(blocks):
-        part = centres.where(F.pmod(F.xxhash64("rank"), F.lit(blocks)) == k)
-        if part.isEmpty():
+    for k in range(blocks):  # a hash deals about MOST_VALUES values to each
+        part = _collected(centres.where(F.pmod(F.xxhash64("rank"), F.lit(blocks)) == k))
+        if not len(part[0]):
             continue
         old = best.withColumnsRenamed({"rank": "_r", "dist": "_d"})
-        both = nearest(old, part, d)
+        both = _nearest_held(old, centres, d, part, False)
         better = F.col("_d").isNull() | (F.col("dist") < F.col("_d")) | ((F.col("dist") == F.col("_d")) & (F.col("rank") < F.col("_r")))
         best = both.select(*points.columns, F.when(better, F.col("rank")).otherwise(F.col("_r")).alias("rank"), F.when(better, F.col("dist")).otherwise(F.col("_d")).alias("dist"))
     return best
