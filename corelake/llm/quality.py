@@ -82,7 +82,7 @@ def calibrate(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and offset of a logistic curve through (score, y), smoothed towards the prior."""
     prior = (y.sum() + 1) / (len(y) + 2)
     a, b = 0.0, float(np.log(prior / (1 - prior)))
-    if y.min(initial=1) == y.max(initial=0):
+    if len(np.unique(y)) < 2:
         return a, b
     scale = max(1e-9, float(np.std(score)))
     s = score / scale
