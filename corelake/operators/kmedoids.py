@@ -19,14 +19,16 @@ MODEL = "cluster int, center_id long, center array<double>, cost double, iterati
 
 
 def initial_medoids(d: np.ndarray, w: np.ndarray, k: int) -> np.ndarray:
-    """First the heaviest point, then again and again the one of the greatest weighted distance from any chosen one."""
+    """First the heaviest point, then again and again the one of the greatest weighted distance from any chosen one.
+
+    Points equal to a chosen one are left out, so there are at most as many as lie apart.
+    """
     chosen = [int(w.argmax())]
-    cost = d[chosen[0]] * w
-    cost[chosen] = 0
-    while len(chosen) < k and cost.max() > 0:
-        chosen.append(int(cost.argmax()))
+    cost, free = d[chosen[0]] * w, d[chosen[0]] > 0
+    while len(chosen) < k and (cost * free).max() > 0:
+        chosen.append(int((cost * free).argmax()))
         cost = np.maximum(cost, d[chosen[-1]] * w)
-        cost[chosen] = 0
+        free &= d[chosen[-1]] > 0
     return np.array(chosen)
 
 
@@ -127,9 +129,10 @@ def initial(summary: DataFrame, k: int, distance: str | dist.Distance = "l2") ->
     while len(chosen) < k:
         last = rows.where(F.col("id") == chosen[-1]).select(F.col("v").alias("_v"))
         own = rows.crossJoin(F.broadcast(last.limit(1))).select("id", (d.expr(F.col("v"), F.col("_v")) * F.col("weight")).alias("c"))  # one row
-        far = own if far is None else far.unionByName(own).groupBy("id").agg(F.max("c").alias("c"))
+        own = own.withColumn("near", F.col("c"))
+        far = own if far is None else far.unionByName(own).groupBy("id").agg(F.max("c").alias("c"), F.min("near").alias("near"))
         far = far.persist()
-        best = far.where(~F.col("id").isin(chosen)).orderBy(F.desc("c"), "id").limit(1).collect()
+        best = far.where("near > 0").orderBy(F.desc("c"), "id").limit(1).collect()
         if not best or best[0]["c"] <= 0:
             break
         chosen.append(best[0]["id"])
