@@ -229,7 +229,7 @@ def train(docs: DataFrame, *, text: str = "text", where: Column | None = None, s
     spark = docs.sparkSession
     rows = docs if where is None else docs.where(where)
     if shards is None:
-        shards = 1 << min(12, max(4, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
+        shards = 1 << min(16, max(4, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
     folder = scratch_path(spark, "lm")
     parts = rows.select(F.col(f"`{text}`").cast("string")).mapInArrow(lambda b: _count(b, shards), "shard int, blob binary")
     made = written(parts.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(lambda b: _merge_pairs(b, folder, shards), _MADE), "lm-pairs")

@@ -19,7 +19,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     from corelake.llm.langid import identify, learn
 
     found = identify(docs, learn(docs))
-    return found.where("lang_pred != 'und' and score >= 0.5").select("doc.*")
+    return found.where("lang_pred != 'und' and score >= 0.35").select("doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
