@@ -24,6 +24,8 @@ from .common import plain_words, written
 LABELLED, POOL, WORDS, LEAST = 8000, 8000, 4000, 8
 #: Rounds, and pool rows that a view labels in each, for each class.
 ROUNDS, TAUGHT = 4, 100
+#: Steps of a fit: of the first one, and of those that start from the weights of the round before.
+FIRST_STEPS, STEPS = 300, 80
 #: Share of the labelled rows for calibration, and buckets of the metadata view.
 HELD, BUCKETS = 0.3, 512
 
@@ -58,6 +60,17 @@ class Sparse:
         # long texts hold more words; their weights are damped alike
         self.value = 1 / np.sqrt(1 + np.log1p(self.size))[self.row] if len(columns) else np.zeros(0)
 
+    def take(self, rows: np.ndarray) -> Sparse:
+        """The rows alone."""
+        out = Sparse.__new__(Sparse)
+        out.dense, out.width, out.size = self.dense[rows], self.width, self.size[rows]
+        start = (np.cumsum(self.size) - self.size)[rows]
+        total = np.cumsum(out.size)
+        place = np.repeat(start - (total - out.size), out.size) + np.arange(total[-1] if len(total) else 0)
+        out.row = np.repeat(np.arange(len(rows)), out.size)
+        out.column, out.value = self.column[place], self.value[place]
+        return out
+
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.value * w[self.column], len(self.size)) + self.dense @ w[self.width :]
 
@@ -65,14 +78,13 @@ class Sparse:
         return np.concatenate([np.bincount(self.column, self.value * r[self.row], self.width), self.dense.T @ r])
 
 
-def fit(x: Sparse, y: np.ndarray, weight: np.ndarray, steps: int = 300, ridge: float = 1e-3) -> np.ndarray:
-    """Weights of a logistic regression, by Adam on all rows."""
-    w = np.zeros(x.width + x.dense.shape[1])
+def fit(x: Sparse, y: np.ndarray, start: np.ndarray, steps: int, ridge: float = 1e-3) -> np.ndarray:
+    """Weights of a logistic regression, by Adam on all rows, from the given ones."""
+    w = start.copy()
     m, v = np.zeros_like(w), np.zeros_like(w)
-    total = max(1.0, weight.sum())
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(x.times(w), -30, 30)))
-        g = x.transposed(weight * (p - y)) / total + ridge * w
+        g = x.transposed(p - y) / max(1, len(y)) + ridge * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return w
@@ -104,8 +116,8 @@ def co_train(views: tuple[Sparse, Sparse], y: np.ndarray, held: np.ndarray) -> l
     weights = [np.zeros(v.width + v.dense.shape[1]) for v in views]
     for turn in range(ROUNDS + 1):
         for k, view in enumerate(views):
-            rows = (taught[k] >= 0).astype(np.float64)
-            weights[k] = fit(view, np.maximum(taught[k], 0), rows)
+            rows = np.flatnonzero(taught[k] >= 0)
+            weights[k] = fit(view.take(rows), taught[k][rows], weights[k], FIRST_STEPS if turn == 0 else STEPS)
         if turn == ROUNDS:
             break
         base = taught[0][taught[0] >= 0]
