@@ -22,6 +22,8 @@ import numpy as np
 
 #: Bytes of tuples that a scan holds in memory; more are spooled to the task's temporary folder.
 IN_MEMORY = 256 << 20
+#: Suffixes that a scan takes at once.
+BLOCK = 1 << 20
 
 
 class Budget:
@@ -63,6 +65,24 @@ class Spool:
             return data[: 4 * b].view(np.int32), data[4 * b :].view(np.int16)
         return a, b
 
+    def gather(self, k: int) -> None:
+        """Makes one block of block k and those after it, up to BLOCK suffixes."""
+        end, size = k, 0
+        while end < len(self.blocks) and (end == k or size < BLOCK):
+            a, b = self.blocks[end]
+            size += b if isinstance(a, str) else len(a)
+            end += 1
+        if end - k < 2:
+            return
+        parts = [self.get(j) for j in range(k, end)]
+        places, shared = (np.concatenate(x) for x in zip(*parts, strict=True))
+        for j in range(k, end):
+            self.drop(j)
+        after = self.blocks[end:]
+        del self.blocks[k:]
+        self.push(places, shared)
+        self.blocks += after
+
     def drop(self, k: int) -> None:
         a, b = self.blocks[k]
         if isinstance(a, str):
@@ -238,6 +258,7 @@ class Shard:
             own = queue.get(c)
             k = 0
             while (own := queue.get(c)) is not None and k < len(own.blocks):
+                own.gather(k)
                 places, shared = own.get(k)
                 scan(places, shared)
                 last, k = places[-1:], k + 1

@@ -204,18 +204,20 @@ def repeated_spans(docs: DataFrame, *, id: str = "doc_id", text: str = "text", d
     rows = docs.select(F.xxhash64(F.col(f"`{id}`"), string).alias("row"), F.octet_length(string).alias("size"), string.alias("text"), doc.alias("doc"))
     texts = rows.select("row", "size", "text").where(F.col("size") >= depth)
     runs = written(_runs(texts, depth).select("doc.row", "doc.size", "runs"), "runs").select("row", "size", F.inline("runs"))
-    keys = runs.groupBy("key").agg(F.count("*").alias("c"), (F.min("whole") != F.max("whole")).alias("unlike")).where("c > 1").select("key", "unlike")
+    # keys are a table of their own, so that the join's hot keys can be split
+    keys = written(runs.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "keys")
     again = written(runs.join(keys, "key"), "again")
-    classes = again.groupBy("key", "whole", "n").agg(F.count("*").alias("c"), F.min(F.struct("row", "size", "first")).alias("one"), F.max("unlike").alias("unlike"))
+    classes = again.groupBy("key", "whole", "n").agg(F.count("*").alias("c"), F.min(F.struct("row", "size", "first")).alias("one"))
     classes = written(classes, "classes")
+    unlike = classes.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     equal = again.join(classes.where("c > 1").select("key", "whole", "n"), ["key", "whole", "n"])
     equal = equal.select("row", "size", F.col("first").alias("start"), (F.col("first") + F.col("n") + (depth - 1)).alias("stop"))
-    wanted = classes.where("unlike").groupBy(F.col("one.row").alias("row"), F.col("one.size").alias("size")).agg(F.collect_list(F.struct(F.col("one.first").alias("first"), "n", (F.col("c") == 1).alias("open"))).alias("wanted"))
+    wanted = classes.join(unlike, "key", "left_semi").groupBy(F.col("one.row").alias("row"), F.col("one.size").alias("size")).agg(F.collect_list(F.struct(F.col("one.first").alias("first"), "n", (F.col("c") == 1).alias("open"))).alias("wanted"))
     cut = texts.join(wanted, ["row", "size"]).select("row", "size", "text", "wanted")
     cut = cut.mapInArrow(lambda b: _cut_runs(b, depth), "row long, size int, core long, first int, n int, open boolean, bytes binary")
     sorted_in = cut.repartition("core").sortWithinPartitions("core")
-    unlike = sorted_in.mapInArrow(lambda b: _sort_shards(b, depth, shard_bytes), "row long, size int, start int, stop int")
-    spans = equal.unionByName(unlike).groupBy("row", "size").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    sorted_out = sorted_in.mapInArrow(lambda b: _sort_shards(b, depth, shard_bytes), "row long, size int, start int, stop int")
+    spans = equal.unionByName(sorted_out).groupBy("row", "size").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return rows, spans
 
 
