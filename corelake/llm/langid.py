@@ -153,8 +153,9 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", where: Col
 def best_labels(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarray:
     """The labels of the Viterbi path of each sequence of words; scores are those of all words, sequence by sequence.
 
-    A sequence in which no stretch of words gains a whole change under another label than the best constant one
-    has that constant path; only the others are searched.
+    A path of m changes that beats the best constant one gains more than m changes in m + 1 stretches, so one of
+    them gains at least half a change. A sequence without such a stretch has the constant path; only the others
+    are searched.
     """
     row = np.repeat(np.arange(len(lengths)), lengths)
     total = np.stack([np.bincount(row, scores[:, k], len(lengths)) for k in range(scores.shape[1])], 1)
@@ -169,7 +170,7 @@ def best_labels(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.nd
         before = np.append(0.0, np.cumsum(gain)[:-1])
         before = before - before[first] + far
         best = before + gain - np.minimum.accumulate(before)
-        unsure |= np.bincount(row, best >= switch - 1e-3, len(lengths)) > 0
+        unsure |= np.bincount(row, best >= switch / 2 - 1e-3, len(lengths)) > 0
     if unsure.any():
         labels[unsure[row]] = viterbi(scores[unsure[row]], lengths[unsure], switch)
     return labels

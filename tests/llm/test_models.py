@@ -131,6 +131,16 @@ def test_paths_are_best_ones():
             at += n
 
 
+def test_three_languages_of_short_stretches():
+    """No stretch gains a whole change over the best constant label, but two gain one together."""
+    scores = np.array([[0, -8, -2.4]] * 3 + [[-8, 0, -2.4]] * 3, np.float32)
+    assert langid.best_labels(scores, np.array([6]), 12.0).tolist() == [0, 0, 0, 1, 1, 1]
+    rng = np.random.default_rng(3)
+    lengths = rng.integers(0, 12, 2000)
+    scores = -rng.uniform(0, 8, (lengths.sum(), 3)).astype(np.float32)
+    assert (langid.best_labels(scores, lengths, 6.0) == langid.viterbi(scores, lengths, 6.0)).all()
+
+
 def test_scripts_narrow_the_candidates(spark):
     rows = [(k, "en", "the house and the garden") for k in range(5)] + [(k, "ru", "дом и сад там") for k in range(5, 10)]
     docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
