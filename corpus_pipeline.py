@@ -15,11 +15,13 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter or without a dominant language."""
+    """Drops documents without a letter; those of several languages stay. All pass if no row is labelled."""
     from corelake.llm.langid import identify, learn
 
-    found = identify(docs, learn(docs))
-    return found.where("lang_pred != 'und' and score >= 0.35").select("doc.*")
+    model = learn(docs)
+    if model is None:
+        return docs
+    return identify(docs, model).where("lang_pred != 'und'").select("doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

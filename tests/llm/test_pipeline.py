@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from ..conftest import SMALL
 
@@ -22,6 +23,18 @@ def test_stages_keep_the_columns(spark):
     assert {r.doc_id: r.doc_tokens for r in last} == dict(tokens)
 
 
+def test_mixed_and_unlabelled_texts_stay(spark):
+    import corpus_pipeline as p
+
+    words = {"a": "bata kata lata", "b": "sofu zofu nofu", "c": "rimi timi vimi", "d": "helge welge delge"}
+    rows = [(k, " ".join([w] * 10), lang) for k, (lang, w) in enumerate(words.items())]
+    rows += [(10, " ".join(" ".join([w] * 8) for w in words.values()), None), (11, "12 ...", None), (12, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in p.identify_language(spark, docs, SMALL).collect()} == {0, 1, 2, 3, 10}
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert p.identify_language(spark, bare, SMALL).count() == len(rows)
+
+
 def test_run_is_the_stages_in_turn(spark):
     import corpus_pipeline as p
 
