@@ -1,20 +1,26 @@
-"""Weighted k-medoids over a summary: single steps as DataFrame operators, and the whole search in one task.
+"""Weighted k-medoids over a summary: single steps as DataFrame operators, and the whole search.
 
-The search needs all distances, so its input is a summary of a checked size; an iteration takes milliseconds in a
-task, where a Spark job for each would take far longer.
+A summary within a checked size is searched in one task, where an iteration takes milliseconds and a Spark job for
+each would take far longer. A larger one is searched by the same rule in rounds of Spark jobs: the medoids are sent to
+all tasks, and candidates meet the members of their cluster in blocks of the summary, which are sent one by one.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import distance as dist
 
-#: Points of a summary at most: 8000 squared distances are half a gigabyte.
-MOST_POINTS = 8000
+#: Points of a summary that one task searches (8000 squared distances are half a gigabyte), and points of a block.
+MOST_POINTS, BLOCK = 8000, 8000
 MODEL = "cluster int, center_id long, center array<double>, cost double, iterations int, total_cost double"
 
 
@@ -99,14 +105,155 @@ def search(d: np.ndarray, w: np.ndarray, k: int, iterations: int, seed: int = 1)
     return best
 
 
+class Rounds:
+    """The search over a summary of any size, each step as a Spark job; what comes back is one row for each cluster.
+
+    Sums are of parts in another order than in one task, so ties to the last digit may fall otherwise.
+    """
+
+    def __init__(self, summary: DataFrame, d: dist.Distance):
+        self.spark, self.d = summary.sparkSession, d
+        named = self.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+        self.path = f"{named.rstrip('/')}/kmedoids-{uuid.uuid4().hex}"
+        summary.select(F.col("id").cast("long").alias("id"), F.col("weight").cast("double").alias("weight"), F.col("v").cast("array<double>").alias("v")).write.parquet(f"{self.path}/summary")
+        self.rows = self.spark.read.parquet(f"{self.path}/summary")
+
+    def drop(self, name: str = "") -> None:
+        """Deletes scratch tables."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def _map(self, f, schema: str, rows: DataFrame | None = None) -> DataFrame:
+        """f(ids, weights, vectors) of each batch, as columns."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                    yield pa.record_batch(f(batch.column(0).to_numpy(), batch.column(1).to_numpy(), x))
+
+        return (self.rows if rows is None else rows).mapInArrow(run, schema)
+
+    def initial(self, k: int) -> list[tuple[int, list[float]]]:
+        first = self.rows.orderBy(F.desc("weight"), "id").first()
+        chosen = [(first["id"], first["v"])]
+        while len(chosen) < k:
+            shared, d = self.spark.sparkContext.broadcast(np.array([v for _, v in chosen])), self.d
+
+            def farthest(ids, w, x, shared=shared):
+                found = d.block(x, shared.value)
+                cost = np.where(found.min(1) > 0, found.max(1) * w, 0.0)
+                top = np.flatnonzero(cost == cost.max())
+                best = top[ids[top].argmin()]
+                return {"id": ids[[best]], "c": cost[[best]], "v": pa.array([x[best].tolist()])}
+
+            best = self._map(farthest, "id long, c double, v array<double>").orderBy(F.desc("c"), "id").first()
+            if best["c"] <= 0:
+                break
+            chosen.append((best["id"], best["v"]))
+        return chosen
+
+    def assigned(self, centres: list) -> DataFrame:
+        """id, weight, v, cluster and own (distance) of all points."""
+        shared, d = self.spark.sparkContext.broadcast(np.array([v for _, v in centres])), self.d
+
+        def near(ids, w, x):
+            found = d.block(x, shared.value)
+            best = found.argmin(1)
+            return {"id": ids, "weight": w, "v": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64())), "cluster": best.astype(np.int32), "own": found[np.arange(len(best)), best]}
+
+        return self._map(near, "id long, weight double, v array<double>, cluster int, own double")
+
+    def recentre(self, centres: list) -> tuple[list, np.ndarray]:
+        """The member of least weighted distance to the others of each cluster, and that distance; empty ones keep theirs."""
+        d, vectors = self.d, self.spark.sparkContext.broadcast(np.array([v for _, v in centres]))
+        last = None
+        while True:
+            rest = self.rows if last is None else self.rows.where(F.col("id") > last)
+            block = rest.orderBy("id").limit(BLOCK).collect()
+            if not block:
+                break
+            last = block[-1]["id"]
+            held = np.array([r["v"] for r in block])
+            shared = self.spark.sparkContext.broadcast((held, np.array([r["weight"] for r in block]), d.block(held, vectors.value).argmin(1)))
+
+            def costs(ids, w, x, shared=shared):
+                own = d.block(x, vectors.value).argmin(1)
+                held, weight, member = shared.value
+                cost = np.zeros(len(ids))
+                for c in np.unique(own):
+                    at, there = np.flatnonzero(own == c), np.flatnonzero(member == c)
+                    if len(there):
+                        for k in range(0, len(at), 256):
+                            cost[at[k : k + 256]] = d.block(x[at[k : k + 256]], held[there]) @ weight[there]
+                return {"id": ids, "cluster": own.astype(np.int32), "cost": cost}
+
+            part = self._map(costs, "id long, cluster int, cost double")
+            part.write.mode("append").parquet(f"{self.path}/costs")  # a job for each block, so that it holds one broadcast
+            shared.unpersist()
+        parts = self.spark.read.parquet(f"{self.path}/costs").groupBy("id", "cluster").agg(F.sum("cost").alias("cost"))
+        best = parts.groupBy("cluster").agg(F.min(F.struct("cost", "id")).alias("m")).select("cluster", "m.cost", "m.id")
+        found = best.join(self.rows.select("id", "v"), "id").collect()  # one row for each cluster
+        new, total = list(centres), np.zeros(len(centres))
+        for r in found:
+            new[r["cluster"]], total[r["cluster"]] = (r["id"], r["v"]), r["cost"]
+        self.drop("costs")
+        return new, total
+
+    def close_pair(self, centres: list, last: tuple[int, int] | None, member: DataFrame) -> tuple[int, int] | None:
+        mean = np.zeros(len(centres))
+        for r in member.groupBy("cluster").agg((F.sum(F.col("weight") * F.col("own")) / F.sum("weight")).alias("mean")).collect():
+            mean[r["cluster"]] = r["mean"] or 0.0
+        v = np.array([v for _, v in centres])
+        between = self.d.block(v, v)
+        best, pair = np.inf, None
+        for i in range(len(centres)):
+            for j in range(i + 1, len(centres)):
+                spread = mean[i] + mean[j]
+                value = 2 * between[i, j] / spread if spread > 0 else np.inf
+                if value < best and (i, j) != last:
+                    best, pair = value, (i, j)
+        return pair
+
+    def search(self, k: int, iterations: int, seed: int) -> list[tuple]:
+        """Rows of MODEL: the alternation of search(), whose membership is that of the nearest of given medoids."""
+        rng = np.random.default_rng(seed)
+        by = centres = self.initial(k)  # members are those nearest to by
+        best: tuple | None = None
+        current, last, perturbed = np.inf, None, False
+        for turn in range(1, iterations + 1):
+            new, costs = self.recentre(by)
+            total = float(costs.sum())
+            if total < current or perturbed:
+                perturbed, current, centres, by = False, total, new, new
+                if best is None or total < best[3]:
+                    best = (new, costs, turn, total)
+                continue
+            member = self.assigned(by)
+            if (last := self.close_pair(centres, last, member)) is None:
+                break
+            c = last[int(rng.integers(2))]
+            far = member.where(F.col("cluster") == c).orderBy(F.desc("own"), "id").select("id", "v", "own").first()
+            if far is not None and far["own"] > 0:
+                centres = list(centres)
+                centres[c] = (far["id"], far["v"])
+                by = centres
+            perturbed = True
+        centres, costs, turn, total = best
+        return [(c, int(i), [float(x) for x in v], float(costs[c]), turn, total) for c, (i, v) in enumerate(centres)]
+
+
 def fit(summary: DataFrame, k: int, iterations: int = 15, *, distance: str | dist.Distance = "l2", seed: int = 1) -> DataFrame:
     """cluster, center_id, center, cost, iterations and total_cost of the best state for a summary (id, weight, v)."""
     n = summary.limit(MOST_POINTS + 1).count()
-    if n > MOST_POINTS:
-        raise ValueError(f"k-medoids takes a summary of at most {MOST_POINTS} points; make a smaller one")
     if n == 0:
         raise ValueError("the summary is empty")
     d = dist.get(distance)
+    if n > MOST_POINTS:
+        rounds = Rounds(summary, d)
+        rows = rounds.search(k, iterations, seed)
+        rounds.drop()
+        return summary.sparkSession.createDataFrame(rows, MODEL)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)

@@ -12,9 +12,13 @@ from ..operators import assign, bicriteria, kmedoids, sensitivity
 from ..sources.points import write_csv
 
 
+#: Points of a shard of the one-pass rule on average, beyond the least number of shards.
+SHARD = 25_000
+
+
 @dataclass(frozen=True)
 class ClusterModel:
-    """Parameters of a clustering of points (id, v, w)."""
+    """Parameters of a clustering of points (id, v, w); shards is the least number of them."""
 
     k: int
     fraction: float = 0.11
@@ -27,7 +31,8 @@ class ClusterModel:
 
     def summary(self, points: DataFrame) -> DataFrame:
         """id, weight and v of the summary."""
-        centres = bicriteria.fit(points, self.k, beta=self.beta, gamma=self.gamma, distance=self.distance, shards=self.shards)
+        shards = max(self.shards, -(-points.count() // SHARD))
+        centres = bicriteria.fit(points, self.k, beta=self.beta, gamma=self.gamma, distance=self.distance, shards=shards)
         assigned = assign.nearest(points, centres.persist(), self.distance).select("id", "w", "rank", "dist").persist()
         return sensitivity.summary(points, assigned, self.fraction, self.seed)
 

@@ -169,6 +169,19 @@ def test_k_medoids_finds_clear_clusters():
     assert cost <= d[:, [15, 45, 75]].min(1).sum() + 1e-9
 
 
+@pytest.mark.parametrize("distance", ["l2", "l1"])
+def test_k_medoids_by_rounds_equals_one_task(spark, monkeypatch, distance):
+    rng = np.random.default_rng(6)
+    rows = [(k, rng.normal(k % 3, 1.0, 3).tolist(), float(rng.uniform(0.5, 3))) for k in range(70)]
+    df = frame(spark, rows).withColumnRenamed("w", "weight").repartition(3).persist()
+    whole = kmedoids.fit(df, 4, 6, distance=distance).orderBy("cluster").collect()
+    monkeypatch.setattr(kmedoids, "MOST_POINTS", 20)
+    monkeypatch.setattr(kmedoids, "BLOCK", 30)
+    found = kmedoids.fit(df, 4, 6, distance=distance).orderBy("cluster").collect()
+    assert [(r.cluster, r.center_id, r.center, r.iterations) for r in found] == [(r.cluster, r.center_id, r.center, r.iterations) for r in whole]
+    assert np.allclose([(r.cost, r.total_cost) for r in found], [(r.cost, r.total_cost) for r in whole])
+
+
 def test_weighted_facilities(spark):
     rng = np.random.default_rng(3)
     rows = [(k, rng.normal(2, 1, 50).tolist(), float(rng.uniform(0.5, 3))) for k in range(11)]
