@@ -21,44 +21,52 @@ from .scale import neighbourhood_size
 
 #: Points that a round settles; points whose all-pairs distances the weighted radius takes at most.
 ROUND, MOST_PAIRED = 4096, 20_000
+#: Points of the sample that are sent to every task at once.
+SAMPLED = 20_000
 _CENTRES = "rank long, center_id long, center array<double>"
 
 
 def estimated_radii(points: DataFrame, scale: float, distance: str | dist.Distance = "l2", seed: int = 123) -> DataFrame:
     """points with r: scale / 2**j for the largest j such that a ball of that radius seems to hold 2**j points.
 
-    Each level counts over a shared sample of 2 n r / (scale log2 n) points, of the smallest hashes.
+    Each level counts over a shared sample of 2 n r / (scale log2 n) points, of the smallest hashes, all of
+    which are met, in blocks.
     """
     d = dist.get(distance)
     n = points.count()
     levels = max(1, log2_floor(n))
     sizes = [int(2 * (n / 2**j) / levels) for j in range(levels + 1)]
-    most = min(max(sizes), 20_000)
-    rows = points.select("v").orderBy(F.xxhash64(F.lit(seed), F.col("id")), "id").limit(most).collect()
-    sample = points.sparkSession.sparkContext.broadcast(np.array([r["v"] for r in rows]))
-    at = points.columns.index("v")
+    sample = points.select(F.xxhash64(F.lit(seed), F.col("id")).alias("h"), "id", "v")
+    counted = points.withColumn("_n", F.array_repeat(F.lit(0).cast("long"), levels))
+    start, last = 0, None
+    while start < sizes[1]:
+        rest = sample if last is None else sample.where((F.col("h") > last[0]) | ((F.col("h") == last[0]) & (F.col("id") > last[1])))
+        rows = rest.orderBy("h", "id").limit(min(SAMPLED, sizes[1] - start)).collect()
+        counted = _counted(counted, d, np.array([r["v"] for r in rows]), [s - start for s in sizes[1:]], scale)
+        start, last = start + len(rows), (rows[-1]["h"], rows[-1]["id"])
+    r = F.lit(float(scale))
+    for j in range(1, levels + 1):
+        r = F.when(F.col("_n")[j - 1] + 1 >= 2**j, scale / 2**j).otherwise(r)
+    return counted.withColumn("r", r).drop("_n")
+
+
+def _counted(points: DataFrame, d: dist.Distance, block: np.ndarray, sizes: list[int], scale: float) -> DataFrame:
+    """points with _n added to: for each level j from 1, how many of the first sizes[j - 1] of block lie within scale / 2**j."""
+    shared = points.sparkSession.sparkContext.broadcast(block)
+    at, own = points.columns.index("v"), points.columns.index("_n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(at).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            found = d.block(x, sample.value)
-            r = np.full(len(x), float(scale))
-            open_ = np.ones(len(x), bool)
-            for j in range(levels, 0, -1):
-                size = min(sizes[j], most)
-                count = 1 + (found[:, :size] <= scale / 2**j).sum(1) * (sizes[j] / size if size else 0)
-                hit = open_ & (count >= 2**j)
-                r[hit] = scale / 2**j
-                open_ &= ~hit
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(r)], names=[*batch.schema.names, "r"])
-
-    return points.mapInArrow(run, _with_radius(points))
-
-
-def _with_radius(points: DataFrame):
-    from pyspark.sql import types as T
-
-    return T.StructType([*points.schema.fields, T.StructField("r", T.DoubleType())])
+            x, n = (batch.column(k).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for k in (at, own))
+            found = d.block(x, shared.value)
+            more = [(found[:, : max(0, size)] <= scale / 2**j).sum(1) for j, size in enumerate(sizes, 1)]
+            n = n + np.stack(more, 1)
+            offsets = np.arange(0, n.size + 1, n.shape[1] or 1, dtype=np.int32)
+            columns = list(batch.columns)
+            columns[own] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(n.ravel()))
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return points.mapInArrow(run, points.schema)
 
 
 def weighted_radii(points: DataFrame, alfa: float, distance: str | dist.Distance = "l2") -> DataFrame:

@@ -193,6 +193,19 @@ def test_weighted_facilities(spark):
     assert abs(facility_location.weighted_facilities(df, 1.0, weighted=False).agg(F.sum("weight")).first()[0] - 11) < 1e-9
 
 
+def test_radii_count_over_the_whole_sample(spark, monkeypatch):
+    x = np.random.default_rng(8).normal(size=(200, 2))
+    df = frame(spark, [(k, v.tolist(), 1.0) for k, v in enumerate(x)])
+    order = [r.id for r in df.orderBy(F.xxhash64(F.lit(123), F.col("id")), "id").collect()]
+    monkeypatch.setattr(facility_location, "SAMPLED", 9)
+    found = {r.id: r.r for r in facility_location.estimated_radii(df, 4.0).collect()}
+    d = dist.get("l2").block(x, x[order])
+    for k in range(200):
+        hits = [j for j in range(1, 8) if 1 + (d[k, : int(2 * (200 / 2**j) / 7)] <= 4.0 / 2**j).sum() >= 2**j]
+        assert found[k] == 4.0 / 2 ** max(hits, default=0)
+    assert len(set(found.values())) > 1
+
+
 def test_choice_in_rounds(spark, monkeypatch):
     rng = np.random.default_rng(4)
     df = frame(spark, [(k, rng.uniform(0, 10, 2).tolist(), 1.0) for k in range(120)]).withColumn("r", F.lit(0.6))
