@@ -22,8 +22,11 @@ from pyspark.sql import types as T
 from .common import map_text, space_words, written
 from .components import connected_components
 
-#: Fingerprints in a packed row, and in a block at least; blocks grow instead of their number beyond MOST_BLOCKS.
-CHUNK, LEAST_BLOCK, MOST_BLOCKS = 4096, 16_384, 64
+#: Fingerprints in a packed row, and in a block; blocks of many fingerprints are larger, which halves what is sent,
+#: but only up to a size at which a cell takes seconds. From there on their number grows.
+CHUNK, LEAST_BLOCK, MOST_BLOCK, BLOCKS = 4096, 16_384, 49_152, 64
+#: Tasks that the cells are dealt to at most.
+MOST_TASKS = 20_000
 #: Shingles hashed before their bits are counted.
 COUNTED = 1 << 16
 
@@ -118,30 +121,37 @@ def link_fingerprints(distinct: DataFrame, radius: int) -> DataFrame:
     spark = distinct.sparkSession
     table = written(distinct.select("fp", "node"), "fingerprints")
     n = table.count()
-    size = max(LEAST_BLOCK, -(-n // MOST_BLOCKS))
+    size = min(MOST_BLOCK, max(LEAST_BLOCK, -(-n // BLOCKS)))
     # sizes of the population counts (65 rows) give each count its place in the order, and so its blocks
     counts = table.groupBy(F.bit_count("fp").cast("int").alias("bits")).count().orderBy("bits").collect()
-    parts = {r["bits"]: -(-r["count"] // size) for r in counts}
-    blocks = [(bits, k) for bits, m in parts.items() for k in range(m)]
-    number = {x: i for i, x in enumerate(blocks)}
-    if not blocks:
+    if not counts:
         return spark.createDataFrame([], "a long, b long")
-    sizes = F.create_map(*[F.lit(x) for pair in parts.items() for x in pair])
-    first = F.create_map(*[F.lit(x) for bits in parts for x in (bits, number[bits, 0])])
-    bits = F.bit_count("fp").cast("int")
-    dealt = table.withColumn("block", first[bits] + F.pmod(F.xxhash64("fp"), sizes[bits]).cast("int")).repartition(len(blocks), "block")
+    parts, first, total = {}, {}, 0
+    for r in counts:
+        parts[r["bits"]], first[r["bits"]] = -(-r["count"] // size), total
+        total += parts[r["bits"]]
+    # a block meets the blocks of population counts within the radius: their numbers are a range
+    near = {bits: [other for other in parts if abs(other - bits) <= radius] for bits in parts}
+    low = {bits: first[min(others)] for bits, others in near.items()}
+    high = {bits: first[max(others)] + parts[max(others)] - 1 for bits, others in near.items()}
+    cells = sum(parts[bits] * (high[bits] - low[bits] + 1) for bits in parts) // 2 + 1
+    by_bits = lambda numbers: F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair])[F.col("bits")]
+    bits = table.withColumn("bits", F.bit_count("fp").cast("int"))
+    dealt = bits.withColumn("block", by_bits(first) + F.pmod(F.xxhash64("fp"), by_bits(parts)).cast("int")).repartition(total, "block")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         held: dict[int, int] = {}
+        count: dict[int, int] = {}
 
         def rows(block: int):
             fp, node = (np.concatenate(x) for x in zip(*kept.pop(block), strict=True))
             held.pop(block)
-            return pa.record_batch({"block": pa.array([block], pa.int32()), "fps": pa.array([fp.tobytes()], pa.binary()), "nodes": pa.array([node.tobytes()], pa.binary())})
+            return pa.record_batch({"block": pa.array([block], pa.int32()), "bits": pa.array([count[block]], pa.int32()), "fps": pa.array([fp.tobytes()], pa.binary()), "nodes": pa.array([node.tobytes()], pa.binary())})
 
         for batch in batches:
-            fp, node, block = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            fp, node, block, bits = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            count.update(zip(block.tolist(), bits.tolist(), strict=True))
             for one in np.unique(block).tolist():
                 mine = block == one
                 kept.setdefault(one, []).append((fp[mine], node[mine]))
@@ -151,21 +161,12 @@ def link_fingerprints(distinct: DataFrame, radius: int) -> DataFrame:
         for one in list(kept):
             yield rows(one)
 
-    packed = dealt.select("fp", "node", "block").mapInArrow(pack, "block int, fps binary, nodes binary")
-    # the cells of each block: at most MOST_BLOCKS + 65 blocks, so a small literal map
-    cells: dict[int, list[int]] = {i: [] for i in range(len(blocks))}
-    for i, (p, _) in enumerate(blocks):
-        for j in range(i, len(blocks)):
-            if blocks[j][0] - p <= radius:
-                cell = i * len(blocks) + j
-                cells[i].append(cell)
-                if j != i:
-                    cells[j].append(cell)
-    goes = F.create_map(*[x for i, c in cells.items() for x in (F.lit(i), F.array(*map(F.lit, c)))])
-    m = len(blocks)
+    packed = dealt.select("fp", "node", "block", "bits").mapInArrow(pack, "block int, bits int, fps binary, nodes binary")
+    goes = packed.withColumn("other", F.explode(F.sequence(by_bits(low), by_bits(high))))
+    goes = goes.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fps", "nodes")
 
     def compare(key, frame):
-        i, j = divmod(int(key[0]), m)
+        i, j = int(key[0]), int(key[1])
         sides = []
         for block in dict.fromkeys((i, j)):
             own = frame[frame["block"] == block]
@@ -186,7 +187,8 @@ def link_fingerprints(distinct: DataFrame, radius: int) -> DataFrame:
 
         return pd.DataFrame({"a": nodes[linked], "b": nodes[forest.root[linked]]})
 
-    return packed.withColumn("cell", F.explode(goes[F.col("block")])).groupBy("cell").applyInPandas(compare, "a long, b long")
+    # dealt to so many tasks by number: merged by their bytes, a few tasks would get all the work
+    return goes.repartition(min(MOST_TASKS, cells), "i", "j").groupBy("i", "j").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, keep: list[str] | None = None) -> DataFrame:
@@ -196,7 +198,13 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     others, null if none of them has an id. Rows with equal fingerprints are one node, so exact copies are never
     expanded. Texts without words share the fingerprint zero.
     """
-    kept = list(dict.fromkeys([id, *(docs.columns if keep is None else keep)]))
+    prints, classes = _classes(docs, id=id, text=text, shingle=shingle, radius=radius, keep=docs.columns if keep is None else keep)
+    return prints.join(classes, "fp")
+
+
+def _classes(docs: DataFrame, *, id: str, text: str, shingle: int, radius: int, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(doc, fp and id of each row; fp, component and class of each distinct fingerprint)."""
+    kept = list(dict.fromkeys([id, *keep]))
     prints = written(fingerprints(docs, text=text, shingle=shingle, keep=kept).withColumn("id", F.col(f"doc.`{id}`").cast("long")), "simhash")
     # the node of a fingerprint is its own value, so that null and repeated ids can't join unlike texts
     distinct = prints.groupBy("fp").agg(F.min("id").alias("least"))
@@ -205,14 +213,19 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     parts = connected_components(links)
     named = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("least").alias("root"))
-    classes = named.join(least, "component").select("fp", F.col("root").alias("component"), F.col("component").alias("class"))
-    return prints.join(classes, "fp")
+    return prints, named.join(least, "component").select("fp", F.col("root").alias("component"), F.col("component").alias("class"))
 
 
 def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of docs without all but one of each class: the one of the smallest id (of repeated rows, one)."""
-    found = near_duplicates(docs, id=id, text=text, shingle=shingle, radius=radius)
-    chosen = Window.partitionBy("class").orderBy(F.col("id").asc_nulls_last(), "fp")
-    # rows that hold their class's smallest id; only repeated ids leave more than one
-    kept = found.where((F.col("id") == F.col("component")) | F.col("component").isNull())
+    """The rows of docs without all but one of each class: the one of the smallest id (of repeated rows, one).
+
+    A null id comes last; of rows of one id and fingerprint, the one whose text hashes lowest stays.
+    """
+    prints, classes = _classes(docs, id=id, text=text, shingle=shingle, radius=radius, keep=docs.columns)
+    # one narrow row for each class: what stays is known before any text is shuffled
+    narrow = prints.select("id", "fp").join(classes, "fp")
+    first = narrow.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("m"))
+    winners = written(first.select(F.col("m.id").alias("_id"), F.col("m.fp").alias("_fp")), "kept")
+    kept = prints.join(winners, F.col("id").eqNullSafe(F.col("_id")) & (F.col("fp") == F.col("_fp")), "left_semi")
+    chosen = Window.partitionBy("id", "fp").orderBy(F.xxhash64(F.col(f"doc.`{text}`").cast("string")))
     return kept.withColumn("_n", F.row_number().over(chosen)).where("_n = 1").select("doc.*")

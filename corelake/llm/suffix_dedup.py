@@ -10,7 +10,7 @@
 4. The covered bytes are merged for each document.
 
 No step gathers a group in one task: classes are combined before the shuffle, and a frequent passage is dealt
-out by the bytes around it.
+out by the bytes around it, ever more of them while too many pieces share them.
 """
 
 from __future__ import annotations
@@ -25,14 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text, written
+from .common import discard, map_text, written
 from .decontam import merge_spans
 from .induced import repeated
 
 #: Bytes of an anchor's string; texts are hashed in stretches of so many bytes, which bounds memory.
 GRAM, STRETCH = 40, 1 << 18
-#: Windows of a cut run at most: all of them share depth - GRID + 1 bytes, which deal it to a shard.
-GRID = 54
+#: Windows of a piece of a run at most: all of them share depth - GRID + 1 bytes, which deal it to a shard; and of the
+#: pieces into which those are cut that too many share.
+GRID, FINER = 54, (9, 1)
+#: Bytes of a shard, about; pieces of more than this share a core only where it is cut finer.
+SHARD_BYTES = 4 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -127,44 +130,59 @@ def _runs(docs: DataFrame, depth: int) -> DataFrame:
     return map_text(docs, make, T.StructType.fromDDL("runs array<struct<key: long, first: int, n: int, whole: long>>"), "text", ["row", "size"])
 
 
-def _cut_runs(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    """Cut runs with the bytes of their windows; core is a hash of the bytes that all of its windows share.
+def cuts(data: bytes, first: int, n: int, lead: int, depth: int, grid: int) -> Iterator[tuple[int, int, int, int]]:
+    """(first window, windows, lead, core) of the pieces of a run in data; lead is the distance to the anchor.
 
-    The grid of a cut is relative to the anchor, hence equal for equal windows: windows are numbered by the
-    distance of the anchor from their start.
+    A piece's windows start from grid*q to grid*q + grid - 1 before the anchor, so equal windows are cut alike, and
+    all windows of a piece hold the bytes from the last such start to depth after the first: core is their hash.
     """
-    digest = xxhash.xxh3_64_intdigest
+    at, last, anchor = first, first + n - 1, first + lead
+    while at <= last:
+        q = (anchor - at) // grid
+        end = min(last, anchor - grid * q)
+        core = data[anchor - grid * q : anchor - grid * q - grid + 1 + depth]
+        yield at, end - at + 1, anchor - at, xxhash.xxh3_64_intdigest(core, q) - (1 << 63)
+        at = end + 1
+
+
+_CUT = {"row": pa.int64(), "size": pa.int32(), "core": pa.int64(), "first": pa.int32(), "n": pa.int32(), "lead": pa.int32(), "open": pa.bool_(), "bytes": pa.binary()}
+_CUT_SCHEMA = "row long, size int, core long, first int, n int, lead int, open boolean, bytes binary"
+
+
+def _cut_runs(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+    """Pieces of the wanted runs with the bytes of their windows."""
     for batch in batches:
-        out = {k: [] for k in ("row", "size", "core", "first", "n", "open", "bytes")}
+        out = {k: [] for k in _CUT}
         for row, size, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             data = (text or "").encode("utf-8", "surrogatepass")
             for run in wanted:
-                first, last = run["first"], run["first"] + run["n"] - 1
-                part = np.frombuffer(data[first : last + depth], np.uint8)
-                h = gram_hashes(part)
-                m = depth - GRAM + 1
-                anchor = first + int(least_places(h, m)[0])
-                at = first
-                while at <= last:
-                    # windows whose anchor stands from GRID*q to GRID*q + GRID - 1 after their start: all hold
-                    # the bytes from the last such start to depth after the first
-                    q = (anchor - at) // GRID
-                    end = min(last, anchor - GRID * q)
-                    core = data[anchor - GRID * q : anchor - GRID * q - GRID + 1 + depth]
-                    out["core"].append(digest(core, q) - (1 << 63))
-                    for name, value in (("row", row), ("size", size), ("first", at), ("n", end - at + 1), ("open", run["open"]), ("bytes", data[at : end + depth])):
+                first, n = run["first"], run["n"]
+                h = gram_hashes(np.frombuffer(data[first : first + n - 1 + depth], np.uint8))
+                lead = int(least_places(h, depth - GRAM + 1)[0])
+                for at, m, lead, core in cuts(data, first, n, lead, depth, GRID):
+                    for name, value in zip(_CUT, (row, size, core, at, m, lead, run["open"], data[at : at + m - 1 + depth]), strict=True):
                         out[name].append(value)
-                    at = end + 1
-        yield pa.record_batch([pa.array(out["row"], pa.int64()), pa.array(out["size"], pa.int32()), pa.array(out["core"], pa.int64()), pa.array(out["first"], pa.int32()), pa.array(out["n"], pa.int32()), pa.array(out["open"], pa.bool_()), pa.array(out["bytes"], pa.binary())], names=list(out))
+        yield pa.record_batch([pa.array(v, t) for v, t in zip(out.values(), _CUT.values(), strict=True)], names=list(out))
+
+
+def _cut_finer(batches: Iterator[pa.RecordBatch], depth: int, grid: int) -> Iterator[pa.RecordBatch]:
+    """Pieces cut into shorter ones, which share more bytes."""
+    for batch in batches:
+        out = {k: [] for k in _CUT}
+        for row, size, _, first, n, lead, is_open, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for at, m, lead, core in cuts(data, 0, n, lead, depth, grid):
+                for name, value in zip(_CUT, (row, size, core, first + at, m, lead, is_open, data[at : at + m - 1 + depth]), strict=True):
+                    out[name].append(value)
+        yield pa.record_batch([pa.array(v, t) for v, t in zip(out.values(), _CUT.values(), strict=True)], names=list(out))
 
 
 def _sort_shards(batches: Iterator[pa.RecordBatch], depth: int, shard_bytes: int) -> Iterator[pa.RecordBatch]:
     """Spans of repeated windows of the open runs. Rows come in order of core; a shard is some whole cores."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        found = repeated([r[6] for r in rows], depth)
+        found = repeated([r[7] for r in rows], depth)
         out: list[tuple] = []
-        for (row, size, _, first, n, is_open, _), places in zip(rows, found, strict=True):
+        for (row, size, _, first, _, _, is_open, _), places in zip(rows, found, strict=True):
             if is_open and len(places):
                 gaps = np.flatnonzero(np.diff(places) > depth)
                 begins, ends = places[np.append(0, gaps + 1)], places[np.append(gaps, len(places) - 1)]
@@ -178,9 +196,9 @@ def _sort_shards(batches: Iterator[pa.RecordBatch], depth: int, shard_bytes: int
     for batch in batches:
         for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if core and r[2] != core[0][2]:
-                if len(core) > 1 and any(x[5] for x in core):
+                if len(core) > 1 and any(x[6] for x in core):
                     held += core
-                    weight += sum(len(x[6]) for x in core)
+                    weight += sum(len(x[7]) for x in core)
                 core = []
                 if weight >= shard_bytes:
                     yield solve(held)
@@ -191,50 +209,89 @@ def _sort_shards(batches: Iterator[pa.RecordBatch], depth: int, shard_bytes: int
         yield solve(held)
 
 
-def repeated_spans(docs: DataFrame, *, id: str = "doc_id", text: str = "text", depth: int = 200, shard_bytes: int = 4 << 20) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): docs with the columns row and size added in front of a struct doc; spans by row and size.
+_SPAN = "row long, size int, start int, stop int"
+
+
+def _settled(pieces: DataFrame, depth: int, shard_bytes: int, grids: tuple[int, ...], most: int) -> list[DataFrame]:
+    """Spans of the repeated windows of pieces: rows of _CUT, a written table.
 
-    row is a hash of id and text: repeated rows share it, and what they hold repeats anyway.
+    Pieces of one core go to one shard and are sorted there, unless more than most of them share it (a passage a little
+    shorter than depth, in very many texts). Those are cut by a finer grid; equal ones of the new pieces repeat as a
+    whole, and one of each class goes on where its new core has several classes. At grid 1 a core is a window.
+    """
+    hot = written(pieces.groupBy("core").agg(F.count("*").alias("c")).where(F.col("c") > most).select("core"), "hot") if grids else None
+    if hot is None or hot.isEmpty():
+        return [_sorted(pieces, depth, shard_bytes)]
+    out = [_sorted(pieces.join(hot, "core", "left_anti").select(*_CUT), depth, shard_bytes)]
+    dense = pieces.join(hot, "core", "left_semi").select(*_CUT)
+    finer = dense.mapInArrow(lambda b: _cut_finer(b, depth, grids[0]), _CUT_SCHEMA).withColumn("whole", F.xxhash64("bytes"))
+    finer = written(finer, "finer")
+    classes = finer.groupBy("core", "whole", "n").agg(F.count("*").alias("c"), F.bool_and("open").alias("open"), F.min(F.struct("row", "size", "first", "lead", "bytes")).alias("one"))
+    classes = written(classes, "finer-classes")
+    equal = finer.select("row", "size", "core", "whole", "n", "first").join(classes.where("c > 1").select("core", "whole", "n"), ["core", "whole", "n"])
+    out.append(equal.select("row", "size", F.col("first").alias("start"), (F.col("first") + F.col("n") + (depth - 1)).alias("stop")))
+    unlike = classes.groupBy("core").agg(F.count("*").alias("m")).where("m > 1").select("core")
+    left = classes.join(unlike, "core", "left_semi").select("one.row", "one.size", "core", "one.first", "n", "one.lead", (F.col("open") & (F.col("c") == 1)).alias("open"), "one.bytes")
+    if grids[0] > 1:
+        out += _settled(written(left.select(*_CUT), "pieces"), depth, shard_bytes, grids[1:], most)
+    return out
+
+
+def _sorted(pieces: DataFrame, depth: int, shard_bytes: int) -> DataFrame:
+    dealt = pieces.select(*_CUT).repartition("core").sortWithinPartitions("core")
+    return dealt.mapInArrow(lambda b: _sort_shards(b, depth, shard_bytes), _SPAN)
+
+
+def repeated_spans(docs: DataFrame, *, id: str = "doc_id", text: str = "text", depth: int = 200, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(rows, spans): row, size, text, absent (whether it was null) and a struct doc of the other columns; spans by row and size.
+
+    row is a hash of id and text: repeated rows share it, and what they hold repeats anyway. Tables that are no longer
+    read are deleted on the way.
     """
     if depth < GRID + GRAM:
         raise ValueError(f"depth is {GRID + GRAM} or more")
     string = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    doc = F.struct(*others, F.col(f"`{text}`").isNull().alias("_null"))
-    rows = docs.select(F.xxhash64(F.col(f"`{id}`"), string).alias("row"), F.octet_length(string).alias("size"), string.alias("text"), doc.alias("doc"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text] or [F.lit(None).cast("int").alias("_")]
+    doc = F.struct(*others)
+    rows = docs.select(F.xxhash64(F.col(f"`{id}`"), string).alias("row"), F.octet_length(string).alias("size"), string.alias("text"), F.col(f"`{text}`").isNull().alias("absent"), doc.alias("doc"))
     texts = rows.select("row", "size", "text").where(F.col("size") >= depth)
-    runs = written(_runs(texts, depth).select("doc.row", "doc.size", "runs"), "runs").select("row", "size", F.inline("runs"))
+    lists = written(_runs(texts, depth).select("doc.row", "doc.size", "runs"), "runs")
+    runs = lists.select("row", "size", F.inline("runs"))
     # keys are a table of their own, so that the join's hot keys can be split
     keys = written(runs.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "keys")
     again = written(runs.join(keys, "key"), "again")
+    discard(lists, keys)
     classes = again.groupBy("key", "whole", "n").agg(F.count("*").alias("c"), F.min(F.struct("row", "size", "first")).alias("one"))
     classes = written(classes, "classes")
-    unlike = classes.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     equal = again.join(classes.where("c > 1").select("key", "whole", "n"), ["key", "whole", "n"])
-    equal = equal.select("row", "size", F.col("first").alias("start"), (F.col("first") + F.col("n") + (depth - 1)).alias("stop"))
+    equal = written(equal.select("row", "size", F.col("first").alias("start"), (F.col("first") + F.col("n") + (depth - 1)).alias("stop")), "equal")
+    discard(again)
+    unlike = classes.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     wanted = classes.join(unlike, "key", "left_semi").groupBy(F.col("one.row").alias("row"), F.col("one.size").alias("size")).agg(F.collect_list(F.struct(F.col("one.first").alias("first"), "n", (F.col("c") == 1).alias("open"))).alias("wanted"))
     cut = texts.join(wanted, ["row", "size"]).select("row", "size", "text", "wanted")
-    cut = cut.mapInArrow(lambda b: _cut_runs(b, depth), "row long, size int, core long, first int, n int, open boolean, bytes binary")
-    sorted_in = cut.repartition("core").sortWithinPartitions("core")
-    sorted_out = sorted_in.mapInArrow(lambda b: _sort_shards(b, depth, shard_bytes), "row long, size int, start int, stop int")
-    spans = equal.unionByName(sorted_out).groupBy("row", "size").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return rows, spans
+    pieces = written(cut.mapInArrow(lambda b: _cut_runs(b, depth), _CUT_SCHEMA), "pieces")
+    discard(classes)
+    found = equal
+    for spans in _settled(pieces, depth, shard_bytes, FINER, shard_bytes // (depth + GRID)):
+        found = found.unionByName(spans)
+    return rows, written(found.groupBy("row", "size").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
 
 
-def dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", depth: int = 200, texts_out: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", depth: int = 200, texts_out: bool = True, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row for each row of docs: doc (without the text), n_bytes, removed (spans of bytes), kept, kept_sha256.
 
     Spans are judged on the input; texts are UTF-8, a null text is empty, texts below depth bytes stay whole.
     Of repeated rows and copies each loses its repeats, the first one too. kept is the text that is left, without
-    what a cut leaves of a character, and null where texts_out is false; kept_sha256 is of all bytes left.
+    what a cut leaves of a character, null for a null text, and null where texts_out is false; kept_sha256 is of
+    all bytes left.
     """
-    rows, spans = repeated_spans(docs, id=id, text=text, depth=depth)
-    joined = rows.join(spans, ["row", "size"], "left").select("doc", "text", "spans")
+    rows, spans = repeated_spans(docs, id=id, text=text, depth=depth, shard_bytes=shard_bytes)
+    joined = rows.join(spans, ["row", "size"], "left").select("doc", "text", "absent", "spans")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = {"n_bytes": [], "removed": [], "kept": [], "kept_sha256": []}
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, absent, found in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 merged = merge_spans([(s["start"], s["stop"]) for s in found or ()])
                 left, at = [], 0
@@ -244,7 +301,7 @@ def dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", depth: int
                 left = b"".join([*left, data[at:]])
                 out["n_bytes"].append(len(data))
                 out["removed"].append([{"start": a, "stop": b} for a, b in merged])
-                out["kept"].append(left.decode("utf-8", "ignore") if texts_out else None)
+                out["kept"].append(left.decode("utf-8", "ignore") if texts_out and not absent else None)
                 out["kept_sha256"].append(hashlib.sha256(left).hexdigest())
             spans_type = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
             types = (pa.int64(), spans_type, pa.string(), pa.string())
@@ -257,5 +314,4 @@ def dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", depth: int
 def cut(docs: DataFrame, *, id: str = "doc_id", text: str = "text", depth: int = 200) -> DataFrame:
     """docs with the repeats cut from the texts. A null text stays null."""
     found = dedup(docs, id=id, text=text, depth=depth)
-    left = F.when(~F.col("doc._null"), F.col("kept"))
-    return found.select(*[left.alias(c) if c == text else F.col(f"doc.`{c}`") for c in docs.columns])
+    return found.select(*[F.col("kept").alias(c) if c == text else F.col(f"doc.`{c}`") for c in docs.columns])

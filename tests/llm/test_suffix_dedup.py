@@ -26,14 +26,14 @@ def plain(texts, depth):
     return out
 
 
-def found(df, depth):
-    return [(r.doc.doc_id, r.n_bytes, sum(s.stop - s.start for s in r.removed), len(r.removed), r.kept_sha256) for r in dedup(df, depth=depth).collect()]
+def found(df, depth, **more):
+    return [(r.doc.doc_id, r.n_bytes, sum(s.stop - s.start for s in r.removed), len(r.removed), r.kept_sha256) for r in dedup(df, depth=depth, **more).collect()]
 
 
-def compare(df, depth=200):
+def compare(df, depth=200, **more):
     rows = df.collect()
     want = [(r.doc_id, *p) for r, p in zip(rows, plain([r.text for r in rows], depth), strict=True)]
-    assert sorted(found(df, depth), key=str) == sorted(want, key=str)
+    assert sorted(found(df, depth, **more), key=str) == sorted(want, key=str)
 
 
 def test_whole_table(small):
@@ -60,6 +60,17 @@ def test_passages_with_other_surroundings(spark):
     compare(df, 120)
 
 
+def test_pieces_that_many_texts_share(spark):
+    """Passages a little shorter or longer than the depth, with few kinds of surroundings: all three grids decide."""
+    rng = np.random.default_rng(1)
+    word = lambda n: "".join(rng.choice(list("ab"), n))
+    passages = [word(n) for n in (150, 188, 193, 198, 205)]
+    texts = [word(int(rng.integers(0, 9))) + passages[k % 5] + word(int(rng.integers(0, 9))) for k in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    compare(df, shard_bytes=1000)
+    compare(df, 140, shard_bytes=500)
+
+
 def test_stretches_and_spills(spark, small, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "STRETCH", 500)
     texts = [(r.text or "").encode() for r in small.collect()][:60] + [b"long " * 900]
