@@ -12,7 +12,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from .plans.cluster import ClusterModel
-from .sources.points import read_points, validate_points, write_csv
+from .sources.points import ELEMENTS, read_points, validate_points, write_csv
 
 
 def parser() -> argparse.ArgumentParser:
@@ -22,6 +22,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--id", default="id")
     p.add_argument("--vector", default="v")
     p.add_argument("--weight")
+    p.add_argument("--type", default="f64", choices=tuple(ELEMENTS), help="components that don't fit it are refused")
     p.add_argument("--distance", default="l2", choices=("l1", "l2", "cosine", "hamming"))
     p.add_argument("--clusters", "-c", type=int, default=0)
     p.add_argument("--fraction", "-f", type=float, default=0.11)
@@ -34,7 +35,7 @@ def parser() -> argparse.ArgumentParser:
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> None:
     a = parser().parse_args(args)
     spark = spark or SparkSession.builder.appName("corelake").getOrCreate()
-    points = validate_points(read_points(spark, a.input, id=a.id, vector=a.vector, weight=a.weight)).persist()
+    points = validate_points(read_points(spark, a.input, id=a.id, vector=a.vector, weight=a.weight), a.type)
     model = ClusterModel(a.clusters or 10, a.fraction, a.beta, a.gamma, a.iterations, a.distance)
     if a.clusters:
         model.write(model.transform(points, model.fit(points)), a.output)

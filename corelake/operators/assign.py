@@ -1,8 +1,8 @@
 """Facilities: nearest centres, radius matches, sums by facility, label entropies.
 
-Centres are a table of rank (int), center_id and center. They are sent to every task where their number is within
-MOST_CENTRES (checked); beyond that they are met in blocks, and the least (distance, rank) is kept.
-Ties go to the lowest rank.
+Centres are a table of rank (int), center_id and center. They are sent to every task where their values are within
+MOST_VALUES (checked); beyond that they are met in blocks, and the least (distance, rank) is kept.
+Ties go to the lowest rank. Points without a nearest centre (see nearest) count for no facility.
 """
 
 from __future__ import annotations
@@ -11,82 +11,86 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import distance as dist
+from ..functions.vectors import matrix
+from .scale import quantiles as value_quantiles
 
 #: Values (centres times dimensions) that are sent to every task at most.
 MOST_VALUES = 4_000_000
 
 
-def _centre_arrays(centres: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
-    n, width = centres.agg(F.count("*"), F.max(F.size("center"))).first()
-    if n == 0:
-        raise ValueError("there are no centres")
-    return None if n * width > MOST_VALUES else _collected(centres)
-
-
 def _collected(centres: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     rows = centres.select("rank", "center").orderBy("rank").collect()
     return np.array([r["rank"] for r in rows], np.int64), np.array([r["center"] for r in rows], np.float64)
 
 
 def nearest(points: DataFrame, centres: DataFrame, distance: str | dist.Distance = "l2", *, native: bool = False) -> DataFrame:
-    """points with rank and dist of the nearest centre added.
+    """points with rank and dist of the nearest centre; columns of these names are replaced.
 
-    native: by array functions of the JVM alone; else by numpy on Arrow batches, several times faster.
+    A vector that is null, of another length than the centres, or without a distance to any of them (a null or NaN
+    component) gets null for both. native: by array functions of the JVM alone, if the centres are within MOST_VALUES;
+    else by numpy on Arrow batches, several times faster.
     """
     d = dist.get(distance)
-    held = _centre_arrays(centres)
-    if held is None:
-        return _nearest_blocks(points, centres, d)
-    return _nearest_held(points, centres, d, held, native)
+    n, width, least = centres.agg(F.count("*"), F.max(F.size("center")), F.min(F.size("center"))).first()
+    if n == 0:
+        raise ValueError("there are no centres")
+    if width != least:
+        raise ValueError("the centres differ in length")
+    kept = [c for c in points.columns if c not in ("rank", "dist")]
+    blocks = -(-n * width // MOST_VALUES)
+    if native and blocks == 1:
+        return _nearest_native(points, centres, d, kept, width)
+    # the columns travel in one struct, so that no name of the caller can clash
+    others = F.struct(*[F.col(f"`{c}`") for c in kept if c != "v"] or [F.lit(None).cast("int").alias("_")])
+    rows = points.select(others.alias("p"), F.col("v").cast("array<double>").alias("v"), F.lit(None).cast("long").alias("rank"), F.lit(None).cast("double").alias("dist"))
+    for k in range(blocks):  # a hash deals about MOST_VALUES values to each
+        held = _collected(centres if blocks == 1 else centres.where(F.pmod(F.xxhash64("rank"), F.lit(blocks)) == k))
+        if len(held[0]):
+            rows = _met(rows, d, held)
+    return rows.select(*[F.col("v").cast(points.schema["v"].dataType).alias("v") if c == "v" else F.col(f"p.`{c}`") for c in kept], "rank", "dist")
+
 
+def _nearest_native(points: DataFrame, centres: DataFrame, d: dist.Distance, kept: list[str], width: int) -> DataFrame:
+    packed = centres.agg(F.sort_array(F.collect_list(F.struct("rank", "center"))).alias("c"))  # one row, its size is checked
+    rows = points.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("p"), F.when(F.size("v") == width, F.col("v")).alias("v"))
+    found = F.transform("c", lambda c: F.struct(d.expr(F.col("v"), c["center"]).alias("dist"), c["rank"].cast("long").alias("rank")))
+    best = F.array_min(F.filter(found, lambda x: x["dist"].isNotNull() & ~F.isnan(x["dist"])))
+    rows = rows.crossJoin(F.broadcast(packed)).select("p", best.alias("best"))
+    return rows.select(*[F.col(f"p.`{c}`") for c in kept], F.col("best.rank").alias("rank"), F.col("best.dist").alias("dist"))
 
-def _nearest_held(points: DataFrame, centres: DataFrame, d: dist.Distance, held: tuple[np.ndarray, np.ndarray], native: bool) -> DataFrame:
-    if native:
-        packed = centres.agg(F.sort_array(F.collect_list(F.struct("rank", "center"))).alias("_c"))  # one row, its size is checked
-        best = F.array_min(F.transform("_c", lambda c: F.struct(d.expr(F.col("v"), c["center"]).alias("dist"), c["rank"].cast("long").alias("rank"))))
-        return points.crossJoin(F.broadcast(packed)).withColumn("_b", best).select(*points.columns, F.col("_b.rank").alias("rank"), F.col("_b.dist").alias("dist"))
-    ranks, vectors = held
-    shared = points.sparkSession.sparkContext.broadcast((ranks, vectors))
-    at = points.columns.index("v")
+
+def _met(rows: DataFrame, d: dist.Distance, held: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """rows (p, v, rank, dist) with the least (dist, rank) of those so far and of the held centres, in order of rank."""
+    shared = rows.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, vectors = shared.value
         for batch in batches:
-            x = batch.column(at).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            found = d.block(x, vectors) if batch.num_rows else np.zeros((0, len(vectors)))
-            best = found.argmin(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ranks[best]), pa.array(found[np.arange(len(best)), best])], names=[*batch.schema.names, "rank", "dist"])
-
-    schema = T.StructType([*points.schema.fields, T.StructField("rank", T.LongType()), T.StructField("dist", T.DoubleType())])
-    return points.mapInArrow(run, schema)
-
-
-def _nearest_blocks(points: DataFrame, centres: DataFrame, d: dist.Distance) -> DataFrame:
-    """The least (distance, rank) over blocks of centres that are sent one after another."""
-    best = points.withColumns({"rank": F.lit(None).cast("long"), "dist": F.lit(None).cast("double")})
-    width = centres.select(F.max(F.size("center"))).first()[0]
-    n = centres.count()
-    blocks = -(-n * width // MOST_VALUES)
-    for k in range(blocks):  # a hash deals about MOST_VALUES values to each
-        part = _collected(centres.where(F.pmod(F.xxhash64("rank"), F.lit(blocks)) == k))
-        if not len(part[0]):
-            continue
-        old = best.withColumnsRenamed({"rank": "_r", "dist": "_d"})
-        both = _nearest_held(old, centres, d, part, False)
-        better = F.col("_d").isNull() | (F.col("dist") < F.col("_d")) | ((F.col("dist") == F.col("_d")) & (F.col("rank") < F.col("_r")))
-        best = both.select(*points.columns, F.when(better, F.col("rank")).otherwise(F.col("_r")).alias("rank"), F.when(better, F.col("dist")).otherwise(F.col("_d")).alias("dist"))
-    return best
+            x, at = matrix(batch.column(1), vectors.shape[1])
+            rank = pc.fill_null(batch.column(2), np.iinfo(np.int64).max).to_numpy().copy()
+            least = pc.fill_null(batch.column(3), float("inf")).to_numpy().copy()
+            if len(x):
+                found = d.block(x, vectors)
+                found = np.where(np.isnan(found), np.inf, found)
+                best = found.argmin(1)
+                new, own = found[np.arange(len(best)), best], ranks[best]
+                better = (new < least[at]) | ((new == least[at]) & (own < rank[at]))
+                rank[at], least[at] = np.where(better, own, rank[at]), np.where(better, new, least[at])
+            none = np.isinf(least)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rank, mask=none), pa.array(least, mask=none)], names=["p", "v", "rank", "dist"])
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def within(points: DataFrame, centres: DataFrame, radius: float, distance: str | dist.Distance = "l2") -> DataFrame:
     """points with matched added: whether some centre lies at most radius away."""
     found = nearest(points, centres, distance)
-    return found.withColumn("matched", F.col("dist") <= radius).drop("rank", "dist")
+    return found.withColumn("matched", F.coalesce(F.col("dist") <= radius, F.lit(False))).drop("rank", "dist")
 
 
 def dispatch(points: DataFrame, centres: DataFrame, distance: str | dist.Distance = "l2", *, native: bool = False) -> DataFrame:
@@ -103,12 +107,12 @@ def totals(facilities: DataFrame) -> DataFrame:
 
 def label_histogram(points: DataFrame, centres: DataFrame, label: str, distance: str | dist.Distance = "l2") -> DataFrame:
     """rank, label and n: points of each label at each facility."""
-    return nearest(points, centres, distance).groupBy("rank", F.col(label).alias("label")).agg(F.count("*").alias("n"))
+    return nearest(points, centres, distance).where("rank is not null").groupBy("rank", F.col(label).alias("label")).agg(F.count("*").alias("n"))
 
 
 def dispatch_labels(points: DataFrame, centres: DataFrame, label: str, distance: str | dist.Distance = "l2") -> DataFrame:
     """rank, weight, cost, n and entropy (natural logarithm, of the unweighted label counts) of each facility with points."""
-    found = nearest(points, centres, distance)
+    found = nearest(points, centres, distance).where("rank is not null")
     by_label = found.groupBy("rank", label).agg(F.count("*").alias("c"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("dist")).alias("cost"))
     n = F.sum("c")
     entropy = F.greatest(F.lit(0.0), F.log(n) - F.sum(F.col("c") * F.log("c")) / n)
@@ -125,13 +129,30 @@ def weighted_data(facilities: DataFrame) -> DataFrame:
     return facilities.select(F.col("center_id").cast("long").alias("id"), F.col("center").alias("v"), F.col("weight").alias("w"))
 
 
+def facility(facilities: DataFrame, rank: int) -> DataFrame:
+    """The facility of a rank: its row, or none."""
+    return facilities.where(F.col("rank") == rank)
+
+
+def insert_facility(centres: DataFrame, id: int, vector: list[float]) -> DataFrame:
+    """centres with one more of the next free rank."""
+    top = centres.agg(F.coalesce(F.max("rank") + 1, F.lit(0)).cast("long").alias("rank"))
+    new = top.select("rank", F.lit(id).cast("long").alias("center_id"), F.array(*map(F.lit, map(float, vector))).alias("center"))
+    return centres.select(F.col("rank").cast("long").alias("rank"), F.col("center_id").cast("long").alias("center_id"), F.col("center").cast("array<double>").alias("center")).unionByName(new)
+
+
+def mean_costs(facilities: DataFrame) -> DataFrame:
+    """rank, weight, cost and mean (cost by weight, null without weight) of each facility: what a log of them shows."""
+    return facilities.select("rank", "weight", "cost", F.when(F.col("weight") > 0, F.col("cost") / F.col("weight")).alias("mean"))
+
+
 def cross_distances(centres: DataFrame, distance: str | dist.Distance = "l2", quantiles: tuple[float, ...] = (0.01, 0.05, 0.1, 0.5, 0.75)) -> DataFrame:
     """q and dist: quantiles of the distances between different centres; no rows if there are fewer than two.
 
-    All pairs of centres: for the bounded sets that summaries and facility location give.
+    Each pair is met once: for sets as summaries and facility location give, whose squares are bearable.
     """
     d = dist.get(distance)
     a, b = centres.select(F.col("rank").alias("i"), F.col("center").alias("a")), centres.select(F.col("rank").alias("j"), F.col("center").alias("b"))
-    pairs = a.join(b, F.col("i") != F.col("j")).select(d.expr(F.col("a"), F.col("b")).alias("d"))
-    found = pairs.agg(F.percentile("d", F.array(*map(F.lit, quantiles))).alias("x")).where("x is not null")
-    return found.select(F.explode(F.arrays_zip(F.array(*map(F.lit, quantiles)).alias("q"), "x")).alias("z")).select(F.col("z.q").alias("q"), F.col("z.x").alias("dist"))
+    pairs = a.join(b, F.col("i") < F.col("j")).select(d.expr(F.col("a"), F.col("b")).alias("d"))
+    both = pairs.unionByName(pairs)  # either way round, as the quantiles are of ordered pairs
+    return value_quantiles(both, "d", quantiles).withColumnRenamed("value", "dist")

@@ -4,7 +4,7 @@ A point opens a facility with a probability that grows with its distance from th
 that one. When the facilities or their cost exceed the bounds of the phase, the next phase starts with looser
 bounds from the facilities themselves. The rule is sequential, so points are dealt to shards by a hash of their
 id, each shard runs the rule over its points in order of id, and the shards' facilities (weighted, and bounded in
-number) run through it once more. Chances come from hashes of (seed, phase, id): a repeated task, or another
+number) run through it once more, GROUP shards at a time until one is left. Chances come from hashes of (seed, phase, id): a repeated task, or another
 layout of the partitions, opens the same facilities for a given number of shards. The approximation constant
 grows with the second level; with one shard there is none.
 """
@@ -12,7 +12,7 @@ grows with the second level; with one shard there is none.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,7 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import distance as dist
+from ..functions.vectors import all_rows
 
+#: Points of a shard on average where the number of shards is not given, and shards that are merged in one task.
+SHARD, GROUP = 25_000, 64
 FACILITY = "rank long, center_id long, center array<double>, weight double, cost double"
 _MASK = (1 << 64) - 1
 
@@ -136,26 +139,80 @@ def facility_bound(k: int, n: int, gamma: float) -> int:
     return int((gamma - 1) * (1 + log2_floor(n)) * clamped_k(k, n))
 
 
-def fit(points: DataFrame, k: int, *, beta: float = 2.0, gamma: float = 2.0, distance: str | dist.Distance = "l2", shards: int = 8, contraction: bool = False, seed: int = 1454691) -> DataFrame:
+STATE = "shard int, phase long, inserted long, li double, most_cost double, total_cost double, weight double, bound long"
+
+
+def shards_for(n: int) -> int:
+    """Shards of SHARD points on average, 8 at least."""
+    return max(8, -(-n // SHARD))
+
+
+def fit(points: DataFrame, k: int, *, beta: float = 2.0, gamma: float = 2.0, distance: str | dist.Distance = "l2", shards: int | None = None, contraction: bool = False, seed: int = 1454691) -> DataFrame:
     """Facilities (rank, center_id, center, weight, cost) of points (id, v, w); weights add up to the points'.
 
-    Costs lack what earlier phases paid: dispatch the points to the facilities for exact ones.
+    Costs lack what earlier phases paid: dispatch the points to the facilities for exact ones. shards is shards_for()
+    the number of points if it isn't given. A null or ragged vector raises.
     """
     d = dist.get(distance)
-    dealt = points.select("id", "v", "w").withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    shards, found = _by_shard(points, k, beta, gamma, d, shards, seed, False)
+    while shards > 1 or contraction:  # at most GROUP * bound rows meet in a task
+        left = -(-shards // GROUP)
+        last = left == 1
+        rule = _merging(left, lambda n: State(k, n, beta, gamma, d, seed), last and contraction and shards > 1)
+        found = found.groupBy(F.pmod("shard", F.lit(left))).applyInPandas(rule, f"shard int, {FACILITY}")
+        if last:
+            break
+        shards = left
+    return found.drop("shard")
+
+
+def _merging(left: int, make: Callable[[int], State], contract: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The rule over the facilities of a group of shards; the group's number among those left is its shard."""
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        shard = int(pdf["shard"].iloc[0]) % left
+        pdf = pdf.sort_values("center_id", kind="stable")
+        state = make(len(pdf))
+        state.process((int(i), np.array(v), float(w)) for i, v, w in zip(pdf["center_id"], pdf["center"], pdf["weight"], strict=True))
+        if contract:
+            state = state.contracted()
+        return pd.DataFrame([(shard, *r) for r in state.facilities()], columns=["shard", "rank", "center_id", "center", "weight", "cost"])
+
+    return merge
+
+
+def states(points: DataFrame, k: int, *, beta: float = 2.0, gamma: float = 2.0, distance: str | dist.Distance = "l2", shards: int | None = None, seed: int = 1454691) -> DataFrame:
+    """The bounds that each shard of fit() ended with: phase, insertions (with those of facilities that went in again),
+    the facility cost li, the most cost of the phase, the cost and weight so far, and the bound of facilities."""
+    return _by_shard(points, k, beta, gamma, dist.get(distance), shards, seed, True)[1]
+
+
+def _by_shard(points: DataFrame, k: int, beta: float, gamma: float, d: dist.Distance, shards: int | None, seed: int, bounds: bool) -> tuple[int, DataFrame]:
+    """The number of shards; the facilities (or the bounds) of each."""
+    if shards is None:
+        shards = shards_for(points.count())
+    dealt = points.select("id", F.col("v").cast("array<double>").alias("v"), "w").withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
     sizes = {r["shard"]: r["count"] for r in dealt.groupBy("shard").count().collect()}  # one number for each shard
+    schema = STATE if bounds else f"shard int, {FACILITY}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, state = None, None
 
         def done():
-            if state is not None:
-                rows = state.facilities()
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.float64()), strict=True)], names=["rank", "center_id", "center", "weight", "cost"])
+            if state is None:
+                return
+            if bounds:
+                one = (int(shard), state.phase, state.inserted, state.li, state.most_cost, state.total_cost, state.weight, state.bound)
+                types = (pa.int32(), pa.int64(), pa.int64(), *[pa.float64()] * 4, pa.int64())
+                yield pa.record_batch([pa.array([x], t) for x, t in zip(one, types, strict=True)], names=["shard", "phase", "inserted", "li", "most_cost", "total_cost", "weight", "bound"])
+                return
+            rows = [(int(shard), *r) for r in state.facilities()]
+            types = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.float64())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["shard", "rank", "center_id", "center", "weight", "cost"])
 
         for batch in batches:
             own = batch.column(3).to_numpy()
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            x = all_rows(batch.column(1))
             ids, w = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
             for a, b in zip(cuts, cuts[1:], strict=False):
@@ -168,23 +225,4 @@ def fit(points: DataFrame, k: int, *, beta: float = 2.0, gamma: float = 2.0, dis
                 state.process((ids[j], x[j], w[j]) for j in range(a, b))
         yield from done()
 
-    found = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "id").mapInArrow(run, FACILITY)
-    if shards == 1 and not contraction:
-        return found
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("center_id", kind="stable")
-        rows = [(int(i), np.array(v), float(w)) for i, v, w in zip(pdf["center_id"], pdf["center"], pdf["weight"], strict=True)]
-        n = len(rows)
-        if shards > 1:
-            state = State(k, n, beta, gamma, d, seed)
-            state.process(rows)
-            if contraction:
-                state = state.contracted()
-        else:
-            state = State(k, n, beta, gamma, d, seed)
-            state.process(rows)
-        return pd.DataFrame(state.facilities(), columns=["rank", "center_id", "center", "weight", "cost"])
-
-    # at most shards * bound rows
-    return found.groupBy(F.lit(0).alias("_")).applyInPandas(merge, FACILITY)
+    return shards, dealt.repartition(shards, "shard").sortWithinPartitions("shard", "id").mapInArrow(run, schema)

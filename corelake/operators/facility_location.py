@@ -1,8 +1,9 @@
 """Facility location by ball radii: a point opens a facility unless one lies within twice its radius.
 
-Radii are found for all points in parallel. The choice takes points by growing radius; it runs in rounds: the
-points of the smallest radii are settled on the driver, a bounded number of them, then all points that the new
-facilities cover are dropped in parallel.
+Radii are found for all points in parallel; points that all others have to meet are sent to every task in blocks.
+The choice takes points by growing radius; it runs in rounds: the points of the smallest radii are settled on the
+driver, a bounded number of them, then all points that the new facilities cover are dropped in parallel, and what
+is left is written. Points are validated (see sources.points): a null or ragged vector raises.
 """
 
 from __future__ import annotations
@@ -15,14 +16,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import distance as dist
+from ..functions.vectors import all_rows, lists, stacked
+from ..sources.scratch import discard, written
 from .assign import dispatch
 from .bicriteria import log2_floor
 from .scale import neighbourhood_size
 
-#: Points that a round settles; points whose all-pairs distances the weighted radius takes at most.
-ROUND, MOST_PAIRED = 4096, 20_000
-#: Points of the sample that are sent to every task at once.
-SAMPLED = 20_000
+#: Points that a round settles; points that are sent to every task at once, and blocks that one job meets.
+ROUND, SAMPLED, TOGETHER = 4096, 20_000, 16
 _CENTRES = "rank long, center_id long, center array<double>"
 
 
@@ -42,7 +43,7 @@ def estimated_radii(points: DataFrame, scale: float, distance: str | dist.Distan
     while start < sizes[1]:
         rest = sample if last is None else sample.where((F.col("h") > last[0]) | ((F.col("h") == last[0]) & (F.col("id") > last[1])))
         rows = rest.orderBy("h", "id").limit(min(SAMPLED, sizes[1] - start)).collect()
-        counted = _counted(counted, d, np.array([r["v"] for r in rows]), [s - start for s in sizes[1:]], scale)
+        counted = _counted(counted, d, stacked([r["v"] for r in rows]), [s - start for s in sizes[1:]], scale)
         start, last = start + len(rows), (rows[-1]["h"], rows[-1]["id"])
     r = F.lit(float(scale))
     for j in range(1, levels + 1):
@@ -57,69 +58,143 @@ def _counted(points: DataFrame, d: dist.Distance, block: np.ndarray, sizes: list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, n = (batch.column(k).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for k in (at, own))
+            if not batch.num_rows:
+                continue
+            x, n = all_rows(batch.column(at)), batch.column(own).flatten().to_numpy().reshape(batch.num_rows, -1)
             found = d.block(x, shared.value)
             more = [(found[:, : max(0, size)] <= scale / 2**j).sum(1) for j, size in enumerate(sizes, 1)]
             n = n + np.stack(more, 1)
-            offsets = np.arange(0, n.size + 1, n.shape[1] or 1, dtype=np.int32)
             columns = list(batch.columns)
-            columns[own] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(n.ravel()))
+            columns[own] = lists(n)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     return points.mapInArrow(run, points.schema)
 
 
+def _blocks(points: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Vectors and weights of all points, SAMPLED at a time in order of id."""
+    last = None
+    while rows := (points if last is None else points.where(F.col("id") > last)).orderBy("id").limit(SAMPLED).collect():
+        yield stacked([r["v"] for r in rows]), np.array([r["w"] for r in rows])
+        last = rows[-1]["id"]
+
+
+def _met(points: DataFrame, state: DataFrame, d: dist.Distance, update) -> DataFrame:
+    """state (id, v, s: array of numbers) after update(s, distances, weights) for each block of points, on Arrow batches."""
+    held = None
+    for k, block in enumerate(_blocks(points), 1):
+        shared = state.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            vectors, weights = shared.value
+            for batch in batches:
+                if batch.num_rows:
+                    s = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
+                    s = update(s, d.block(all_rows(batch.column(1), vectors.shape[1]), vectors), weights)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(s)], names=["id", "v", "s"])
+
+        state = state.mapInArrow(run, state.schema)
+        if k % TOGETHER == 0:  # so that a job holds so many blocks at most
+            old, state = held, written(state, "radii")
+            held = state
+            if old is not None:
+                discard(old)
+    return state
+
+
 def weighted_radii(points: DataFrame, alfa: float, distance: str | dist.Distance = "l2") -> DataFrame:
     """id, v, w and r: the r at which a point's ball is worth alfa times that of its log2 n nearest.
 
-    The worth of a ball is sum of w (r - d) over the points d away, d <= r. All pairs are met: for at most
-    MOST_PAIRED points, such as facilities or a summary.
+    The worth of a ball is sum of w (r - d) over the points d away, d <= r: a convex function of r. The nearest ones
+    come from one pass in which each point meets all others, in blocks. If alfa is at most 1 they hold r as well; else
+    Newton's steps follow, each a pass, until no r changes. Ids are distinct.
     """
     d = dist.get(distance)
-    n = points.limit(MOST_PAIRED + 1).count()
-    if n > MOST_PAIRED:
-        raise ValueError(f"weighted radii take at most {MOST_PAIRED} points")
-    a = points.select("id", "v")
-    b = points.select(F.col("id").alias("j"), F.col("v").alias("b"), "w")
-    pairs = a.join(b).select("id", "j", "w", d.expr(F.col("v"), F.col("b")).alias("d"))
-    order = Window.partitionBy("id").orderBy("d", "j")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    pairs = pairs.select("id", "d", F.row_number().over(order).alias("n"), F.sum("w").over(upto).alias("sw"), F.sum(F.col("w") * F.col("d")).over(upto).alias("swd"))
-    pairs = pairs.withColumn("value", F.col("d") * F.col("sw") - F.col("swd"))
-    place = min(n, max(1, log2_floor(n)) + 1)
-    target = pairs.groupBy("id").agg((alfa * F.max(F.when(F.col("n") == place, F.col("value")))).alias("target"))
-    # the last place whose value is within the target; its sums give the radius, also beyond the last point
-    last = pairs.join(target, "id").where(F.col("value") <= F.col("target")).groupBy("id").agg(F.max(F.struct("n", "sw", "swd", "target")).alias("m"))
-    r = F.when(F.col("m.sw") > 0, (F.col("m.target") + F.col("m.swd")) / F.col("m.sw")).otherwise(0.0)
-    return points.join(last.select("id", r.alias("r")), "id")
+    points = written(points.select("id", "v", "w"), "points")
+    n = points.count()
+    place = min(n, max(1, log2_floor(max(1, n))) + 1)
+
+    def nearest_of(s: np.ndarray, found: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        # s: distances, then weights, of the place nearest so far
+        far = np.concatenate([s[:, :place], found], 1)
+        heavy = np.concatenate([s[:, place:], np.broadcast_to(weights, found.shape)], 1)
+        at = np.argpartition(far, place - 1, axis=1)[:, :place]
+        at = np.take_along_axis(at, np.argsort(np.take_along_axis(far, at, 1), axis=1, kind="stable"), 1)
+        return np.concatenate([np.take_along_axis(far, at, 1), np.take_along_axis(heavy, at, 1)], 1)
+
+    state = points.select("id", "v", F.concat(F.array_repeat(F.lit(float("inf")), place), F.array_repeat(F.lit(0.0), place)).alias("s"))
+    state = _met(points, state, d, nearest_of)
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            s = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
+            far, w = s[:, :place], s[:, place:]
+            sw, swd = w.cumsum(1), (w * far).cumsum(1)
+            value = far * sw - swd
+            target = alfa * value[:, -1]
+            k = (value <= target[:, None]).cumsum(1).argmax(1)  # the last place whose value is within the target
+            rows = np.arange(len(s))
+            weight = sw[rows, k]
+            r = np.divide(target + swd[rows, k], weight, out=np.zeros(len(s)), where=weight > 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(np.stack([r, target, r, r], 1))], names=["id", "v", "s"])
+
+    state = state.mapInArrow(solve, state.schema)  # s: r, target, and two sums of the next step
+    while alfa > 1:
+        state = written(state, "radii")
+
+        def sums(s: np.ndarray, found: np.ndarray, weights: np.ndarray) -> np.ndarray:
+            inside = np.where(found <= s[:, :1], weights, 0.0)
+            return np.stack([s[:, 0], s[:, 1], s[:, 2] + inside.sum(1), s[:, 3] + (inside * found).sum(1)], 1)
+
+        cleared = state.select("id", "v", F.array(F.col("s")[0], F.col("s")[1], F.lit(0.0), F.lit(0.0)).alias("s"))
+        r = F.when(F.col("s")[2] > 0, (F.col("s")[1] + F.col("s")[3]) / F.col("s")[2]).otherwise(0.0)
+        # from the right of the root Newton's steps fall, from its left the first one leads to its right
+        new = written(_met(points, cleared, d, sums).select("id", "v", F.array(r, F.col("s")[1], F.col("s")[0], F.lit(0.0)).alias("s")), "radii")
+        discard(state)
+        state = new
+        if state.where(F.abs(F.col("s")[0] - F.col("s")[2]) > 1e-12 * F.abs(F.col("s")[0])).isEmpty():
+            break
+    return points.join(state.select("id", F.col("s")[0].alias("r")), "id")
 
 
 def choose(points: DataFrame, distance: str | dist.Distance = "l2") -> DataFrame:
     """Facilities (rank, center_id, center) from points (id, v, r), by growing radius, ties by id."""
     d = dist.get(distance)
     spark = points.sparkSession
-    left = points.select("id", "v", "r").persist()
-    chosen: list[tuple[int, int, list[float]]] = []
+    left = written(points.select("id", F.col("v").cast("array<double>").alias("v"), F.col("r").cast("double").alias("r")), "uncovered")
+    found: list[DataFrame] = []
+    count = 0
     while rows := left.orderBy("r", "id").limit(ROUND).collect():
         new: list = []
-        for r in rows:
-            v = np.array([r["v"]])
-            if not new or d.block(v, np.array([x["v"] for x in new]))[0].min() > 2 * r["r"]:
+        vectors = stacked([r["v"] for r in rows])
+        held = np.zeros_like(vectors)
+        for v, r in zip(vectors, rows, strict=True):
+            if not new or d.block(v[None], held[: len(new)])[0].min() > 2 * r["r"]:
+                held[len(new)] = v
                 new.append(r)
-        chosen += [(len(chosen) + k, r["id"], r["v"]) for k, r in enumerate(new)]
+        found.append(written(spark.createDataFrame([(count + k, r["id"], r["v"]) for k, r in enumerate(new)], _CENTRES), "chosen"))
+        count += len(new)
         if len(rows) < ROUND:
             break
-        shared, top = spark.sparkContext.broadcast(np.array([r["v"] for r in new])), (rows[-1]["r"], rows[-1]["id"])
+        shared, top = spark.sparkContext.broadcast(held[: len(new)].copy()), (rows[-1]["r"], rows[-1]["id"])
 
         def uncovered(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                free = d.block(x, shared.value).min(1) > 2 * batch.column(2).to_numpy() if batch.num_rows else np.zeros(0, bool)
-                yield batch.filter(pa.array(free))
+                if batch.num_rows:
+                    free = d.block(all_rows(batch.column(1)), shared.value).min(1) > 2 * batch.column(2).to_numpy()
+                    yield batch.filter(pa.array(free))
 
         later = left.where((F.col("r") > top[0]) | ((F.col("r") == top[0]) & (F.col("id") > top[1])))
-        left = later.mapInArrow(uncovered, left.schema).persist()
-    return spark.createDataFrame(chosen, _CENTRES)
+        old, left = left, written(later.mapInArrow(uncovered, left.schema), "uncovered")
+        discard(old)
+    if not found:
+        return spark.createDataFrame([], _CENTRES)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def facilities(points: DataFrame, alfa: float = 1.0, distance: str | dist.Distance = "l2", seed: int = 123) -> DataFrame:

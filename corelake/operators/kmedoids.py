@@ -7,8 +7,6 @@ all tasks, and candidates meet the members of their cluster in blocks of the sum
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +16,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import distance as dist
+from ..functions.vectors import all_rows, lists
+from ..sources.scratch import discard, shared_path, written
+from .assign import nearest
 
 #: Points of a summary that one task searches (8000 squared distances are half a gigabyte), and points of a block.
 MOST_POINTS, BLOCK = 8000, 8000
-MODEL = "cluster int, center_id long, center array<double>, cost double, iterations int, total_cost double"
+#: Points of a cluster that meet all of it in one group.
+PART = 2000
+_FOUND = "cluster int, center_id long, center array<double>, cost double, history array<double>"
+_MODEL = ("cluster", "center_id", "center", "cost", "iterations", "total_cost", "history")
+#: Quantiles of the distances to a medoid.
+CLUSTER = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 
 def initial_medoids(d: np.ndarray, w: np.ndarray, k: int) -> np.ndarray:
@@ -70,39 +76,41 @@ def close_pair(d: np.ndarray, w: np.ndarray, member: np.ndarray, centres: np.nda
     return pair
 
 
-def search(d: np.ndarray, w: np.ndarray, k: int, iterations: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, float]:
-    """(centres, costs, membership, best iteration, cost): alternation, with a perturbation at each local minimum.
+def search(d: np.ndarray, w: np.ndarray, k: int, iterations: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[float]]:
+    """(centres, costs, membership, history) of the best state: alternation, with a perturbation at each local minimum.
 
-    k is cut to the number of points that lie apart. A perturbed centre moves to its own farthest member.
+    history has the cost of each accepted step; the best state is that of its least value. Only accepted steps count as
+    iterations. A perturbation starts from the best state: of the two clusters whose centres are nearest, one moves its
+    centre to its own farthest member. k is cut to the number of points that lie apart.
     """
     rng = np.random.default_rng(seed)
     centres = initial_medoids(d, w, max(1, min(k, len(d))))
     k = len(centres)
     member = assign(d, centres)
     best: tuple | None = None
-    current, last, perturbed = np.inf, None, False
-    for turn in range(1, iterations + 1):
+    current, last, perturbed, history = np.inf, None, False, []
+    while len(history) < iterations:
         new, costs = recentre(d, w, member, k, centres)
         total = float(costs.sum())
         if total < current or perturbed:
-            perturbed = False
-            current = total
-            centres = new
-            if best is None or total < best[4]:
-                best = (new.copy(), costs, member.copy(), turn, total)
+            perturbed, current, centres = False, total, new
+            if not history or total < min(history):
+                best = (new.copy(), costs, member.copy())
+            history.append(total)
             member = assign(d, centres)
             continue
+        centres, member = best[0].copy(), best[2]
         if (last := close_pair(d, w, member, centres, last)) is None:
             break
         c = last[int(rng.integers(2))]
         own = np.flatnonzero(member == c)
         far = own[d[centres[c], own].argmax()] if len(own) else centres[c]
-        if d[centres[c], far] > 0:
-            centres = centres.copy()
-            centres[c] = far
-            member = assign(d, centres)
+        if d[centres[c], far] <= 0:
+            break
+        centres[c] = far
+        member = assign(d, centres)
         perturbed = True
-    return best
+    return (*best, history)
 
 
 class Rounds:
@@ -113,8 +121,7 @@ class Rounds:
 
     def __init__(self, summary: DataFrame, d: dist.Distance):
         self.spark, self.d = summary.sparkSession, d
-        named = self.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-        self.path = f"{named.rstrip('/')}/kmedoids-{uuid.uuid4().hex}"
+        self.path = shared_path(self.spark, "kmedoids")
         summary.select(F.col("id").cast("long").alias("id"), F.col("weight").cast("double").alias("weight"), F.col("v").cast("array<double>").alias("v")).write.parquet(f"{self.path}/summary")
         self.rows = self.spark.read.parquet(f"{self.path}/summary")
 
@@ -129,7 +136,7 @@ class Rounds:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                    x = all_rows(batch.column(2))
                     yield pa.record_batch(f(batch.column(0).to_numpy(), batch.column(1).to_numpy(), x))
 
         return (self.rows if rows is None else rows).mapInArrow(run, schema)
@@ -160,7 +167,7 @@ class Rounds:
         def near(ids, w, x):
             found = d.block(x, shared.value)
             best = found.argmin(1)
-            return {"id": ids, "weight": w, "v": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64())), "cluster": best.astype(np.int32), "own": found[np.arange(len(best)), best]}
+            return {"id": ids, "weight": w, "v": lists(x), "cluster": best.astype(np.int32), "own": found[np.arange(len(best)), best]}
 
         return self._map(near, "id long, weight double, v array<double>, cluster int, own double")
 
@@ -216,86 +223,124 @@ class Rounds:
         return pair
 
     def search(self, k: int, iterations: int, seed: int) -> list[tuple]:
-        """Rows of MODEL: the alternation of search(), whose membership is that of the nearest of given medoids."""
+        """Rows of MODEL: the steps of search(), whose membership is that of the nearest of given medoids."""
         rng = np.random.default_rng(seed)
         by = centres = self.initial(k)  # members are those nearest to by
         best: tuple | None = None
-        current, last, perturbed = np.inf, None, False
-        for turn in range(1, iterations + 1):
+        current, last, perturbed, history = np.inf, None, False, []
+        while len(history) < iterations:
             new, costs = self.recentre(by)
             total = float(costs.sum())
             if total < current or perturbed:
-                perturbed, current, centres, by = False, total, new, new
-                if best is None or total < best[3]:
-                    best = (new, costs, turn, total)
+                perturbed, current, centres = False, total, new
+                if not history or total < min(history):
+                    best = (new, costs, by)
+                history.append(total)
+                by = new
                 continue
-            member = self.assigned(by)
+            centres, member = list(best[0]), self.assigned(best[2])
             if (last := self.close_pair(centres, last, member)) is None:
                 break
             c = last[int(rng.integers(2))]
-            far = member.where(F.col("cluster") == c).orderBy(F.desc("own"), "id").select("id", "v", "own").first()
-            if far is not None and far["own"] > 0:
-                centres = list(centres)
-                centres[c] = (far["id"], far["v"])
-                by = centres
+            own = self.d.expr(F.col("v"), F.array(*map(F.lit, centres[c][1])))
+            far = member.where(F.col("cluster") == c).select("id", "v", own.alias("own")).orderBy(F.desc("own"), "id").first()
+            if far is None or far["own"] <= 0:
+                break
+            centres[c] = (far["id"], far["v"])
+            by = centres
             perturbed = True
-        centres, costs, turn, total = best
-        return [(c, int(i), [float(x) for x in v], float(costs[c]), turn, total) for c, (i, v) in enumerate(centres)]
+        centres, costs, _ = best
+        return [(c, int(i), [float(x) for x in v], float(costs[c]), history) for c, (i, v) in enumerate(centres)]
 
 
 def fit(summary: DataFrame, k: int, iterations: int = 15, *, distance: str | dist.Distance = "l2", seed: int = 1) -> DataFrame:
-    """cluster, center_id, center, cost, iterations and total_cost of the best state for a summary (id, weight, v)."""
+    """MODEL rows of the best state for a summary (id, weight, v): cluster, center_id, center, cost, iterations (the
+    number of the best step), total_cost, and history, the cost of each accepted step."""
     n = summary.limit(MOST_POINTS + 1).count()
     if n == 0:
         raise ValueError("the summary is empty")
     d = dist.get(distance)
+    best = {"iterations": F.expr("cast(array_position(history, array_min(history)) as int)"), "total_cost": F.array_min("history")}
     if n > MOST_POINTS:
         rounds = Rounds(summary, d)
         rows = rounds.search(k, iterations, seed)
         rounds.drop()
-        return summary.sparkSession.createDataFrame(rows, MODEL)
+        return summary.sparkSession.createDataFrame(rows, _FOUND).withColumns(best).select(*_MODEL)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
         v, w = np.stack(pdf["v"].tolist()), pdf["weight"].to_numpy()
-        centres, costs, _, turn, total = search(d.block(v, v), w, k, iterations, seed)
-        return pd.DataFrame({"cluster": range(len(centres)), "center_id": pdf["id"].to_numpy()[centres], "center": v[centres].tolist(), "cost": costs, "iterations": turn, "total_cost": total})
+        centres, costs, _, history = search(d.block(v, v), w, k, iterations, seed)
+        return pd.DataFrame({"cluster": range(len(centres)), "center_id": pdf["id"].to_numpy()[centres], "center": v[centres].tolist(), "cost": costs, "history": [history] * len(centres)})
+
+    found = summary.select("id", "weight", "v").groupBy(F.lit(0).alias("_")).applyInPandas(run, _FOUND)
+    return found.withColumns(best).select(*_MODEL)
+
+
+def membership(summary: DataFrame, medoids: DataFrame, distance: str | dist.Distance = "l2") -> DataFrame:
+    """summary with cluster and dist: the nearest of the medoids, ties to the smaller cluster."""
+    centres = medoids.select(F.col("cluster").alias("rank"), "center_id", "center")
+    return nearest(summary, centres, distance).withColumnRenamed("rank", "cluster")
+
 
-    return summary.select("id", "weight", "v").groupBy(F.lit(0).alias("_")).applyInPandas(run, MODEL)
+def distance_quantiles(assigned: DataFrame, at: tuple[float, ...] = CLUSTER) -> DataFrame:
+    """cluster, q and value: quantiles of the distance to the medoid in each cluster of assigned points (cluster, dist)."""
+    found = assigned.groupBy("cluster").agg(F.percentile("dist", F.array(*map(F.lit, at))).alias("x"))
+    return found.select("cluster", F.explode(F.arrays_zip(F.array(*map(F.lit, at)).alias("q"), "x")).alias("z")).select("cluster", F.col("z.q").alias("q"), F.col("z.x").alias("value"))
 
 
-def initial(summary: DataFrame, k: int, distance: str | dist.Distance = "l2") -> DataFrame:
-    """cluster and center_id of the initial medoids, by k rounds of DataFrame operations."""
+def initial(summary: DataFrame, k: int, distance: str | dist.Distance = "l2", *, by: str = "cost", seed: int = 117) -> DataFrame:
+    """cluster and center_id of initial medoids, by k rounds of DataFrame operations.
+
+    by: "cost" takes the heaviest point, then again and again the one of the greatest weighted distance from any chosen
+    one, "distance" the same by plain distances; both leave out points equal to chosen ones. "random" takes those of
+    the smallest hashes of seed and id.
+    """
     d = dist.get(distance)
     rows = summary.select("id", "weight", "v")
+    if by == "random":
+        found = rows.orderBy(F.xxhash64(F.lit(seed), F.col("id")), "id").limit(k).collect()
+        return summary.sparkSession.createDataFrame([(c, r["id"]) for c, r in enumerate(found)], "cluster int, center_id long")
+    factor = F.col("weight") if by == "cost" else F.lit(1.0)
     first = rows.orderBy(F.desc("weight"), "id").limit(1).collect()
     if not first:
         return summary.sparkSession.createDataFrame([], "cluster int, center_id long")
-    chosen = [first[0]["id"]]
-    far = None
+    chosen, far = [first[0]], None
     while len(chosen) < k:
-        last = rows.where(F.col("id") == chosen[-1]).select(F.col("v").alias("_v"))
-        own = rows.crossJoin(F.broadcast(last.limit(1))).select("id", (d.expr(F.col("v"), F.col("_v")) * F.col("weight")).alias("c"))  # one row
-        own = own.withColumn("near", F.col("c"))
-        far = own if far is None else far.unionByName(own).groupBy("id").agg(F.max("c").alias("c"), F.min("near").alias("near"))
-        far = far.persist()
-        best = far.where("near > 0").orderBy(F.desc("c"), "id").limit(1).collect()
+        to_last = d.expr(F.col("v"), F.array(*map(F.lit, chosen[-1]["v"])))
+        own = (rows if far is None else far).withColumn("_d", to_last)
+        own = own.select("id", "weight", "v", *[F.col("_d").alias(x) if far is None else f("_d", x).alias(x) for x, f in (("most", F.greatest), ("least", F.least))])
+        new = written(own, "far")
+        if far is not None:
+            discard(far)
+        far = new
+        best = far.where("least > 0").select("id", "v", (F.col("most") * factor).alias("c")).orderBy(F.desc("c"), "id").limit(1).collect()
         if not best or best[0]["c"] <= 0:
             break
-        chosen.append(best[0]["id"])
-    return summary.sparkSession.createDataFrame(list(enumerate(chosen)), "cluster int, center_id long")
+        chosen.append(best[0])
+    return summary.sparkSession.createDataFrame([(c, r["id"]) for c, r in enumerate(chosen)], "cluster int, center_id long")
 
 
 def recentred(assigned: DataFrame, distance: str | dist.Distance = "l2") -> DataFrame:
-    """cluster, center_id and cost: the new medoid of each cluster of assigned points (id, weight, v, cluster)."""
+    """cluster, center_id and cost: the new medoid of each cluster of assigned points (id, weight, v, cluster).
+
+    All pairs of a cluster are met, in parts: PART of its points with all of them, so that no task has a whole large one.
+    """
     d = dist.get(distance)
-    a = assigned.select("cluster", F.col("id").alias("i"), F.col("v").alias("a"))
-    b = assigned.select("cluster", F.col("id").alias("j"), F.col("v").alias("b"), "weight")
-    cost = a.join(b, "cluster").groupBy("cluster", "i").agg(F.sum(d.expr(F.col("a"), F.col("b")) * F.col("weight")).alias("cost"))
+    assigned = assigned.join(F.broadcast(_parts(assigned)), "cluster")
+    a = assigned.select("cluster", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), F.col("id").alias("i"), F.col("v").alias("a"))
+    b = assigned.select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("v").alias("b"), "weight")
+    cost = a.join(b, ["cluster", "part"]).groupBy("cluster", "i").agg(F.sum(d.expr(F.col("a"), F.col("b")) * F.col("weight")).alias("cost"))
     best = cost.groupBy("cluster").agg(F.min(F.struct(F.round("cost", 9).alias("r"), "i", "cost")).alias("m"))
     return best.select("cluster", F.col("m.i").alias("center_id"), F.col("m.cost").alias("cost"))
 
 
+def _parts(assigned: DataFrame) -> DataFrame:
+    """cluster and parts of PART points: one row for each cluster."""
+    rows = assigned.groupBy("cluster").agg(F.ceil(F.count("*") / PART).cast("long").alias("parts")).collect()
+    return assigned.sparkSession.createDataFrame(rows, "cluster long, parts long")
+
+
 def cluster_costs(assigned: DataFrame) -> DataFrame:
     """cluster, n, weight and cost of assigned points (weight, cluster, dist)."""
     return assigned.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), F.sum(F.col("weight") * F.col("dist")).alias("cost"))

@@ -25,9 +25,10 @@ def column_entropies(table: DataFrame) -> DataFrame:
     return table.groupBy("l2").agg(F.sum("n").alias("total"), _entropy(F.col("n"), F.sum("n")).alias("entropy")).withColumnRenamed("total", "n")
 
 
-def dense(table: DataFrame, labels: list) -> DataFrame:
-    """The table with a column for each of the given second labels."""
-    return table.groupBy("l1").pivot("l2", labels).agg(F.sum("n")).fillna(0)
+def dense(table: DataFrame, labels: list | None = None) -> DataFrame:
+    """The table with a column for each of the given second labels, by default all that there are (Spark pivots 10,000 at most)."""
+    by = table.groupBy("l1")
+    return (by.pivot("l2") if labels is None else by.pivot("l2", labels)).agg(F.sum("n")).fillna(0)
 
 
 def information(table: DataFrame) -> DataFrame:
@@ -35,8 +36,8 @@ def information(table: DataFrame) -> DataFrame:
 
     The joint and both marginal counts come from one pass of grouping sets. Ratios that are 0/0 are null.
     """
-    table.createOrReplaceTempView("_contingency")
-    sets = table.sparkSession.sql("select l1, l2, sum(n) as n, grouping_id(l1, l2) as g from _contingency group by grouping sets ((l1, l2), (l1), (l2))")
+    both = [F.col("l1"), F.col("l2")]
+    sets = table.groupingSets([both, both[:1], both[1:]], *both).agg(F.sum("n").alias("n"), F.grouping_id().alias("g"))
     part = lambda g, x: F.sum(F.when(F.col("g") == g, x))
     n_log = F.col("n") * F.log("n")
     row = sets.agg(part(0, F.col("n")).alias("n"), part(1, F.lit(1)).alias("rows"), part(2, F.lit(1)).alias("columns"), part(0, n_log).alias("s12"), part(1, n_log).alias("s1"), part(2, n_log).alias("s2"))

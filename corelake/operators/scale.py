@@ -2,23 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import distance as dist
+from ..sources.scratch import discard, written
 
 PAIRS = (0.0001, 0.001, 0.01, 0.5, 0.99, 0.999)
 CHECKED = (0.005, 0.01, 0.025, 0.25, 0.5, 0.75, 0.99)
 WEIGHTS = (0.01, 0.025, 0.05, 0.5, 0.75, 0.99)
+DISTANCES = (0.0001, 0.001, 0.01, 0.025, 0.05, 0.5, 0.75, 0.99)
+
+
+#: Values whose quantiles one task finds; those of more are found in ranges, with the same result.
+IN_ONE_TASK = 1_000_000
 
 
 def quantiles(df: DataFrame, column: str, at: tuple[float, ...], exact: bool = True) -> DataFrame:
-    """q and value; exact ones sort the column, others keep a sketch of a fixed size."""
+    """q and value, linear between neighbours; exact ones are of all values, others of a sketch of a fixed size.
+
+    Nulls don't count; without values there are no rows.
+    """
+    if exact and df.count() > IN_ONE_TASK:
+        return _by_ranges(df, column, at)
     found = F.percentile(column, F.array(*map(F.lit, at))) if exact else F.percentile_approx(column, list(at), 10_000)
     row = df.agg(found.alias("x")).where("x is not null")
     return row.select(F.explode(F.arrays_zip(F.array(*map(F.lit, at)).alias("q"), "x")).alias("z")).select(F.col("z.q").alias("q"), F.col("z.x").alias("value"))
 
 
+def _by_ranges(df: DataFrame, column: str, at: tuple[float, ...]) -> DataFrame:
+    """The values are dealt to ranges; counts of these tell in which range, and where there, a quantile's neighbours stand."""
+    spark = df.sparkSession
+    rows = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
+    rows = written(rows.repartitionByRange("x").withColumn("part", F.spark_partition_id()), "values")
+    counts = sorted((r["part"], r["count"], r["x"]) for r in rows.groupBy("part").agg(F.count("*").alias("count"), F.min("x").alias("x")).collect())
+    n = sum(c for _, c, _ in counts)
+    if not n:
+        return spark.createDataFrame([], "q double, value double")
+    starts = np.cumsum([0, *(c for _, c, _ in counts)])
+    places = sorted({int(f(q * (n - 1))) for q in at for f in (np.floor, np.ceil)})
+    range_of = {p: int(np.searchsorted(starts, p, "right") - 1) for p in places}
+    wanted = spark.createDataFrame([(counts[k][0], p - int(starts[k]) + 1, p) for p, k in range_of.items()], "part int, n int, place long")
+    placed = rows.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("x")))
+    value = {r["place"]: r["x"] for r in placed.join(F.broadcast(wanted), ["part", "n"]).collect()}  # two rows for each quantile
+    discard(rows)
+
+    def between(q: float) -> float:
+        low, high = value[int(np.floor(q * (n - 1)))], value[int(np.ceil(q * (n - 1)))]
+        return low + (high - low) * (q * (n - 1) - np.floor(q * (n - 1)))
+
+    return spark.createDataFrame([(float(q), float(between(q))) for q in at], "q double, value double")
+
+
 def hashed_pairs(points: DataFrame, pairs: int, distance: str | dist.Distance = "l2", seed: int = 7) -> DataFrame:
     """d of so many pairs of different points, at most: the places of both come from hashes of the pair's number.
 
@@ -41,6 +77,22 @@ def pair_quantiles(points: DataFrame, pairs: int = 10_000, at: tuple[float, ...]
     return quantiles(hashed_pairs(points, pairs, distance, seed), "d", at)
 
 
+def check_distances(points: DataFrame, distance: str | dist.Distance = "l2", *, first: int = 1000, pairs: int = 50_000, seed: int = 7) -> DataFrame:
+    """q and value: quantiles of the distances of so many hashed pairs among the first points by id.
+
+    A quick look at a table's scale, of which sampling is the point: first and pairs bound it.
+    """
+    return quantiles(hashed_pairs(points.orderBy("id").limit(first), pairs, distance, seed), "d", CHECKED)
+
+
+def summary_scales(summary: DataFrame, distance: str | dist.Distance = "l2", *, pairs: int = 10_000, seed: int = 2833) -> DataFrame:
+    """kind, q and value: quantiles of a summary's weights (all), and of the distances of at most so many hashed pairs."""
+    n = summary.count()
+    weights = quantiles(summary, "weight", WEIGHTS).select(F.lit("weight").alias("kind"), "q", "value")
+    between = quantiles(hashed_pairs(summary, min(pairs, n * (n - 1) // 2), distance, seed), "d", DISTANCES)
+    return weights.unionByName(between.select(F.lit("distance").alias("kind"), "q", "value"))
+
+
 def neighbourhood_size(points: DataFrame, q: float, distance: str | dist.Distance = "l2") -> float:
     """The q-quantile of the distance to the second nearest of a few sampled points, over the first few points.
 
@@ -51,8 +103,6 @@ def neighbourhood_size(points: DataFrame, q: float, distance: str | dist.Distanc
     few = max(2, n.bit_length() - 1)
     first = points.select("id", "v").orderBy("id").limit(few).collect()
     others = points.select("id", "v").orderBy(F.xxhash64(F.lit("near"), F.col("id")), "id").limit(few + 2).collect()
-    import numpy as np
-
     if n < 2:
         return 0.0
     found = []

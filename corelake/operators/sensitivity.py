@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import distance as dist
+from ..sources.scratch import written
 
 #: Partitions of the two-level prefix sum, at least.
 _PARTS = 16
@@ -42,7 +43,9 @@ def intervals(weighted: DataFrame) -> DataFrame:
     Sums are taken in two levels: of ranges of ids, of which a few numbers reach the driver, then within each.
     """
     rows = weighted.where("p > 0").select("id", "p")
-    dealt = rows.repartitionByRange(max(_PARTS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "id").withColumn("part", F.spark_partition_id()).persist()
+    parts = max(_PARTS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # written, as the range that an id falls in has to be the same in both passes
+    dealt = written(rows.repartitionByRange(parts, "id").withColumn("part", F.spark_partition_id()), "ranges")
     sums = sorted((r["part"], r["s"], r["top"]) for r in dealt.groupBy("part").agg(F.sum("p").alias("s"), F.max("id").alias("top")).collect())
     if not sums:
         return rows.select("id", "p", F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
@@ -65,28 +68,62 @@ def uniforms(spark, draws: int, seed: int) -> DataFrame:
 
 
 def draw(distribution: DataFrame, draws: int, seed: int = 14537) -> DataFrame:
-    """id, n and weight: how often each id is drawn with replacement, and n / (p draws)."""
+    """id, n and weight: how often each id is drawn with replacement, and n / (p draws).
+
+    Interval starts and draws are dealt together to ranges of [0, 1], so that a heavy interval's draws spread over
+    several, and sorted there: a draw belongs to the last start before it. Draws before the first start of a range
+    belong to the last one of an earlier range; of each range one row tells both to the driver.
+    """
     cdf = intervals(distribution)
     if draws <= 0:
         return cdf.select("id", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("weight")).limit(0)
-    # the draws are sorted and sent to every task in blocks of a checked size; each interval finds its own by bisection
-    total = None
-    block = 1 << 20
-    for start in range(0, draws, block):
-        u = np.sort(uniforms(distribution.sparkSession, draws, seed).where((F.col("j") >= start) & (F.col("j") < start + block)).select("u").toPandas()["u"].to_numpy())
-        shared = distribution.sparkSession.sparkContext.broadcast(u)
-
-        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                lo, hi = (batch.column(k).to_numpy() for k in (2, 3))
-                n = np.searchsorted(shared.value, hi) - np.searchsorted(shared.value, lo)
-                hit = np.flatnonzero(n)
-                part = batch.take(pa.array(hit))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n[hit])], names=["id", "p", "n"])
-
-        found = cdf.mapInArrow(count, "id long, p double, n long")
-        total = found if total is None else total.unionByName(found)
-    return total.groupBy("id").agg(F.sum("n").alias("n"), F.first("p").alias("p")).select("id", "n", (F.col("n") / (F.col("p") * draws)).alias("weight"))
+    spark = distribution.sparkSession
+    starts = cdf.select(F.col("lo").alias("x"), F.lit(0).alias("kind"), "id", "p")
+    points = uniforms(spark, draws, seed).select(F.col("u").alias("x"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("p"))
+    parts = max(_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = starts.unionByName(points).repartitionByRange(parts, "x").sortWithinPartitions("x", "kind", "id").withColumn("part", F.spark_partition_id())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, early, part = None, 0, None  # the last start (id, p, draws so far); draws before any
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind, part = batch.column(1).to_numpy(), batch.column(4)[0].as_py()
+            at = np.flatnonzero(kind == 0)
+            before = int(at[0]) if len(at) else len(kind)
+            if held is None:
+                early += before
+            else:
+                held = (*held[:2], held[2] + before)
+            if not len(at):
+                continue
+            own = np.diff(np.append(at, len(kind))) - 1
+            ids, p = (batch.column(k).take(pa.array(at)) for k in (2, 3))
+            if held is not None and held[2]:
+                yield _drawn(part, [held[0]], [held[1]], [held[2]])
+            some = np.flatnonzero(own[:-1])
+            if len(some):
+                yield _drawn(part, ids.take(pa.array(some)).to_pylist(), p.take(pa.array(some)).to_pylist(), own[some].tolist())
+            held = (ids[-1].as_py(), p[-1].as_py(), int(own[-1]))
+        if part is not None:  # the last start, also without draws, and the draws before the first
+            yield _drawn(part, [held[0] if held else None], [held[1] if held else None], [held[2] if held else 0], early)
+
+    found = written(dealt.mapInArrow(count, "part int, id long, p double, n long, early long"), "draws")
+    more, last = [], None
+    for r in found.where("early >= 0").orderBy("part").collect():  # one row for each range
+        if r["early"] and last:
+            more.append((*last, r["early"]))
+        last = (r["id"], r["p"]) if r["id"] is not None else last
+    more = spark.createDataFrame(more, "id long, p double, n long")
+    found = found.where("n > 0").select("id", "p", "n").unionByName(more)
+    return found.groupBy("id").agg(F.sum("n").alias("n"), F.first("p").alias("p")).select("id", "n", (F.col("n") / (F.col("p") * draws)).alias("weight"))
+
+
+def _drawn(part: int, ids: list, p: list, n: list, early: int = -1) -> pa.RecordBatch:
+    """Rows of draws; early is -1 but for the one row of a range that tells the driver."""
+    types = (pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+    columns = ([part] * len(ids), ids, p, n, [early] * len(ids))
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["part", "id", "p", "n", "early"])
 
 
 def summary(points: DataFrame, assigned: DataFrame, fraction: float, seed: int = 14537) -> DataFrame:

@@ -10,15 +10,12 @@ from pyspark.sql import functions as F
 from ..functions import distance as dist
 from ..operators import assign, bicriteria, kmedoids, sensitivity
 from ..sources.points import write_csv
-
-
-#: Points of a shard of the one-pass rule on average, beyond the least number of shards.
-SHARD = 25_000
+from ..sources.scratch import written
 
 
 @dataclass(frozen=True)
 class ClusterModel:
-    """Parameters of a clustering of points (id, v, w); shards is the least number of them."""
+    """Parameters of a clustering of points (id, v, w); shards of the one-pass rule follow from their number by default."""
 
     k: int
     fraction: float = 0.11
@@ -26,23 +23,22 @@ class ClusterModel:
     gamma: float = 2.0
     iterations: int = 15
     distance: str | dist.Distance = "l2"
-    shards: int = 8
+    shards: int | None = None
     seed: int = 14537
 
     def summary(self, points: DataFrame) -> DataFrame:
         """id, weight and v of the summary."""
-        shards = max(self.shards, -(-points.count() // SHARD))
-        centres = bicriteria.fit(points, self.k, beta=self.beta, gamma=self.gamma, distance=self.distance, shards=shards)
-        assigned = assign.nearest(points, centres.persist(), self.distance).select("id", "w", "rank", "dist").persist()
-        return sensitivity.summary(points, assigned, self.fraction, self.seed)
+        centres = written(bicriteria.fit(points, self.k, beta=self.beta, gamma=self.gamma, distance=self.distance, shards=self.shards), "facilities")
+        assigned = written(assign.nearest(points, centres, self.distance).select("id", "w", "rank", "dist"), "assigned")
+        return written(sensitivity.summary(points, assigned, self.fraction, self.seed), "summary")
 
     def fit(self, points: DataFrame) -> DataFrame:
-        """cluster, center_id, center, cost, iterations and total_cost over the summary."""
-        return kmedoids.fit(self.summary(points), self.k, self.iterations, distance=self.distance)
+        """The medoids of the summary, a written table (see kmedoids.fit)."""
+        return written(kmedoids.fit(self.summary(points), self.k, self.iterations, distance=self.distance), "medoids")
 
     def transform(self, points: DataFrame, medoids: DataFrame) -> DataFrame:
         """points with cluster, center_id and dist of the nearest medoid."""
-        medoids = medoids.select(F.col("cluster").alias("rank"), "center_id", "center").persist()
+        medoids = medoids.select(F.col("cluster").alias("rank"), "center_id", "center")
         found = assign.nearest(points, medoids, self.distance)
         names = medoids.select(F.col("rank").cast("long").alias("rank"), "center_id")  # k rows
         return found.join(F.broadcast(names), "rank").withColumnRenamed("rank", "cluster")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from ..functions import distance as dist
 from ..operators import assign, bicriteria, facility_location, kmedoids, quality, scale, sensitivity
 from ..sources.points import points as as_points
 from ..sources.points import read_labelled_csv, validate_points, write_csv
+from ..sources.scratch import shared_path, written
 from ..streaming.facilities import merge, stream_facilities
 from .cluster import ClusterModel
 
@@ -82,7 +82,7 @@ def _distances(name: str) -> Query:
         p, c = vectors(spark, sf), centres(spark, sf)
         if name == "hamming":
             p, c = integers(p), integers(c.withColumnRenamed("center", "v")).withColumnRenamed("v", "center")
-        pairs = p.select("id", "v").crossJoin(F.broadcast(c.where("rank < 1000")))  # twenty centres at most
+        pairs = p.select("id", "v", (F.col("id") - F.col("id") % 50).alias("rank")).join(c.select("rank", "center"), "rank")
         return rounded(pairs.select("id", "rank", dist.get(name).expr(F.col("v"), F.col("center")).alias("d")), "d")
 
     return run
@@ -91,7 +91,7 @@ def _distances(name: str) -> Query:
 _HAMMING = "list_sum(list_transform(list_zip({a}, {b}), lambda z: case when floor(z[1] * 8) = floor(z[2] * 8) then 0.0 else 1.0 end)) / len({a})"
 _COSINE = f"greatest(0.0, 1 - {_DOT} / (sqrt({_DOT.replace('{b}', '{a}')}) * sqrt({_DOT.replace('{a}', '{b}')})))"
 for _name, _sql in (("l1", _L1), ("l2", _L2), ("cosine", _COSINE), ("hamming", _HAMMING)):
-    query(f"dist_{_name}", _all(_sql) + " select id, rank, round(d, 6) + 0.0 as d from pair where rank < 1000")(_distances(_name))
+    query(f"dist_{_name}", f"with {_POINTS}, {_CENTRES} select id, rank, round({_sql.format(a='v', b='c')}, 6) + 0.0 as d from points join centres on rank = id - id % 50")(_distances(_name))
 
 # --- facilities ---
 
@@ -173,8 +173,7 @@ def _assigned(spark: SparkSession, sf: str) -> DataFrame:
 
 _P = _near() + ", f as (select rank, sum(w) as wf, sum(w * d) as cf from near group by 1), tot as (select count(*) as b, sum(cf) as cost from f), prob as (select id, 0.5 * (w * d / cost + w / (b * wf)) as p from near join f using (rank), tot)"
 _CDF = _P + ", cdf as (select id, p / sum(p) over () as p, sum(p) over (order by id rows unbounded preceding) / sum(p) over () as hi, max(id) over () as last from prob), itv as (select id, p, hi - p as lo, case when id = last then 1.0 else hi end as hi from cdf)"
-_DRAWS = 55
-_U = f", u as (select cast('0x' || substr(md5('14537:' || j::varchar), 1, 13) as bigint) / 4503599627370496.0 as u from range({_DRAWS}) t(j)), drawn as (select id, count(*) as n, any_value(p) as p from u join itv on u >= lo and u < hi group by id)"
+_U = ", m as (select cast(floor(0.11 * count(*)) as bigint) as m from points), u as (select cast('0x' || substr(md5('14537:' || j::varchar), 1, 13) as bigint) / 4503599627370496.0 as u from (select unnest(range(m)) as j from m)), drawn as (select id, count(*) as n, any_value(p) as p from u join itv on u >= lo and u < hi group by id)"
 
 
 @query("sensitivity", _P + " select id, round(p, 9) as p from prob")
@@ -188,15 +187,20 @@ def discrete_cdf(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(found.withColumn("p", F.round("p", 9)), "lo", "hi")
 
 
-@query("draws", _CDF + _U + f" select id, n, round(n / (p * {_DRAWS}), 6) as weight from drawn")
+def _draws(spark: SparkSession, sf: str) -> DataFrame:
+    """As many draws as a summary of 0.11 of the points takes."""
+    assigned = _assigned(spark, sf)
+    return sensitivity.draw(sensitivity.sampling_distribution(assigned), int(0.11 * assigned.count()))
+
+
+@query("draws", _CDF + _U + " select id, n, round(n / (p * m), 6) as weight from drawn, m")
 def draws(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(sensitivity.draw(sensitivity.sampling_distribution(_assigned(spark, sf)), _DRAWS), "weight")
+    return rounded(_draws(spark, sf), "weight")
 
 
-@query("summary_points", _CDF + _U + f" select id, round(n / (p * {_DRAWS}), 6) as weight, round(v[1], 6) + 0.0 as v0 from drawn join points using (id)")
+@query("summary_points", _CDF + _U + " select id, round(n / (p * m), 6) as weight, round(v[1], 6) + 0.0 as v0 from drawn join points using (id), m")
 def summary_points(spark: SparkSession, sf: str) -> DataFrame:
-    chosen = sensitivity.draw(sensitivity.sampling_distribution(_assigned(spark, sf)), _DRAWS)
-    found = vectors(spark, sf).join(chosen, "id").select("id", "weight", F.col("v")[0].alias("v0"))
+    found = vectors(spark, sf).join(_draws(spark, sf), "id").select("id", "weight", F.col("v")[0].alias("v0"))
     return rounded(found, "weight", "v0")
 
 
@@ -211,7 +215,7 @@ def pairwise_matrix(spark: SparkSession, sf: str) -> DataFrame:
 @query("bmor_facilities", "select count(*)::double as weight, true as bounded, true as from_data from embeddings")
 def bmor_facilities(spark: SparkSession, sf: str) -> DataFrame:
     points = vectors(spark, sf)
-    found = bicriteria.fit(points, 10, shards=4)
+    found = bicriteria.fit(points, 10)
     n = points.count()
     return _checked(found, points, bicriteria.facility_bound(10, n, 2.0))
 
@@ -226,55 +230,89 @@ def _checked(found: DataFrame, points: DataFrame, bound: int) -> DataFrame:
 @query("bmor_contraction", "select count(*)::double as weight, true as bounded, true as from_data from embeddings")
 def bmor_contraction(spark: SparkSession, sf: str) -> DataFrame:
     points = vectors(spark, sf)
-    return _checked(bicriteria.fit(points, 10, shards=4, contraction=True), points, bicriteria.facility_bound(10, points.count(), 2.0))
+    return _checked(bicriteria.fit(points, 10, contraction=True), points, bicriteria.facility_bound(10, points.count(), 2.0))
 
 
 @query("bmor_lines", "select count(*)::double as weight, true as bounded, true as from_data from lineitem")
 def bmor_lines(spark: SparkSession, sf: str) -> DataFrame:
     points = line_points(spark, sf)
-    return _checked(bicriteria.fit(points, 10, shards=8), points, bicriteria.facility_bound(10, points.count(), 2.0))
+    return _checked(bicriteria.fit(points, 10), points, bicriteria.facility_bound(10, points.count(), 2.0))
+
+
+_LABELLED = "select count(*) as points, count(*)::double as weight, true as bounded, true as mixed_less, true as exact_cost from embeddings"
+
 
+def _labelled(points: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """Points and weight of the facilities; whether entropies are within the logarithm of a facility's points, on average
+    not above that of all labels, and whether costs add up to the JVM's own nearest distances."""
+    facilities = written(found.select("rank", "center_id", "center"), "facilities")
+    by = written(assign.dispatch_labels(points, facilities, "label", name), "labels")
+    counts = points.groupBy("label").count()
+    whole = counts.agg((F.log(F.sum("count")) - F.sum(F.col("count") * F.log("count")) / F.sum("count")).alias("whole"))
+    cost = assign.nearest(points.select("v", "w"), facilities, name, native=True).agg(F.sum(F.col("w") * F.col("dist")).alias("own"))
+    sums = by.agg(F.sum("n").alias("points"), F.sum("weight").alias("weight"), F.sum("cost").alias("cost"), F.bool_and(F.col("entropy").between(0, F.log("n") + 1e-9)).alias("bounded"), (F.sum(F.col("n") * F.col("entropy")) / F.sum("n")).alias("mean"))
+    row = sums.crossJoin(whole).crossJoin(cost)  # one row each
+    return row.select("points", F.round("weight", 6).alias("weight"), "bounded", (F.col("mean") <= F.col("whole") + 1e-9).alias("mixed_less"), (F.abs(F.col("cost") - F.col("own")) <= 1e-6 * F.col("own")).alias("exact_cost"))
 
-@query("bmor_entropy")
+
+@query("bmor_entropy", _LABELLED)
 def bmor_entropy(spark: SparkSession, sf: str) -> DataFrame:
-    """Facilities by one pass and contraction, with the labels' entropy at each."""
+    """Facilities by one pass and contraction, and how labels mix at them."""
     points = vectors(spark, sf)
-    found = bicriteria.fit(points, 10, beta=2.2, gamma=2.2, distance="l1", shards=4, contraction=True).persist()
-    return rounded(assign.dispatch_labels(points, found.select("rank", "center_id", "center"), "label", "l1"), "weight", "cost", "entropy")
+    return _labelled(points, bicriteria.fit(points, 10, beta=2.2, gamma=2.2, distance="l1", contraction=True), "l1")
+
 
+@query("bmor_states", "select count(*)::double as weight, true as inserted, true as within_cost, true as cost_doubles from embeddings")
+def bmor_states(spark: SparkSession, sf: str) -> DataFrame:
+    """The bounds that the shards of the one-pass rule end with."""
+    found = bicriteria.states(vectors(spark, sf), 10)
+    doubled = F.col("li") == F.pow(F.lit(2.0), F.col("phase"))
+    return found.agg(F.round(F.sum("weight"), 6).alias("weight"), F.bool_and(F.col("inserted") >= F.col("weight")).alias("inserted"), F.bool_and(F.col("total_cost") <= F.col("most_cost")).alias("within_cost"), F.bool_and(doubled & (F.col("most_cost") == 2 * F.col("li"))).alias("cost_doubles"))
 
-@query("summary_bmor", "select true as small, true as whole_draws from embeddings limit 1")
+
+@query("summary_bmor", "select cast(floor(0.11 * count(*)) as bigint) as draws, true as from_data from embeddings")
 def summary_bmor(spark: SparkSession, sf: str) -> DataFrame:
+    """weight * p * draws is a whole number, the times that a point was drawn; these add up to the draws."""
     points = vectors(spark, sf)
-    found = ClusterModel(10, shards=4).summary(points)
-    return found.agg((F.count("*") <= int(0.11 * points.count())).alias("small"), F.bool_and(F.col("weight") > 0).alias("whole_draws"))
+    centres_ = written(bicriteria.fit(points, 10), "facilities")
+    assigned = written(assign.nearest(points, centres_).select("id", "w", "rank", "dist"), "assigned")
+    found = sensitivity.summary(points, assigned, 0.11)
+    m = int(0.11 * points.count())
+    p = sensitivity.sampling_distribution(assigned).select("id", "p")
+    times = found.join(p, "id").join(points.select("id", F.col("v").alias("own")), "id").withColumn("times", F.col("weight") * F.col("p") * m)
+    return times.agg(F.sum(F.when(F.abs(F.col("times") - F.round("times")) < 1e-6, F.round("times"))).cast("long").alias("draws"), F.bool_and(F.col("v") == F.col("own")).alias("from_data"))
 
 
 # --- k-medoids ---
 
 
 def _summary(spark: SparkSession, sf: str) -> DataFrame:
-    """A summary that doesn't hang on a random choice: every seventh of the first 500 vectors, weighted."""
-    return vectors(spark, sf, True).where("id % 7 = 0 and id < 500").select("id", F.col("w").alias("weight"), "v")
+    """A summary of all vectors that doesn't hang on a random choice: every fifth vector, with the weight of those nearest to it."""
+    heads = vectors(spark, sf).where("id % 5 = 0").select(F.col("id").alias("rank"), F.col("id").alias("center_id"), F.col("v").alias("center"))
+    found = assign.weighted_data(assign.dispatch(vectors(spark, sf, True), heads))
+    return written(found.select("id", F.round("w", 6).alias("weight"), "v"), "summary")
 
 
-_S = f"with {_POINTS}, s as (select id, ww as weight, v from points where id % 7 = 0 and id < 500), med as (select id as cid, v as c, row_number() over (order by id) - 1 as cluster from s where id % 70 = 0)"
+_S = (
+    f"with {_POINTS}, heads as (select id as h, v as c from points where id % 5 = 0), "
+    f"own as (select h, round(sum(ww), 6) as weight from (select h, ww, row_number() over (partition by id order by {_L2.format(a='v', b='c')}, h) as n from points, heads) where n = 1 group by h), "
+    "s as (select h as id, coalesce(weight, 0) as weight, c as v from heads left join own using (h)), med as (select id as cid, v as c, id // 50 as cluster from s where id % 50 = 0)"
+)
 _ASSIGN = _S + f", asg as (select * from (select id, weight, v, cluster, {_L2.format(a='v', b='c')} as d, row_number() over (partition by id order by {_L2.format(a='v', b='c')}, cluster) as n from s, med) where n = 1)"
 
 
 def _medoids(spark: SparkSession, sf: str) -> DataFrame:
-    s = _summary(spark, sf).where("id % 70 = 0")
-    return s.select(F.floor(F.col("id") / 70).alias("rank"), F.col("id").alias("center_id"), F.col("v").alias("center"))
+    return centres(spark, sf).withColumn("rank", F.floor(F.col("rank") / 50))
 
 
 def _clusters(spark: SparkSession, sf: str) -> DataFrame:
-    return assign.nearest(_summary(spark, sf), _medoids(spark, sf)).withColumnRenamed("rank", "cluster")
+    return kmedoids.membership(_summary(spark, sf), _medoids(spark, sf).withColumnRenamed("rank", "cluster"))
 
 
-def _initial_sql(k: int) -> str:
+def _initial_sql(k: int, factor: str = "s.weight") -> str:
     parts = [f"{_S}, c0 as (select id, v from s order by weight desc, id limit 1)"]
     for j in range(1, k):
-        far = ", ".join(f"{_L2.format(a='s.v', b=f'c{i}.v')} * s.weight" for i in range(j))
+        far = ", ".join(f"{_L2.format(a='s.v', b=f'c{i}.v')} * {factor}" for i in range(j))
         parts.append(f", c{j} as (select s.id, s.v from s, {', '.join(f'c{i}' for i in range(j))} where s.id not in ({', '.join(f'(select id from c{i})' for i in range(j))}) order by greatest({far}) desc, s.id limit 1)")
     return "".join(parts) + " " + " union all ".join(f"select {j}::int as cluster, id as center_id from c{j}" for j in range(k))
 
@@ -284,6 +322,23 @@ def kmedoid_init(spark: SparkSession, sf: str) -> DataFrame:
     return kmedoids.initial(_summary(spark, sf), 5)
 
 
+@query("kmedoid_init_distance", _initial_sql(5, "1.0"))
+def kmedoid_init_distance(spark: SparkSession, sf: str) -> DataFrame:
+    return kmedoids.initial(_summary(spark, sf), 5, by="distance")
+
+
+@query("kmedoid_init_random", _S + " select count(*) as medoids, true as distinct_points from (select * from s limit 5)")
+def kmedoid_init_random(spark: SparkSession, sf: str) -> DataFrame:
+    summary = _summary(spark, sf)
+    found = kmedoids.initial(summary, 5, by="random").join(summary.select(F.col("id").alias("center_id")), "center_id")
+    return found.agg(F.count("*").alias("medoids"), (F.count("*") == F.count_distinct("center_id")).alias("distinct_points"))
+
+
+@query("kmedoid_quantiles", _ASSIGN + f", q as (select cluster, quantile_cont(d, {list(kmedoids.CLUSTER)}) as x from asg group by 1), places as (select unnest(range(1, {len(kmedoids.CLUSTER) + 1})) as i) select cluster, {list(kmedoids.CLUSTER)}[i]::double as q, round(x[i], 6) + 0.0 as value from q, places")
+def kmedoid_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(kmedoids.distance_quantiles(_clusters(spark, sf)), "value")
+
+
 @query("kmedoid_assign", _ASSIGN + " select id, cluster, round(d, 6) + 0.0 as dist from asg")
 def kmedoid_assign(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_clusters(spark, sf).select("id", "cluster", "dist"), "dist")
@@ -314,7 +369,7 @@ def kmedoid_close_pair(spark: SparkSession, sf: str) -> DataFrame:
     "cum as (select id, d, row_number() over o as n, sum(w) over o as sw, sum(w * d) over o as swd from pr window o as (partition by id order by d, j rows unbounded preceding)), "
     "t as (select id, 0.5 * max(case when n = 1 + greatest(1, floor(log2((select count(*) from s)))) then d * sw - swd end) as target from cum group by 1), "
     "l as (select id, target, sw, swd, row_number() over (partition by id order by n desc) as k from cum join t using (id) where d * sw - swd <= target) "
-    "select id, round((target + swd) / sw, 6) as r from l where k = 1",
+    "select id, round((target + swd) / sw, 6) as r from l where k = 1 and sw > 0 union all select id, 0.0 from l where k = 1 and sw = 0",
 )
 def weighted_ball_radius(spark: SparkSession, sf: str) -> DataFrame:
     points = _summary(spark, sf).withColumnRenamed("weight", "w")
@@ -337,24 +392,25 @@ def mp_facilities(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.scale import neighbourhood_size
 
     points = vectors(spark, sf)
-    radii = facility_location.estimated_radii(points, 0.5 * neighbourhood_size(points, 0.999)).select("id", "v", "w", "r").persist()
+    radii = facility_location.estimated_radii(points, 0.5 * neighbourhood_size(points, 0.999)).select("id", "v", "w", "r")
+    radii = written(radii, "radii")
     return _separated(facility_location.choose(radii), radii)
 
 
-@query("mp_entropy")
+@query("mp_entropy", _LABELLED)
 def mp_entropy(spark: SparkSession, sf: str) -> DataFrame:
-    """Facilities by estimated ball radii, with the labels' entropy at each."""
+    """Facilities by estimated ball radii, and how labels mix at them."""
     points = vectors(spark, sf)
-    return rounded(assign.dispatch_labels(points, facility_location.facilities(points, 0.75), "label"), "weight", "cost", "entropy")
+    return _labelled(points, facility_location.facilities(points, 0.75), "l2")
 
 
 @query("wmp_facilities", "select true as apart, true as covered")
 def wmp_facilities(spark: SparkSession, sf: str) -> DataFrame:
-    radii = facility_location.weighted_radii(_summary(spark, sf).withColumnRenamed("weight", "w"), 0.5).persist()
+    radii = written(facility_location.weighted_radii(_summary(spark, sf).withColumnRenamed("weight", "w"), 0.5), "radii")
     return _separated(facility_location.choose(radii), radii)
 
 
-@query("wmp_weights", "select round(sum(0.5 + (vec_id % 26) / 10.0), 6)::double as weight from embeddings where vec_id % 7 = 0 and vec_id < 500")
+@query("wmp_weights", "select round(sum(0.5 + (vec_id % 26) / 10.0), 6)::double as weight from embeddings")
 def wmp_weights(spark: SparkSession, sf: str) -> DataFrame:
     found = facility_location.weighted_facilities(_summary(spark, sf).withColumnRenamed("weight", "w"))
     return found.agg(F.round(F.sum("weight"), 6).alias("weight"))
@@ -366,50 +422,63 @@ def wmp_weights(spark: SparkSession, sf: str) -> DataFrame:
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Summary, k-medoids, assignment of every vector, and agreement with the labels."""
     points = validate_points(vectors(spark, sf))
-    model = ClusterModel(10, distance="l1", iterations=25, shards=4)
-    assigned = model.transform(points, model.fit(points)).persist()
+    model = ClusterModel(10, distance="l1", iterations=25)
+    assigned = written(model.transform(points, model.fit(points)), "clusters")
     table = quality.contingency(assigned.select("id", F.col("cluster").alias("label")), points.select("id", "label"))
     cost = assigned.agg(F.sum("dist").alias("cost"))
-    return rounded(quality.information(table).crossJoin(cost), "h1", "h2", "h12", "information", "nmi_joint", "nmi_max", "nmi_mean", "nmi_sqrt", "cost")
+    return rounded(quality.information(table).crossJoin(cost), "h1", "h2", "h12", "information", "nmi_joint", "nmi_max", "nmi_mean", "nmi_sqrt", "cost")  # one row each
 
 
 query("cluster_quality")(flagship)
 
 
-@query("cluster_fit", "select true as k_centres, true as from_data")
+@query("cluster_fit", "select true as k_centres, true as from_data, true as falls")
 def cluster_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten medoids that are points; the cost of the best step is the least, and below that of the first."""
     points = vectors(spark, sf)
-    medoids = ClusterModel(10, shards=4).fit(points)
+    medoids = ClusterModel(10).fit(points)
     joined = medoids.join(points.select(F.col("id").alias("center_id"), "v"), "center_id", "left")
-    return joined.agg((F.count_distinct("center_id") == 10).alias("k_centres"), F.bool_and(F.coalesce(F.col("v") == F.col("center"), F.lit(False))).alias("from_data"))
+    falls = (F.col("total_cost") == F.array_min("history")) & (F.col("total_cost") <= F.col("history")[0])
+    return joined.agg((F.count_distinct("center_id") == 10).alias("k_centres"), F.bool_and(F.coalesce(F.col("v") == F.col("center"), F.lit(False))).alias("from_data"), F.bool_and(falls).alias("falls"))
+
+
+def _nearest_medoids(points: DataFrame, model: ClusterModel) -> DataFrame:
+    """points, ids, and whether each is at the nearest medoid, judged by the JVM's own distances."""
+    medoids = model.fit(points)
+    assigned = model.transform(points, medoids)
+    check = assign.nearest(points.select("id", "v"), medoids.select(F.col("cluster").alias("rank"), "center_id", "center"), model.distance, native=True)
+    return assigned.join(check.select("id", F.col("dist").alias("least")), "id").agg(F.count("*").alias("points"), F.count_distinct("id").alias("ids"), F.bool_and(F.abs(F.col("dist") - F.col("least")) <= 1e-9).alias("nearest"))
 
 
 @query("cluster_assign", "select count(*) as points, count(*) as ids, true as nearest from embeddings")
 def cluster_assign(spark: SparkSession, sf: str) -> DataFrame:
-    points = vectors(spark, sf)
-    model = ClusterModel(10, shards=4)
-    medoids = model.fit(points).persist()
-    assigned = model.transform(points, medoids)
-    check = assign.nearest(points, medoids.select(F.col("cluster").alias("rank"), "center_id", "center"), native=True).select("id", F.col("rank").alias("own"))
-    return assigned.join(check, "id").agg(F.count("*").alias("points"), F.count_distinct("id").alias("ids"), F.bool_and(F.col("cluster") == F.col("own")).alias("nearest"))
+    return _nearest_medoids(vectors(spark, sf), ClusterModel(10))
 
 
-@query("cluster_lines", "select count(*) as points from lineitem")
+@query("cluster_lines", "select count(*) as points, count(*) as ids, true as nearest from lineitem")
 def cluster_lines(spark: SparkSession, sf: str) -> DataFrame:
-    points = line_points(spark, sf)
-    centres_ = bicriteria.fit(points, 10, shards=8).persist()
-    return assign.dispatch(points, centres_.select("rank", "center_id", "center")).agg(F.sum("weight").cast("long").alias("points"))
+    """The whole clustering of all lines of orders, from a summary of a hundredth."""
+    return _nearest_medoids(line_points(spark, sf), ClusterModel(10, fraction=0.01))
 
 
-@query("kmeans_compare", "select count(*) as points, true as k_clusters from embeddings")
+@query("kmeans_compare", "select true as medoids_close, true as lines_close")
 def kmeans_compare(spark: SparkSession, sf: str) -> DataFrame:
-    """Spark's own k-means under L2, as the measure of the medoids' cost."""
+    """The cost of medoids (sum of distances, L2) against that of the centres of Spark's own k-means.
+
+    A cluster's best point costs at most twice its best centre of any kind; of lines, which are dense, at most a quarter more.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = vectors(spark, sf).select("id", array_to_vector("v").alias("features"))
-    found = KMeans(k=10, seed=1, maxIter=10).fit(rows).transform(rows)
-    return found.agg(F.count("*").alias("points"), (F.count_distinct("prediction") <= 10).alias("k_clusters"))
+    def ratio(points: DataFrame, fraction: float) -> float:
+        model = ClusterModel(10, fraction=fraction)
+        own = model.transform(points, model.fit(points)).agg(F.sum("dist")).first()[0]
+        rows = points.select("id", array_to_vector("v").alias("features"))
+        found = KMeans(k=10, seed=1, maxIter=10).fit(rows).clusterCenters()
+        means = spark.createDataFrame([(k, k, [float(x) for x in c]) for k, c in enumerate(found)], "rank long, center_id long, center array<double>")
+        return own / assign.nearest(points, means).agg(F.sum("dist")).first()[0]
+
+    return spark.createDataFrame([(ratio(vectors(spark, sf), 0.11) <= 2.0, ratio(line_points(spark, sf), 0.01) <= 1.25)], "medoids_close boolean, lines_close boolean")
 
 
 # --- agreement ---
@@ -428,9 +497,12 @@ def contingency(spark: SparkSession, sf: str) -> DataFrame:
     return _contingency(spark, sf)
 
 
-@query("contingency_dense", _near() + " select label as l1, count(*) filter (rank = 0) as \"0\", count(*) filter (rank = 50) as \"50\" from near group by 1 having count(*) filter (rank in (0, 50)) > 0")
+@query("contingency_dense", _T + ", rows as (select distinct l1 from t), cols as (select distinct l2 from t) select l1, count(*) as columns, string_agg(coalesce(n, 0)::varchar, ',' order by l2) as counts from rows cross join cols left join t using (l1, l2) group by l1")
 def contingency_dense(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.dense(_contingency(spark, sf).where("l2 in (0, 50)"), [0, 50])
+    """All columns of the dense table, in order of their labels, joined to one string."""
+    found = quality.dense(_contingency(spark, sf))
+    labels = sorted((c for c in found.columns if c != "l1"), key=int)
+    return found.select("l1", F.lit(len(labels)).cast("long").alias("columns"), F.concat_ws(",", *[F.col(f"`{c}`").cast("string") for c in labels]).alias("counts"))
 
 
 @query("row_entropy", _T + f" select l1, cast(sum(n) as bigint) as n, round({_H}, 6) + 0.0 as entropy from t group by 1")
@@ -483,6 +555,27 @@ def pair_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(scale.pair_quantiles(vectors(spark, sf), 5000), "value")
 
 
+_CHECKED = f"with {_POINTS}, sm as (select v, row_number() over (order by id) - 1 as place from (select id, v from points order by id limit 1000)), num as (select {_HEX.format(s='7a', x='j')} % (select count(*) from sm) as i, {_HEX.format(s='7b', x='j')} % (select count(*) from sm) as k from range(50000) t(j)), d as (select {_L2.format(a='x.v', b='y.v')} as d from num join sm x on x.place = i join sm y on y.place = k where i != k) "
+
+
+@query("check_distances", _CHECKED + _quantile_sql("d", "d", scale.CHECKED))
+def check_distances(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(scale.check_distances(vectors(spark, sf)), "value")
+
+
+def _scales_sql() -> str:
+    n = "(select count(*) from s)"
+    pairs = f"num as (select {_HEX.format(s='2833a', x='j')} % {n} as i, {_HEX.format(s='2833b', x='j')} % {n} as k from (select unnest(range(least(10000, {n} * ({n} - 1) // 2))) as j))"
+    d = f"d as (select {_L2.format(a='x.v', b='y.v')} as d from num join sm x on x.place = i join sm y on y.place = k where i != k)"
+    kinds = [f"select '{kind}' as kind, q, value from ({_quantile_sql(source, column, at)})" for kind, source, column, at in (("weight", "s", "weight", scale.WEIGHTS), ("distance", "d", "d", scale.DISTANCES))]
+    return f"{_S}, sm as (select v, row_number() over (order by id) - 1 as place from s), {pairs}, {d} " + " union all ".join(kinds)
+
+
+@query("summary_scales", _scales_sql())
+def summary_scales(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(scale.summary_scales(_summary(spark, sf)), "value")
+
+
 @query("weight_quantiles", f"with {_POINTS} " + _quantile_sql("points", "ww", scale.WEIGHTS))
 def weight_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(scale.quantiles(vectors(spark, sf, True), "w", scale.WEIGHTS), "value")
@@ -493,7 +586,7 @@ def weight_quantiles(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("csv_roundtrip", "select o_orderkey as id, round(o_totalprice, 6) as weight from orders")
 def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    path = f"{_shared(spark)}/csv"
+    path = shared_path(spark, "csv")
     rows = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("weight"))
     write_csv(rows, path, "id", "weight")
     return rounded(spark.read.csv(path, header=True, schema="id long, weight double", mode="FAILFAST"), "weight")
@@ -501,30 +594,22 @@ def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("csv_labelled", "select o_orderkey % 10 as label, count(*) as n, round(sum(o_totalprice), 2) as total from orders group by 1")
 def csv_labelled(spark: SparkSession, sf: str) -> DataFrame:
-    path = f"{_shared(spark)}/labelled"
+    path = shared_path(spark, "labelled")
     rows = spark.read.parquet(f"{sf}/orders.parquet").select((F.col("o_orderkey") % 10).alias("label"), F.col("o_totalprice").alias("p0"), F.col("o_custkey").alias("p1"))
     write_csv(rows, path, "label", "p0", "p1")
     return read_labelled_csv(spark, path, 2).groupBy(F.col("label").cast("long").alias("label")).agg(F.count_distinct("id").alias("n"), F.round(F.sum(F.col("v")[0]), 2).alias("total"))
 
 
-def _shared(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster shares; a temporary one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    import uuid
-
-    return f"{named.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 @query("stream_bmor", "select count(*)::double as weight, true as bounded from events")
 def stream_bmor(spark: SparkSession, sf: str) -> DataFrame:
-    """Facilities of the events, read as a stream of (value, hour) vectors in several triggers."""
+    """Facilities of the events, read as a stream of (value, hour) vectors, a file in each trigger."""
     source = f"{sf}/events.parquet"
     schema = spark.read.parquet(source).schema
     events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{source}*")
     v = F.array(F.col("value") / 100, F.hour("ts") / 24.0)
     points = events.select(F.col("event_id").alias("id"), v.alias("v"), F.lit(1.0).alias("w"))
     n = spark.read.parquet(source).count()
-    out = _shared(spark)
+    out = shared_path(spark, "stream")
     emitted = stream_facilities(points, 10, max(1, n // 4), shards=4)
     write = lambda batch, number: batch.write.mode("append").parquet(f"{out}/facilities")
     running = emitted.writeStream.outputMode("update").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import written
+
 
 def points(df: DataFrame, *, id: str = "id", vector: str = "v", weight: str | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
     """id, v, w and the extra columns; the weight is 1 if no column is named."""
@@ -17,14 +19,26 @@ def points(df: DataFrame, *, id: str = "id", vector: str = "v", weight: str | No
     return df.select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), w.alias("w"), *extra)
 
 
-def validate_points(df: DataFrame) -> DataFrame:
-    """df, after one pass that raises for null ids, null or ragged vectors, values that aren't finite, and
-    weights that are negative or not finite."""
+#: Least and greatest value of each type of component, and whether it takes whole numbers only.
+ELEMENTS = {
+    "u8": (0, 2**8 - 1, True), "u16": (0, 2**16 - 1, True), "u32": (0, 2**32 - 1, True), "i32": (-(2**31), 2**31 - 1, True),
+    "f32": (-3.4028234663852886e38, 3.4028234663852886e38, False), "f64": (None, None, False),
+}
+
+
+def validate_points(df: DataFrame, element: str = "f64") -> DataFrame:
+    """df, after one pass that raises for null ids, null or ragged vectors, values that aren't finite or don't fit the
+    type of the components, and weights that are negative or not finite."""
+    if element not in ELEMENTS:
+        raise ValueError(f"unknown type {element!r}; there are {', '.join(ELEMENTS)}")
+    low, high, whole = ELEMENTS[element]
+    unfit = lambda x: F.lit(False) if low is None else (x < low) | (x > high) | (F.lit(whole) & (x != F.floor(x)))
     bad_value = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     found = df.agg(
         F.count_if(F.col("id").isNull()).alias("null ids"),
         F.count_if(F.col("v").isNull() | (F.size("v") == 0)).alias("null or empty vectors"),
         F.count_if(bad_value).alias("values that aren't finite"),
+        F.count_if(F.exists("v", unfit)).alias(f"values that don't fit {element}"),
         F.count_if(F.col("w").isNull() | F.isnan("w") | (F.col("w") < 0) | (F.col("w") == float("inf"))).alias("bad weights"),
         (F.coalesce(F.max(F.size("v")) - F.min(F.size("v")), F.lit(0))).alias("difference of lengths"),
     ).first()
@@ -51,14 +65,14 @@ def read_labelled_csv(spark: SparkSession, path: str, values: int) -> DataFrame:
 
 def _numbered(rows: DataFrame) -> DataFrame:
     """Gapless ids in order of file and place, by counts of each partition rather than one sort of all rows."""
-    rows = rows.repartitionByRange("_file", "_at").sortWithinPartitions("_file", "_at").withColumn("_part", F.spark_partition_id()).persist()
+    rows = rows.repartitionByRange("_file", "_at").sortWithinPartitions("_file", "_at").withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+    rows = written(rows, "numbered")  # a line's partition and place have to be the same in both passes
     counts = {r["_part"]: r["count"] for r in rows.groupBy("_part").count().collect()}
     starts, total = {}, 0
     for part in sorted(counts):
         starts[part], total = total, total + counts[part]
     base = F.create_map(*[F.lit(x) for pair in starts.items() for x in pair]) if starts else F.create_map(F.lit(0), F.lit(0))
-    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    return rows.withColumn("id", (base[F.col("_part")] + place).cast("long")).drop("_file", "_at", "_part")
+    return rows.withColumn("id", (base[F.col("_part")] + F.col("_place")).cast("long")).drop("_file", "_at", "_part", "_place")
 
 
 def read_idx(spark: SparkSession, path: str) -> DataFrame:

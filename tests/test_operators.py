@@ -66,6 +66,43 @@ def test_many_centres_in_blocks(spark, monkeypatch):
         assign.nearest(df, as_centres(df.where("id < 0")))
 
 
+@pytest.mark.parametrize("how", ["numpy", "native", "blocks"])
+def test_points_without_a_distance(spark, monkeypatch, how):
+    """Null, ragged and NaN vectors have no nearest centre and leave the others alone; rank and dist are replaced."""
+    nan = float("nan")
+    rows = [(0, [1.0, 2.0], 7, 8.0), (1, None, 7, 8.0), (2, [4.0, 6.0], 7, 8.0), (3, [1.0], 7, 8.0), (4, [nan, 1.0], 7, 8.0), (5, [1.0, None], 7, 8.0), (6, [], 7, 8.0)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, rank int, dist double").repartition(9, "id")
+    centres = spark.createDataFrame([(3, 30, [1.0, 2.0]), (5, 50, [9.0, 9.0]), (6, 60, [nan, nan])], "rank long, center_id long, center array<double>")
+    if how == "blocks":
+        monkeypatch.setattr(assign, "MOST_VALUES", 2)
+    found = assign.nearest(df, centres, native=how == "native")
+    assert found.columns == ["id", "v", "rank", "dist"]
+    got = {r.id: (r["rank"], r.dist) for r in found.collect()}
+    assert got == {0: (3, 0.0), 2: (3, 5.0)} | dict.fromkeys((1, 3, 4, 5, 6), (None, None))
+    assert assign.nearest(df.where("id < 0"), centres, native=how == "native").count() == 0
+    assert {r.id: r.matched for r in assign.within(df, centres, 1.0).collect()} == {0: True} | dict.fromkeys(range(1, 7), False)
+    assert assign.dispatch(df.withColumn("w", F.lit(1.0)), centres).agg(F.sum("weight")).first()[0] == 2.0
+    odd = centres.unionByName(spark.createDataFrame([(9, 9, [1.0])], centres.schema))
+    with pytest.raises(ValueError, match="length"):
+        assign.nearest(df, odd)
+
+
+def test_operators_of_points_raise_for_null_vectors(spark):
+    df = frame(spark, [(k, [float(k), 1.0], 1.0) for k in range(20)] + [(20, None, 1.0)]).coalesce(1)
+    for run in (lambda: bicriteria.fit(df, 2, shards=1), lambda: facility_location.weighted_radii(df, 0.5), lambda: facility_location.choose(df.withColumn("r", F.lit(0.5)))):
+        with pytest.raises(Exception, match="null or differ"):
+            run().collect()
+
+
+def test_facility_records(spark):
+    df = line(spark, [0, 1, 5])
+    more = assign.insert_facility(as_centres(df), 9, [7.0])
+    assert [tuple(r) for r in assign.facility(more, 3).collect()] == [(3, 9, [7.0])]
+    assert assign.facility(more, 4).count() == 0
+    found = {r["rank"]: r["mean"] for r in assign.mean_costs(assign.dispatch(line(spark, [0, 2, 6]), more)).collect()}
+    assert found == {0: 0.0, 1: 1.0, 2: 1.0, 3: None}
+
+
 def test_validation(spark):
     good = line(spark, [1, 2])
     assert src.validate_points(good) is good
@@ -142,6 +179,20 @@ def test_distribution_and_draws(spark):
     assert abs(sensitivity.sampling_distribution(same_place).agg(F.sum("p")).first()[0] - 1) < 1e-9
 
 
+def test_draws_find_their_interval(spark):
+    """Each draw belongs to the interval that holds it, however heavy an interval is and however ranges are cut."""
+    rng = np.random.default_rng(3)
+    for heavy in (0, 25, 49):
+        p = rng.uniform(0.001, 1, 50)
+        p[heavy] = 60
+        df = spark.createDataFrame([(k, float(x / p.sum())) for k, x in enumerate(p)], "id long, p double")
+        cdf = sensitivity.intervals(df).orderBy("id").toPandas()
+        u = sensitivity.uniforms(spark, 3000, 5).toPandas().u.to_numpy()
+        want = np.bincount(np.searchsorted(cdf.lo.to_numpy(), u, "right") - 1, minlength=50)
+        got = {r.id: r.n for r in sensitivity.draw(df, 3000, 5).collect()}
+        assert got == {k: n for k, n in enumerate(want.tolist()) if n}
+
+
 def test_seven_values(spark):
     values = [0.1, 0.2, 0.2, 0.1, 0.3, 0.05, 0.05]
     df = spark.createDataFrame(list(enumerate(values)), "id long, p double")
@@ -164,7 +215,9 @@ def test_k_medoids_finds_clear_clusters():
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(c, 0.1, (30, 2)) for c in (0, 10, 20)])
     d = dist.get("l2").block(x, x)
-    centres, _, member, _, cost = kmedoids.search(d, np.ones(90), 3, 25)
+    centres, _, member, history = kmedoids.search(d, np.ones(90), 3, 25)
+    cost = min(history)
+    assert len(history) == 25
     assert sorted(np.bincount(member).tolist()) == [30, 30, 30] and sorted(centres // 30) == [0, 1, 2]
     assert cost <= d[:, [15, 45, 75]].min(1).sum() + 1e-9
 
@@ -193,6 +246,64 @@ def test_weighted_facilities(spark):
     assert abs(facility_location.weighted_facilities(df, 1.0, weighted=False).agg(F.sum("weight")).first()[0] - 11) < 1e-9
 
 
+@pytest.mark.parametrize("alfa", [0.3, 1.0, 5.0])
+def test_weighted_radii(spark, monkeypatch, alfa):
+    """The worth of the ball of radius r is alfa times that of the nearest ones, also if the points come in blocks."""
+    monkeypatch.setattr(facility_location, "SAMPLED", 13)
+    monkeypatch.setattr(facility_location, "TOGETHER", 2)
+    rng = np.random.default_rng(12)
+    x, w = np.round(rng.normal(size=(60, 2)), 1), rng.uniform(0.5, 3, 60)
+    df = frame(spark, [(k, v.tolist(), float(a)) for k, (v, a) in enumerate(zip(x, w, strict=True))])
+    found = {r.id: r.r for r in facility_location.weighted_radii(df, alfa).collect()}
+    d = dist.get("l2").block(x, x)
+    worth = lambda k, r: (w * np.maximum(0, r - d[k])).sum()
+    for k in range(60):
+        target = alfa * worth(k, np.sort(d[k])[5])
+        assert abs(worth(k, found[k]) - target) <= 1e-9 * max(1, target) and (target > 0 or found[k] == 0)
+
+
+def test_shards_are_merged_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(bicriteria, "GROUP", 3)
+    df = line(spark, np.random.default_rng(1).normal(size=600))
+    found = bicriteria.fit(df, 4, shards=20).collect()
+    assert abs(sum(r.weight for r in found) - 600) < 1e-9 and len(found) <= bicriteria.facility_bound(4, 600, 2.0)
+    bounds = bicriteria.states(df, 4, shards=20).collect()
+    assert len(bounds) == 20 and sum(r.weight for r in bounds) == 600 and all(r.total_cost <= r.most_cost and r.inserted >= r.weight for r in bounds)
+
+
+def test_stream_keeps_its_state(spark, tmp_path):
+    """Several files, one in each trigger: kept state is read back, and the result is that of one file."""
+    from corelake.streaming.facilities import merge, stream_facilities
+
+    rng = np.random.default_rng(2)
+    rows = [(k, [float(x)], 1.0) for k, x in enumerate(rng.normal(size=300) * 4)]
+    found = {}
+    for files in (1, 5):
+        folder, out = tmp_path / f"in{files}", tmp_path / f"out{files}"
+        for k in range(files):
+            frame(spark, rows[300 * k // files : 300 * (k + 1) // files]).coalesce(1).write.mode("append").parquet(str(folder))
+        points = spark.readStream.schema("id long, v array<double>, w double").option("maxFilesPerTrigger", 1).parquet(str(folder))
+        emitted = stream_facilities(points, 3, 150, shards=2)
+        write = lambda batch, number, out=out: batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(str(out))
+        emitted.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / f"c{files}")).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+        got = spark.read.parquet(str(out))
+        assert got.select("batch").distinct().count() == files
+        found[files] = merge(got.drop("batch"), 3).agg(F.sum("weight")).first()[0]
+    assert found == {1: 300.0, 5: 300.0}
+
+
+def test_written_results(spark, tmp_path):
+    df = line(spark, range(30))
+    model = ClusterModel(3, fraction=0.5, shards=2)
+    assigned = model.transform(df, model.fit(df))
+    model.write(assigned, str(tmp_path / "c"))
+    want = {(r.id, r.center_id) for r in assigned.collect()}
+    assert {(int(r.id), int(r.center_id)) for r in spark.read.csv(str(tmp_path / "c"), header=True).collect()} == want
+    found = bicriteria.fit(df, 3, shards=2)
+    src.write_facilities(found, str(tmp_path / "f"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "f")).collect())) == sorted(map(tuple, found.collect()))
+
+
 def test_radii_count_over_the_whole_sample(spark, monkeypatch):
     x = np.random.default_rng(8).normal(size=(200, 2))
     df = frame(spark, [(k, v.tolist(), 1.0) for k, v in enumerate(x)])
@@ -209,9 +320,39 @@ def test_radii_count_over_the_whole_sample(spark, monkeypatch):
 def test_choice_in_rounds(spark, monkeypatch):
     rng = np.random.default_rng(4)
     df = frame(spark, [(k, rng.uniform(0, 10, 2).tolist(), 1.0) for k in range(120)]).withColumn("r", F.lit(0.6))
-    whole = facility_location.choose(df).collect()
+    whole = sorted(facility_location.choose(df).collect())
     monkeypatch.setattr(facility_location, "ROUND", 16)
-    assert facility_location.choose(df).collect() == whole
+    assert sorted(facility_location.choose(df).collect()) == whole
+
+
+def test_quantiles_by_ranges(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=300), np.zeros(200)])
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
+    at = (0.0, 0.013, 0.5, 0.77, 1.0)
+    whole = sorted(map(tuple, scale.quantiles(df, "x", at).collect()))
+    monkeypatch.setattr(scale, "IN_ONE_TASK", 10)
+    parts = sorted(map(tuple, scale.quantiles(df, "x", at).collect()))
+    assert np.allclose(whole, parts) and np.allclose([v for _, v in whole], np.quantile(x, at))
+
+
+def test_recentring_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(k, rng.normal(size=2).tolist(), float(rng.uniform(0.5, 2)), k % 10 // 8) for k in range(90)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, weight double, cluster long")
+    whole = sorted((r.cluster, r.center_id, round(r.cost, 9)) for r in kmedoids.recentred(df).collect())
+    monkeypatch.setattr(kmedoids, "PART", 7)
+    assert sorted((r.cluster, r.center_id, round(r.cost, 9)) for r in kmedoids.recentred(df).collect()) == whole
+
+
+def test_component_types(spark):
+    df = line(spark, [1, 255])
+    assert src.validate_points(df, "u8") is df
+    for values, kind in (([256], "u8"), ([0.5], "u16"), ([-1], "u32"), ([1e39], "f32")):
+        with pytest.raises(ValueError, match=f"fit {kind}"):
+            src.validate_points(line(spark, values), kind)
+    with pytest.raises(ValueError, match="unknown type"):
+        src.validate_points(df, "u7")
 
 
 def test_scales(spark):
