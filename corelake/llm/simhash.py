@@ -225,7 +225,9 @@ def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shingle
     # one narrow row for each class: what stays is known before any text is shuffled
     narrow = prints.select("id", "fp").join(classes, "fp")
     first = narrow.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("m"))
-    winners = written(first.select(F.col("m.id").alias("_id"), F.col("m.fp").alias("_fp")), "kept")
-    kept = prints.join(winners, F.col("id").eqNullSafe(F.col("_id")) & (F.col("fp") == F.col("_fp")), "left_semi")
-    chosen = Window.partitionBy("id", "fp").orderBy(F.xxhash64(F.col(f"doc.`{text}`").cast("string")))
+    keyed = lambda df: df.withColumns({"none": F.col("id").isNull(), "id": F.coalesce("id", F.lit(0).cast("long"))})
+    winners = written(keyed(first.select("m.id", "m.fp")), "kept")
+    # the join and the choice among repeated rows share one shuffle
+    kept = keyed(prints).join(winners, ["id", "none", "fp"], "left_semi")
+    chosen = Window.partitionBy("id", "none", "fp").orderBy(F.xxhash64(F.col(f"doc.`{text}`").cast("string")))
     return kept.withColumn("_n", F.row_number().over(chosen)).where("_n = 1").select("doc.*")

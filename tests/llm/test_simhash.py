@@ -54,6 +54,7 @@ def test_odd_rows(odd):
 
 def test_many_tiles(spark, small, monkeypatch):
     monkeypatch.setattr(simhash, "LEAST_BLOCK", 4)
+    monkeypatch.setattr(simhash, "MOST_BLOCK", 4)
     monkeypatch.setattr(simhash, "CHUNK", 16)
     compare(small, radius=12)
 
