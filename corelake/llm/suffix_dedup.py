@@ -266,11 +266,11 @@ def repeated_spans(docs: DataFrame, *, id: str = "doc_id", text: str = "text", d
     equal = again.join(classes.where("c > 1").select("key", "whole", "n"), ["key", "whole", "n"])
     equal = written(equal.select("row", "size", F.col("first").alias("start"), (F.col("first") + F.col("n") + (depth - 1)).alias("stop")), "equal")
     discard(again)
-    unlike = classes.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    unlike = written(classes.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "unlike")
     wanted = classes.join(unlike, "key", "left_semi").groupBy(F.col("one.row").alias("row"), F.col("one.size").alias("size")).agg(F.collect_list(F.struct(F.col("one.first").alias("first"), "n", (F.col("c") == 1).alias("open"))).alias("wanted"))
     cut = texts.join(wanted, ["row", "size"]).select("row", "size", "text", "wanted")
     pieces = written(cut.mapInArrow(lambda b: _cut_runs(b, depth), _CUT_SCHEMA), "pieces")
-    discard(classes)
+    discard(classes, unlike)
     found = equal
     for spans in _settled(pieces, depth, shard_bytes, FINER, shard_bytes // (depth + GRID)):
         found = found.unionByName(spans)
