@@ -9,8 +9,10 @@ costs ``switch``. Equal neighbouring labels form spans.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,9 @@ from .common import map_text
 
 #: Buckets of the hashed n-grams (the model's size is this times the languages), and n-gram lengths.
 BUCKETS, SIZES = 1 << 16, (1, 2, 3, 4)
-#: Words whose scores a worker keeps; documents whose paths are found together.
-CACHED_WORDS, TOGETHER = 300_000, 2048
+#: Words whose scores a worker keeps; documents, and words, whose paths are found together; a longer document's path is
+#: found in stretches of so many words.
+CACHED_WORDS, TOGETHER, STRETCH = 300_000, 2048, 1 << 17
 #: log odds that a word's score counts for at most, and what a change of language costs.
 WORD_LIMIT, SWITCH = 8.0, 12.0
 
@@ -41,7 +44,12 @@ _STARTS = np.array([s for s, _ in SCRIPTS])
 NAMES = sorted({n for _, n in SCRIPTS})
 _NUMBER = np.array([NAMES.index(n) for _, n in SCRIPTS])
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+
+@cache
+def _letters() -> re.Pattern:
+    """Stretches of letters: word characters but for digits, the underscore and signs of other numbers, such as fractions."""
+    signs = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()]
+    return re.compile(rf"[^\W\d_{''.join(map(re.escape, signs))}]+")
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -90,14 +98,19 @@ class Model:
         share = scripts / np.maximum(1, scripts.sum(0, keepdims=True))
         allowed = share >= 0.01
         allowed[~allowed.any(1)] = True
-        self.blocked = np.where(allowed, 0.0, -np.inf).astype(np.float32)
+        self.allowed = allowed
+
+    def score(self, words: list[str], switch: float = SWITCH) -> np.ndarray:
+        """Log odds of each language against the best candidate, for each word; at least -WORD_LIMIT for a candidate.
 
-    def score(self, words: list[str]) -> np.ndarray:
-        """Log odds of each candidate language against the best one, for each word; at least -WORD_LIMIT."""
+        A language that is no candidate for the word's script gets less than two changes of language cost together
+        with that limit: no best path gives it the word.
+        """
         row, bucket = grams(words)
-        raw = np.stack([np.bincount(row, self.log[bucket, k], len(words)) for k in range(len(self.languages))], 1)
-        raw = raw / len(SIZES) + self.blocked[scripts(words)]
-        return np.maximum(raw - raw.max(1, keepdims=True), -WORD_LIMIT).astype(np.float32)
+        raw = np.stack([np.bincount(row, self.log[bucket, k], len(words)) for k in range(len(self.languages))], 1) / len(SIZES)
+        allowed = self.allowed[scripts(words)]
+        best = np.where(allowed, raw, -np.inf).max(1, keepdims=True)
+        return np.where(allowed, np.maximum(raw - best, -WORD_LIMIT), -(2 * switch + 2 * WORD_LIMIT)).astype(np.float32)
 
 
 def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", where: Column | None = None) -> Broadcast | None:
@@ -112,6 +125,7 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", where: Col
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = defaultdict(Counter)
         found: dict[str, np.ndarray] = {}
+        letters = _letters()
 
         def settle():
             for language, held in words.items():
@@ -127,7 +141,7 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", where: Col
         held = 0
         for batch in batches:
             for language, one in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts = _LETTERS.findall(one.lower())
+                parts = letters.findall(one.lower())
                 words[language].update(parts)
                 held += len(parts)
                 if held > 2_000_000:
@@ -160,10 +174,10 @@ def best_labels(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.nd
     row = np.repeat(np.arange(len(lengths)), lengths)
     total = np.stack([np.bincount(row, scores[:, k], len(lengths)) for k in range(scores.shape[1])], 1)
     constant = total.argmax(1)
-    labels = constant[row].astype(np.int8)
+    labels = constant[row].astype(np.int16)
     base = scores[np.arange(len(scores)), labels].astype(np.float64)
     unsure = np.zeros(len(lengths), bool)
-    far = -4.0 * WORD_LIMIT * (lengths.max(initial=0) + 1) * row  # each sequence lies below all before it
+    far = -2.0 * (float(np.abs(scores).max(initial=0)) + 1) * (lengths.max(initial=0) + 1) * row  # each sequence lies below all before it
     first = (np.cumsum(lengths) - lengths)[row]
     for k in range(scores.shape[1]):
         gain = scores[:, k] - base
@@ -178,7 +192,7 @@ def best_labels(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.nd
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarray:
     """The best labels of many sequences of words at once; scores are those of all words, sequence by sequence."""
-    labels = np.zeros(len(scores), np.int8)
+    labels = np.zeros(len(scores), np.int16)
     kinds = scores.shape[1]
     order = np.argsort(-lengths, kind="stable")
     starts = (np.cumsum(lengths) - lengths)[order]
@@ -187,12 +201,9 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarra
     active = np.searchsorted(-length, -np.arange(1, int(length.max(initial=0)) + 1), "right")
     back = []  # for each step: the best label before it, and whether a label is reached by a change
     for t, n in enumerate(active.tolist()):
-        now = best[:n]
-        top = now.argmax(1)
-        change = now[np.arange(n), top] - switch
-        changed = now < change[:, None]
-        back.append((top.astype(np.int8), changed))
-        best[:n] = np.maximum(now, change[:, None]) + scores[starts[:n] + t]
+        now, top, changed = _step(best[:n], switch)
+        back.append((top.astype(np.int16), changed))
+        best[:n] = now + scores[starts[:n] + t]
         best[:n] -= best[:n].max(1, keepdims=True)
     label = best.argmax(1)
     for t in range(len(active) - 1, -1, -1):
@@ -203,6 +214,61 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarra
     return labels
 
 
+def _step(now: np.ndarray, switch: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(best values before the next word, label that a change comes from, whether each label is reached by a change)."""
+    top = now.argmax(1)
+    change = (now[np.arange(len(now)), top] - switch)[:, None]
+    return np.maximum(now, change), top, now < change
+
+
+def viterbi_in_stretches(n: int, scores: Callable[[int, int], np.ndarray], switch: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(start, scores, labels) of each stretch of one long sequence, the last first; scores(a, b) are those of words a to b - 1.
+
+    The forward pass keeps the values at the start of each stretch only; going back, a stretch's steps are found again.
+    """
+    cuts = list(range(0, n, STRETCH))
+    kept, best = [], None
+    for a in cuts:
+        part = scores(a, min(n, a + STRETCH))
+        best = np.zeros((1, part.shape[1]), np.float32) if best is None else best
+        kept.append(best)
+        for row in part:
+            best = _step(best, switch)[0] + row
+            best = best - best.max()
+    label = int(best.argmax())
+    for a, best in zip(reversed(cuts), reversed(kept), strict=True):
+        part = scores(a, min(n, a + STRETCH))
+        top, changed = np.zeros(len(part), np.int16), np.zeros(part.shape, bool)
+        for t, row in enumerate(part):
+            now, one, own = _step(best, switch)
+            top[t], changed[t] = one[0], own[0]
+            best = now + row
+            best = best - best.max()
+        labels = np.zeros(len(part), np.int16)
+        for t in range(len(part) - 1, -1, -1):
+            labels[t] = label
+            label = int(top[t]) if changed[t, label] else label
+        yield a, part, labels
+
+
+def constant_label(n: int, scores: Callable[[int, int], np.ndarray], switch: float) -> int | None:
+    """The best constant label of one long sequence if no path with changes beats it for sure (see best_labels), else None."""
+    cuts = list(range(0, n, STRETCH))
+    label = int(sum(scores(a, min(n, a + STRETCH)).sum(0, dtype=np.float64) for a in cuts).argmax())
+    upto, least = None, None  # sums of what each label gains on the constant one, and their least so far
+    for a in cuts:
+        part = scores(a, min(n, a + STRETCH)).astype(np.float64)
+        gain = part - part[:, label : label + 1]
+        upto = np.zeros(gain.shape[1]) if upto is None else upto
+        least = upto.copy() if least is None else least
+        sums = upto + np.cumsum(gain, axis=0)
+        before = np.minimum.accumulate(np.vstack([np.minimum(least, upto), sums]), axis=0)
+        if (sums - before[:-1]).max() >= switch / 2 - 1e-3:
+            return None
+        upto, least = sums[-1], before[-1]
+    return label
+
+
 def identify(docs: DataFrame, model: Broadcast | None, *, text: str = "text", switch: float = SWITCH, keep: list[str] | None = None) -> DataFrame:
     """One row for each row of docs: doc, lang_pred, score, spans (start and end in words, lang).
 
@@ -214,63 +280,89 @@ def identify(docs: DataFrame, model: Broadcast | None, *, text: str = "text", sw
 
     def make():
         own = model.value if model is not None else None
+        letters = _letters()
         number: dict[str, int] = {}
         table = np.zeros((0, 1), np.float32)
 
-        def scored(words: list[list[str]]) -> np.ndarray:
+        def scored(words: list[str]) -> np.ndarray:
             nonlocal table
             if len(number) > CACHED_WORDS:
                 number.clear()
                 table = table[:0]
-            new = set().union(*words) - number.keys()
-            if new:
-                names = list(new)
-                rows = [own.score(names[k : k + 16 * TOGETHER]) for k in range(0, len(names), 16 * TOGETHER)]
+            names = list(set(words) - number.keys())
+            if names:
+                rows = [own.score(names[k : k + 16 * TOGETHER], switch) for k in range(0, len(names), 16 * TOGETHER)]
                 number.update(zip(names, range(len(number), len(number) + len(names)), strict=True))
                 table = np.concatenate([table.reshape(-1, len(own.languages)), *rows])
-            flat = [number[w] for one in words for w in one]
-            return table[np.array(flat, np.int64)]
+            return table[np.array([number[w] for w in words], np.int64)]
 
-        def run_some(texts):
-            words = [_LETTERS.findall(t.lower()) if t and own else [] for t in texts]
-            lengths = np.array([len(w) for w in words])
-            if not lengths.sum():
-                return [("und", 0.0, [])] * len(texts)
-            scores = scored(words)
-            labels = best_labels(scores, lengths, switch)
-            sizes = np.array([len(w) for one in words for w in one])
+        def sums(scores: np.ndarray, labels: np.ndarray, words: list[str], row: np.ndarray, n: int) -> list[np.ndarray]:
+            """For each of n texts and each language: letters, letters by certainty, and sum of scores."""
             kinds = len(own.languages)
-            row = np.repeat(np.arange(len(texts)), lengths)
-            letters = np.bincount(row * kinds + labels, sizes, len(texts) * kinds).reshape(-1, kinds)
-            chosen = letters.argmax(1)
+            sizes = np.array([len(w) for w in words])
             odds = np.exp(scores)
             certain = odds[np.arange(len(labels)), labels] / odds.sum(1)
-            mine = labels == chosen[row]
-            sure = np.bincount(row[mine], (certain * sizes)[mine], len(texts))
+            cell = row * kinds + labels
+            by = lambda x: np.bincount(cell, x, n * kinds).reshape(-1, kinds)
+            return [by(sizes), by(certain * sizes), np.stack([np.bincount(row, scores[:, k], n) for k in range(kinds)], 1)]
+
+        def rows(found: list[np.ndarray], labels: list[np.ndarray]) -> list[tuple]:
+            """lang_pred, score and spans of each text, from its sums and labels."""
+            size, certain, total = found
+            chosen, at = size.argmax(1), np.arange(len(size))
             # a long text's words support each other: certainty of the whole from the sum of log odds
-            total = np.stack([np.bincount(row, scores[:, k], len(texts)) for k in range(kinds)], 1)
             whole = np.exp(total - total.max(1, keepdims=True))
-            whole = whole[np.arange(len(texts)), chosen] / whole.sum(1)
-            share = letters.max(1) / np.maximum(1, letters.sum(1))
-            score = share * np.maximum(whole, sure / np.maximum(1, letters.max(1)))
+            whole = whole[at, chosen] / whole.sum(1)
+            most = size[at, chosen]
+            score = most / np.maximum(1, size.sum(1)) * np.maximum(whole, certain[at, chosen] / np.maximum(1, most))
             out = []
-            ends = np.cumsum(lengths)
-            for k in range(len(texts)):
-                if not lengths[k]:
+            for k, part in enumerate(labels):
+                if not len(part):
                     out.append(("und", 0.0, []))
                     continue
-                part = labels[ends[k] - lengths[k] : ends[k]]
                 cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
                 spans = [{"start": a, "end": b, "lang": own.languages[part[a]]} for a, b in zip(cuts, cuts[1:], strict=False)]
                 out.append((own.languages[chosen[k]], float(min(1.0, score[k])), spans))
             return out
 
+        def together(words: list[list[str]]) -> list[tuple]:
+            lengths = np.array([len(w) for w in words])
+            flat = [w for one in words for w in one]
+            if not flat:
+                return [("und", 0.0, [])] * len(words)
+            scores = scored(flat)
+            labels = best_labels(scores, lengths, switch)
+            row = np.repeat(np.arange(len(words)), lengths)
+            return rows(sums(scores, labels, flat, row, len(words)), np.split(labels, np.cumsum(lengths)[:-1]))
+
+        def alone(words: list[str]) -> tuple:
+            found, labels = None, np.zeros(len(words), np.int16)
+            pieces = lambda a, b: scored(words[a:b])
+            if (label := constant_label(len(words), pieces, switch)) is None:
+                path = viterbi_in_stretches(len(words), pieces, switch)
+            else:
+                ends = [(a, min(len(words), a + STRETCH)) for a in range(0, len(words), STRETCH)]
+                path = ((a, pieces(a, b), np.full(b - a, label, np.int16)) for a, b in ends)
+            for start, scores, part in path:
+                labels[start : start + len(part)] = part
+                one = sums(scores, part, words[start : start + len(part)], np.zeros(len(part), np.int64), 1)
+                found = one if found is None else [x + y for x, y in zip(found, one, strict=True)]
+            return rows(found, [labels])[0]
+
         def run(texts):
-            # like lengths together, so that the words of a long text don't wait in memory with many others
-            rows = []
-            for k in range(0, len(texts), TOGETHER):
-                rows += run_some(texts[k : k + TOGETHER])
-            return dict(zip(("lang_pred", "score", "spans"), zip(*rows, strict=True), strict=True)) if rows else {"lang_pred": [], "score": [], "spans": []}
+            out, held, size = [], [], 0
+            for one in texts:
+                words = letters.findall(one.lower()) if one and own else []
+                if held and (len(held) == TOGETHER or size + len(words) > STRETCH):
+                    out += together(held)
+                    held, size = [], 0
+                if len(words) > STRETCH:
+                    out.append(alone(words))
+                else:
+                    held.append(words)
+                    size += len(words)
+            out += together(held) if held else []
+            return dict(zip(("lang_pred", "score", "spans"), zip(*out, strict=True), strict=True)) if out else {"lang_pred": [], "score": [], "spans": []}
 
         return run
 
