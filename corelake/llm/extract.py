@@ -1,9 +1,12 @@
-"""Main text of web pages: page furniture goes by its tags and names, site templates by their recurrence.
+"""Main text of web pages: site templates go by their recurrence, other page furniture by its tags and names.
 
 A page is read into elements and blocks of text. Each block-level subtree has a hash of its tags and words. Spark
 counts on how many pages of a host each subtree stands; subtrees that recur on many of them are the site's
 template and are deleted, wherever they stand. Inside the article the bar is higher: there a paragraph counts as
-template only if half of the host's pages have it, since articles quote and copy each other.
+template only if half of the host's pages have it, since articles quote and copy each other. What differs from page
+to page (adverts, reader comments, breadcrumbs) or stands on hosts of few pages is known by its tags and names.
+
+Reading takes time in proportion to the page, however broken its markup is: no place is looked at again and again.
 """
 
 from __future__ import annotations
@@ -23,13 +26,66 @@ from .common import map_text, written
 #: A subtree is template if so many pages of its host, and this share of them, hold it: outside and inside articles.
 OUTSIDE, INSIDE = (5, 0.2), (10, 0.5)
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|textarea|select|iframe|object|canvas|title)\b.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
+_OPEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_IN_TAG = re.compile(r"[>=]")
+_QUOTE = re.compile(r"\s*([\"'])")
+#: Elements whose content is no text of the page, up to their end tag.
+_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in "script style noscript template svg textarea select iframe object canvas title".split()}
+_LONG_NUMBER = re.compile(r"&#(?:[xX]([0-9a-fA-F]{7,})|([0-9]{8,}));?")
+
+
+def tokens(source: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, "" or "/", tag, attributes) of the markup of a page in turn; the tag of comments and the like is empty.
+
+    A quoted value begins after an equals sign; a quote that is not closed is a sign like others. A tag that never
+    ends takes the rest of the page with it, as in browsers.
+    """
+    at, n, unclosed = 0, len(source), set()
+    while (start := source.find("<", at)) >= 0:
+        if source.startswith("<!--", start):
+            end = source.find("-->", start + 4)
+            at = n if end < 0 else end + 3
+            yield start, at, "", "", ""
+            continue
+        if source[start + 1 : start + 2] in ("!", "?"):
+            end = source.find(">", start)
+            at = n if end < 0 else end + 1
+            yield start, at, "", "", ""
+            continue
+        m = _OPEN.match(source, start)
+        if m is None:
+            at = start + 1
+            continue
+        tag = m[2].lower()
+        if not m[1] and tag in _RAW:
+            end = _RAW[tag].search(source, m.end())
+            at = n if end is None else end.end()
+            yield start, at, "", "", ""
+            continue
+        at = m.end()
+        while (sign := _IN_TAG.search(source, at)) is not None and sign[0] == "=":
+            at = sign.end()
+            quote = _QUOTE.match(source, at)
+            if quote is not None and quote[1] not in unclosed:
+                end = source.find(quote[1], quote.end())
+                if end < 0:
+                    unclosed.add(quote[1])
+                at = quote.end() if end < 0 else end + 1
+        if sign is None:
+            yield start, n, "", "", ""
+            return
+        at = sign.end()
+        yield start, at, m[1], tag, source[m.end() : at - 1]
+
+
+def _unescaped(text: str) -> str:
+    """Character references decoded; numbers beyond all characters become the replacement character."""
+    if "&#" in text:
+        number = lambda m: int(d or "0", 16 if m[1] else 10) if len(d := (m[1] or m[2]).lstrip("0")) < 8 else 0
+        text = _LONG_NUMBER.sub(lambda m: f"&#{number(m)};" if number(m) else "\ufffd", text)
+    return html.unescape(text)
+
+
 # --- fixed values: names of HTML elements, and words of class, id and role that name page furniture ---
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -49,6 +105,7 @@ _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|
 #: Elements that a start tag closes if they are open (and no container of lists or tables stands between).
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _BARRIER = frozenset("ul ol dl table menu body html article section div main".split())
+_SCOPES = frozenset("article main body".split())
 
 
 class Page:
@@ -61,24 +118,26 @@ class Page:
         self.hashes: list[int] = [0]
         self.blocks: list[tuple[int, str]] = []
         self._parts: list[list[str]] = [[]]
-        stack, pieces, last = [0], [], 0
-        for m in _TOKEN.finditer(source):
-            if m.start() > last:
-                pieces.append(source[last : m.start()])
-            last = m.end()
-            tag = m[3]
-            if tag is None:
+        self._stack: list[int] = [0]
+        # places in the stack of each open tag, of what ends the search for an end tag's start, and for a list's item
+        self._open: dict[str, list[int]] = {}
+        self._scopes: list[int] = []
+        self._barriers: list[int] = [0]
+        stack, pieces, last = self._stack, [], 0
+        for start, end, closing, tag, names in tokens(source):
+            if start > last:
+                pieces.append(source[last:start])
+            last = end
+            if not tag:
                 continue
-            tag = tag.lower()
             if tag == "br":
                 pieces.append(" ")
                 continue
             block = tag in BLOCKS
-            if m[2]:
+            if closing:
                 if block or tag in DROPPED or len(stack) > 1 and self.tags[stack[-1]] == tag:
-                    self._close(stack, tag, pieces)
+                    self._close(tag, pieces)
                 continue
-            names = m[4]
             ruled = tag in DROPPED or tag == "header"
             if len(names) > 4:
                 ruled = ruled or _furniture(names)
@@ -89,54 +148,66 @@ class Page:
                 continue
             if block and tag not in _CLOSES:
                 while self.tags[stack[-1]] == "p" or self.tags[stack[-1]] not in BLOCKS and self.tags[stack[-1]] not in DROPPED and "p" in (self.tags[s] for s in stack[-3:]):
-                    self._pop(stack)
-            for k in range(len(stack) - 1, 0, -1):
-                if self.tags[stack[k]] in _BARRIER:
-                    break
-                if self.tags[stack[k]] in _CLOSES.get(tag, ()):
-                    while len(stack) > k:
-                        self._pop(stack)
-                    break
+                    self._pop()
+            if tag in _CLOSES:
+                k = max((self._open[t][-1] for t in _CLOSES[tag] if self._open.get(t)), default=0)
+                if k > self._barriers[-1]:
+                    self._pop_to(k)
             self.tags.append(tag)
             self.parents.append(stack[-1])
             self.ruled.append(ruled)
             self.hashes.append(0)
             self._parts.append([])
             if not names.endswith("/") or block:
-                stack.append(len(self.tags) - 1)
+                self._push(tag)
         pieces.append(source[last:])
         self._flush(stack[-1], pieces)
-        while len(stack) > 1:
-            self._pop(stack)
+        self._pop_to(1)
+
+    def _push(self, tag: str) -> None:
+        k = len(self._stack)
+        self._stack.append(len(self.tags) - 1)
+        self._open.setdefault(tag, []).append(k)
+        if tag in _SCOPES:
+            self._scopes.append(k)
+        if tag in _BARRIER:
+            self._barriers.append(k)
 
     def _flush(self, element: int, pieces: list[str]) -> None:
         if pieces:
             text = "".join(pieces)
             if "&" in text:
-                text = html.unescape(text)
+                text = _unescaped(text)
             if text := " ".join(text.split()):
                 self.blocks.append((element, text))
                 self._parts[element].append(text)
             pieces.clear()
 
-    def _pop(self, stack: list[int]) -> None:
-        k = stack.pop()
+    def _pop_to(self, depth: int) -> None:
+        while len(self._stack) > depth:
+            self._pop()
+
+    def _pop(self) -> None:
+        k = self._stack.pop()
+        tag = self.tags[k]
+        self._open[tag].pop()
+        if tag in _SCOPES:
+            self._scopes.pop()
+        if tag in _BARRIER:
+            self._barriers.pop()
         parts = self._parts[k]
         if parts:
-            digest = xxhash.xxh3_64_intdigest("\x1f".join([self.tags[k], *parts]).encode("utf-8", "surrogatepass"))
+            digest = xxhash.xxh3_64_intdigest("\x1f".join([tag, *parts]).encode("utf-8", "surrogatepass"))
             self.hashes[k] = digest - (1 << 63)
             self._parts[self.parents[k]].append(f"{digest:x}")
             parts.clear()
 
-    def _close(self, stack: list[int], tag: str, pieces: list[str]) -> None:
-        self._flush(stack[-1], pieces)
-        for k in range(len(stack) - 1, 0, -1):
-            if self.tags[stack[k]] == tag:
-                while len(stack) > k:
-                    self._pop(stack)
-                return
-            if self.tags[stack[k]] in ("article", "main", "body") and tag not in ("body", "html"):
-                return  # an end tag without a start doesn't end the article
+    def _close(self, tag: str, pieces: list[str]) -> None:
+        self._flush(self._stack[-1], pieces)
+        k = self._open[tag][-1] if self._open.get(tag) else 0
+        # an end tag without a start doesn't end the article
+        if k and (tag in ("body", "html") or not self._scopes or k >= self._scopes[-1]):
+            self._pop_to(k)
 
     def inside(self) -> list[bool]:
         """Whether each element is an article, or lies in one (or in the main element if there is no article)."""
@@ -148,32 +219,42 @@ class Page:
             out[k] = out[self.parents[k]] or tags[k] == scope and not dropped[k]
         return out
 
-    def _dropped(self, templates: frozenset[int]) -> list[bool]:
+    def _dropped(self, templates: frozenset[int]) -> list[str]:
+        """Why each element goes: "template", "rule", or "" if it stays."""
         tags, parents = self.tags, self.parents
-        holds = [t in ("article", "main", "body") for t in tags]
+        holds = [t in _SCOPES for t in tags]
         content = [t in ("article", "main") for t in tags]
         for k in range(len(tags) - 1, 0, -1):
             holds[parents[k]] |= holds[k]
-        out = [False] * len(tags)
+        out = [""] * len(tags)
         within = [False] * len(tags)
         for k in range(1, len(tags)):
             within[k] = within[parents[k]] or content[k]
-            own = self.ruled[k] and not holds[k] and not (tags[k] == "header" and within[k])
+            if out[parents[k]]:
+                out[k] = out[parents[k]]
+            elif self.hashes[k] in templates and not holds[k]:
+                out[k] = "template"
             # reader comments are often articles of their own
-            own = own or self.ruled[k] and tags[k] == "article" and within[parents[k]]
-            out[k] = out[parents[k]] or own or self.hashes[k] in templates and not holds[k]
+            elif self.ruled[k] and (not holds[k] and not (tags[k] == "header" and within[k]) or tags[k] == "article" and within[parents[k]]):
+                out[k] = "rule"
         return out
 
     def text(self, templates: frozenset[int] = frozenset()) -> str:
+        return self.result(templates)[0]
+
+    def result(self, templates: frozenset[int]) -> tuple[str, int, int]:
+        """The text, and how many blocks went as parts of templates and by rules."""
         dropped = self._dropped(templates)
         inside = self.inside()
         scoped = any(inside)
-        return "\n".join(t for k, t in self.blocks if not dropped[k] and (inside[k] or not scoped))
+        why = [dropped[k] for k, _ in self.blocks]
+        text = "\n".join(t for k, t in self.blocks if not dropped[k] and (inside[k] or not scoped))
+        return text, why.count("template"), why.count("rule")
 
     def subtrees(self) -> dict[int, bool]:
-        """Hashes of the block-level subtrees with text that no rule drops; whether they lie inside the article."""
-        dropped, inside = self._dropped(frozenset()), self.inside()
-        return {h: inside[k] for k, h in enumerate(self.hashes) if h and not dropped[k] and self.tags[k] not in ("article", "main", "body", "html")}
+        """Hashes of the block-level subtrees with text; whether they lie inside the article."""
+        inside = self.inside()
+        return {h: inside[k] for k, h in enumerate(self.hashes) if h and self.tags[k] not in ("article", "main", "body", "html")}
 
 
 def _furniture(attributes: str) -> bool:
@@ -206,11 +287,11 @@ def site_templates(pages: DataFrame) -> DataFrame:
 
 
 def extract_main_text(pages: DataFrame, *, url: str = "url", source: str = "html", keep: list[str] | None = None) -> DataFrame:
-    """One row for each row of pages: doc and text.
+    """One row for each row of pages: doc, text, and the blocks that went as parts of templates and by rules (longs).
 
     Null or empty html gives an empty text. Pages without a host in their url have no template removed. White
     space in a block becomes one space, blocks are joined by a newline in page order; nothing else is cut.
-    Repeated rows count as pages of their own and each get their row.
+    Repeated rows count as pages of their own and each get their row. Columns of any name are kept in doc.
     """
     kept = pages.columns if keep is None else keep
     host = F.lower(F.regexp_extract(F.coalesce(F.col(f"`{url}`").cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
@@ -219,7 +300,8 @@ def extract_main_text(pages: DataFrame, *, url: str = "url", source: str = "html
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [Page(s or "").text(frozenset(t or ())) for s, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc", "text"])
+            found = [Page(s or "").result(frozenset(t or ())) for s, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            texts, templates, rules = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(templates, pa.int64()), pa.array(rules, pa.int64())], names=["doc", "text", "by_template", "by_rule"])
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc"], T.StructField("text", T.StringType())]))
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc"], *T.StructType.fromDDL("text string, by_template long, by_rule long").fields]))
