@@ -1,34 +1,36 @@
 """Quality by co-training: a classifier of the text and one of the metadata teach each other, then score all.
 
-The two views are fitted on a bounded sample of labelled rows. In each round, either view labels those rows of an
-unlabelled pool of which it is most confident, and they join the other view's training rows. Each view is then
-calibrated on labelled rows that took no part, and the calibrated log odds are added (the views are taken as
+The two views are fitted on a bounded sample of labelled rows. In each round, either view scores all other documents
+in Spark, those of which it is most confident get its label, and they join the other view's training rows. Each view
+is then calibrated on labelled rows that took no part, and the calibrated log odds are added (the views are taken as
 independent, given the class). Two targets are learned so: good quality, and toxic. The words of the text view are
 chosen by counts that Spark takes over the sample; every document is scored in one pass.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import plain_words, written
+from .common import discard, plain_words, written
 
-#: Labelled rows and pool rows in the sample at most; words of the text view at most, and rows that hold each at least.
-LABELLED, POOL, WORDS, LEAST = 8000, 8000, 4000, 8
-#: Rounds, and pool rows that a view labels in each, for each class.
-ROUNDS, TAUGHT = 4, 100
+#: Defaults of learn(): labelled rows in the sample, words of the text view, rounds, and documents that a view labels in
+#: each round. Rows of the sample that hold a word at least, for it to be one of them.
+LABELLED, WORDS, ROUNDS, TAUGHT, LEAST = 8000, 4000, 4, 100, 8
+TARGETS = ("quality", "toxic")
 #: Steps of a fit: of the first one, and of those that start from the weights of the round before.
 FIRST_STEPS, STEPS = 300, 80
 #: Share of the labelled rows for calibration, and buckets of the metadata view.
 HELD, BUCKETS = 0.3, 512
 
+
 def text_stats(data: bytes, words: list[bytes]) -> np.ndarray:
     """Shares of signs, capitals, digits and white space, and how the words repeat."""
     counts = np.bincount(np.frombuffer(data, np.uint8), minlength=256).astype(np.float64)
@@ -42,6 +44,10 @@ def text_stats(data: bytes, words: list[bytes]) -> np.ndarray:
     return np.concatenate([shares, rest])
 
 
+#: Numbers that text_stats gives.
+STATS = len(text_stats(b"", []))
+
+
 def metadata(source: str | None, lang: str | None, n_chars: float | None) -> list[int]:
     """Buckets of what is known about a document besides its text; a null is a value of its own."""
     size = None if n_chars is None else int(np.log2(max(1.0, n_chars)) * 2)
@@ -52,24 +58,16 @@ def metadata(source: str | None, lang: str | None, n_chars: float | None) -> lis
 class Sparse:
     """A matrix of rows with column numbers (value 1) beside a dense part."""
 
-    def __init__(self, dense: np.ndarray, columns: list[list[int]], width: int):
-        self.dense, self.width = dense, width
-        self.size = np.array([len(c) for c in columns], np.int64)
-        self.column = np.array([k for c in columns for k in c], np.int64)
-        self.row = np.repeat(np.arange(len(columns)), self.size)
+    def __init__(self, dense: np.ndarray, column: np.ndarray, size: np.ndarray, width: int):
+        """size: how many of column belong to each row."""
+        self.dense, self.width, self.column, self.size = dense, width, column, size
+        self.row = np.repeat(np.arange(len(size)), size)
         # long texts hold more words; their weights are damped alike
-        self.value = 1 / np.sqrt(1 + np.log1p(self.size))[self.row] if len(columns) else np.zeros(0)
-
-    def take(self, rows: np.ndarray) -> Sparse:
-        """The rows alone."""
-        out = Sparse.__new__(Sparse)
-        out.dense, out.width, out.size = self.dense[rows], self.width, self.size[rows]
-        start = (np.cumsum(self.size) - self.size)[rows]
-        total = np.cumsum(out.size)
-        place = np.repeat(start - (total - out.size), out.size) + np.arange(total[-1] if len(total) else 0)
-        out.row = np.repeat(np.arange(len(rows)), out.size)
-        out.column, out.value = self.column[place], self.value[place]
-        return out
+        self.value = 1 / np.sqrt(1 + np.log1p(size))[self.row]
+
+    @classmethod
+    def of(cls, dense: list, columns: list[list[int]], width: int, deep: int) -> Sparse:
+        return cls(np.array(dense, np.float64).reshape(len(columns), deep), np.array([k for c in columns for k in c], np.int64), np.array([len(c) for c in columns], np.int64), width)
 
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.value * w[self.column], len(self.size)) + self.dense @ w[self.width :]
@@ -110,37 +108,45 @@ def calibrate(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a / scale, b
 
 
-def co_train(views: tuple[Sparse, Sparse], y: np.ndarray, held: np.ndarray) -> list[tuple[np.ndarray, float, float]]:
-    """(weights, slope, offset) of each view, and the prior log odds last. y: 0, 1 or -1 for the pool; held: rows for calibration."""
-    taught = [np.where(held, -1, y).astype(np.float64) for _ in views]
-    weights = [np.zeros(v.width + v.dense.shape[1]) for v in views]
-    for turn in range(ROUNDS + 1):
-        for k, view in enumerate(views):
-            rows = np.flatnonzero(taught[k] >= 0)
-            weights[k] = fit(view.take(rows), taught[k][rows], weights[k], FIRST_STEPS if turn == 0 else STEPS)
-        if turn == ROUNDS:
+def views(features: list[tuple], words: int) -> tuple[Sparse, Sparse]:
+    """The text view and the metadata view of rows of features."""
+    return Sparse.of([f[0] for f in features], [f[1] for f in features], words, STATS), Sparse.of([[1.0]] * len(features), [f[2] for f in features], BUCKETS, 1)
+
+
+def co_train(features: list[tuple], labels: dict[str, np.ndarray], held: np.ndarray, words: int, confident: Callable, rounds: int, taught: int) -> dict[str, list]:
+    """For each target (weights, slope, offset) of each view, and the prior log odds last.
+
+    features and labels (0, 1, or -1 if unknown) are those of the sample, held its rows for calibration. confident(weights,
+    known, most) gives for (target, view, side) the documents, as (id, features), of which the view is most confident;
+    known has the ids that each view was taught, which the other view passes over, and most how many are wanted.
+    """
+    weights, extra = {}, {(t, v): [] for t in labels for v in (0, 1)}
+    most = {}
+    for t, y in labels.items():
+        own = y[(y >= 0) & ~held]
+        share = own.mean() if len(own) else 0.5
+        most[t, 1], most[t, 0] = max(1, int(taught * share)), max(1, int(taught * (1 - share)))
+    for turn in range(rounds + 1):
+        for (t, v), more in extra.items():
+            own = np.flatnonzero((labels[t] >= 0) & ~held)
+            x = views([features[k] for k in own] + [f for _, f, _ in more], words)[v]
+            y = np.concatenate([labels[t][own], [label for *_, label in more]])
+            start = weights.get((t, v), np.zeros(x.width + x.dense.shape[1]))
+            weights[t, v] = fit(x, y, start, FIRST_STEPS if turn == 0 else STEPS) if len(y) else start
+        if turn == rounds:
             break
-        base = taught[0][taught[0] >= 0]
-        share = base.mean() if len(base) else 0.5
-        for k, view in enumerate(views):
-            other = taught[1 - k]
-            pool = np.flatnonzero((y < 0) & (other < 0))
-            if not len(pool):
-                continue
-            score = view.times(weights[k])[pool]
-            order = np.argsort(score, kind="stable")
-            high, low = max(1, int(TAUGHT * share)), max(1, int(TAUGHT * (1 - share)))
-            sure_high = [i for i in order[::-1][:high] if score[i] > 1.0]
-            sure_low = [i for i in order[:low] if score[i] < -1.0]
-            other[pool[sure_high]] = 1
-            other[pool[sure_low]] = 0
-    out = []
-    for k, view in enumerate(views):
+        known = {key: {k for k, *_ in more} for key, more in extra.items()}
+        for (t, v, side), found in confident(weights, known, most).items():
+            extra[t, 1 - v] += [(k, f, side) for k, f in found]
+    out = {}
+    for t, y in labels.items():
         rows = np.flatnonzero(held & (y >= 0))
-        out.append((weights[k], *calibrate(view.times(weights[k])[rows], y[rows].astype(np.float64))))
-    known = y[y >= 0]
-    prior = (known.sum() + 1) / (len(known) + 2)
-    return [*out, float(np.log(prior / (1 - prior)))]
+        both = views([features[k] for k in rows], words)
+        known = y[y >= 0]
+        prior = (known.sum() + 1) / (len(known) + 2)
+        own = [(weights[t, v], *(calibrate(both[v].times(weights[t, v]), y[rows].astype(np.float64)) if len(rows) else (0.0, float(np.log(prior / (1 - prior)))))) for v in (0, 1)]
+        out[t] = [*own, float(np.log(prior / (1 - prior)))]
+    return out
 
 
 def _columns(docs: DataFrame, text: str, source: str, lang: str, n_chars: str) -> list:
@@ -149,22 +155,25 @@ def _columns(docs: DataFrame, text: str, source: str, lang: str, n_chars: str) -
     return [named(text, "string", "_t"), named(source, "string", "_s"), named(lang, "string", "_l"), named(n_chars, "double", "_n")]
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", n_chars: str = "n_chars"):
-    """A broadcast model from at most LABELLED labelled rows and POOL others, those of the smallest hashes of ids.
+def learn(
+    docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", n_chars: str = "n_chars",
+    labelled: int = LABELLED, words: int = WORDS, rounds: int = ROUNDS, taught: int = TAUGHT,
+):
+    """A broadcast model from at most so many labelled rows, those of the smallest hashes of ids, and all other documents.
 
-    A row of labels counts for a target where that label isn't null; of repeated labels the largest holds. Without
-    any labelled row every document scores one half.
+    A row of labels counts for a target where that label isn't null and its document is there; of repeated labels the
+    largest holds, of repeated ids the text of the smallest hash. Documents without an id are scored only. Without any
+    labelled row every document scores one half.
     """
     spark = docs.sparkSession
     label = lambda c: F.max(F.col(f"`{c}`").cast("int") if c in labels.columns else F.lit(None).cast("int")).alias(c)
-    known = labels.select(F.col(f"`{id}`").cast("long").alias("k"), *[c for c in ("quality", "toxic") if c in labels.columns]).where("k is not null").groupBy("k").agg(label("quality"), label("toxic"))
-    first = lambda df, n: df.orderBy(F.xxhash64("k"), "k").limit(n)
-    known = first(known, LABELLED)
-    pool = first(docs.select(F.col(f"`{id}`").cast("long").alias("k")).where("k is not null"), POOL).distinct()
-    chosen = known.unionByName(pool.join(known.select("k"), "k", "left_anti"), allowMissingColumns=True)
-    rows = docs.select(F.col(f"`{id}`").cast("long").alias("k"), *_columns(docs, text, source, lang, n_chars))
-    # at most LABELLED + POOL rows of three numbers; the first document of a repeated id
-    sample = written(rows.join(F.broadcast(chosen), "k").dropDuplicates(["k"]), "quality")
+    known = labels.select(F.col(f"`{id}`").cast("long").alias("k"), *[c for c in TARGETS if c in labels.columns]).groupBy("k").agg(*map(label, TARGETS))
+    rows = docs.select(F.col(f"`{id}`").cast("long").alias("k"), *_columns(docs, text, source, lang, n_chars)).where("k is not null")
+    known = known.where("quality is not null or toxic is not null").join(rows.select("k"), "k", "left_semi")
+    known = written(known.orderBy(F.xxhash64("k"), "k").limit(labelled), "labelled")
+    # rows of three numbers, as many as the parameter says
+    sample = rows.join(F.broadcast(known), "k").withColumn("_r", F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64("_t"), "_t"))).where("_r = 1").drop("_r")
+    sample = written(sample, "quality")
 
     def word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,31 +182,75 @@ def learn(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str =
                 n = len(found)
                 yield pa.record_batch({"w": pa.array(found, pa.string()), "quality": pa.array([quality] * n, pa.int32()), "toxic": pa.array([toxic] * n, pa.int32())})
 
-    words = sample.where("quality is not null or toxic is not null").select("_t", "quality", "toxic").mapInArrow(word_rows, "w string, quality int, toxic int")
-    words = words.groupBy("w").agg(F.count("*").alias("n"), F.avg("quality").alias("q"), F.avg("toxic").alias("t"))
+    held_words = sample.select("_t", "quality", "toxic").mapInArrow(word_rows, "w string, quality int, toxic int")
+    held_words = held_words.groupBy("w").agg(F.count("*").alias("n"), F.avg("quality").alias("q"), F.avg("toxic").alias("t"))
     mean = sample.agg(F.avg("quality").alias("mq"), F.avg("toxic").alias("mt"))
     signal = F.greatest(*[F.coalesce(F.abs(F.col(a) - F.col(b)) / F.sqrt(F.col(b) * (1 - F.col(b)) + 0.01), F.lit(0.0)) for a, b in (("q", "mq"), ("t", "mt"))]) * F.sqrt("n")
-    words = words.where(F.col("n") >= LEAST).crossJoin(F.broadcast(mean)).orderBy(F.desc(signal), "w").limit(WORDS)  # mean is one row
-    vocabulary = {r["w"].encode(): k for k, r in enumerate(words.select("w").collect())}
+    held_words = held_words.where(F.col("n") >= LEAST).crossJoin(F.broadcast(mean)).orderBy(F.desc(signal), "w").limit(words)  # mean is one row
+    vocabulary = {r["w"].encode(): k for k, r in enumerate(held_words.select("w").collect())}
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(k, quality, toxic, *_features(t, s, la, n, shared.value)) for k, t, s, la, n, quality, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            out = [(k, *_features(t, s, la, n, shared.value)) for k, t, s, la, n in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             if out:
-                types = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["k", "quality", "toxic", "stats", "words", "meta"])
+                types = (pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["k", "stats", "words", "meta"])
 
-    got = sample.select("k", "_t", "_s", "_l", "_n", "quality", "toxic").mapInArrow(features, "k long, quality int, toxic int, stats array<double>, words array<long>, meta array<long>").orderBy("k").toPandas()
-    if not len(got):
+    inputs, schema = ("k", "_t", "_s", "_l", "_n"), f"k long, {_FEATURES}"
+    got = sample.select(*inputs).mapInArrow(features, schema).join(F.broadcast(known), "k").orderBy("k").collect()  # as many as the parameter says
+    if not got:
         return spark.sparkContext.broadcast((vocabulary, None))
-    stats = np.stack(got["stats"].tolist())
-    views = (Sparse(stats, got["words"].tolist(), len(vocabulary)), Sparse(np.ones((len(got), 1)), got["meta"].tolist(), BUCKETS))
+    others = written(rows.join(F.broadcast(known.select("k")), "k", "left_anti").select(*inputs).mapInArrow(features, schema), "unlabelled")
     held = np.random.default_rng(3).random(len(got)) < HELD
-    models = {c: co_train(views, got[c].fillna(-1).to_numpy().astype(np.int64), held) for c in ("quality", "toxic")}
+    own = {c: np.array([-1 if r[c] is None else r[c] for r in got]) for c in TARGETS}
+    models = co_train([(r["stats"], r["words"], r["meta"]) for r in got], own, held, len(vocabulary), lambda *a: _confident(others, len(vocabulary), *a), rounds, taught)
+    discard(others)
     return spark.sparkContext.broadcast((vocabulary, models))
 
 
+_FEATURES = "stats array<double>, words array<int>, meta array<int>"
+
+
+def _confident(others: DataFrame, words: int, weights: dict, known: dict, most: dict) -> dict:
+    """See co_train: scores all rows of features; each task returns its best ones, the best of all reach the driver.
+
+    A view is confident at log odds beyond 1; of equal scores the smallest hash of the id comes first.
+    """
+    shared = others.sparkSession.sparkContext.broadcast((weights, {key: np.array(sorted(ids), np.int64) for key, ids in known.items()}, most))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, known, most = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k = batch.column(0).to_numpy()
+            lists = [(c.flatten().to_numpy(), pc.list_value_length(c).to_numpy()) for c in batch.columns[1:]]
+            both = (Sparse(lists[0][0].reshape(len(k), -1), *lists[1], words), Sparse(np.ones((len(k), 1)), *lists[2], BUCKETS))
+            order = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in k], np.uint64)
+            for (t, v), w in weights.items():
+                found = both[v].times(w)
+                free = ~np.isin(k, known[t, 1 - v])
+                for side in (1, 0):
+                    sure = np.flatnonzero(free & ((found > 1.0) if side else (found < -1.0)))
+                    sure = sure[np.lexsort((order[sure], -found[sure] if side else found[sure]))]
+                    sure = sure[np.sort(np.unique(k[sure], return_index=True)[1])][: most[t, side]]  # an id counts once
+                    n = len(sure)
+                    part = batch.take(pa.array(sure))
+                    yield pa.RecordBatch.from_arrays([pa.array([t] * n, pa.string()), pa.array([v] * n, pa.int32()), pa.array([side] * n, pa.int32()), pa.array(-np.abs(found[sure])), pa.array(order[sure].view(np.int64)), *part.columns], names=["t", "v", "side", "least", "hash", *part.schema.names])
+
+    rows = others.mapInArrow(score, f"t string, v int, side int, least double, hash long, k long, {_FEATURES}")
+    # of a repeated id the surest row, then the surest ids; hashes are unsigned
+    by = [F.col("least"), F.expr("hash < 0"), F.col("hash")]
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("t", "v", "side", "k").orderBy(*by))).where("_n = 1")
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("t", "v", "side").orderBy(*by))).where(F.col("_n") <= max(most.values()))
+    out: dict = {}
+    for r in rows.orderBy("t", "v", "side", "_n").collect():
+        if r["_n"] <= most[r["t"], r["side"]]:
+            out.setdefault((r["t"], r["v"], r["side"]), []).append((r["k"], (r["stats"], r["words"], r["meta"])))
+    return out
+
+
 def _features(text, source, lang, n_chars, vocabulary) -> tuple[list[float], list[int], list[int]]:
     words = plain_words(text)
     stats = text_stats((text or "").encode("utf-8", "surrogatepass"), words)
@@ -216,14 +269,14 @@ def score_quality(docs: DataFrame, model, *, text: str = "text", source: str = "
         vocabulary, models = model.value
         for batch in batches:
             found = [_features(*r, vocabulary) for r in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)]
+            both = views(found, len(vocabulary)) if found else ()
             out = {}
-            for target in ("quality", "toxic"):
+            for target in TARGETS:
                 if models is None or not found:
                     out[target] = np.full(len(found), 0.5)
                     continue
-                views = (Sparse(np.array([f[0] for f in found]), [f[1] for f in found], len(vocabulary)), Sparse(np.ones((len(found), 1)), [f[2] for f in found], BUCKETS))
                 *own, prior = models[target]
-                odds = sum(a * v.times(w) + b for v, (w, a, b) in zip(views, own, strict=True)) - prior
+                odds = sum(a * v.times(w) + b for v, (w, a, b) in zip(both, own, strict=True)) - prior
                 out[target] = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
             out["score"] = out["quality"] * (1 - out["toxic"])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[n]) for n in ("quality", "toxic", "score"))], names=["doc", "quality", "toxic", "score"])
