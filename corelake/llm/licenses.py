@@ -1,10 +1,12 @@
 """License scans: license templates with markup are compiled into token automata.
 
-A template is text with the markup that license lists use: ``<<beginOptional>> ... <<endOptional>>`` may be
-left out, and ``<<var;match=N>>`` stands for up to N words of any kind (a holder's name, a year). All other
-words are mandatory and must occur exactly, in order. Compiling gives, for each state, the mandatory words that
-lead on; optional regions add a branch around themselves, replaceable regions a state that takes any word.
-The automaton is run from each place of a text where a template's first word run stands.
+A template is text with the markup of published license lists: ``<<beginOptional>> ... <<endOptional>>`` may be left
+out (and may be nested), ``<<var;name="copyright";original="...";match=".{0,5000}">>`` stands for text that the rule
+matches. Rules are a stretch of any text (``.+``, ``.*``, ``.{a,b}``: b is in characters, a means a word at least unless it is 0) or words to choose from
+(``(a|b c)``); others are refused. All other words are mandatory and must occur exactly, in order, whatever signs,
+capitals and white space stand between them. Compiling gives, for each state, the mandatory words that lead on;
+optional regions add a branch around themselves, replaceable regions a state that takes any word. A text is searched
+from each place of a template's first mandatory word: what may be missing before it, or after the last one, tells nothing.
 """
 
 from __future__ import annotations
@@ -26,113 +28,205 @@ PHRASES = {
     "mit license": "mit",
 }
 
-# --- fixed values: public license wordings with markup ---
+# --- fixed values: public license wordings with markup; whole licenses, and whole notices that declare one ---
+_HOLDER = '<<var;name="copyright";original="Copyright (c) <year> <holder>";match=".{0,5000}">>'
+_BULLET = '<<var;name="bullet";original="1.";match=".{0,20}">>'
+_BSD = f"""{_HOLDER} Redistribution and use in source and binary forms, with or without modification, are permitted provided
+    that the following conditions are met:
+    {_BULLET} Redistributions of source code must retain the above copyright notice, this list of conditions and the
+    following disclaimer.
+    {_BULLET} Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
+    following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY <<var;name="holder";original="THE COPYRIGHT HOLDERS AND CONTRIBUTORS";match=".+">>
+    "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND
+    FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL
+    <<var;name="liable";original="THE COPYRIGHT HOLDER OR CONTRIBUTORS";match=".+">> BE LIABLE FOR ANY DIRECT, INDIRECT,
+    INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+    SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+    CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE,
+    EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 TEMPLATES = {
-    "mit-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software
-        and associated documentation files (the "Software"), to deal in the Software without restriction, including
-        without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies
-        of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following
-        conditions: The above copyright notice and this permission notice
-        <<beginOptional>>(including the next paragraph)<<endOptional>>
-        shall be included in all copies or substantial portions of the Software.""",
-    "isc-text": """Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any
-        purpose with or without fee is hereby granted, provided that the above copyright notice and this permission
-        notice appear in all copies.""",
-    "bsd-text": """Redistribution and use in source and binary forms, with or without modification, are permitted
-        provided that the following conditions are met: <<var;match=2>> Redistributions of source code must retain the above copyright
-        notice, this list of conditions and the following disclaimer.""",
-    "apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file
-        except in compliance with the License. <<beginOptional>>You may obtain a copy of the License at<<endOptional>>""",
-    "gpl-notice": """This program is free software<<beginOptional>>:<<endOptional>> you can redistribute it and/or modify it
-        under the terms of the GNU General Public License as published by the Free Software Foundation""",
-    "spdx-tag": "SPDX-License-Identifier: <<var;match=1>>",
-    "mit-grant": "<<beginOptional>>This <<var;match=3>> is<<endOptional>> released under the MIT License",
-    "apache-grant": "licensed under the <<beginOptional>>terms of the<<endOptional>> Apache License<<beginOptional>>, Version 2.0<<endOptional>>",
-    "cc-by-grant": "licensed under <<beginOptional>>a Creative Commons<<endOptional>> CC BY<<beginOptional>> <<var;match=2>> License<<endOptional>>",
-    "gpl-grant": "under the <<beginOptional>>terms of the<<endOptional>> GNU General Public License",
+    "MIT": f"""<<beginOptional>>The MIT License (MIT)<<endOptional>> {_HOLDER}
+        Permission is hereby granted, free of charge, to any person obtaining a copy of
+        <<var;name="software";original="this software and associated documentation files";match="this software and associated documentation files|this source file">>
+        (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy,
+        modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the
+        Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission
+        notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial
+        portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING
+        BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT
+        SHALL <<var;name="liable";original="THE AUTHORS OR COPYRIGHT HOLDERS";match=".+">> BE LIABLE FOR ANY CLAIM, DAMAGES OR
+        OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+        SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "ISC": f"""{_HOLDER} Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any
+        purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice
+        appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND <<var;name="author";original="THE AUTHOR";match=".+">>
+        DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.
+        IN NO EVENT SHALL <<var;name="liable";original="THE AUTHOR";match=".+">> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+        CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
+        CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "BSD-2-Clause": f"{_BSD} {_BSD_END}",
+    "BSD-3-Clause": f"""{_BSD} {_BULLET} Neither the name of <<var;name="organization";original="the copyright holder";match=".+">>
+        nor the names of its contributors may be used to endorse or promote products derived from this software without specific
+        prior written permission. {_BSD_END}""",
+    "Zlib": f"""{_HOLDER} This software is provided 'as-is', without any express or implied warranty. In no event will the authors be
+        held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for
+        any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+        restrictions: {_BULLET} The origin of this software must not be misrepresented; you must not claim that you wrote the
+        original software. If you use this software in a product, an acknowledgment in the product documentation would be
+        appreciated but is not required. {_BULLET} Altered source versions must be plainly marked as such, and must not be
+        misrepresented as being the original software. {_BULLET} This notice may not be removed or altered from any source
+        distribution.""",
+    "Apache-2.0-notice": f"""{_HOLDER} Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+        compliance with the License. You may obtain a copy of the License at
+        http<<beginOptional>>s<<endOptional>>://www.apache.org/licenses/LICENSE-2.0<<beginOptional>>.html<<endOptional>>
+        Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an
+        "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
+        language governing permissions and limitations under the License.""",
+    "GPL-notice": """<<var;name="program";original="This program";match=".+">> is free software; you can redistribute it and/or modify it
+        under the terms of the GNU General Public License as published by the Free Software Foundation; either version
+        <<var;name="version";original="2";match="2|3">> of the License, or (at your option) any later version.
+        <<var;name="program";original="This program";match=".+">> is distributed in the hope that it will be useful, but WITHOUT
+        ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU
+        General Public License for more details.""",
+    "SPDX-tag": 'SPDX-License-Identifier: <<var;name="identifier";original="MIT";match=".+">>',
 }
 
-_MARK = re.compile(r"<<(beginOptional|endOptional|var;match=(\d+))>>")
+_MARK = re.compile(r"<<(beginOptional|endOptional|var)((?:;[a-zA-Z]+=(?:\"[^\"]*\"|[^\">;]*))*)>>")
+_RULE = re.compile(r";match=(?:\"([^\"]*)\"|([^\">;]*))")
+_STRETCH = re.compile(r"\.(?:([*+])|\{(\d+),(\d*)\})\Z")
+_WORDS = re.compile(r"[\w\s|(),.:;'/-]*\Z")
+
+
+def parsed(template: str) -> list:
+    """Items in turn: a word (bytes), ("optional", items), ("any", least, most characters or None), ("choice", phrases)."""
+    levels, last = [[]], 0
+    for mark in _MARK.finditer(template):
+        levels[-1] += plain_words(template[last : mark.start()])
+        last = mark.end()
+        if mark[1] == "beginOptional":
+            levels.append([])
+        elif mark[1] == "endOptional":
+            if len(levels) < 2:
+                raise ValueError("an optional region ends that did not begin")
+            done = levels.pop()
+            levels[-1].append(("optional", done))
+        else:
+            rule = _RULE.search(mark[2])
+            rule = (rule[1] if rule[1] is not None else rule[2]) if rule else ".+"
+            if found := _STRETCH.match(rule):
+                least, most = (int(found[1] == "+"), None) if found[1] else (int(found[2] or 0), int(found[3]) if found[3] else None)
+                levels[-1].append(("any", least, most))
+            elif _WORDS.match(rule):
+                levels[-1].append(("choice", [plain_words(x) for x in rule.strip("()").split("|")]))
+            else:
+                raise ValueError(f"no automaton for the rule {rule!r}")
+    levels[-1] += plain_words(template[last:])
+    if len(levels) > 1 or "<<" in re.sub(_MARK, "", template):
+        raise ValueError("a template needs closed regions and known marks")
+    return levels[0]
+
+
+def _skippable(item) -> bool:
+    return isinstance(item, tuple) and (item[0] == "optional" or item[0] == "any" and item[1] == 0)
 
 
 class Automaton:
-    """States are numbers; ``step[s][word]`` and ``any[s]`` are the next states, ``free[s]`` those without a word."""
+    """States are numbers; ``step[s][word]`` are the next states, ``free[s]`` those without a word, ``loop[s]`` the most
+    characters that a state takes of any words (None: no bound; states that take none are left out)."""
 
     def __init__(self, template: str):
-        self.step: list[dict[bytes, int]] = [{}]
-        self.any: list[int | None] = [None]
+        items = parsed(template)
+        while items and (_skippable(items[0]) or isinstance(items[0], tuple) and items[0][0] == "any"):
+            items.pop(0)
+        while items and isinstance(items[-1], tuple) and items[-1][0] == "any" and items[-1][1] == 0:
+            items.pop()
+        self.step: list[dict[bytes, list[int]]] = [{}]
         self.free: list[list[int]] = [[]]
-        at, opened, last, mandatory = 0, [], 0, 0
-        for mark in [*_MARK.finditer(template), None]:
-            for word in plain_words(template[last : mark.start() if mark else len(template)]):
-                at = self._add(at, lambda s, t, w=word: self.step[s].__setitem__(w, t))
-                mandatory += not opened
-            if mark is None:
-                break
-            last = mark.end()
-            if mark[1] == "beginOptional":
-                at = self._add(at, lambda s, t: self.free[s].append(t))
-                opened.append(at)
-            elif mark[1] == "endOptional":
-                end = self._add(at, lambda s, t: self.free[s].append(t))
-                self.free[opened.pop()].append(end)
-                at = end
-            else:
-                passed = [at]
-                for _ in range(int(mark[2])):
-                    at = self._add(at, lambda s, t: self.any.__setitem__(s, t))
-                    passed.append(at)
-                end = self._add(at, lambda s, t: self.free[s].append(t))
-                for s in passed[:-1]:
-                    self.free[s].append(end)
-                at = end
-        if opened or not mandatory:
-            raise ValueError("a template needs closed regions and mandatory words")
-        self.final = at
-        self.start = self._closed({0})
-        self.first = frozenset(w for s in self.start for w in self.step[s])
-        self.mandatory = mandatory
-        self._next: dict = {}
-
-    def _add(self, s: int, link) -> int:
-        t = len(self.step)
+        self.loop: dict[int, int | None] = {}
+        self.one: dict[int, int] = {}  # states that take exactly one word of any kind
+        self.mandatory = sum(isinstance(x, bytes) for x in items)
+        if not self.mandatory or not isinstance(items[0], bytes):
+            raise ValueError("a template needs mandatory words, and begins with one but for regions that may be missing")
+        if isinstance(items[-1], tuple) and items[-1][0] == "any":
+            items[-1] = ("one",)  # what stands at the end has no end of its own: one word is enough
+        self.final = self._chain(0, items)
+        self.first = items[0]
+
+    def _new(self) -> int:
         self.step.append({})
-        self.any.append(None)
         self.free.append([])
-        link(s, t)
-        return t
+        return len(self.step) - 1
+
+    def _chain(self, at: int, items: list) -> int:
+        for item in items:
+            end = self._new()
+            if isinstance(item, bytes):
+                self.step[at].setdefault(item, []).append(end)
+            elif item[0] == "optional":
+                inner = self._new()
+                self.free[at] += [inner, end]
+                self.free[self._chain(inner, item[1])].append(end)
+            elif item[0] == "choice":
+                for phrase in item[1]:
+                    inner = self._new()
+                    self.free[at].append(inner)
+                    self.free[self._chain(inner, phrase)].append(end)
+            elif item[0] == "one":
+                self.one[at] = end
+            else:
+                loop = self._new()
+                self.loop[loop] = item[2]
+                if item[1]:
+                    self.one[at] = loop  # a word at least
+                else:
+                    self.free[at].append(loop)
+                self.free[loop].append(end)
+            at = end
+        return at
 
-    def _closed(self, states: set[int]) -> frozenset[int]:
-        todo, seen = list(states), set(states)
+    def _enter(self, states: dict[int, int], s: int, since: int) -> None:
+        """Adds s and what it reaches freely. since: the place that a stretch began at; the latest one bounds it least."""
+        todo = [(s, since)]
         while todo:
-            for t in self.free[todo.pop()]:
-                if t not in seen:
-                    seen.add(t)
-                    todo.append(t)
-        return frozenset(seen)
+            s, since = todo.pop()
+            if states.get(s, -1) >= since:
+                continue
+            states[s] = since
+            todo += [(t, since) for t in self.free[s]]
 
     def match(self, words: list[bytes], start: int) -> int:
         """The end of the longest text from start that the template accepts; -1 if none."""
-        states, end, at = self.start, -1, start
+        states: dict[int, int] = {}
+        self._enter(states, 0, start)
+        end, at, used = -1, start, [0]  # used: characters up to each place, with a space after each word
         while states:
             if self.final in states:
                 end = at
             if at >= len(words):
                 break
             word = words[at]
-            states = self._closed({t for s in states for t in (self.step[s].get(word), self.any[s]) if t is not None})
+            used.append(used[-1] + len(word) + 1)
+            new: dict[int, int] = {}
+            for s, since in states.items():
+                for t in self.step[s].get(word, ()):
+                    self._enter(new, t, at + 1)
+                if s in self.one and len(word) <= (self.loop.get(self.one[s]) or len(word)):
+                    self._enter(new, self.one[s], at)
+                if s in self.loop and (self.loop[s] is None or used[-1] - used[since - start] - 1 <= self.loop[s]):
+                    self._enter(new, s, since)
+            states = new
             at += 1
         return end
 
 
 @cache
-def compiled() -> dict[bytes, list[tuple[str, Automaton]]]:
-    """Automata by each word with which an accepted text can begin."""
+def compiled(templates: tuple[tuple[str, str], ...]) -> dict[bytes, list[tuple[str, Automaton]]]:
+    """Automata by the word with which an accepted text begins."""
     out: dict[bytes, list[tuple[str, Automaton]]] = defaultdict(list)
-    for label, template in TEMPLATES.items():
+    for label, template in templates:
         one = Automaton(template)
-        for word in one.first:
-            out[word].append((label, one))
+        out[one.first].append((label, one))
     return dict(out)
 
 
@@ -160,17 +254,19 @@ def scan_words(words: list[bytes], automata: dict, phrases: dict[bytes, tuple[li
     return len(places), min(places, default=None), max(places, default=None), sorted(labels), sorted(matches)
 
 
-def scan_licenses(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def scan_licenses(docs: DataFrame, *, text: str = "text", templates: dict[str, str] = TEMPLATES, keep: list[str] | None = None) -> DataFrame:
     """One row for each row of docs: doc, n_words, n_base, first_word, last_word, base_labels, labels, matches, score.
 
-    ``matches`` holds the template matches (label, start, end in words). ``score`` is 1 if a template's whole
+    ``templates`` gives markup by label. ``matches`` holds the template matches (label, start, end in words). ``score`` is 1 if a template's whole
     mandatory wording stands in the text, 0.5 if only a phrase does, else 0. A null or empty text has no words,
     no labels and score 0. A place of a phrase is counted each time it occurs.
     """
+    held = tuple(templates.items())
+    compiled(held)  # a template that can't be compiled raises here
     results = T.StructType.fromDDL("n_words long, n_base long, first_word long, last_word long, base_labels array<string>, labels array<string>, matches array<struct<label: string, start: long, end: long>>, score double")
 
     def make():
-        automata = compiled()
+        automata = compiled(held)
         phrases: dict[bytes, list] = defaultdict(list)
         for phrase, label in PHRASES.items():
             phrases[plain_words(phrase)[0]].append((plain_words(phrase), label))
