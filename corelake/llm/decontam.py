@@ -17,8 +17,9 @@ from pyspark.sql import types as T
 
 from .common import map_text, plain_words
 
-#: A benchmark whose words exceed this is searched for in several passes, each with tables of this size.
-WORDS_PER_PASS = 2_000_000
+#: A benchmark whose words exceed this is searched for in several passes, each with tables of this size. A worker's
+#: tables of so many words take about 250 MB (350 MB were measured for 400,000).
+WORDS_PER_PASS = 300_000
 
 
 class WuManber:
@@ -29,13 +30,14 @@ class WuManber:
         self.block = min(2, self.least)
         self.skip = self.least - self.block + 1
         self.shift: dict[bytes, int] = {}
-        self.buckets: dict[bytes, dict[bytes, list[tuple[tuple[bytes, ...], frozenset[int]]]]] = {}
+        # by the suffix block and the first block
+        self.buckets: dict[bytes, list[tuple[tuple[bytes, ...], frozenset[int]]]] = {}
         for words, owners in patterns.items():
             for end in range(self.block, self.least + 1):
                 key = b" ".join(words[end - self.block : end])
                 self.shift[key] = min(self.shift.get(key, self.skip), self.least - end)
             suffix, prefix = b" ".join(words[self.least - self.block : self.least]), b" ".join(words[: self.block])
-            self.buckets.setdefault(suffix, {}).setdefault(prefix, []).append((words, owners))
+            self.buckets.setdefault(suffix + b" " + prefix, []).append((words, owners))
 
     def find(self, words: list[bytes]):
         """(first word, last word + 1, owners) of every occurrence, by last word of the shortest length."""
@@ -47,24 +49,27 @@ class WuManber:
                 at += step
                 continue
             start = at - least
-            for pattern, owners in self.buckets[key].get(b" ".join(words[start : start + block]), ()):
+            for pattern, owners in self.buckets.get(key + b" " + b" ".join(words[start : start + block]), ()):
                 if tuple(words[start : start + len(pattern)]) == pattern:
                     yield start, start + len(pattern), owners
             at += 1
 
 
-def searchers(items: list[tuple[str, list[bytes]]], window: int) -> tuple[list[WuManber], list[str]]:
-    """Searchers for whole windows, for items of a few words, and for those of hardly any; the items' names."""
-    names = sorted({name for name, _ in items})
-    number = {name: k for k, name in enumerate(names)}
+def searchers(items: list[tuple[str | None, list[bytes]]], window: int) -> tuple[list[WuManber], list[str]]:
+    """Searchers for whole windows, for items of a few words, and for those of hardly any; the items' names.
+
+    Items without a name have the number -1.
+    """
+    names = sorted({name for name, _ in items if name is not None})
+    number = {name: k for k, name in enumerate(names)} | {None: -1}
     by_size: dict[int, dict[tuple[bytes, ...], set[int]]] = defaultdict(lambda: defaultdict(set))
     for name, words in items:
         for start in range(max(1, len(words) - window + 1)):
             if part := tuple(words[start : start + window]):
                 by_size[len(part)][part].add(number[name])
-    found = []
+    found, same = [], {}  # most windows have one owner: equal sets are one
     for sizes in (range(4, window), range(1, min(4, window)), range(window, window + 1)):
-        if patterns := {p: frozenset(o) for k in sizes for p, o in by_size.get(k, {}).items()}:
+        if patterns := {p: same.setdefault(f := frozenset(o), f) for k in sizes for p, o in by_size.get(k, {}).items()}:
             found.append(WuManber(patterns))
     return found, names
 
@@ -87,7 +92,7 @@ def _pass(df: DataFrame, benchmark: DataFrame, window: int, text: str, keep: lis
                         owners |= who
                         spans.append((start, end))
                 out["n_words"].append(len(words))
-                out["items"].append(sorted(names[k] for k in owners))
+                out["items"].append(sorted(names[k] for k in owners if k >= 0))
                 out["spans"].append([{"start": a, "end": b} for a, b in merge_spans(spans)])
             return out
 
@@ -121,11 +126,11 @@ def find_contamination(
     """One row for each row of docs: doc, n_words, n_hit, spans (of hit words), items (found), contaminated.
 
     A document is contaminated if some words are hit and they make up ``percent`` of its words or more.
-    A null or empty text has no words and is clean; items without id or words are passed over; an empty
-    benchmark hits nothing; repeated items count once. The benchmark goes to the workers in tables of at
+    A null or empty text has no words and is clean; items without words are passed over, those without an
+    id hit words but are not named; an empty benchmark hits nothing; repeated items count once. The benchmark goes to the workers in tables of at
     most WORDS_PER_PASS words; a larger one is searched for in several narrow passes over the documents.
     """
-    items = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("i"), F.col(f"`{item_text}`").cast("string").alias("t")).where("i is not null and t is not null").distinct()
+    items = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("i"), F.col(f"`{item_text}`").cast("string").alias("t")).where("t is not null").distinct()
     size = items.select(F.sum(F.octet_length("t"))).first()[0] or 0
     passes = max(1, -(-size // (4 * WORDS_PER_PASS)))
     if passes == 1:

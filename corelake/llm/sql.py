@@ -13,7 +13,7 @@ def op7(window: int = 13) -> str:
     """Windows of each item joined with the windows of each document, by their words."""
     return f"""
 with d as (select doc_id, {_WORDS} as w from documents),
-i as (select item_id, {_WORDS} as w from benchmark where text is not null and item_id is not null),
+i as (select item_id, {_WORDS} as w from benchmark where text is not null),
 pattern as (
   select distinct item_id, least(len(w), {window}) as size, array_to_string(w[s:s + least(len(w), {window}) - 1], ' ') as words
   from i, unnest(range(1, greatest(2, len(w) - {window} + 2))) as u(s) where len(w) > 0),
@@ -23,7 +23,7 @@ place as (
   from d, sizes, unnest(range(1, len(w) - size + 2)) as u(s) where len(w) >= size),
 found as (select doc_id, s, size, item_id from place join pattern using (size, words)),
 hit as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(s, s + size)) as p from (select distinct doc_id, s, size from found)) group by 1),
-own as (select doc_id, count(*) as n, string_agg(item_id, ',' order by item_id) as items from (select distinct doc_id, cast(item_id as varchar) as item_id from found) group by 1)
+own as (select doc_id, count(*) as n, string_agg(item_id, ',' order by item_id) as items from (select distinct doc_id, cast(item_id as varchar) as item_id from found where item_id is not null) group by 1)
 select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(hit.n, 0) as bigint) as n_hit,
   cast(coalesce(own.n, 0) as bigint) as n_items, sha256(coalesce(own.items, '')) as items_sha256,
   coalesce(hit.n, 0) > 0 and 20 * coalesce(hit.n, 0) >= len(w) as contaminated
