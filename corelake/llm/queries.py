@@ -80,7 +80,7 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .extract import extract_main_text
 
     found = extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"), keep=["page_id", "url"])
-    return found.select("doc.page_id", "doc.url", "text", F.length("text").cast("long").alias("n_chars"))
+    return found.select("doc.page_id", "doc.url", "text", F.length("text").cast("long").alias("n_chars"), "by_template", "by_rule")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,22 @@ def test_mixed_and_unlabelled_texts_stay(spark):
     assert p.identify_language(spark, bare, SMALL).count() == len(rows)
 
 
+def test_stages_bear_odd_rows(spark, odd):
+    """Nulls in any column, empty and long texts, repeated rows, an empty table and columns of any name."""
+    import corpus_pipeline as p
+
+    for df in (odd, odd.limit(0)):
+        docs = df
+        for _, stage in p.STAGES[:-1]:
+            alone = stage(spark, df, SMALL)
+            assert alone.columns == df.columns and alone.count() <= df.count()
+            docs = stage(spark, docs, SMALL)
+        pieces = p.STAGES[-1][1](spark, df, SMALL)
+        assert pieces.select("doc_id").distinct().count() == df.select("doc_id").distinct().count()
+    kept = p.drop_near_duplicates(spark, odd, SMALL)
+    assert kept.where("doc_id in (3, 4)").count() == 1 and kept.where("doc_id is null").count() <= 1
+
+
 def test_run_is_the_stages_in_turn(spark):
     import corpus_pipeline as p
 
