@@ -225,4 +225,4 @@ def _by_shard(points: DataFrame, k: int, beta: float, gamma: float, d: dist.Dist
                 state.process((ids[j], x[j], w[j]) for j in range(a, b))
         yield from done()
 
-    return shards, dealt.repartition(shards, "shard").sortWithinPartitions("shard", "id").mapInArrow(run, schema)
+    return shards, dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "id").mapInArrow(run, schema)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distance as dist
 from ..functions.vectors import all_rows, lists
-from ..sources.scratch import discard, shared_path, written
+from ..sources.scratch import delete, discard, shared_path, written
 from .assign import nearest
 
 #: Points of a summary that one task searches (8000 squared distances are half a gigabyte), and points of a block.
@@ -127,8 +127,7 @@ class Rounds:
 
     def drop(self, name: str = "") -> None:
         """Deletes scratch tables."""
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, f"{self.path}/{name}".rstrip("/"))
 
     def _map(self, f, schema: str, rows: DataFrame | None = None) -> DataFrame:
         """f(ids, weights, vectors) of each batch, as columns."""

@@ -1,31 +1,74 @@
-"""Scratch tables of iterative operators, below the folder that the cluster names for checkpoints."""
+"""Scratch tables between the steps of an operator, below the folder that the cluster names for checkpoints."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: With this setting Spark deletes a job's shuffle files when the job has ended.
-_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_made: list[tuple[SparkSession, str]] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; a local one only where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        named = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that all executors share; below a temporary one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder; what lies there is deleted when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_clean)
+    _made.append((spark, path))
+    return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path, before = shared_path(spark, name), spark.conf.get(_FREE, None)
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _clean() -> None:
+    """Tables that nothing discarded live as long as the driver, since results read them lazily."""
+    for spark, path in _made:
+        try:
+            delete(spark, path)
+        except Exception:  # the session has ended: the folder's owner clears it
+            return
+
+
+#: With this setting Spark deletes a job's shuffle files when the job has ended.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Jobs in this block leave no shuffle files behind: nothing reads them again once a table is written."""
+    before = spark.conf.get(_FREE, None)
     spark.conf.set(_FREE, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
-        spark.conf.unset(_FREE) if before is None else spark.conf.set(_FREE, before)
+        if before is None:
+            spark.conf.unset(_FREE)
+        else:
+            spark.conf.set(_FREE, before)
+
+
+def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """df as a table in the shared folder: cuts the lineage, and a lost executor costs no recomputation."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    with freed_shuffles(spark):
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -33,5 +76,4 @@ def discard(*tables: DataFrame) -> None:
     """Deletes tables that written() made, once no later step reads them."""
     for table in tables:
         for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            path = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            delete(table.sparkSession, folder)
