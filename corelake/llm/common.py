@@ -10,22 +10,20 @@ Conventions that every operator follows:
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import discard, shared_path, written
+
+__all__ = ["ARROW_BATCH_BYTES", "bound_batches", "discard", "map_text", "plain_words", "shared_path", "space_words", "table", "written"]
+
 #: At most so many bytes of rows go to a Python worker at once.
 ARROW_BATCH_BYTES = 32 << 20
 
-_made: list[tuple[SparkSession, str]] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named input table, read lazily; long rows travel to Python in batches of bounded size."""
@@ -37,74 +35,6 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a local one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_clean)
-    _made.append((spark, path))
-    return path
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _clean() -> None:
-    """Scratch tables that nothing discarded live as long as the driver, since results read them lazily."""
-    for spark, path in _made:
-        try:
-            _delete(spark, path)
-        except Exception:  # the session has ended: the folder's owner clears it
-            return
-
-
-#: With this setting Spark deletes a job's shuffle files when the job has ended.
-_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-@contextmanager
-def freed_shuffles(spark: SparkSession):
-    """Jobs in this block leave no shuffle files behind: nothing reads them again once a table is written."""
-    before = spark.conf.get(_FREE, None)
-    spark.conf.set(_FREE, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(_FREE)
-        else:
-            spark.conf.set(_FREE, before)
-
-
-def written(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    with freed_shuffles(spark):
-        df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables that written() made, once no later step reads them."""
-    for table in tables:
-        spark = table.sparkSession
-        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            _delete(spark, folder)
-
-
 def map_text(
     df: DataFrame,
     make: Callable[[], Callable[[list[str | None]], dict[str, Iterable]]],

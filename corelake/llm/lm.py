@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text, scratch_path, space_words, written
+from .common import map_text, shared_path, space_words, written
 
 #: Tokens whose n-grams a task sums before it sends them; words whose hashes a worker keeps; parts of a context.
 HELD, CACHED_WORDS, SALTS = 4_000_000, 500_000, 16
@@ -255,7 +255,7 @@ def train(docs: DataFrame, *, text: str = "text", where: Column | None = None, o
     if shards is None:
         size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
         shards = 1 << min(MOST_SHARDS.bit_length() - 1, max(4, (size * (order - 1) // SHARD_TEXT).bit_length()))
-    folder = scratch_path(docs.sparkSession, "lm")
+    folder = shared_path(docs.sparkSession, "lm")
     parts = rows.mapInArrow(lambda b: _count(b, shards, order), "shard int, blob binary")
     grams, counts, sums, types = {}, {}, None, 0
     files = lambda rows: {r["shard"]: (r["keys"], r["values"]) for r in rows}
@@ -275,7 +275,7 @@ def train(docs: DataFrame, *, text: str = "text", where: Column | None = None, o
 
 
 def _dealt(parts: DataFrame, shards: int) -> DataFrame:
-    return parts.repartition(shards, "shard").sortWithinPartitions("shard")
+    return parts.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
 
 
 _MADE = "kind string, shard int, blob binary, keys string, values string, numbers array<long>"

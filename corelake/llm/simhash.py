@@ -137,7 +137,7 @@ def link_fingerprints(distinct: DataFrame, radius: int) -> DataFrame:
     cells = sum(parts[bits] * (high[bits] - low[bits] + 1) for bits in parts) // 2 + 1
     by_bits = lambda numbers: F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair])[F.col("bits")]
     bits = table.withColumn("bits", F.bit_count("fp").cast("int"))
-    dealt = bits.withColumn("block", by_bits(first) + F.pmod(F.xxhash64("fp"), by_bits(parts)).cast("int")).repartition(total, "block")
+    dealt = bits.withColumn("block", by_bits(first) + F.pmod(F.xxhash64("fp"), by_bits(parts)).cast("int")).repartitionById(total, F.col("block"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
