@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import distance as dist
 from ..operators import assign, bicriteria, facility_location, kmedoids, quality, scale, sensitivity
 from ..sources.points import points as as_points
-from ..sources.points import read_labelled_csv, validate_points, write_csv
+from ..sources.points import append_points, pair_labels, read_labelled_csv, validate_points, write_csv, write_facilities
 from ..sources.scratch import shared_path, written
 from ..streaming.facilities import merge, stream_facilities
 from .cluster import ClusterModel
@@ -600,6 +600,35 @@ def csv_labelled(spark: SparkSession, sf: str) -> DataFrame:
     return read_labelled_csv(spark, path, 2).groupBy(F.col("label").cast("long").alias("label")).agg(F.count_distinct("id").alias("n"), F.round(F.sum(F.col("v")[0]), 2).alias("total"))
 
 
+@query("clusters_csv", _near() + " select id, rank as center_id from near")
+def clusters_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """The assignment of every vector, written as the clustering writes it and read again."""
+    path = shared_path(spark, "clusters")
+    assigned = assign.nearest(vectors(spark, sf), centres(spark, sf)).withColumnRenamed("rank", "center_id")
+    ClusterModel(10).write(assigned, path)
+    return spark.read.csv(path, header=True, schema="id long, center_id long", mode="FAILFAST")
+
+
+@query("facilities_parquet", _near() + _SUMS.format(w="w"))
+def facilities_parquet(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_path(spark, "facilities")
+    write_facilities(assign.dispatch(vectors(spark, sf), centres(spark, sf)), path)
+    return rounded(spark.read.parquet(path).select("rank", "weight", "cost"), "weight", "cost")
+
+
+@query("append_points", "select id, round(v / 4, 6) + 0.0 as v0 from (select vec_id as id, embedding[1]::double as v from embeddings union all select vec_id + (select max(vec_id) + 1 from embeddings), embedding[1]::double from embeddings)")
+def appended(spark: SparkSession, sf: str) -> DataFrame:
+    points = vectors(spark, sf).select("id", "v")
+    return rounded(append_points(points, points, 4.0).select("id", F.col("v")[0].alias("v0")), "v0")
+
+
+@query("pair_labels", "select vec_id as id, label::int as label, round(embedding[1]::double, 6) + 0.0 as v0 from embeddings")
+def paired(spark: SparkSession, sf: str) -> DataFrame:
+    points = vectors(spark, sf)
+    labels = points.select("id", F.array(F.col("label").cast("double")).alias("v"))
+    return rounded(pair_labels(points.select("id", "v"), labels).select("id", "label", F.col("v")[0].alias("v0")), "v0")
+
+
 @query("stream_bmor", "select count(*)::double as weight, true as bounded from events")
 def stream_bmor(spark: SparkSession, sf: str) -> DataFrame:
     """Facilities of the events, read as a stream of (value, hour) vectors, a file in each trigger."""
