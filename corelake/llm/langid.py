@@ -8,14 +8,12 @@ costs ``switch``. Equal neighbouring labels form spans.
 
 from __future__ import annotations
 
-import re
-import sys
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,12 +42,8 @@ _STARTS = np.array([s for s, _ in SCRIPTS])
 NAMES = sorted({n for _, n in SCRIPTS})
 _NUMBER = np.array([NAMES.index(n) for _, n in SCRIPTS])
 
-
-@cache
-def _letters() -> re.Pattern:
-    """Stretches of letters: word characters but for digits, the underscore and signs of other numbers, such as fractions."""
-    signs = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()]
-    return re.compile(rf"[^\W\d_{''.join(map(re.escape, signs))}]+")
+#: Words are stretches of letters.
+_LETTERS = regex.compile(r"\p{L}+")
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +119,6 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", where: Col
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = defaultdict(Counter)
         found: dict[str, np.ndarray] = {}
-        letters = _letters()
 
         def settle():
             for language, held in words.items():
@@ -141,7 +134,7 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", where: Col
         held = 0
         for batch in batches:
             for language, one in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts = letters.findall(one.lower())
+                parts = _LETTERS.findall(one.lower())
                 words[language].update(parts)
                 held += len(parts)
                 if held > 2_000_000:
@@ -280,7 +273,6 @@ def identify(docs: DataFrame, model: Broadcast | None, *, text: str = "text", sw
 
     def make():
         own = model.value if model is not None else None
-        letters = _letters()
         number: dict[str, int] = {}
         table = np.zeros((0, 1), np.float32)
 
@@ -352,7 +344,7 @@ def identify(docs: DataFrame, model: Broadcast | None, *, text: str = "text", sw
         def run(texts):
             out, held, size = [], [], 0
             for one in texts:
-                words = letters.findall(one.lower()) if one and own else []
+                words = _LETTERS.findall(one.lower()) if one and own else []
                 if held and (len(held) == TOGETHER or size + len(words) > STRETCH):
                     out += together(held)
                     held, size = [], 0
