@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 from ..functions import distance as dist
 from ..sources.scratch import written
 
-#: Partitions of the two-level prefix sum, at least.
-_PARTS = 16
+#: Partitions of the two-level prefix sum, at least; draws that are sent to every task at most (8 MB).
+_PARTS, AT_ONCE = 16, 1 << 20
 
 
 def sampling_distribution(assigned: DataFrame) -> DataFrame:
@@ -70,7 +70,8 @@ def uniforms(spark, draws: int, seed: int) -> DataFrame:
 def draw(distribution: DataFrame, draws: int, seed: int = 14537) -> DataFrame:
     """id, n and weight: how often each id is drawn with replacement, and n / (p draws).
 
-    Interval starts and draws are dealt together to ranges of [0, 1], so that a heavy interval's draws spread over
+    At most AT_ONCE draws are sorted and sent to every task, where each interval finds its own by bisection. Of more,
+    interval starts and draws are dealt together to ranges of [0, 1], so that a heavy interval's draws spread over
     several, and sorted there: a draw belongs to the last start before it. Draws before the first start of a range
     belong to the last one of an earlier range; of each range one row tells both to the driver.
     """
@@ -78,6 +79,19 @@ def draw(distribution: DataFrame, draws: int, seed: int = 14537) -> DataFrame:
     if draws <= 0:
         return cdf.select("id", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("weight")).limit(0)
     spark = distribution.sparkSession
+    if draws <= AT_ONCE:
+        shared = spark.sparkContext.broadcast(np.sort(uniforms(spark, draws, seed).select("u").toPandas()["u"].to_numpy()))
+
+        def found_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lo, hi = (batch.column(k).to_numpy() for k in (2, 3))
+                n = np.searchsorted(shared.value, hi) - np.searchsorted(shared.value, lo)
+                hit = np.flatnonzero(n)
+                part = batch.take(pa.array(hit))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n[hit])], names=["id", "p", "n"])
+
+        found = cdf.mapInArrow(found_by, "id long, p double, n long")
+        return found.select("id", "n", (F.col("n") / (F.col("p") * draws)).alias("weight"))
     starts = cdf.select(F.col("lo").alias("x"), F.lit(0).alias("kind"), "id", "p")
     points = uniforms(spark, draws, seed).select(F.col("u").alias("x"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("p"))
     parts = max(_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -126,9 +140,10 @@ def _drawn(part: int, ids: list, p: list, n: list, early: int = -1) -> pa.Record
     return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["part", "id", "p", "n", "early"])
 
 
-def summary(points: DataFrame, assigned: DataFrame, fraction: float, seed: int = 14537) -> DataFrame:
-    """id, weight and v: floor(fraction * n) draws, those of one id merged; vectors are fetched last."""
-    n = assigned.count()
+def summary(points: DataFrame, assigned: DataFrame, fraction: float, seed: int = 14537, n: int | None = None) -> DataFrame:
+    """id, weight and v: floor(fraction * n) draws, those of one id merged; vectors are fetched last. n is the number of
+    points, counted if it isn't given."""
+    n = assigned.count() if n is None else n
     chosen = draw(sampling_distribution(assigned), int(fraction * n), seed)
     return points.select("id", "v").join(chosen, "id").select("id", "weight", "v")
 

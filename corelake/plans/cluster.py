@@ -28,9 +28,11 @@ class ClusterModel:
 
     def summary(self, points: DataFrame) -> DataFrame:
         """id, weight and v of the summary."""
-        centres = written(bicriteria.fit(points, self.k, beta=self.beta, gamma=self.gamma, distance=self.distance, shards=self.shards), "facilities")
+        n = points.count()
+        shards = self.shards or bicriteria.shards_for(n)
+        centres = written(bicriteria.fit(points, self.k, beta=self.beta, gamma=self.gamma, distance=self.distance, shards=shards), "facilities")
         assigned = written(assign.nearest(points, centres, self.distance).select("id", "w", "rank", "dist"), "assigned")
-        return written(sensitivity.summary(points, assigned, self.fraction, self.seed), "summary")
+        return written(sensitivity.summary(points, assigned, self.fraction, self.seed, n), "summary")
 
     def fit(self, points: DataFrame) -> DataFrame:
         """The medoids of the summary, a written table (see kmedoids.fit)."""

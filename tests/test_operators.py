@@ -179,8 +179,10 @@ def test_distribution_and_draws(spark):
     assert abs(sensitivity.sampling_distribution(same_place).agg(F.sum("p")).first()[0] - 1) < 1e-9
 
 
-def test_draws_find_their_interval(spark):
+@pytest.mark.parametrize("at_once", [1 << 20, 100])
+def test_draws_find_their_interval(spark, monkeypatch, at_once):
     """Each draw belongs to the interval that holds it, however heavy an interval is and however ranges are cut."""
+    monkeypatch.setattr(sensitivity, "AT_ONCE", at_once)
     rng = np.random.default_rng(3)
     for heavy in (0, 25, 49):
         p = rng.uniform(0.001, 1, 50)
