@@ -8,6 +8,7 @@ costs ``switch``. Equal neighbouring labels form spans.
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
@@ -23,9 +24,9 @@ from .common import map_text
 
 #: Buckets of the hashed n-grams (the model's size is this times the languages), and n-gram lengths.
 BUCKETS, SIZES = 1 << 16, (1, 2, 3, 4)
-#: Words whose scores a worker keeps; documents, and words, whose paths are found together; a longer document's path is
-#: found in stretches of so many words.
-CACHED_WORDS, TOGETHER, STRETCH = 300_000, 2048, 1 << 17
+#: Words whose scores a worker keeps; documents, and scores (words times languages), whose paths are found together; a
+#: longer document's path is found in stretches of so many scores.
+CACHED_WORDS, TOGETHER, SCORES = 300_000, 2048, 1 << 22
 #: log odds that a word's score counts for at most, and what a change of language costs.
 WORD_LIMIT, SWITCH = 8.0, 12.0
 
@@ -42,8 +43,16 @@ _STARTS = np.array([s for s, _ in SCRIPTS])
 NAMES = sorted({n for _, n in SCRIPTS})
 _NUMBER = np.array([NAMES.index(n) for _, n in SCRIPTS])
 
-#: Words are stretches of letters.
-_LETTERS = regex.compile(r"\p{L}+")
+_LETTERS, _NEARLY = regex.compile(r"\p{L}+"), re.compile(r"[^\W\d_]+")
+
+
+def words_of(text: str) -> list[str]:
+    """The stretches of letters of the text in lower case.
+
+    The standard library's pattern is faster and differs by signs of numbers, such as fractions, which few texts have.
+    """
+    words = _NEARLY.findall(text.lower())
+    return words if not words or "".join(words).isalpha() else _LETTERS.findall(text.lower())
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +143,7 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", where: Col
         held = 0
         for batch in batches:
             for language, one in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts = _LETTERS.findall(one.lower())
+                parts = words_of(one)
                 words[language].update(parts)
                 held += len(parts)
                 if held > 2_000_000:
@@ -214,15 +223,15 @@ def _step(now: np.ndarray, switch: float) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.maximum(now, change), top, now < change
 
 
-def viterbi_in_stretches(n: int, scores: Callable[[int, int], np.ndarray], switch: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def viterbi_in_stretches(n: int, scores: Callable[[int, int], np.ndarray], switch: float, stretch: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(start, scores, labels) of each stretch of one long sequence, the last first; scores(a, b) are those of words a to b - 1.
 
     The forward pass keeps the values at the start of each stretch only; going back, a stretch's steps are found again.
     """
-    cuts = list(range(0, n, STRETCH))
+    cuts = list(range(0, n, stretch))
     kept, best = [], None
     for a in cuts:
-        part = scores(a, min(n, a + STRETCH))
+        part = scores(a, min(n, a + stretch))
         best = np.zeros((1, part.shape[1]), np.float32) if best is None else best
         kept.append(best)
         for row in part:
@@ -230,7 +239,7 @@ def viterbi_in_stretches(n: int, scores: Callable[[int, int], np.ndarray], switc
             best = best - best.max()
     label = int(best.argmax())
     for a, best in zip(reversed(cuts), reversed(kept), strict=True):
-        part = scores(a, min(n, a + STRETCH))
+        part = scores(a, min(n, a + stretch))
         top, changed = np.zeros(len(part), np.int16), np.zeros(part.shape, bool)
         for t, row in enumerate(part):
             now, one, own = _step(best, switch)
@@ -244,13 +253,13 @@ def viterbi_in_stretches(n: int, scores: Callable[[int, int], np.ndarray], switc
         yield a, part, labels
 
 
-def constant_label(n: int, scores: Callable[[int, int], np.ndarray], switch: float) -> int | None:
+def constant_label(n: int, scores: Callable[[int, int], np.ndarray], switch: float, stretch: int) -> int | None:
     """The best constant label of one long sequence if no path with changes beats it for sure (see best_labels), else None."""
-    cuts = list(range(0, n, STRETCH))
-    label = int(sum(scores(a, min(n, a + STRETCH)).sum(0, dtype=np.float64) for a in cuts).argmax())
+    cuts = list(range(0, n, stretch))
+    label = int(sum(scores(a, min(n, a + stretch)).sum(0, dtype=np.float64) for a in cuts).argmax())
     upto, least = None, None  # sums of what each label gains on the constant one, and their least so far
     for a in cuts:
-        part = scores(a, min(n, a + STRETCH)).astype(np.float64)
+        part = scores(a, min(n, a + stretch)).astype(np.float64)
         gain = part - part[:, label : label + 1]
         upto = np.zeros(gain.shape[1]) if upto is None else upto
         least = upto.copy() if least is None else least
@@ -273,6 +282,7 @@ def identify(docs: DataFrame, model: Broadcast | None, *, text: str = "text", sw
 
     def make():
         own = model.value if model is not None else None
+        stretch = SCORES // len(own.languages) if own else 0
         number: dict[str, int] = {}
         table = np.zeros((0, 1), np.float32)
 
@@ -330,10 +340,10 @@ def identify(docs: DataFrame, model: Broadcast | None, *, text: str = "text", sw
         def alone(words: list[str]) -> tuple:
             found, labels = None, np.zeros(len(words), np.int16)
             pieces = lambda a, b: scored(words[a:b])
-            if (label := constant_label(len(words), pieces, switch)) is None:
-                path = viterbi_in_stretches(len(words), pieces, switch)
+            if (label := constant_label(len(words), pieces, switch, stretch)) is None:
+                path = viterbi_in_stretches(len(words), pieces, switch, stretch)
             else:
-                ends = [(a, min(len(words), a + STRETCH)) for a in range(0, len(words), STRETCH)]
+                ends = [(a, min(len(words), a + stretch)) for a in range(0, len(words), stretch)]
                 path = ((a, pieces(a, b), np.full(b - a, label, np.int16)) for a, b in ends)
             for start, scores, part in path:
                 labels[start : start + len(part)] = part
@@ -344,11 +354,11 @@ def identify(docs: DataFrame, model: Broadcast | None, *, text: str = "text", sw
         def run(texts):
             out, held, size = [], [], 0
             for one in texts:
-                words = _LETTERS.findall(one.lower()) if one and own else []
-                if held and (len(held) == TOGETHER or size + len(words) > STRETCH):
+                words = words_of(one) if one and own else []
+                if held and (len(held) == TOGETHER or size + len(words) > stretch):
                     out += together(held)
                     held, size = [], 0
-                if len(words) > STRETCH:
+                if len(words) > stretch:
                     out.append(alone(words))
                 else:
                     held.append(words)

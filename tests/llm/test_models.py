@@ -171,23 +171,32 @@ def test_three_languages_of_short_stretches():
     assert (langid.best_labels(scores, lengths, 6.0) == langid.viterbi(scores, lengths, 6.0)).all()
 
 
-def test_long_texts_in_stretches(monkeypatch):
-    monkeypatch.setattr(langid, "STRETCH", 7)
+def test_long_texts_in_stretches():
     rng = np.random.default_rng(5)
     for k in range(60):
         n = int(rng.integers(8, 60))
         scores = np.round(rng.normal(size=(n, 4)) * (0.5 if k % 2 else 3), 1).astype(np.float32)
         part = lambda a, b, scores=scores: scores[a:b]
         labels = np.zeros(n, np.int16)
-        for start, _, own in langid.viterbi_in_stretches(n, part, 5.0):
+        for start, _, own in langid.viterbi_in_stretches(n, part, 5.0, 7):
             labels[start : start + len(own)] = own
         value = lambda x, scores=scores, n=n: scores[np.arange(n), x].sum() - 5.0 * (np.diff(x) != 0).sum()
         best = langid.viterbi(scores, np.array([n]), 5.0)
         assert abs(value(labels) - value(best)) < 1e-4
-        if (c := langid.constant_label(n, part, 5.0)) is not None:
+        if (c := langid.constant_label(n, part, 5.0, 7)) is not None:
             assert abs(value(np.full(n, c)) - value(best)) < 1e-4
 
 
+def test_texts_longer_than_a_stretch(spark, small):
+    """A text of more scores than are held at once: spans follow one another, and each language is found where it stands."""
+    texts = {r.lang: r.text for r in small.where("lang is not null and length(text) between 2000 and 9000").orderBy("doc_id").collect()}
+    n = langid.SCORES // len(texts)
+    parts = [(lang, " ".join([t] * (n // len(t.split()) + 1))) for lang, t in sorted(texts.items())[:2]]
+    df = spark.createDataFrame([(0, parts[0][1] + " " + parts[1][1])], "doc_id long, text string")
+    r = langid.identify(df, langid.learn(small)).first()
+    assert [s.lang for s in r.spans] == [lang for lang, _ in parts] and r.spans[0].end == r.spans[1].start
+
+
 def test_many_languages(spark):
     """300 languages, each of words of its own: every text gets its language, in labels beyond a byte."""
     rng = np.random.default_rng(6)
