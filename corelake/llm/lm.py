@@ -40,6 +40,8 @@ from .common import map_text, shared_path, space_words, written
 
 #: Tokens whose n-grams a task sums before it sends them; words whose hashes a worker keeps; parts of a context.
 HELD, CACHED_WORDS, SALTS = 4_000_000, 500_000, 16
+#: Texts, and their characters, that are looked up together.
+TEXTS, CHARACTERS = 2048, 3_000_000
 #: Bytes of text for each shard, about, and the most shards (their number comes from the upper 16 bits of a hash).
 SHARD_TEXT, MOST_SHARDS = 16 << 20, 1 << 16
 BEGIN, END = 1, 2
@@ -82,6 +84,21 @@ class Words:
         return np.array(flat, np.uint64), np.array([len(w) + 1 for w in split], np.int64)
 
 
+def _groups(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Texts that are split and looked up together: so many, of so many characters, or a longer one by itself."""
+    some: list[str | None] = []
+    size = 0
+    for one in texts:
+        n = len(one or "")
+        if some and (len(some) == TEXTS or size + n > CHARACTERS):
+            yield some
+            some, size = [], 0
+        some.append(one)
+        size += n
+    if some:
+        yield some
+
+
 def histories(flat: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """(places of the tokens that are no begin, hashes of the 1, 2, ... order - 1 words before each)."""
     at = np.flatnonzero(flat != np.uint64(BEGIN))
@@ -297,9 +314,8 @@ def _count(batches: Iterator[pa.RecordBatch], shards: int, order: int) -> Iterat
         return _blobs(list(_pack(key, [*(h[first] for h in before), w[first], count.astype("<u4")], shards)))
 
     for batch in batches:
-        texts = batch.column(0).to_pylist()
-        for k in range(0, len(texts), 2048):
-            held.append(words.tokens(texts[k : k + 2048])[0])
+        for some in _groups(batch.column(0).to_pylist()):
+            held.append(words.tokens(some)[0])
             size += len(held[-1])
             if size >= HELD:
                 yield settle()
@@ -358,8 +374,8 @@ def perplexity(docs: DataFrame, model: Model, *, text: str = "text", keep: list[
 
         def run(texts):
             out = {f.name: [] for f in results}
-            for k in range(0, len(texts), 2048):
-                flat, lengths = words.tokens(texts[k : k + 2048])
+            for some in _groups(texts):
+                flat, lengths = words.tokens(some)
                 known, base, score = model.score(flat, lengths)
                 parts = (lengths, known, np.full(len(lengths), model.tokens), base, score, 10 ** np.minimum(300, -score / lengths))
                 for name, part in zip(out, parts, strict=True):
