@@ -39,12 +39,18 @@ def estimated_radii(points: DataFrame, scale: float, distance: str | dist.Distan
     sizes = [int(2 * (n / 2**j) / levels) for j in range(levels + 1)]
     sample = points.select(F.xxhash64(F.lit(seed), F.col("id")).alias("h"), "id", "v")
     counted = points.withColumn("_n", F.array_repeat(F.lit(0).cast("long"), levels))
-    start, last = 0, None
+    start, last, blocks, held = 0, None, 0, None
     while start < sizes[1]:
         rest = sample if last is None else sample.where((F.col("h") > last[0]) | ((F.col("h") == last[0]) & (F.col("id") > last[1])))
         rows = rest.orderBy("h", "id").limit(min(SAMPLED, sizes[1] - start)).collect()
         counted = _counted(counted, d, stacked([r["v"] for r in rows]), [s - start for s in sizes[1:]], scale)
         start, last = start + len(rows), (rows[-1]["h"], rows[-1]["id"])
+        blocks += 1
+        if blocks % TOGETHER == 0:  # so that a job holds so many blocks at most
+            old, counted = held, written(counted, "counts")
+            held = counted
+            if old is not None:
+                discard(old)
     r = F.lit(float(scale))
     for j in range(1, levels + 1):
         r = F.when(F.col("_n")[j - 1] + 1 >= 2**j, scale / 2**j).otherwise(r)
