@@ -99,5 +99,36 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", "n_bytes", F.expr("aggregate(removed, 0L, (a, x) -> a + x.stop - x.start)").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, of which a tenth is made to repeat itself from some word on."""
+    from .runs import find_runs, greatest_run, with_repeats
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    # words are counted where they are needed
+    n = F.when(h % 10 == 0, F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")))
+    start = F.pmod(g, F.when(F.col("n") > 0, F.col("n")))
+    period = 1 + F.floor((F.col("n") - F.col("a")) / (3 + g % 8))
+    docs = docs.withColumn("n", n).withColumn("a", start).withColumn("p", period)
+    docs = docs.select("doc_id", F.when(F.col("n") > 0, with_repeats(F.col("text"), F.col("a"), F.col("p"))).otherwise(F.col("text")).alias("text"))
+    found = find_runs(docs, keep=["doc_id"]).withColumn("best", greatest_run(F.col("runs")))
+    line = lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))
+    return found.select(
+        "doc.doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+OPERATORS = (
+    op1_packing, op2_quality, op3_nearest_neighbours, op4_lm_scoring, op5_language_id, op6_license_scan, op7_decontamination, op8_html_extraction, op9_simhash, op10_suffix_dedup,
+    op13_periodic_runs,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_quality, op3_nearest_neighbours, op4_lm_scoring, op5_language_id, op6_license_scan, op7_decontamination, op8_html_extraction, op9_simhash, op10_suffix_dedup)}
+    return {f.__name__: f for f in OPERATORS}
