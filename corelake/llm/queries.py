@@ -99,6 +99,21 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", "n_bytes", F.expr("aggregate(removed, 0L, (a, x) -> a + x.stop - x.start)").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector, by cosine among those of its label."""
+    from .embed_dedup import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), keep=["vec_id"])
+    return found.select("doc.vec_id", "n_links", F.col("component").alias("component_id"), "kept")
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 documents that score highest for each benchmark item."""
+    from .search import search
+
+    return search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of every document, of which a tenth is made to repeat itself from some word on."""
     from .runs import find_runs, greatest_run, with_repeats
@@ -126,7 +141,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPERATORS = (
     op1_packing, op2_quality, op3_nearest_neighbours, op4_lm_scoring, op5_language_id, op6_license_scan, op7_decontamination, op8_html_extraction, op9_simhash, op10_suffix_dedup,
-    op13_periodic_runs,
+    op11_embedding_dedup, op12_ranked_search, op13_periodic_runs,
 )
 
 

@@ -6,7 +6,7 @@ _WORDS = r"regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCD
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": op7()}
+    return {"op7_decontamination": op7(), "op11_embedding_dedup": op11(), "op12_ranked_search": op12()}
 
 
 def op7(window: int = 13) -> str:
@@ -28,3 +28,39 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(hit.n, 0) as big
   cast(coalesce(own.n, 0) as bigint) as n_items, sha256(coalesce(own.items, '')) as items_sha256,
   coalesce(hit.n, 0) > 0 and 20 * coalesce(hit.n, 0) >= len(w) as contaminated
 from d left join hit using (doc_id) left join own using (doc_id)"""
+
+
+def op12(k: int = 20) -> str:
+    """Scores of every document that shares a term with an item, in whole numbers."""
+    return f"""
+with d as (select doc_id, row_number() over () as row, {_WORDS} as w from documents),
+size as (select row, doc_id, len(w) as n from d where len(w) > 0),
+total as (select count(*) as docs, cast(sum(n) as bigint) as terms from size),
+q as (select item_id, term, count(*) as times from (select item_id, unnest({_WORDS}) as term from (select distinct item_id, text from benchmark where text is not null)) group by 1, 2),
+tf as (select row, term, count(*) as tf from (select row, unnest(w) as term from d) where term in (select term from q) group by 1, 2),
+weight as (select term, cast(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) as bigint) as weight from tf, total group by 1),
+impact as (
+  select row, doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))) as impact
+  from tf join size using (row) join weight using (term), total),
+score as (select item_id, row, any_value(doc_id) as doc_id, cast(sum(times * impact) as bigint) as score from q join impact using (term) group by 1, 2)
+select item_id, cast(rank as integer) as rank, doc_id, score
+from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from score where score > 0) where rank <= {k}"""
+
+
+def op11(cosine: float = 0.98) -> str:
+    """Every pair of vectors of a label, and what links reach by recursion."""
+    return f"""
+with recursive v as (
+  select row_number() over () as row, vec_id, label, embedding::double[] as e from embeddings
+  where vec_id is not null and label is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link as (select a.row as i, b.row as j from v a join v b on a.label = b.label and len(a.e) = len(b.e) and a.row <> b.row where list_cosine_similarity(a.e, b.e) >= {cosine}),
+reach as (select row as i, row as j from v union select reach.i, link.j from reach join link on reach.j = link.i),
+least as (select i, min(vec_id) as component_id from reach join v on v.row = j group by 1),
+degree as (select i, count(*) as n_links from link group by 1)
+select vec_id, cast(coalesce(n_links, 0) as bigint) as n_links, component_id, vec_id = component_id as kept
+from v join least on least.i = v.row left join degree on degree.i = v.row
+union all
+select vec_id, 0, vec_id, true from embeddings
+where vec_id is null or label is null or embedding is null or len(embedding) = 0
+  or len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) > 0 or len(list_filter(embedding, lambda x: x <> 0)) = 0"""
