@@ -16,11 +16,15 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Distance:
-    """expr(a, b) on array columns; block(x, y) from (m, d) and (k, d) arrays to an (m, k) array."""
+    """expr(a, b) on array columns; block(x, y) from (m, d) and (k, d) arrays to an (m, k) array.
+
+    metric tells whether it obeys the triangle inequality, so that bounds may save distances.
+    """
 
     name: str
     expr: Callable[[Column, Column], Column]
     block: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    metric: bool = False
 
 
 def _total(a: Column, b: Column, term: Callable[[Column, Column], Column]) -> Column:
@@ -63,9 +67,9 @@ def get(distance: str | Distance) -> Distance:
     return _REGISTRY[distance]
 
 
-L1 = register(Distance("l1", lambda a, b: _total(a, b, lambda x, y: F.abs(x - y)), lambda x, y: _blocked(x, y, lambda d: np.abs(d).sum(-1))))
-L2 = register(Distance("l2", lambda a, b: F.sqrt(_total(a, b, lambda x, y: (x - y) * (x - y))), lambda x, y: _blocked(x, y, lambda d: np.sqrt((d * d).sum(-1)))))
+L1 = register(Distance("l1", lambda a, b: _total(a, b, lambda x, y: F.abs(x - y)), lambda x, y: _blocked(x, y, lambda d: np.abs(d).sum(-1)), True))
+L2 = register(Distance("l2", lambda a, b: F.sqrt(_total(a, b, lambda x, y: (x - y) * (x - y))), lambda x, y: _blocked(x, y, lambda d: np.sqrt((d * d).sum(-1))), True))
 COSINE = register(Distance("cosine", _cosine, _cosine_block))
 HAMMING = register(
-    Distance("hamming", lambda a, b: _total(a, b, lambda x, y: F.when(x == y, 0.0).otherwise(1.0)) / F.size(a), lambda x, y: _blocked(x, y, lambda d: (d != 0).mean(-1)))
+    Distance("hamming", lambda a, b: _total(a, b, lambda x, y: F.when(x == y, 0.0).otherwise(1.0)) / F.size(a), lambda x, y: _blocked(x, y, lambda d: (d != 0).mean(-1)), True)
 )

@@ -34,7 +34,7 @@ def all_rows(column: pa.Array, width: int | None = None) -> np.ndarray:
 
 def stacked(vectors: list) -> np.ndarray:
     """Collected vectors as a matrix; raises if one is null or of another length."""
-    if None in vectors or len(set(map(len, vectors))) > 1:
+    if any(v is None for v in vectors) or len(set(map(len, vectors))) > 1:
         raise ValueError("vectors are null or differ in length: validate the points first")
     return np.array(vectors, np.float64)
 

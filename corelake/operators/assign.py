@@ -87,10 +87,34 @@ def _met(rows: DataFrame, d: dist.Distance, held: tuple[np.ndarray, np.ndarray])
     return rows.mapInArrow(run, rows.schema)
 
 
+def distances(points: DataFrame, centres: DataFrame, distance: str | dist.Distance = "l2") -> DataFrame:
+    """id, rank and d: the distance of every point to every centre, by array functions of the JVM.
+
+    Points are never shuffled: centres go to every task, in blocks of MOST_VALUES values.
+    """
+    d = dist.get(distance)
+    n, width = centres.agg(F.count("*"), F.coalesce(F.max(F.size("center")), F.lit(0))).first()
+    blocks, out = max(1, -(-n * width // MOST_VALUES)), None
+    for k in range(blocks):
+        own = centres if blocks == 1 else centres.where(F.pmod(F.xxhash64("rank"), F.lit(blocks)) == k)
+        packed = own.agg(F.collect_list(F.struct("rank", "center")).alias("c"))  # one row, its size is checked
+        met = F.transform("c", lambda c: F.struct(c["rank"].alias("rank"), d.expr(F.col("v"), c["center"]).alias("d")))
+        rows = points.select("id", "v").crossJoin(F.broadcast(packed)).select("id", F.explode(met).alias("x")).select("id", "x.rank", "x.d")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def within(points: DataFrame, centres: DataFrame, radius: float, distance: str | dist.Distance = "l2") -> DataFrame:
-    """points with matched added: whether some centre lies at most radius away."""
-    found = nearest(points, centres, distance)
-    return found.withColumn("matched", F.coalesce(F.col("dist") <= radius, F.lit(False))).drop("rank", "dist")
+    """points with matched added (a column of that name is replaced): whether some centre lies at most radius away."""
+    kept = [c for c in points.columns if c != "matched"]
+    found = nearest(_carried(points), centres, distance)
+    return found.select(*[F.col(f"p.`{c}`") for c in kept], F.coalesce(F.col("dist") <= radius, F.lit(False)).alias("matched"))
+
+
+def _carried(points: DataFrame) -> DataFrame:
+    """v, w if there is one, and all columns in a struct p, so that none of the caller's clashes with a new one."""
+    own = [F.col("w")] if "w" in points.columns else []
+    return points.select("v", *own, F.struct(*[F.col(f"`{c}`") for c in points.columns]).alias("p"))
 
 
 def dispatch(points: DataFrame, centres: DataFrame, distance: str | dist.Distance = "l2", *, native: bool = False) -> DataFrame:
@@ -107,13 +131,14 @@ def totals(facilities: DataFrame) -> DataFrame:
 
 def label_histogram(points: DataFrame, centres: DataFrame, label: str, distance: str | dist.Distance = "l2") -> DataFrame:
     """rank, label and n: points of each label at each facility."""
-    return nearest(points, centres, distance).where("rank is not null").groupBy("rank", F.col(label).alias("label")).agg(F.count("*").alias("n"))
+    found = nearest(_carried(points), centres, distance).where("rank is not null")
+    return found.groupBy("rank", F.col(f"p.`{label}`").alias("label")).agg(F.count("*").alias("n"))
 
 
 def dispatch_labels(points: DataFrame, centres: DataFrame, label: str, distance: str | dist.Distance = "l2") -> DataFrame:
     """rank, weight, cost, n and entropy (natural logarithm, of the unweighted label counts) of each facility with points."""
-    found = nearest(points, centres, distance).where("rank is not null")
-    by_label = found.groupBy("rank", label).agg(F.count("*").alias("c"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("dist")).alias("cost"))
+    found = nearest(_carried(points), centres, distance).where("rank is not null")
+    by_label = found.groupBy("rank", F.col(f"p.`{label}`").alias("label")).agg(F.count("*").alias("c"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("dist")).alias("cost"))
     n = F.sum("c")
     entropy = F.greatest(F.lit(0.0), F.log(n) - F.sum(F.col("c") * F.log("c")) / n)
     return by_label.groupBy("rank").agg(F.sum("w").alias("weight"), F.sum("cost").alias("cost"), n.alias("n"), entropy.alias("entropy"))

@@ -12,7 +12,7 @@ grows with the second level; with one shard there is none.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,6 +26,8 @@ from ..functions.vectors import all_rows
 
 #: Points of a shard on average where the number of shards is not given, and shards that are merged in one task.
 SHARD, GROUP = 25_000, 64
+#: Points of a shard that are judged together.
+STEP = 1024
 FACILITY = "rank long, center_id long, center array<double>, weight double, cost double"
 _MASK = (1 << 64) - 1
 
@@ -38,6 +40,15 @@ def chance(seed: int, phase: int, id: int) -> float:
     return (x ^ (x >> 31)) / 2.0**64
 
 
+def chances(seed: int, phase: int, ids: np.ndarray) -> np.ndarray:
+    """chance() of each id."""
+    with np.errstate(over="ignore"):
+        x = np.uint64((seed * 0x9E3779B97F4A7C15 + phase * 0xBF58476D1CE4E5B9) & _MASK) + ids.astype(np.int64).view(np.uint64) * np.uint64(0x94D049BB133111EB)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return (x ^ (x >> np.uint64(31))) / 2.0**64
+
+
 def clamped_k(k: int, n: int) -> int:
     """k, but at most about the root of n."""
     return k if k <= math.isqrt(n) else max(1, min(k, int(math.sqrt(1 + n))))
@@ -86,41 +97,71 @@ class State:
         self.weights.append(w)
         self.costs.append(0.0)
 
-    def add(self, id: int, v: np.ndarray, w: float) -> bool:
-        """False if the phase's bounds are exceeded; the point is in by then."""
-        if w < 0 or not math.isfinite(w):
+    def process(self, ids: np.ndarray, x: np.ndarray, w: np.ndarray) -> None:
+        """Adds points in order; each time the bounds are exceeded, the facilities go in again before the next point."""
+        if len(w) and not (np.isfinite(w).all() and (w >= 0).all()):
             raise ValueError("weights are finite and not negative")
-        self.inserted += 1
-        self.weight += w
-        if not self.ids:
-            self._open(id, v, w)
-            return True
-        found = self.distance.block(v[None, :], self._centres[: len(self.ids)])[0]
-        best = int(found.argmin())
-        d = float(found[best])
-        if chance(self.seed, self.phase, id) < w * d * self.open_rate / self.li:
-            self._open(id, v, w)
-        else:
-            self.weights[best] += w
-            self.costs[best] += w * d
-            self.total_cost += w * d
-        return self.total_cost <= self.most_cost and len(self.ids) <= self.bound
-
-    def process(self, points: Iterable[tuple[int, np.ndarray, float]]) -> None:
-        """Adds points; each time the bounds are exceeded, the facilities go in again before the next point."""
-        waiting = [iter(points)]
+        waiting = [(ids, x, w)]
         while waiting:
-            point = next(waiting[-1], None)
-            if point is None:
-                waiting.pop()
-            elif not self.add(*point):
-                again = [(i, self._centres[j].copy(), w) for j, (i, w) in enumerate(zip(self.ids, self.weights, strict=True))]
-                self.phase += 1
-                self.most_cost *= self.beta
-                self.li *= self.beta
-                self.total_cost = self.weight = 0.0
-                self.ids, self.weights, self.costs = [], [], []
-                waiting.append(iter(again))
+            ids, x, w = waiting.pop()
+            for k in range(0, len(ids), STEP):
+                done = self._together(ids[k : k + STEP], x[k : k + STEP], w[k : k + STEP])
+                if done is not None:  # the bounds are exceeded
+                    waiting.append((ids[k + done :], x[k + done :], w[k + done :]))
+                    waiting.append((np.array(self.ids, np.int64), self._centres[: len(self.ids)].copy(), np.array(self.weights)))
+                    self.phase += 1
+                    self.most_cost *= self.beta
+                    self.li *= self.beta
+                    self.total_cost = self.weight = 0.0
+                    self.ids, self.weights, self.costs = [], [], []
+                    break
+
+    def _together(self, ids: np.ndarray, x: np.ndarray, w: np.ndarray) -> int | None:
+        """Adds a few points in order; how many went in, if the bounds are exceeded by then.
+
+        The points between two openings join facilities that stay as they are, so they are judged at once.
+        """
+        at, n = 0, len(ids)
+        if not self.ids:
+            self._open(int(ids[0]), x[0], float(w[0]))
+            self.inserted, self.weight, at = self.inserted + 1, self.weight + float(w[0]), 1
+        u = chances(self.seed, self.phase, ids)
+        found = self.distance.block(x, self._centres[: len(self.ids)])
+        best = found.argmin(1)
+        near = found[np.arange(n), best]
+        while at < n:
+            cost = w[at:] * near[at:]
+            opens = np.flatnonzero(u[at:] < cost * self.open_rate / self.li)
+            join = int(opens[0]) if len(opens) else n - at  # so many points join a facility first
+            upto = np.cumsum(np.r_[self.total_cost, cost[:join]])
+            over = np.flatnonzero(upto[1:] > self.most_cost)
+            if len(over):
+                join = int(over[0]) + 1
+            weights, costs = np.array(self.weights), np.array(self.costs)
+            own = slice(at, at + join)
+            np.add.at(weights, best[own], w[own])
+            np.add.at(costs, best[own], cost[:join])
+            self.weights, self.costs = weights.tolist(), costs.tolist()
+            self.total_cost = float(upto[join])
+            self.weight = float(np.cumsum(np.r_[self.weight, w[own]])[-1])
+            self.inserted += join
+            at += join
+            if len(over):
+                return at
+            if at == n:
+                return None
+            self._open(int(ids[at]), x[at], float(w[at]))
+            self.weight += float(w[at])
+            self.inserted += 1
+            at += 1
+            if len(self.ids) > self.bound or self.total_cost > self.most_cost:
+                return at
+            if at < n:
+                new = self.distance.block(x[at:], self._centres[len(self.ids) - 1 : len(self.ids)])[:, 0]
+                nearer = new < near[at:]
+                near[at:][nearer] = new[nearer]
+                best[at:][nearer] = len(self.ids) - 1
+        return None
 
     def facilities(self) -> list[tuple[int, int, list[float], float, float]]:
         return [(k, i, self._centres[k].tolist(), w, c) for k, (i, w, c) in enumerate(zip(self.ids, self.weights, self.costs, strict=True))]
@@ -131,7 +172,7 @@ class State:
         if self.inserted <= self.k * (1 + log2_floor(m)):
             return self
         out = State(self.k, m, self.beta, self.gamma, self.distance, self.seed)
-        out.process((i, self._centres[j].copy(), w) for j, (i, w) in enumerate(zip(self.ids, self.weights, strict=True)))
+        out.process(np.array(self.ids, np.int64), self._centres[:m].copy(), np.array(self.weights))
         return out
 
 
@@ -173,7 +214,7 @@ def _merging(left: int, make: Callable[[int], State], contract: bool) -> Callabl
         shard = int(pdf["shard"].iloc[0]) % left
         pdf = pdf.sort_values("center_id", kind="stable")
         state = make(len(pdf))
-        state.process((int(i), np.array(v), float(w)) for i, v, w in zip(pdf["center_id"], pdf["center"], pdf["weight"], strict=True))
+        state.process(pdf["center_id"].to_numpy(), np.stack(pdf["center"].tolist()), pdf["weight"].to_numpy(float))
         if contract:
             state = state.contracted()
         return pd.DataFrame([(shard, *r) for r in state.facilities()], columns=["shard", "rank", "center_id", "center", "weight", "cost"])
@@ -191,38 +232,39 @@ def _by_shard(points: DataFrame, k: int, beta: float, gamma: float, d: dist.Dist
     """The number of shards; the facilities (or the bounds) of each."""
     if shards is None:
         shards = shards_for(points.count())
+    # shards are whole within a task, of which there are no more than the session asks for
+    tasks = min(shards, max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), points.sparkSession.sparkContext.defaultParallelism))
     dealt = points.select("id", F.col("v").cast("array<double>").alias("v"), "w").withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    sizes = {r["shard"]: r["count"] for r in dealt.groupBy("shard").count().collect()}  # one number for each shard
     schema = STATE if bounds else f"shard int, {FACILITY}"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, state = None, None
-
-        def done():
-            if state is None:
-                return
-            if bounds:
-                one = (int(shard), state.phase, state.inserted, state.li, state.most_cost, state.total_cost, state.weight, state.bound)
-                types = (pa.int32(), pa.int64(), pa.int64(), *[pa.float64()] * 4, pa.int64())
-                yield pa.record_batch([pa.array([x], t) for x, t in zip(one, types, strict=True)], names=["shard", "phase", "inserted", "li", "most_cost", "total_cost", "weight", "bound"])
-                return
-            rows = [(int(shard), *r) for r in state.facilities()]
-            types = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.float64())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["shard", "rank", "center_id", "center", "weight", "cost"])
+    def judged(shard: int, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        ids, x, w = (np.concatenate(c) for c in zip(*parts, strict=True))
+        state = State(k, len(ids), beta, gamma, d, seed)  # the rule needs the number of points
+        state.process(ids, x, w)
+        if bounds:
+            one = (shard, state.phase, state.inserted, state.li, state.most_cost, state.total_cost, state.weight, state.bound)
+            types = (pa.int32(), pa.int64(), pa.int64(), *[pa.float64()] * 4, pa.int64())
+            return pa.record_batch([pa.array([c], t) for c, t in zip(one, types, strict=True)], names=["shard", "phase", "inserted", "li", "most_cost", "total_cost", "weight", "bound"])
+        rows = [(shard, *r) for r in state.facilities()]
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.float64())
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["shard", "rank", "center_id", "center", "weight", "cost"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, parts = None, []
         for batch in batches:
             own = batch.column(3).to_numpy()
             x = all_rows(batch.column(1))
-            ids, w = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            ids, w = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
                     continue
                 if own[a] != shard:
-                    yield from done()
-                    shard = own[a]
-                    state = State(k, sizes[int(shard)], beta, gamma, d, seed)
-                state.process((ids[j], x[j], w[j]) for j in range(a, b))
-        yield from done()
-
-    return shards, dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "id").mapInArrow(run, schema)
+                    if parts:
+                        yield judged(int(shard), parts)
+                    shard, parts = own[a], []
+                parts.append((ids[a:b], x[a:b], w[a:b]))
+        if parts:
+            yield judged(int(shard), parts)
+
+    return shards, dealt.repartitionById(tasks, F.col("shard") % tasks).sortWithinPartitions("shard", "id").mapInArrow(run, schema)

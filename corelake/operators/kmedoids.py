@@ -1,8 +1,9 @@
 """Weighted k-medoids over a summary: single steps as DataFrame operators, and the whole search.
 
 A summary within a checked size is searched in one task, where an iteration takes milliseconds and a Spark job for
-each would take far longer. A larger one is searched by the same rule in rounds of Spark jobs: the medoids are sent to
-all tasks, and candidates meet the members of their cluster in blocks of the summary, which are sent one by one.
+each would take far longer. A larger one is searched by the same rule in rounds of Spark jobs. New medoids are found by
+bounds (see medoids); for distances that don't obey the triangle inequality, candidates meet the members of their
+cluster in blocks of the summary, which are sent one by one.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from ..functions import distance as dist
 from ..functions.vectors import all_rows, lists
 from ..sources.scratch import delete, discard, shared_path, written
 from .assign import nearest
+from .medoids import exact_medoids
 
 #: Points of a summary that one task searches (8000 squared distances are half a gigabyte), and points of a block.
 MOST_POINTS, BLOCK = 8000, 8000
@@ -122,7 +124,7 @@ class Rounds:
     def __init__(self, summary: DataFrame, d: dist.Distance):
         self.spark, self.d = summary.sparkSession, d
         self.path = shared_path(self.spark, "kmedoids")
-        summary.select(F.col("id").cast("long").alias("id"), F.col("weight").cast("double").alias("weight"), F.col("v").cast("array<double>").alias("v")).write.parquet(f"{self.path}/summary")
+        summary.select(F.col("id").cast("long").alias("id"), F.col("weight").cast("double").alias("weight"), F.col("v").cast("array<double>").alias("v")).withColumn("no", F.monotonically_increasing_id()).write.parquet(f"{self.path}/summary")
         self.rows = self.spark.read.parquet(f"{self.path}/summary")
 
     def drop(self, name: str = "") -> None:
@@ -135,11 +137,22 @@ class Rounds:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    x = all_rows(batch.column(2))
-                    yield pa.record_batch(f(batch.column(0).to_numpy(), batch.column(1).to_numpy(), x))
+                    x = all_rows(batch.column("v"))
+                    yield pa.record_batch(f(batch.column("id").to_numpy(), batch.column("weight").to_numpy(), x))
 
         return (self.rows if rows is None else rows).mapInArrow(run, schema)
 
+    def _numbered(self, f) -> DataFrame:
+        """no and what f(ids, weights, vectors) of each batch gives: cluster and cost."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    found = f(batch.column("id").to_numpy(), batch.column("weight").to_numpy(), all_rows(batch.column("v")))
+                    yield pa.record_batch({"no": batch.column("no"), **{c: pa.array(x) for c, x in found.items()}})
+
+        return self.rows.mapInArrow(run, "no long, cluster int, cost double")
+
     def initial(self, k: int) -> list[tuple[int, list[float]]]:
         first = self.rows.orderBy(F.desc("weight"), "id").first()
         chosen = [(first["id"], first["v"])]
@@ -172,14 +185,19 @@ class Rounds:
 
     def recentre(self, centres: list) -> tuple[list, np.ndarray]:
         """The member of least weighted distance to the others of each cluster, and that distance; empty ones keep theirs."""
+        if self.d.metric:
+            new, total = list(centres), np.zeros(len(centres))
+            for r in exact_medoids(self.assigned(centres), self.d).collect():  # one row for each cluster
+                new[r["cluster"]], total[r["cluster"]] = (r["center_id"], r["center"]), r["cost"]
+            return new, total
         d, vectors = self.d, self.spark.sparkContext.broadcast(np.array([v for _, v in centres]))
         last = None
         while True:
-            rest = self.rows if last is None else self.rows.where(F.col("id") > last)
-            block = rest.orderBy("id").limit(BLOCK).collect()
+            rest = self.rows if last is None else self.rows.where(F.col("no") > last)
+            block = rest.orderBy("no").limit(BLOCK).collect()
             if not block:
                 break
-            last = block[-1]["id"]
+            last = block[-1]["no"]
             held = np.array([r["v"] for r in block])
             shared = self.spark.sparkContext.broadcast((held, np.array([r["weight"] for r in block]), d.block(held, vectors.value).argmin(1)))
 
@@ -192,14 +210,14 @@ class Rounds:
                     if len(there):
                         for k in range(0, len(at), 256):
                             cost[at[k : k + 256]] = d.block(x[at[k : k + 256]], held[there]) @ weight[there]
-                return {"id": ids, "cluster": own.astype(np.int32), "cost": cost}
+                return {"cluster": own.astype(np.int32), "cost": cost}
 
-            part = self._map(costs, "id long, cluster int, cost double")
+            part = self._numbered(costs)
             part.write.mode("append").parquet(f"{self.path}/costs")  # a job for each block, so that it holds one broadcast
             shared.unpersist()
-        parts = self.spark.read.parquet(f"{self.path}/costs").groupBy("id", "cluster").agg(F.sum("cost").alias("cost"))
-        best = parts.groupBy("cluster").agg(F.min(F.struct("cost", "id")).alias("m")).select("cluster", "m.cost", "m.id")
-        found = best.join(self.rows.select("id", "v"), "id").collect()  # one row for each cluster
+        parts = self.spark.read.parquet(f"{self.path}/costs").groupBy("no", "cluster").agg(F.sum("cost").alias("cost")).join(self.rows.select("no", "id"), "no")
+        best = parts.groupBy("cluster").agg(F.min(F.struct("cost", "id", "no")).alias("m")).select("cluster", "m.cost", "m.no")
+        found = best.join(self.rows.select("no", "id", "v"), "no").collect()  # one row for each cluster
         new, total = list(centres), np.zeros(len(centres))
         for r in found:
             new[r["cluster"]], total[r["cluster"]] = (r["id"], r["v"]), r["cost"]
@@ -277,7 +295,9 @@ def fit(summary: DataFrame, k: int, iterations: int = 15, *, distance: str | dis
 
 
 def membership(summary: DataFrame, medoids: DataFrame, distance: str | dist.Distance = "l2") -> DataFrame:
-    """summary with cluster and dist: the nearest of the medoids, ties to the smaller cluster."""
+    """summary with cluster and dist: the nearest of the medoids, ties to the smaller cluster; columns of these names, and
+    rank, are replaced."""
+    summary = summary.drop("cluster")
     centres = medoids.select(F.col("cluster").alias("rank"), "center_id", "center")
     return nearest(summary, centres, distance).withColumnRenamed("rank", "cluster")
 
@@ -292,15 +312,14 @@ def initial(summary: DataFrame, k: int, distance: str | dist.Distance = "l2", *,
     """cluster and center_id of initial medoids, by k rounds of DataFrame operations.
 
     by: "cost" takes the heaviest point, then again and again the one of the greatest weighted distance from any chosen
-    one, "distance" the same by plain distances; both leave out points equal to chosen ones. "random" takes those of
-    the smallest hashes of seed and id.
+    one, without points equal to chosen ones; "distance" takes these too. "random" takes those of the smallest hashes
+    of seed and id.
     """
     d = dist.get(distance)
     rows = summary.select("id", "weight", "v")
     if by == "random":
         found = rows.orderBy(F.xxhash64(F.lit(seed), F.col("id")), "id").limit(k).collect()
         return summary.sparkSession.createDataFrame([(c, r["id"]) for c, r in enumerate(found)], "cluster int, center_id long")
-    factor = F.col("weight") if by == "cost" else F.lit(1.0)
     first = rows.orderBy(F.desc("weight"), "id").limit(1).collect()
     if not first:
         return summary.sparkSession.createDataFrame([], "cluster int, center_id long")
@@ -313,7 +332,8 @@ def initial(summary: DataFrame, k: int, distance: str | dist.Distance = "l2", *,
         if far is not None:
             discard(far)
         far = new
-        best = far.where("least > 0").select("id", "v", (F.col("most") * factor).alias("c")).orderBy(F.desc("c"), "id").limit(1).collect()
+        free = F.col("least") > 0 if by == "cost" else ~F.col("id").isin([r["id"] for r in chosen])
+        best = far.where(free).select("id", "v", (F.col("most") * F.col("weight")).alias("c")).orderBy(F.desc("c"), "id").limit(1).collect()
         if not best or best[0]["c"] <= 0:
             break
         chosen.append(best[0])
@@ -323,9 +343,12 @@ def initial(summary: DataFrame, k: int, distance: str | dist.Distance = "l2", *,
 def recentred(assigned: DataFrame, distance: str | dist.Distance = "l2") -> DataFrame:
     """cluster, center_id and cost: the new medoid of each cluster of assigned points (id, weight, v, cluster).
 
-    All pairs of a cluster are met, in parts: PART of its points with all of them, so that no task has a whole large one.
+    Bounds save most distances (see medoids.exact_medoids) if the distance obeys the triangle inequality; else all pairs
+    of a cluster are met, in parts: PART of its points with all of them, so that no task has a whole large one.
     """
     d = dist.get(distance)
+    if d.metric:
+        return exact_medoids(assigned, d).select("cluster", "center_id", "cost")
     assigned = assigned.join(F.broadcast(_parts(assigned)), "cluster")
     a = assigned.select("cluster", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), F.col("id").alias("i"), F.col("v").alias("a"))
     b = assigned.select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("v").alias("b"), "weight")

@@ -9,24 +9,29 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import distance as dist
-from ..sources.scratch import written
+from ..functions.vectors import stacked
+from ..sources.scratch import discard, written
+from .bicriteria import State, chances
 
 #: Partitions of the two-level prefix sum, at least; draws that are sent to every task at most (8 MB).
 _PARTS, AT_ONCE = 16, 1 << 20
+#: Samples that are united before they are drawn from again.
+UNITED = 4
 
 
 def sampling_distribution(assigned: DataFrame) -> DataFrame:
     """id, rank, dist, w and p from assigned points (id, rank, dist, w): p adds up to 1.
 
-    p = (w dist / cost + w / (facilities * weight of the facility)) / 2, over facilities that have points. If
+    Points without a facility (a null rank) have no row. p = (w dist / cost + w / (facilities * weight of the facility)) / 2, over facilities that have points. If
     every point lies on its facility the first term is left out.
     """
+    assigned = assigned.where("rank is not null")
     by_facility = assigned.groupBy("rank").agg(F.sum("w").alias("wf"), F.sum(F.col("w") * F.col("dist")).alias("cf"))
     by_facility = by_facility.where("wf > 0")
     total = by_facility.agg(F.count("*").alias("b"), F.sum("cf").alias("cost"))
@@ -148,6 +153,64 @@ def summary(points: DataFrame, assigned: DataFrame, fraction: float, seed: int =
     return points.select("id", "v").join(chosen, "id").select("id", "weight", "v")
 
 
+def reduced(points: DataFrame, most: int, k: int, *, beta: float = 2.0, gamma: float = 2.0, distance: str | dist.Distance = "l2", seed: int = 14537) -> DataFrame:
+    """id, weight and v: weighted points (id, weight, v) merged and reduced until there are at most so many.
+
+    Points are dealt by a hash of their id to parts of a few times that many; in each part, facilities of one pass give
+    the sensitivities, and so many draws stand for the part. Parts are united and drawn from again, level by level,
+    the first of them all in parallel. Weights are those of points times the inverse of their share of the draws, so
+    sums over all points stay unbiased, and are scaled so that a part keeps its weight. Each level adds the error
+    of a sample of that size. Sets within the bound are returned as they are. A null or ragged vector raises.
+    """
+    d = dist.get(distance)
+    points = points.select(F.col("id").cast("long").alias("id"), F.col("weight").cast("double").alias("weight"), F.col("v").cast("array<double>").alias("v"))
+    n, level, held = points.count(), 0, None
+    while n > most:
+        parts = -(-n // (UNITED * most))
+        dealt = points.withColumn("part", F.pmod(F.xxhash64(F.lit(level), F.col("id")), F.lit(parts)).cast("int"))
+
+        rule = _reducing(most, k, beta, gamma, d, seed + level)
+        points = written(dealt.groupBy("part").applyInPandas(rule, "id long, weight double, v array<double>"), "reduced")
+        if held is not None:
+            discard(held)
+        held, level, left = points, level + 1, points.count()
+        if parts == 1 or left >= n:
+            break
+        n = left
+    return points
+
+
+def _reducing(most: int, k: int, beta: float, gamma: float, d: dist.Distance, seed: int):
+    def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = stacked(pdf["v"].tolist())
+        order = np.lexsort((*x.T[::-1], pdf["id"].to_numpy()))  # whatever the layout, also of repeated ids
+        ids, w, x = pdf["id"].to_numpy()[order], pdf["weight"].to_numpy()[order], x[order]
+        times, weight = sampled(ids, x, w, min(most, len(ids)), k, beta, gamma, d, seed)
+        hit = np.flatnonzero(times)
+        return pd.DataFrame({"id": ids[hit], "weight": weight[hit], "v": list(x[hit])})
+
+    return reduce
+
+
+def sampled(ids: np.ndarray, x: np.ndarray, w: np.ndarray, draws: int, k: int, beta: float, gamma: float, d: dist.Distance, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often each point is drawn, and what it weighs then: the weights add up to those of all points."""
+    state = State(k, len(ids), beta, gamma, d)
+    state.process(ids, x, w)
+    centres = np.array([f[2] for f in state.facilities()])
+    step = max(1, (1 << 22) // max(1, len(centres)))
+    found = [(f.argmin(1), f.min(1)) for f in (d.block(x[a : a + step], centres) for a in range(0, len(x), step))]
+    best, near = (np.concatenate(c) for c in zip(*found, strict=True))
+    of = np.bincount(best, w, len(centres))
+    cost = float(w @ near)
+    p = np.divide(w, (of > 0).sum() * of[best], out=np.zeros(len(w)), where=of[best] > 0)
+    p = 0.5 * (w * near / cost + p) if cost > 0 else p
+    upto = p.cumsum() / p.sum()
+    upto[-1] = 1.0
+    times = np.bincount(np.searchsorted(upto, chances(seed, draws, np.arange(draws)), "right"), minlength=len(ids))
+    weight = np.divide(w * times, p, out=np.zeros(len(w)), where=times > 0)
+    return times, weight * (w.sum() / weight.sum())
+
+
 def pairwise(points: DataFrame, distance: str | dist.Distance = "l2") -> DataFrame:
     """i, j and d for all ordered pairs, the diagonal 0. For summaries: its size is the square of theirs."""
     d = dist.get(distance)

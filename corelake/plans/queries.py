@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import distance as dist
-from ..operators import assign, bicriteria, facility_location, kmedoids, quality, scale, sensitivity
+from ..operators import assign, bicriteria, facility_location, kmedoids, medoids, quality, scale, sensitivity, swaps
 from ..sources.points import points as as_points
 from ..sources.points import append_points, pair_labels, read_labelled_csv, validate_points, write_csv, write_facilities
 from ..sources.scratch import shared_path, written
@@ -82,8 +82,7 @@ def _distances(name: str) -> Query:
         p, c = vectors(spark, sf), centres(spark, sf)
         if name == "hamming":
             p, c = integers(p), integers(c.withColumnRenamed("center", "v")).withColumnRenamed("v", "center")
-        pairs = p.select("id", "v", (F.col("id") - F.col("id") % 50).alias("rank")).join(c.select("rank", "center"), "rank")
-        return rounded(pairs.select("id", "rank", dist.get(name).expr(F.col("v"), F.col("center")).alias("d")), "d")
+        return rounded(assign.distances(p, c, name), "d")
 
     return run
 
@@ -91,7 +90,7 @@ def _distances(name: str) -> Query:
 _HAMMING = "list_sum(list_transform(list_zip({a}, {b}), lambda z: case when floor(z[1] * 8) = floor(z[2] * 8) then 0.0 else 1.0 end)) / len({a})"
 _COSINE = f"greatest(0.0, 1 - {_DOT} / (sqrt({_DOT.replace('{b}', '{a}')}) * sqrt({_DOT.replace('{a}', '{b}')})))"
 for _name, _sql in (("l1", _L1), ("l2", _L2), ("cosine", _COSINE), ("hamming", _HAMMING)):
-    query(f"dist_{_name}", f"with {_POINTS}, {_CENTRES} select id, rank, round({_sql.format(a='v', b='c')}, 6) + 0.0 as d from points join centres on rank = id - id % 50")(_distances(_name))
+    query(f"dist_{_name}", f"with {_POINTS}, {_CENTRES} select id, rank, round({_sql.format(a='v', b='c')}, 6) + 0.0 as d from points, centres")(_distances(_name))
 
 # --- facilities ---
 
@@ -255,11 +254,21 @@ def _labelled(points: DataFrame, found: DataFrame, name: str) -> DataFrame:
     return row.select("points", F.round("weight", 6).alias("weight"), "bounded", (F.col("mean") <= F.col("whole") + 1e-9).alias("mixed_less"), (F.abs(F.col("cost") - F.col("own")) <= 1e-6 * F.col("own")).alias("exact_cost"))
 
 
-@query("bmor_entropy", _LABELLED)
+def _one_pass(points: DataFrame) -> DataFrame:
+    return bicriteria.fit(points, 10, beta=2.2, gamma=2.2, distance="l1", contraction=True)
+
+
+@query("bmor_entropy")
 def bmor_entropy(spark: SparkSession, sf: str) -> DataFrame:
     """Facilities by one pass and contraction, and how labels mix at them."""
     points = vectors(spark, sf)
-    return _labelled(points, bicriteria.fit(points, 10, beta=2.2, gamma=2.2, distance="l1", contraction=True), "l1")
+    return assign.dispatch_labels(points, written(_one_pass(points), "facilities"), "label", "l1")
+
+
+@query("bmor_entropy_check", _LABELLED)
+def bmor_entropy_check(spark: SparkSession, sf: str) -> DataFrame:
+    points = vectors(spark, sf)
+    return _labelled(points, _one_pass(points), "l1")
 
 
 @query("bmor_states", "select count(*)::double as weight, true as inserted, true as within_cost, true as cost_doubles from embeddings")
@@ -309,10 +318,10 @@ def _clusters(spark: SparkSession, sf: str) -> DataFrame:
     return kmedoids.membership(_summary(spark, sf), _medoids(spark, sf).withColumnRenamed("rank", "cluster"))
 
 
-def _initial_sql(k: int, factor: str = "s.weight") -> str:
+def _initial_sql(k: int) -> str:
     parts = [f"{_S}, c0 as (select id, v from s order by weight desc, id limit 1)"]
     for j in range(1, k):
-        far = ", ".join(f"{_L2.format(a='s.v', b=f'c{i}.v')} * {factor}" for i in range(j))
+        far = ", ".join(f"{_L2.format(a='s.v', b=f'c{i}.v')} * s.weight" for i in range(j))
         parts.append(f", c{j} as (select s.id, s.v from s, {', '.join(f'c{i}' for i in range(j))} where s.id not in ({', '.join(f'(select id from c{i})' for i in range(j))}) order by greatest({far}) desc, s.id limit 1)")
     return "".join(parts) + " " + " union all ".join(f"select {j}::int as cluster, id as center_id from c{j}" for j in range(k))
 
@@ -322,7 +331,7 @@ def kmedoid_init(spark: SparkSession, sf: str) -> DataFrame:
     return kmedoids.initial(_summary(spark, sf), 5)
 
 
-@query("kmedoid_init_distance", _initial_sql(5, "1.0"))
+@query("kmedoid_init_distance", _initial_sql(5))
 def kmedoid_init_distance(spark: SparkSession, sf: str) -> DataFrame:
     return kmedoids.initial(_summary(spark, sf), 5, by="distance")
 
@@ -360,6 +369,43 @@ def kmedoid_close_pair(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(kmedoids.closest_pair(medoids, kmedoids.cluster_costs(_clusters(spark, sf))), "value")
 
 
+@query("kmedoid_swaps")
+def kmedoid_swaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Medoids of the summary that no swap improves."""
+    return swaps.fit(_summary(spark, sf), 5)
+
+
+@query("kmedoid_swaps_one", _S + f", cost as (select x.id, sum({_L2.format(a='x.v', b='y.v')} * y.weight) as cost from s x, s y group by 1) select id as center_id, round(cost, 6) as cost from cost order by cost, id limit 1")
+def kmedoid_swaps_one(spark: SparkSession, sf: str) -> DataFrame:
+    """With one medoid, swaps end at the best of all points."""
+    return rounded(swaps.fit(_summary(spark, sf), 1).select("center_id", "cost"), "cost")
+
+
+_LINES = "lines as (select l_suppkey % 25 as cluster, l_quantity / 50 as a, l_extendedprice / 1e5 as b, l_discount * 10 as c, l_tax * 10 as d, row_number() over () as n from lineitem)"
+
+
+@query(
+    "medoids_lines",
+    f"with {_LINES}, cost as (select x.cluster, x.n, sum(sqrt((x.a - y.a) ** 2 + (x.b - y.b) ** 2 + (x.c - y.c) ** 2 + (x.d - y.d) ** 2)) as cost from lines x join lines y using (cluster) group by 1, 2) "
+    "select cluster, count(*) as points, round(min(cost), 6) as cost from cost group by 1",
+)
+def medoids_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The exact medoid's cost for the lines of each of 25 groups of suppliers."""
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
+    key = F.xxhash64(*lines.columns)
+    points = line_points(spark, sf).join(lines.select(key.alias("id"), (F.col("l_suppkey") % 25).alias("cluster")), "id").withColumnRenamed("w", "weight")
+    return rounded(medoids.exact_medoids(points).select("cluster", "points", "cost"), "cost")
+
+
+@query("reduced_lines", "select count(*)::double as weight, true as bounded, true as from_data from lineitem")
+def reduced_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """All lines reduced to 2000 weighted ones, level by level."""
+    points = line_points(spark, sf)
+    found = sensitivity.reduced(points.withColumnRenamed("w", "weight"), 2000, 10)
+    joined = found.join(points.select("id", F.col("v").alias("own")), "id", "left")
+    return joined.agg(F.round(F.sum("weight"), 3).alias("weight"), (F.count("*") <= 2000).alias("bounded"), F.bool_and(F.coalesce(F.col("v") == F.col("own"), F.lit(False))).alias("from_data"))
+
+
 # --- facility location ---
 
 
@@ -397,9 +443,15 @@ def mp_facilities(spark: SparkSession, sf: str) -> DataFrame:
     return _separated(facility_location.choose(radii), radii)
 
 
-@query("mp_entropy", _LABELLED)
+@query("mp_entropy")
 def mp_entropy(spark: SparkSession, sf: str) -> DataFrame:
     """Facilities by estimated ball radii, and how labels mix at them."""
+    points = vectors(spark, sf)
+    return assign.dispatch_labels(points, facility_location.facilities(points, 0.75), "label")
+
+
+@query("mp_entropy_check", _LABELLED)
+def mp_entropy_check(spark: SparkSession, sf: str) -> DataFrame:
     points = vectors(spark, sf)
     return _labelled(points, facility_location.facilities(points, 0.75), "l2")
 
@@ -420,13 +472,18 @@ def wmp_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    """Summary, k-medoids, assignment of every vector, and agreement with the labels."""
+    """Summary, k-medoids, assignment of every vector, agreement with the labels, and with the clusters of a search by swaps."""
     points = validate_points(vectors(spark, sf))
     model = ClusterModel(10, distance="l1", iterations=25)
-    assigned = written(model.transform(points, model.fit(points)), "clusters")
-    table = quality.contingency(assigned.select("id", F.col("cluster").alias("label")), points.select("id", "label"))
-    cost = assigned.agg(F.sum("dist").alias("cost"))
-    return rounded(quality.information(table).crossJoin(cost), "h1", "h2", "h12", "information", "nmi_joint", "nmi_max", "nmi_mean", "nmi_sqrt", "cost")  # one row each
+    summary = model.summary(points)
+    by_swaps = swaps.fit(summary, 10, distance="l1", iterations=25).select("cluster", "center_id", "center")
+    both = model.transform(points, model.medoids(summary)).select("id", "v", "label", "dist", F.col("cluster").alias("own"))
+    both = written(model.transform(both.withColumnRenamed("dist", "own_dist"), written(by_swaps, "swaps")), "clusters")
+    label = lambda c: both.select("id", F.col(c).alias("label"))
+    table = quality.contingency(label("own"), label("label"))
+    other = quality.information(quality.contingency(label("own"), label("cluster"))).select(F.col("nmi_sqrt").alias("nmi_swaps"))
+    cost = both.agg(F.sum("own_dist").alias("cost"), F.sum("dist").alias("swap_cost"))
+    return rounded(quality.information(table).crossJoin(other).crossJoin(cost), "h1", "h2", "h12", "information", "nmi_joint", "nmi_max", "nmi_mean", "nmi_sqrt", "nmi_swaps", "cost", "swap_cost")  # one row each
 
 
 query("cluster_quality")(flagship)
@@ -450,35 +507,49 @@ def _nearest_medoids(points: DataFrame, model: ClusterModel) -> DataFrame:
     return assigned.join(check.select("id", F.col("dist").alias("least")), "id").agg(F.count("*").alias("points"), F.count_distinct("id").alias("ids"), F.bool_and(F.abs(F.col("dist") - F.col("least")) <= 1e-9).alias("nearest"))
 
 
-@query("cluster_assign", "select count(*) as points, count(*) as ids, true as nearest from embeddings")
+@query("cluster_assign")
 def cluster_assign(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector with its medoid."""
+    points, model = vectors(spark, sf), ClusterModel(10)
+    return model.transform(points, model.fit(points)).select("id", "cluster", "center_id", "dist")
+
+
+@query("cluster_assign_check", "select count(*) as points, count(*) as ids, true as nearest from embeddings")
+def cluster_assign_check(spark: SparkSession, sf: str) -> DataFrame:
     return _nearest_medoids(vectors(spark, sf), ClusterModel(10))
 
 
-@query("cluster_lines", "select count(*) as points, count(*) as ids, true as nearest from lineitem")
+@query("cluster_lines")
 def cluster_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole clustering of all lines of orders, from a summary of a hundredth."""
-    return _nearest_medoids(line_points(spark, sf), ClusterModel(10, fraction=0.01))
+    """The whole clustering of all lines of orders."""
+    points, model = line_points(spark, sf), ClusterModel(10)
+    return model.transform(points, model.fit(points)).select("id", "cluster", "center_id", "dist")
+
+
+@query("cluster_lines_check", "select count(*) as points, count(*) as ids, true as nearest from lineitem")
+def cluster_lines_check(spark: SparkSession, sf: str) -> DataFrame:
+    return _nearest_medoids(line_points(spark, sf), ClusterModel(10))
 
 
-@query("kmeans_compare", "select true as medoids_close, true as lines_close")
+@query("kmeans_compare")
 def kmeans_compare(spark: SparkSession, sf: str) -> DataFrame:
-    """The cost of medoids (sum of distances, L2) against that of the centres of Spark's own k-means.
+    """The costs (sums of distances, L2) of medoids and of the centres of Spark's own k-means, for vectors and lines.
 
-    A cluster's best point costs at most twice its best centre of any kind; of lines, which are dense, at most a quarter more.
+    A cluster's best point costs at most twice its best centre of any kind.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    def ratio(points: DataFrame, fraction: float) -> float:
-        model = ClusterModel(10, fraction=fraction)
+    def costs(points: DataFrame) -> tuple[float, float]:
+        model = ClusterModel(10)
         own = model.transform(points, model.fit(points)).agg(F.sum("dist")).first()[0]
         rows = points.select("id", array_to_vector("v").alias("features"))
         found = KMeans(k=10, seed=1, maxIter=10).fit(rows).clusterCenters()
         means = spark.createDataFrame([(k, k, [float(x) for x in c]) for k, c in enumerate(found)], "rank long, center_id long, center array<double>")
-        return own / assign.nearest(points, means).agg(F.sum("dist")).first()[0]
+        return own, assign.nearest(points, means).agg(F.sum("dist")).first()[0]
 
-    return spark.createDataFrame([(ratio(vectors(spark, sf), 0.11) <= 2.0, ratio(line_points(spark, sf), 0.01) <= 1.25)], "medoids_close boolean, lines_close boolean")
+    rows = [(name, *costs(points)) for name, points in (("embeddings", vectors(spark, sf)), ("lineitem", line_points(spark, sf)))]
+    return spark.createDataFrame(rows, "points string, medoids double, means double")
 
 
 # --- agreement ---
@@ -631,10 +702,11 @@ def paired(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("stream_bmor", "select count(*)::double as weight, true as bounded from events")
 def stream_bmor(spark: SparkSession, sf: str) -> DataFrame:
-    """Facilities of the events, read as a stream of (value, hour) vectors, a file in each trigger."""
-    source = f"{sf}/events.parquet"
+    """Facilities of the events, read as a stream of (value, hour) vectors: four files, one in each trigger."""
+    source = shared_path(spark, "events")
+    spark.read.parquet(f"{sf}/events.parquet").repartitionByRange(4, "event_id").write.parquet(source)
     schema = spark.read.parquet(source).schema
-    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{source}*")
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
     v = F.array(F.col("value") / 100, F.hour("ts") / 24.0)
     points = events.select(F.col("event_id").alias("id"), v.alias("v"), F.lit(1.0).alias("w"))
     n = spark.read.parquet(source).count()

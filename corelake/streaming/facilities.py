@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import distance as dist
+from ..functions.vectors import stacked
 from ..operators.bicriteria import FACILITY, State
 
 _STATE = "phase long, li double, most_cost double, total_cost double, weight double, inserted long, ids array<long>, weights array<double>, costs array<double>, centres array<double>"
@@ -33,7 +34,7 @@ def stream_facilities(points: DataFrame, k: int, expected: int, *, beta: float =
             state.ids, state.weights, state.costs = list(ids), list(weights), list(costs)
             state._centres = np.array(centres, np.float64).reshape(len(state.ids), -1)
         for frame in frames:
-            state.process((int(i), np.array(v, np.float64), float(w)) for i, v, w in zip(frame["id"], frame["v"], frame["w"], strict=True))
+            state.process(frame["id"].to_numpy(), stacked(frame["v"].tolist()), frame["w"].to_numpy(float))
         rows = state.facilities()
         held.update((state.phase, state.li, state.most_cost, state.total_cost, state.weight, state.inserted, state.ids, state.weights, state.costs, [x for r in rows for x in r[2]]))
         yield pd.DataFrame([(int(key[0]), state.inserted, *r) for r in rows], columns=["shard", "version", "rank", "center_id", "center", "weight", "cost"])
@@ -50,7 +51,7 @@ def merge(emitted: DataFrame, k: int, *, beta: float = 2.0, gamma: float = 2.0,
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("center_id", kind="stable")
         state = State(k, len(pdf), beta, gamma, d, seed)
-        state.process((int(i), np.array(v), float(w)) for i, v, w in zip(pdf["center_id"], pdf["center"], pdf["weight"], strict=True))
+        state.process(pdf["center_id"].to_numpy(), stacked(pdf["center"].tolist()), pdf["weight"].to_numpy(float))
         return pd.DataFrame(state.facilities(), columns=["rank", "center_id", "center", "weight", "cost"])
 
     return last.select("rank", "center_id", "center", "weight", "cost").groupBy(F.lit(0).alias("_")).applyInPandas(run, FACILITY)

@@ -138,6 +138,18 @@ def sequential(rows, k, beta, gamma):
     return [(f[0], round(f[2], 9)) for f in s["f"]]
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.floats(-50, 50), min_size=1, max_size=150), st.integers(1, 5), st.sampled_from([1, 7, 1024]))
+def test_points_that_are_judged_together(values, k, step):
+    """Whatever number of points is judged at once, the rule is the sequential one."""
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(bicriteria, "STEP", step)
+        state = bicriteria.State(k, len(values), 2.0, 2.0, dist.get("l1"))
+        state.process(np.arange(len(values)), np.array(values)[:, None], np.ones(len(values)))
+    assert [(i, round(w, 9)) for i, w in zip(state.ids, state.weights, strict=True)] == sequential([(i, x, 1.0) for i, x in enumerate(values)], k, 2.0, 2.0)
+    assert bicriteria.chances(3, 2, np.array([-5, 7])).tolist() == [bicriteria.chance(3, 2, i) for i in (-5, 7)]
+
+
 @pytest.mark.parametrize(("k", "beta", "gamma"), [(3, 2.0, 2.0), (1, 2.2, 3.0), (50, 1.5, 2.0)])
 def test_one_shard_is_the_sequential_rule(spark, k, beta, gamma):
     rng = np.random.default_rng(k)
@@ -150,7 +162,7 @@ def test_one_shard_is_the_sequential_rule(spark, k, beta, gamma):
 @given(st.lists(st.floats(-50, 50), min_size=1, max_size=80), st.integers(1, 5))
 def test_state_keeps_weight_and_bound(values, k):
     state = bicriteria.State(k, len(values), 2.0, 2.0, dist.get("l1"))
-    state.process((i, np.array([x]), 1.0) for i, x in enumerate(values))
+    state.process(np.arange(len(values)), np.array(values)[:, None], np.ones(len(values)))
     assert math.isclose(sum(state.weights), len(values)) and len(state.ids) <= state.bound
     small = state.contracted()
     assert math.isclose(sum(small.weights), len(values)) and set(small.ids) <= set(state.ids)
@@ -224,7 +236,7 @@ def test_k_medoids_finds_clear_clusters():
     assert cost <= d[:, [15, 45, 75]].min(1).sum() + 1e-9
 
 
-@pytest.mark.parametrize("distance", ["l2", "l1"])
+@pytest.mark.parametrize("distance", ["l2", "cosine"])
 def test_k_medoids_by_rounds_equals_one_task(spark, monkeypatch, distance):
     rng = np.random.default_rng(6)
     rows = [(k, rng.normal(k % 3, 1.0, 3).tolist(), float(rng.uniform(0.5, 3))) for k in range(70)]
@@ -343,9 +355,9 @@ def test_recentring_in_parts(spark, monkeypatch):
     rng = np.random.default_rng(7)
     rows = [(k, rng.normal(size=2).tolist(), float(rng.uniform(0.5, 2)), k % 10 // 8) for k in range(90)]
     df = spark.createDataFrame(rows, "id long, v array<double>, weight double, cluster long")
-    whole = sorted((r.cluster, r.center_id, round(r.cost, 9)) for r in kmedoids.recentred(df).collect())
+    whole = sorted((r.cluster, r.center_id, round(r.cost, 9)) for r in kmedoids.recentred(df, "cosine").collect())
     monkeypatch.setattr(kmedoids, "PART", 7)
-    assert sorted((r.cluster, r.center_id, round(r.cost, 9)) for r in kmedoids.recentred(df).collect()) == whole
+    assert sorted((r.cluster, r.center_id, round(r.cost, 9)) for r in kmedoids.recentred(df, "cosine").collect()) == whole
 
 
 def test_component_types(spark):
