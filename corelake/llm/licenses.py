@@ -5,14 +5,17 @@ out (and may be nested), ``<<var;name="copyright";original="...";match=".{0,5000
 matches. Rules are a stretch of any text (``.+``, ``.*``, ``.{a,b}``: b is in characters, a means a word at least unless it is 0) or words to choose from
 (``(a|b c)``); others are refused. All other words are mandatory and must occur exactly, in order, whatever signs,
 capitals and white space stand between them. Compiling gives, for each state, the mandatory words that lead on;
-optional regions add a branch around themselves, replaceable regions a state that takes any word. A text is searched
-from each place of a template's first mandatory word: what may be missing before it, or after the last one, tells nothing.
+optional regions add a branch around themselves, replaceable regions a state that takes any word. What may be missing
+before the first mandatory word, or after the last one, tells nothing.
+
+A text is read once for each template, from all places that a match may start at together: a state holds the earliest
+and the latest start that led to it, so the time follows the text's length whatever the text repeats.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import defaultdict, deque
 from functools import cache
 
 from pyspark.sql import DataFrame
@@ -89,8 +92,38 @@ TEMPLATES = {
         <<var;name="program";original="This program";match=".+">> is distributed in the hope that it will be useful, but WITHOUT
         ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU
         General Public License for more details.""",
-    "SPDX-tag": 'SPDX-License-Identifier: <<var;name="identifier";original="MIT";match=".+">>',
+    "MPL-2.0-notice": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
+        not distributed with this file, You can obtain one at http<<beginOptional>>s<<endOptional>>://mozilla.org/MPL/2.0/.""",
 }
+# --- fixed values: what declares a license by its name and version, and public license identifiers ---
+_UNDER = '<<var;name="verb";match="licensed|released|distributed|published|available|provided|redistributed">> under <<beginOptional>>the terms of<<endOptional>> <<beginOptional>><<var;name="article";match="the|a|an">><<endOptional>>'
+
+
+def _version(v: str) -> str:
+    return f"""<<var;name="version";match="{'|'.join(x + v.replace('.', ' ') for x in ('version ', 'v ', 'v', ''))}">>"""
+
+
+_GNU = {"GPL": "", "LGPL": '<<var;name="kind";match="lesser|library">>', "AGPL": "Affero"}
+_CC = {"BY": "", "BY-SA": "ShareAlike", "BY-NC": "NonCommercial", "BY-ND": "NoDerivatives", "BY-NC-SA": "NonCommercial ShareAlike", "BY-NC-ND": "NonCommercial NoDerivatives"}
+_NAMED = {
+    "Apache-2.0": f"Apache <<beginOptional>>Software<<endOptional>> License {_version('2.0')}",
+    "MIT": "MIT License",
+    "ISC": "ISC License",
+    "MPL-2.0": f"Mozilla Public License {_version('2.0')}",
+    "EPL-2.0": f"Eclipse Public License {_version('2.0')}",
+    "BSL-1.0": f"Boost Software License {_version('1.0')}",
+    "BSD-2-Clause": 'BSD <<var;name="n";match="2|two">> Clause <<beginOptional>>License<<endOptional>>',
+    "BSD-3-Clause": 'BSD <<var;name="n";match="3|three">> Clause <<beginOptional>>License<<endOptional>>',
+    **{f"{kind}-{v}": f"GNU {name} General Public License <<beginOptional>>{kind}<<endOptional>> <<beginOptional>>as published by the Free Software Foundation<<endOptional>> <<beginOptional>>either<<endOptional>> {_version(v.removesuffix('.0'))}"
+       for kind, versions in (("GPL", ("2.0", "3.0")), ("LGPL", ("2.1", "3.0")), ("AGPL", ("3.0",))) for v in versions for name in [_GNU[kind]]},
+    **{f"CC-{kind}-{v}": f'<<var;name="cc";match="CC {kind}|Creative Commons Attribution {name}">> <<beginOptional>>License<<endOptional>> {_version(v)}' for kind, name in _CC.items() for v in ("2.0", "3.0", "4.0")},
+}
+_IDENTIFIERS = ("MIT", "ISC", "Zlib", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "MPL-2.0", "EPL-2.0", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")
+_ONLY = '<<beginOptional>><<var;name="later";match="only|or later">><<endOptional>>'
+_BEFORE = f"""<<beginOptional>><<var;name="other";match="{'|'.join(x.replace('.', ' ') for x in _IDENTIFIERS)}">> {_ONLY} <<var;name="and";match="or|and">><<endOptional>>"""
+DECLARATIONS = {f"{label} declared": f"{_UNDER} {name}" for label, name in _NAMED.items()} | {f"{label} tagged": f"SPDX-License-Identifier: {_BEFORE} {label}" for label in _IDENTIFIERS}
+#: Among the three words before a declaration these deny it.
+_DENIALS = {b"not", b"never", b"nor", b"no", b"longer", b"t", b"cannot"}
 
 _MARK = re.compile(r"<<(beginOptional|endOptional|var)((?:;[a-zA-Z]+=(?:\"[^\"]*\"|[^\">;]*))*)>>")
 _RULE = re.compile(r";match=(?:\"([^\"]*)\"|([^\">;]*))")
@@ -145,13 +178,14 @@ class Automaton:
         self.free: list[list[int]] = [[]]
         self.loop: dict[int, int | None] = {}
         self.one: dict[int, int] = {}  # states that take exactly one word of any kind
+        self.needs = {x for x in items if isinstance(x, bytes)}
         self.mandatory = sum(isinstance(x, bytes) for x in items)
-        if not self.mandatory or not isinstance(items[0], bytes):
-            raise ValueError("a template needs mandatory words, and begins with one but for regions that may be missing")
+        if not self.mandatory or isinstance(items[0], tuple) and (items[0][0] != "choice" or not all(items[0][1])):
+            raise ValueError("a template needs mandatory words, and begins with some but for regions that may be missing")
         if isinstance(items[-1], tuple) and items[-1][0] == "any":
             items[-1] = ("one",)  # what stands at the end has no end of its own: one word is enough
         self.final = self._chain(0, items)
-        self.first = items[0]
+        self.first = {items[0]} if isinstance(items[0], bytes) else {phrase[0] for phrase in items[0][1]}
 
     def _new(self) -> int:
         self.step.append({})
@@ -185,88 +219,133 @@ class Automaton:
             at = end
         return at
 
-    def _enter(self, states: dict[int, int], s: int, since: int) -> None:
-        """Adds s and what it reaches freely. since: the place that a stretch began at; the latest one bounds it least."""
-        todo = [(s, since)]
-        while todo:
-            s, since = todo.pop()
-            if states.get(s, -1) >= since:
-                continue
-            states[s] = since
-            todo += [(t, since) for t in self.free[s]]
-
-    def match(self, words: list[bytes], start: int) -> int:
-        """The end of the longest text from start that the template accepts; -1 if none."""
-        states: dict[int, int] = {}
-        self._enter(states, 0, start)
-        end, at, used = -1, start, [0]  # used: characters up to each place, with a space after each word
-        while states:
-            if self.final in states:
-                end = at
-            if at >= len(words):
-                break
-            word = words[at]
+    def ends(self, words: list[bytes]) -> list[tuple[int, int, int]]:
+        """(end, earliest start, latest start) for each place at which texts that the template accepts end."""
+        out: list[tuple[int, int, int]] = []
+        states: dict[int, tuple[int, int]] = {}  # the earliest and the latest start that led to each
+        stretches = {s: Stretch(most) for s, most in self.loop.items()}
+        used = [0]  # characters up to each place, with a space after each word
+
+        def enter(states: dict, s: int, low: int, high: int, since: int) -> None:
+            todo = [s]
+            while todo:
+                s = todo.pop()
+                if s in stretches:
+                    stretches[s].add(used[since], low, high)
+                old = states.get(s)
+                if old is None or low < old[0] or high > old[1]:
+                    states[s] = (low, high) if old is None else (min(low, old[0]), max(high, old[1]))
+                    todo += self.free[s]
+
+        for at, word in enumerate(words):
             used.append(used[-1] + len(word) + 1)
-            new: dict[int, int] = {}
-            for s, since in states.items():
+            if word in self.first:
+                enter(states, 0, at, at, at)
+            if not states:
+                continue
+            new: dict[int, tuple[int, int]] = {}
+            for s, (low, high) in states.items():
                 for t in self.step[s].get(word, ()):
-                    self._enter(new, t, at + 1)
+                    enter(new, t, low, high, at + 1)
                 if s in self.one and len(word) <= (self.loop.get(self.one[s]) or len(word)):
-                    self._enter(new, self.one[s], at)
-                if s in self.loop and (self.loop[s] is None or used[-1] - used[since - start] - 1 <= self.loop[s]):
-                    self._enter(new, s, since)
+                    enter(new, self.one[s], low, high, at)
+                if s in stretches and (still := stretches[s].live(used[-1] - 1)):
+                    for t in (s, *self.free[s]):
+                        if t == s:
+                            old = new.get(s, still)
+                            new[s] = min(old[0], still[0]), max(old[1], still[1])
+                        else:
+                            enter(new, t, *still, at + 1)
             states = new
-            at += 1
-        return end
+            if self.final in states:
+                out.append((at + 1, *states[self.final]))
+        return out
+
+
+class Stretch:
+    """Starts that led to a stretch of any words, of so many characters at most, from where each entered it.
+
+    An entry counts no more once another one entered later from an earlier start (for the earliest) or from a later
+    one (for the latest): what is left is in order, so each entry comes and goes once.
+    """
+
+    def __init__(self, most: int | None):
+        self.most = most
+        self.low: deque[tuple[int, int]] = deque()
+        self.high: deque[tuple[int, int]] = deque()
+
+    def add(self, since: int, low: int, high: int) -> None:
+        if self.most is None:  # nothing ever ends here
+            if self.low:
+                low, high = min(low, self.low[0][1]), max(high, self.high[0][1])
+            self.low, self.high = deque([(since, low)]), deque([(since, high)])
+            return
+        while self.low and self.low[-1][1] >= low and self.low[-1][0] <= since:
+            self.low.pop()
+        while self.high and self.high[-1][1] <= high and self.high[-1][0] <= since:
+            self.high.pop()
+        if not self.low or self.low[-1][0] <= since:
+            self.low.append((since, low))
+        if not self.high or self.high[-1][0] <= since:
+            self.high.append((since, high))
+
+    def live(self, used: int) -> tuple[int, int] | None:
+        """The earliest and the latest start of the entries that may take what has been used up to here."""
+        if self.most is not None:
+            for entries in (self.low, self.high):
+                while entries and used - entries[0][0] > self.most:
+                    entries.popleft()
+        return (self.low[0][1], self.high[0][1]) if self.low else None
 
 
 @cache
-def compiled(templates: tuple[tuple[str, str], ...]) -> dict[bytes, list[tuple[str, Automaton]]]:
-    """Automata by the word with which an accepted text begins."""
-    out: dict[bytes, list[tuple[str, Automaton]]] = defaultdict(list)
-    for label, template in templates:
-        one = Automaton(template)
-        out[one.first].append((label, one))
-    return dict(out)
+def compiled(templates: tuple[tuple[str, str], ...]) -> list[tuple[str, Automaton]]:
+    return [(label, Automaton(template)) for label, template in templates]
+
+
+def found_by(one: Automaton, words: list[bytes]) -> list[tuple[int, int]]:
+    """(start, end) of accepted texts: for each end the earliest and the latest start, for each start its last end."""
+    last: dict[int, int] = {}
+    for end, *starts in one.ends(words):
+        last.update(dict.fromkeys(starts, end))
+    return sorted(last.items())
 
 
-def scan_words(words: list[bytes], automata: dict, phrases: dict[bytes, tuple[list[bytes], str]]) -> tuple:
+def scan_words(words: list[bytes], automata: list[tuple[str, Automaton]], phrases: dict[bytes, tuple[list[bytes], str]]) -> tuple:
     """(base places, first, last, base labels, [(label, start, end)]) of a text's words."""
-    starts: dict[bytes, list[int]] = defaultdict(list)
-    wanted = automata.keys() | phrases.keys()
-    seen = wanted & set(words)
-    if not seen:
-        return 0, None, None, [], []
-    for at, word in enumerate(words):
-        if word in seen:
-            starts[word].append(at)
+    there = set(words)
     places, labels, matches = [], set(), []
-    for word, found in starts.items():
-        for phrase, label in phrases.get(word, ()):
-            for at in found:
-                if words[at : at + len(phrase)] == phrase:
-                    places.append(at)
-                    labels.add(label)
-        for label, one in automata.get(word, ()):
-            for at in found:
-                if (end := one.match(words, at)) >= 0:
-                    matches.append((label, at, end))
+    if seen := phrases.keys() & there:
+        for at, word in enumerate(words):
+            if word in seen:
+                for phrase, label in phrases[word]:
+                    if words[at : at + len(phrase)] == phrase:
+                        places.append(at)
+                        labels.add(label)
+    for label, one in automata:
+        if one.needs <= there and not one.first.isdisjoint(there):
+            matches += [(label, at, end) for at, end in found_by(one, words)]
     return len(places), min(places, default=None), max(places, default=None), sorted(labels), sorted(matches)
 
 
-def scan_licenses(docs: DataFrame, *, text: str = "text", templates: dict[str, str] = TEMPLATES, keep: list[str] | None = None) -> DataFrame:
+def scan_licenses(
+    docs: DataFrame, *, text: str = "text", templates: dict[str, str] = TEMPLATES, declarations: dict[str, str] = DECLARATIONS, keep: list[str] | None = None
+) -> DataFrame:
     """One row for each row of docs: doc, n_words, n_base, first_word, last_word, base_labels, labels, matches, score.
 
-    ``templates`` gives markup by label. ``matches`` holds the template matches (label, start, end in words). ``score`` is 1 if a template's whole
-    mandatory wording stands in the text, 0.5 if only a phrase does, else 0. A null or empty text has no words,
-    no labels and score 0. A place of a phrase is counted each time it occurs.
+    ``templates`` gives markup of whole licenses and notices by label, ``declarations`` that of sentences and tags which
+    name a license; one that is denied ("not licensed under ...") doesn't count. ``matches`` holds the matches (label,
+    start, end in words): where several end together, those of the earliest and the latest start. ``score`` is 1 if a
+    whole mandatory wording stands in the text, 0.75 if a declaration does, 0.5 if only a phrase does, else 0. A null or
+    empty text has no words, no labels and score 0. A place of a phrase is counted each time it occurs.
     """
-    held = tuple(templates.items())
-    compiled(held)  # a template that can't be compiled raises here
+    held = tuple(templates.items()), tuple(declarations.items())
+    for marked in held:
+        compiled(marked)  # a template that can't be compiled raises here
     results = T.StructType.fromDDL("n_words long, n_base long, first_word long, last_word long, base_labels array<string>, labels array<string>, matches array<struct<label: string, start: long, end: long>>, score double")
 
     def make():
-        automata = compiled(held)
+        whole, named = compiled(held[0]), compiled(held[1])
         phrases: dict[bytes, list] = defaultdict(list)
         for phrase, label in PHRASES.items():
             phrases[plain_words(phrase)[0]].append((plain_words(phrase), label))
@@ -275,9 +354,12 @@ def scan_licenses(docs: DataFrame, *, text: str = "text", templates: dict[str, s
             out = {f.name: [] for f in results}
             for one in texts:
                 words = plain_words(one)
-                n, first, last, base, matches = scan_words(words, automata, phrases)
+                n, first, last, base, matches = scan_words(words, whole, phrases)
+                declared = [m for m in scan_words(words, named, {})[4] if _DENIALS.isdisjoint(words[max(0, m[1] - 3) : m[1]])]
+                score = 1.0 if matches else 0.75 if declared else 0.5 if base else 0.0
+                matches = sorted(matches + declared)
                 labels = sorted({*base, *(m[0] for m in matches)})
-                row = (len(words), n, first, last, base, labels, [dict(zip(("label", "start", "end"), m)) for m in matches], 1.0 if matches else 0.5 if base else 0.0)
+                row = (len(words), n, first, last, base, labels, [dict(zip(("label", "start", "end"), m, strict=True)) for m in matches], score)
                 for name, value in zip(out, row):
                     out[name].append(value)
             return out

@@ -344,8 +344,7 @@ def test_templates(spark):
         bare = _filled(items, False)
         middle = len(bare) // 2
         for k, words in enumerate((bare[:-1], bare[:middle] + bare[middle + 1 :], [*bare[:-3], "never", *bare[-3:]], bare[:-2] + ["otherwise", bare[-1]])):
-            if label != "SPDX-tag":
-                rows.append((f"{label} no {k}", f"x y {' '.join(words)}"))
+            rows.append((f"{label} no {k}", f"x y {' '.join(words)}"))
     got = {r.doc.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
     for name, r in got.items():
         label, kind, _ = name.split()
@@ -369,6 +368,49 @@ def test_markup(spark):
             licenses.scan_licenses(spark.createDataFrame([(1, "a")], "doc_id long, text string"), templates={"t": bad})
 
 
+def test_declarations(spark):
+    """Sentences and tags that name a license; what is denied, has no version or no known identifier declares nothing."""
+    texts = {
+        "Licensed under the Apache License, Version 2.0.": ["Apache-2.0 declared"],
+        "Released under the MIT License.": ["MIT declared"],
+        "This work is licensed under the GNU General Public License, version 3.": ["GPL-3.0 declared"],
+        "distributed under the terms of the GNU Lesser General Public License v2.1": ["LGPL-2.1 declared"],
+        "Licensed under CC BY-NC 4.0.": ["CC-BY-NC-4.0 declared"],
+        "This work is licensed under a Creative Commons Attribution-ShareAlike License 3.0": ["CC-BY-SA-3.0 declared"],
+        "// SPDX-License-Identifier: MIT": ["MIT tagged"],
+        "SPDX-License-Identifier: (MIT OR Apache-2.0)": ["Apache-2.0 tagged", "MIT tagged"],
+        "SPDX-License-Identifier: GPL-2.0-or-later": ["GPL-2.0 tagged"],
+        "SPDX-License-Identifier: NONE of these": [],
+        "Do not write SPDX-License-Identifier: here.": [],
+        "It is not licensed under the Apache License, Version 2.0.": [],
+        "It isn't released under the MIT license": [],
+        "Licensed under the Apache License": [],
+    }
+    rows = list(enumerate(texts))
+    for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        want = texts[rows[r.doc.doc_id][1]]
+        assert [m.label for m in r.matches] == want and set(want) <= set(r.labels)
+        assert r.score == (0.75 if want else 0.5 if r.base_labels else 0.0)
+
+
+def test_lines_of_the_table_are_declarations(spark):
+    found = licenses.scan_licenses(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")).where("size(base_labels) > 0").collect()
+    assert found and all(set(r.labels) > set(r.base_labels) and r.score == 0.75 for r in found)
+
+
+@pytest.mark.parametrize("label", sorted(licenses.TEMPLATES))
+def test_time_of_hostile_texts(label):
+    """Half of a license again and again, and its first words: a megabyte takes a second, not hours."""
+    items = [w for w in _filled(licenses.parsed(licenses.TEMPLATES[label]), True) if w != "body"]
+    one = licenses.Automaton(licenses.TEMPLATES[label])
+    half = " ".join(items[: len(items) // 2]) + " "
+    for text in (half * (1_000_000 // len(half)), f"{sorted(one.first)[0].decode()} " * 100_000):
+        words = plain_words(text)
+        began = time.perf_counter()
+        one.ends(words)
+        assert time.perf_counter() - began < 4  # a second on an idle machine
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["a", "b", "[", "]", "*", "{0,3}"]), min_size=1, max_size=7), st.text("abc ", max_size=14))
 def test_automata_equal_regular_expressions(parts, text):
@@ -387,12 +429,9 @@ def test_automata_equal_regular_expressions(parts, text):
             template, pattern = template + '<<var;name="v";match=".{0,3}">> ', pattern + r"(?:(?:\w{1,3}|\w \w) )?"
     template, pattern = template + "<<endOptional>> " * depth + "c", pattern + ")?" * depth + "c "
     words = text.split()
-    joined = "".join(w + " " for w in words)
-    one = licenses.Automaton(template)
-    for k in range(len(words)):
-        rest = joined[sum(len(w) + 1 for w in words[:k]) :]
-        ends = [m for m in range(len(words) - k + 1) if re.fullmatch(pattern, "".join(w + " " for w in words[k : k + m]))]
-        assert one.match([w.encode() for w in words], k) == (k + max(ends) if ends else -1), (template, rest)
+    accepted = [(k, m) for k in range(len(words)) for m in range(k, len(words) + 1) if re.fullmatch(pattern, "".join(w + " " for w in words[k:m]))]
+    want = [(end, min(k for k, m in accepted if m == end), max(k for k, m in accepted if m == end)) for end in sorted({m for _, m in accepted})]
+    assert licenses.Automaton(template).ends([w.encode() for w in words]) == want, template
 
 
 # --- extraction ---
