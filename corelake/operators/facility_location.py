@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import distance as dist
@@ -28,39 +28,44 @@ _CENTRES = "rank long, center_id long, center array<double>"
 
 
 def estimated_radii(points: DataFrame, scale: float, distance: str | dist.Distance = "l2", seed: int = 123) -> DataFrame:
-    """points with r: scale / 2**j for the largest j such that a ball of that radius seems to hold 2**j points.
+    """points with r (a column of that name is replaced): scale / 2**j for the largest j such that a ball of that radius seems to hold 2**j points.
 
     Each level counts over a shared sample of 2 n r / (scale log2 n) points, of the smallest hashes, all of
     which are met, in blocks.
     """
     d = dist.get(distance)
-    n = points.count()
+    # the caller's columns travel in one struct, so that none can clash
+    kept = [c for c in points.columns if c != "r"]
+    rows = points.select("id", F.col("v").cast("array<double>").alias("v"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("p"))
+    n = rows.count()
     levels = max(1, log2_floor(n))
     sizes = [int(2 * (n / 2**j) / levels) for j in range(levels + 1)]
-    sample = points.select(F.xxhash64(F.lit(seed), F.col("id")).alias("h"), "id", "v")
-    counted = points.withColumn("_n", F.array_repeat(F.lit(0).cast("long"), levels))
+    # a place of its own for each point, also where ids repeat
+    sample = written(rows.select(F.xxhash64(F.lit(seed), F.col("id")).alias("h"), "id", F.monotonically_increasing_id().alias("no"), "v"), "sample")
+    counted = rows.withColumn("n", F.array_repeat(F.lit(0).cast("long"), levels))
     start, last, blocks, held = 0, None, 0, None
     while start < sizes[1]:
-        rest = sample if last is None else sample.where((F.col("h") > last[0]) | ((F.col("h") == last[0]) & (F.col("id") > last[1])))
-        rows = rest.orderBy("h", "id").limit(min(SAMPLED, sizes[1] - start)).collect()
-        counted = _counted(counted, d, stacked([r["v"] for r in rows]), [s - start for s in sizes[1:]], scale)
-        start, last = start + len(rows), (rows[-1]["h"], rows[-1]["id"])
+        rest = sample if last is None else sample.where(_after(last, "h", "id", "no"))
+        block = rest.orderBy("h", "id", "no").limit(min(SAMPLED, sizes[1] - start)).collect()
+        counted = _counted(counted, d, stacked([r["v"] for r in block]), [s - start for s in sizes[1:]], scale)
+        start, last = start + len(block), block[-1]
         blocks += 1
         if blocks % TOGETHER == 0:  # so that a job holds so many blocks at most
             old, counted = held, written(counted, "counts")
             held = counted
             if old is not None:
                 discard(old)
+    discard(sample)
     r = F.lit(float(scale))
     for j in range(1, levels + 1):
-        r = F.when(F.col("_n")[j - 1] + 1 >= 2**j, scale / 2**j).otherwise(r)
-    return counted.withColumn("r", r).drop("_n")
+        r = F.when(F.col("n")[j - 1] + 1 >= 2**j, scale / 2**j).otherwise(r)
+    return counted.select(*[F.col("v").cast(points.schema["v"].dataType).alias("v") if c == "v" else F.col(f"p.`{c}`") for c in kept], r.alias("r"))
 
 
 def _counted(points: DataFrame, d: dist.Distance, block: np.ndarray, sizes: list[int], scale: float) -> DataFrame:
-    """points with _n added to: for each level j from 1, how many of the first sizes[j - 1] of block lie within scale / 2**j."""
+    """points with n added to: for each level j from 1, how many of the first sizes[j - 1] of block lie within scale / 2**j."""
     shared = points.sparkSession.sparkContext.broadcast(block)
-    at, own = points.columns.index("v"), points.columns.index("_n")
+    at, own = points.columns.index("v"), points.columns.index("n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,16 +82,24 @@ def _counted(points: DataFrame, d: dist.Distance, block: np.ndarray, sizes: list
     return points.mapInArrow(run, points.schema)
 
 
+def _after(row, *columns: str) -> Column:
+    """Whether the columns come after those of row, compared in turn."""
+    out = F.lit(False)
+    for c in reversed(columns):
+        out = (F.col(c) > row[c]) | ((F.col(c) == row[c]) & out)
+    return out
+
+
 def _blocks(points: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Vectors and weights of all points, SAMPLED at a time in order of id."""
+    """Vectors and weights of all points (no: a place of its own for each), SAMPLED at a time in order of place."""
     last = None
-    while rows := (points if last is None else points.where(F.col("id") > last)).orderBy("id").limit(SAMPLED).collect():
+    while rows := (points if last is None else points.where(F.col("no") > last)).orderBy("no").limit(SAMPLED).collect():
         yield stacked([r["v"] for r in rows]), np.array([r["w"] for r in rows])
-        last = rows[-1]["id"]
+        last = rows[-1]["no"]
 
 
 def _met(points: DataFrame, state: DataFrame, d: dist.Distance, update) -> DataFrame:
-    """state (id, v, s: array of numbers) after update(s, distances, weights) for each block of points, on Arrow batches."""
+    """state (no, v, s: array of numbers) after update(s, distances, weights) for each block of points, on Arrow batches."""
     held = None
     for k, block in enumerate(_blocks(points), 1):
         shared = state.sparkSession.sparkContext.broadcast(block)
@@ -97,7 +110,7 @@ def _met(points: DataFrame, state: DataFrame, d: dist.Distance, update) -> DataF
                 if batch.num_rows:
                     s = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
                     s = update(s, d.block(all_rows(batch.column(1), vectors.shape[1]), vectors), weights)
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(s)], names=["id", "v", "s"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(s)], names=["no", "v", "s"])
 
         state = state.mapInArrow(run, state.schema)
         if k % TOGETHER == 0:  # so that a job holds so many blocks at most
@@ -113,10 +126,10 @@ def weighted_radii(points: DataFrame, alfa: float, distance: str | dist.Distance
 
     The worth of a ball is sum of w (r - d) over the points d away, d <= r: a convex function of r. The nearest ones
     come from one pass in which each point meets all others, in blocks. If alfa is at most 1 they hold r as well; else
-    Newton's steps follow, each a pass, until no r changes. Ids are distinct.
+    Newton's steps follow, each a pass, until no r changes. Points that share an id are points of their own.
     """
     d = dist.get(distance)
-    points = written(points.select("id", "v", "w"), "points")
+    points = written(points.select("id", "v", "w", F.monotonically_increasing_id().alias("no")), "points")
     n = points.count()
     place = min(n, max(1, log2_floor(max(1, n))) + 1)
 
@@ -128,7 +141,7 @@ def weighted_radii(points: DataFrame, alfa: float, distance: str | dist.Distance
         at = np.take_along_axis(at, np.argsort(np.take_along_axis(far, at, 1), axis=1, kind="stable"), 1)
         return np.concatenate([np.take_along_axis(far, at, 1), np.take_along_axis(heavy, at, 1)], 1)
 
-    state = points.select("id", "v", F.concat(F.array_repeat(F.lit(float("inf")), place), F.array_repeat(F.lit(0.0), place)).alias("s"))
+    state = points.select("no", "v", F.concat(F.array_repeat(F.lit(float("inf")), place), F.array_repeat(F.lit(0.0), place)).alias("s"))
     state = _met(points, state, d, nearest_of)
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +157,7 @@ def weighted_radii(points: DataFrame, alfa: float, distance: str | dist.Distance
             rows = np.arange(len(s))
             weight = sw[rows, k]
             r = np.divide(target + swd[rows, k], weight, out=np.zeros(len(s)), where=weight > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(np.stack([r, target, r, r], 1))], names=["id", "v", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(np.stack([r, target, r, r], 1))], names=["no", "v", "s"])
 
     state = state.mapInArrow(solve, state.schema)  # s: r, target, and two sums of the next step
     while alfa > 1:
@@ -154,25 +167,25 @@ def weighted_radii(points: DataFrame, alfa: float, distance: str | dist.Distance
             inside = np.where(found <= s[:, :1], weights, 0.0)
             return np.stack([s[:, 0], s[:, 1], s[:, 2] + inside.sum(1), s[:, 3] + (inside * found).sum(1)], 1)
 
-        cleared = state.select("id", "v", F.array(F.col("s")[0], F.col("s")[1], F.lit(0.0), F.lit(0.0)).alias("s"))
+        cleared = state.select("no", "v", F.array(F.col("s")[0], F.col("s")[1], F.lit(0.0), F.lit(0.0)).alias("s"))
         r = F.when(F.col("s")[2] > 0, (F.col("s")[1] + F.col("s")[3]) / F.col("s")[2]).otherwise(0.0)
         # from the right of the root Newton's steps fall, from its left the first one leads to its right
-        new = written(_met(points, cleared, d, sums).select("id", "v", F.array(r, F.col("s")[1], F.col("s")[0], F.lit(0.0)).alias("s")), "radii")
+        new = written(_met(points, cleared, d, sums).select("no", "v", F.array(r, F.col("s")[1], F.col("s")[0], F.lit(0.0)).alias("s")), "radii")
         discard(state)
         state = new
         if state.where(F.abs(F.col("s")[0] - F.col("s")[2]) > 1e-12 * F.abs(F.col("s")[0])).isEmpty():
             break
-    return points.join(state.select("id", F.col("s")[0].alias("r")), "id")
+    return points.join(state.select("no", F.col("s")[0].alias("r")), "no").drop("no")
 
 
 def choose(points: DataFrame, distance: str | dist.Distance = "l2") -> DataFrame:
-    """Facilities (rank, center_id, center) from points (id, v, r), by growing radius, ties by id."""
+    """Facilities (rank, center_id, center) from points (id, v, r), by growing radius, ties by id, then by place in the table."""
     d = dist.get(distance)
     spark = points.sparkSession
-    left = written(points.select("id", F.col("v").cast("array<double>").alias("v"), F.col("r").cast("double").alias("r")), "uncovered")
+    left = written(points.select("id", F.col("v").cast("array<double>").alias("v"), F.col("r").cast("double").alias("r"), F.monotonically_increasing_id().alias("no")), "uncovered")
     found: list[DataFrame] = []
     count = 0
-    while rows := left.orderBy("r", "id").limit(ROUND).collect():
+    while rows := left.orderBy("r", "id", "no").limit(ROUND).collect():
         new: list = []
         vectors = stacked([r["v"] for r in rows])
         held = np.zeros_like(vectors)
@@ -184,7 +197,7 @@ def choose(points: DataFrame, distance: str | dist.Distance = "l2") -> DataFrame
         count += len(new)
         if len(rows) < ROUND:
             break
-        shared, top = spark.sparkContext.broadcast(held[: len(new)].copy()), (rows[-1]["r"], rows[-1]["id"])
+        shared, top = spark.sparkContext.broadcast(held[: len(new)].copy()), rows[-1]
 
         def uncovered(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -192,7 +205,7 @@ def choose(points: DataFrame, distance: str | dist.Distance = "l2") -> DataFrame
                     free = d.block(all_rows(batch.column(1)), shared.value).min(1) > 2 * batch.column(2).to_numpy()
                     yield batch.filter(pa.array(free))
 
-        later = left.where((F.col("r") > top[0]) | ((F.col("r") == top[0]) & (F.col("id") > top[1])))
+        later = left.where(_after(top, "r", "id", "no"))
         old, left = left, written(later.mapInArrow(uncovered, left.schema), "uncovered")
         discard(old)
     if not found:

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Terms of the hypergeometric sum that are taken together; logarithms below which a term is zero in doubles.
+TERMS, LEAST = 1 << 16, -745.0
+
 
 def contingency(first: DataFrame, second: DataFrame) -> DataFrame:
     """l1, l2 and n from two tables of id and label, over the ids of both."""
@@ -52,3 +59,64 @@ def information(table: DataFrame) -> DataFrame:
         over(i, F.col("h12")).alias("nmi_joint"), over(i, F.greatest(h1, h2)).alias("nmi_max"), over(2 * i, h1 + h2).alias("nmi_mean"),
         over(i, F.sqrt(h1 * h2)).alias("nmi_sqrt"), over(i - F.col("e_bound"), F.sqrt(h1 * h2) - F.col("e_bound")).alias("ami_bound"),
     )
+
+
+def expected_term(n: int, a: int, b: int) -> float:
+    """The mean of x/n log(n x / (a b)) when a of n things are marked and b drawn, x being the marked ones drawn.
+
+    Probabilities follow one another by ratios, from the likeliest on to either side until they vanish in doubles; their
+    sum is one, so none needs a factorial.
+    """
+    low, high = max(0, a + b - n), min(a, b)
+    mode = min(high, max(low, (a + 1) * (b + 1) // (n + 2)))
+    mass = total = 0.0
+    for step, end in ((1, high), (-1, low)):
+        at, log = mode, 0.0
+        while (at <= end) if step > 0 else (at >= end):
+            count = min(TERMS, abs(end - at) + 1)
+            x = at + step * np.arange(count, dtype=np.float64)
+            more = (a - x) * (b - x) / ((x + 1) * (n - a - b + x + 1)) if step > 0 else x * (n - a - b + x) / ((a - x + 1) * (b - x + 1))
+            with np.errstate(divide="ignore"):
+                ratios = np.log(more)
+            logs = log + np.r_[0.0, ratios[:-1].cumsum()]
+            p = np.exp(logs)
+            if step < 0 and at == mode:
+                p[0] = 0.0  # counted on the way up
+            own = x > 0
+            total += float((p[own] * x[own] / n * np.log(n * x[own] / (a * b))).sum())
+            mass += float(p.sum())
+            log = logs[-1] + ratios[-1]
+            at += step * count
+            if not log > LEAST:
+                break
+    return total / mass
+
+
+def expected_information(table: DataFrame) -> DataFrame:
+    """One row, e_exact: the mean mutual information of two clusterings with these marginal counts that have nothing to do
+    with each other (null for an empty table).
+
+    Only the different pairs of counts are met, of which there are hardly more than labelled things: the different
+    column counts (at most about the root of twice their sum) go to every task, the row counts stay dealt.
+    """
+    counts = lambda c: table.groupBy(c).agg(F.sum("n").alias("k")).groupBy("k").agg(F.count("*").alias("times"))
+    columns = [(r["k"], r["times"]) for r in counts("l2").orderBy("k").collect()]
+    n = sum(k * times for k, times in columns)
+    shared = table.sparkSession.sparkContext.broadcast((n, columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, columns = shared.value
+        for batch in batches:
+            sums = [times * sum(own * expected_term(n, k, c) for c, own in columns) for k, times in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.record_batch([pa.array(sums, pa.float64())], names=["e"])
+
+    return counts("l1").repartition("k").mapInArrow(run, "e double").agg(F.sum("e").alias("e_exact"))
+
+
+def adjusted_information(table: DataFrame) -> DataFrame:
+    """information() with e_exact and the adjusted measures ami_max, ami_mean and ami_sqrt: 1 for equal clusterings, 0 on
+    average for unrelated ones. Ratios that are 0/0 are null."""
+    row = information(table).crossJoin(expected_information(table))  # one row each
+    i, e, h1, h2 = F.col("information"), F.col("e_exact"), F.col("h1"), F.col("h2")
+    over = lambda b: F.when(b - e > 1e-12, (i - e) / (b - e))
+    return row.withColumns({"ami_max": over(F.greatest(h1, h2)), "ami_mean": over((h1 + h2) / 2), "ami_sqrt": over(F.sqrt(h1 * h2))})

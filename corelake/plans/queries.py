@@ -609,6 +609,18 @@ def info_bound(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(quality.information(_contingency(spark, sf)).select("e_bound", "ami_bound"), "e_bound", "ami_bound")
 
 
+@query(
+    "info_exact",
+    _INFO + ", ra as (select n as k, count(*) as times from (select sum(n) as n from t group by l1) group by 1), cb as (select n as k, count(*) as times from (select sum(n) as n from t group by l2) group by 1), "
+    "term as (select ra.times * cb.times as times, ra.k as a, cb.k as b, total, unnest(range(cast(greatest(1, ra.k + cb.k - total) as bigint), cast(least(ra.k, cb.k) + 1 as bigint))) as m from ra, cb, x), "
+    "e as (select sum(times * m / total * ln(total * m / (a * b)) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(total - a + 1) + lgamma(total - b + 1) - lgamma(total + 1) - lgamma(m + 1) - lgamma(a - m + 1) - lgamma(b - m + 1) - lgamma(total - a - b + m + 1))) as exact from term) "
+    "select round(exact, 6) as e_exact, round((i - exact) / (greatest(h1, h2) - exact), 6) as ami_max, round((i - exact) / ((h1 + h2) / 2 - exact), 6) as ami_mean, round((i - exact) / (sqrt(h1 * h2) - exact), 6) as ami_sqrt from x, e",
+)
+def info_exact(spark: SparkSession, sf: str) -> DataFrame:
+    names = ("e_exact", "ami_max", "ami_mean", "ami_sqrt")
+    return rounded(quality.adjusted_information(_contingency(spark, sf)).select(*names), *names)
+
+
 # --- scales ---
 
 

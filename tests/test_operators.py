@@ -340,6 +340,26 @@ def test_choice_in_rounds(spark, monkeypatch):
     assert sorted(facility_location.choose(df).collect()) == whole
 
 
+def test_places_of_repeated_ids(spark, monkeypatch):
+    """Points that share an id are all met, wherever blocks and rounds are cut; columns of any name are carried."""
+    rng = np.random.default_rng(14)
+    x = np.round(rng.uniform(0, 10, (60, 2)), 1)
+    same = frame(spark, [(1, v.tolist(), 1.0) for v in x]).coalesce(1)
+    own = frame(spark, [(k, v.tolist(), 1.0) for k, v in enumerate(x)]).coalesce(1)
+    r = same.withColumn("r", F.lit(0.6))
+    found = {}
+    for most in (4096, 8):
+        monkeypatch.setattr(facility_location, "ROUND", most)
+        monkeypatch.setattr(facility_location, "SAMPLED", most)
+        centres = sorted(tuple(c.center) for c in facility_location.choose(r).collect())
+        assert len(centres) > 20
+        radii = sorted((tuple(p.v), round(p.r, 9)) for p in facility_location.weighted_radii(same, 0.5).collect())
+        levels = sorted((tuple(p.v), p.r) for p in facility_location.estimated_radii(same.withColumns({"_n": F.lit("x"), "n": F.lit(2), "r": F.lit(9.0)}), 4.0).collect())
+        assert found.setdefault("all", (centres, radii, levels)) == (centres, radii, levels)
+    assert found["all"][1] == sorted((tuple(p.v), round(p.r, 9)) for p in facility_location.weighted_radii(own, 0.5).collect())
+    assert facility_location.estimated_radii(same.withColumns({"_n": F.lit("x"), "n": F.lit(2)}), 4.0).columns == ["id", "v", "w", "_n", "n", "r"]
+
+
 def test_quantiles_by_ranges(spark, monkeypatch):
     rng = np.random.default_rng(7)
     x = np.concatenate([rng.normal(size=300), np.zeros(200)])
