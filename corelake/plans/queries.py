@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import distance as dist
 from ..operators import assign, bicriteria, facility_location, kmedoids, medoids, quality, scale, sensitivity, swaps
 from ..sources.points import points as as_points
-from ..sources.points import append_points, pair_labels, read_labelled_csv, validate_points, write_csv, write_facilities
+from ..sources.points import append_points, pair_labels, read_idx, read_labelled_csv, validate_points, write_csv, write_facilities, write_idx
 from ..sources.scratch import shared_path, written
-from ..streaming.facilities import merge, stream_facilities
+from ..streaming.facilities import FacilityTable, merge, stream_facilities
+from ..streaming.summary import StreamSummary
 from .cluster import ClusterModel
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -712,6 +713,17 @@ def paired(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(pair_labels(points.select("id", "v"), labels).select("id", "label", F.col("v")[0].alias("v0")), "v0")
 
 
+@query("idx_roundtrip", "select count(*) as n, count(*) - 1 as last, cast(sum(l_quantity) as bigint) as quantity, cast(sum(l_linenumber) as bigint) as line, cast(sum(l_quantity * l_linenumber) as bigint) as product from lineitem")
+def idx_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines as bytes, written by many tasks as IDX files and read again."""
+    path = shared_path(spark, "idx")
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").repartition(8, "l_orderkey")
+    write_idx(rows.select(F.array("l_quantity", F.col("l_linenumber").cast("double")).alias("v")), path)
+    q, line = F.col("v")[0], F.col("v")[1]
+    found = read_idx(spark, path, "u8")
+    return found.agg(F.count_distinct("id").alias("n"), F.max("id").alias("last"), F.sum(q).cast("long").alias("quantity"), F.sum(line).cast("long").alias("line"), F.sum(q * line).cast("long").alias("product"))
+
+
 @query("stream_bmor", "select count(*)::double as weight, true as bounded from events")
 def stream_bmor(spark: SparkSession, sf: str) -> DataFrame:
     """Facilities of the events, read as a stream of (value, hour) vectors: four files, one in each trigger."""
@@ -723,14 +735,33 @@ def stream_bmor(spark: SparkSession, sf: str) -> DataFrame:
     points = events.select(F.col("event_id").alias("id"), v.alias("v"), F.lit(1.0).alias("w"))
     n = spark.read.parquet(source).count()
     out = shared_path(spark, "stream")
-    emitted = stream_facilities(points, 10, max(1, n // 4), shards=4)
-    write = lambda batch, number: batch.write.mode("append").parquet(f"{out}/facilities")
-    running = emitted.writeStream.outputMode("update").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
-    running.awaitTermination()
-    found = merge(spark.read.parquet(f"{out}/facilities"), 10)
+    emitted, table = stream_facilities(points, 10, max(1, n // 4), shards=4), FacilityTable(f"{out}/facilities")
+    emitted.writeStream.outputMode("update").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(table).start().awaitTermination()
+    found = merge(table.read(spark), 10)
     return found.agg(F.round(F.sum("weight"), 6).alias("weight"), (F.count("*") <= bicriteria.facility_bound(10, n, 2.0)).alias("bounded"))
 
 
+@query("stream_summary", "select cast(count(*) as bigint) as landed, cast(floor(0.11 * count(*)) as bigint) as draws, true as from_data, true as weighs_all from embeddings")
+def stream_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """The summary of the vectors as a stream of four files: landed points, and the whole draws that the summary's weights tell."""
+    out = shared_path(spark, "stream")
+    points = vectors(spark, sf).select("id", "v", "w")
+    points.repartitionByRange(4, "id").write.parquet(f"{out}/source")
+    n = points.count()
+    stream = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/source")
+    summary = StreamSummary(f"{out}/state", 10, max(1, n // 4), shards=4)
+    for running in summary.start(stream):
+        running.awaitTermination()
+    found, m = summary.finish(spark), int(0.11 * n)
+    landed = summary.landed(spark)
+    centres_ = written(merge(summary.table.read(spark), 10), "facilities")
+    p = sensitivity.sampling_distribution(assign.nearest(landed, centres_)).select("id", "p")
+    times = found.join(p, "id").join(points.select("id", F.col("v").alias("own")), "id").withColumn("times", F.col("weight") * F.col("p") * m)
+    whole = F.abs(F.col("times") - F.round("times")) < 1e-6
+    row = times.agg(F.sum(F.when(whole, F.round("times"))).cast("long").alias("draws"), F.bool_and(F.col("v") == F.col("own")).alias("from_data"), (F.abs(F.sum("weight") / n - 1) < 0.5).alias("weighs_all"))
+    return row.crossJoin(landed.agg(F.count_distinct("id").alias("landed")))  # one row each
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

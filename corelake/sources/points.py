@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import idx
 from .scratch import written
 
 
@@ -75,29 +72,20 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("id", (base[F.col("_part")] + F.col("_place")).cast("long")).drop("_file", "_at", "_part", "_place")
 
 
-def read_idx(spark: SparkSession, path: str) -> DataFrame:
-    """id (place in the file) and v of a file in IDX format: big-endian magic number, sizes, unsigned bytes.
+def read_idx(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """id (place) and v of a file, or a folder of files, in IDX format, read by many tasks (see sources.idx).
 
-    A file of one dimension gives vectors of length 1. The file is read by the task that holds it.
+    A file of one dimension gives vectors of length 1. kind ("u8", "i32", "f64", ...) is checked if it is given.
     """
+    idx.register(spark)
+    reader = spark.read.format("idx")
+    return (reader.option("type", kind) if kind else reader).load(path)
+
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0).to_pylist():
-                kind, dims = content[2], content[3]
-                if content[:2] != b"\0\0" or kind != 8 or not dims:
-                    raise ValueError("not an IDX file of unsigned bytes")
-                sizes = np.frombuffer(content, ">u4", dims, 4).astype(np.int64)
-                width = int(np.prod(sizes[1:]))
-                data = np.frombuffer(content, np.uint8, offset=4 + 4 * dims)
-                if len(data) != sizes[0] * width:
-                    raise ValueError("the IDX file's length doesn't fit its sizes")
-                data = data.reshape(-1, width).astype(np.float64)
-                for k in range(0, len(data), 4096):
-                    part = data[k : k + 4096]
-                    yield pa.record_batch([pa.array(np.arange(k, k + len(part))), pa.array(list(part))], names=["id", "v"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, "id long, v array<double>")
+def write_idx(df: DataFrame, path: str) -> None:
+    """v (whole numbers below 256) as IDX files of unsigned bytes, in the order of the table's partitions."""
+    idx.register(df.sparkSession)
+    df.select("v").write.format("idx").mode("append").save(path)
 
 
 def pair_labels(vectors: DataFrame, labels: DataFrame) -> DataFrame:

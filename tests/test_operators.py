@@ -285,27 +285,6 @@ def test_shards_are_merged_in_groups(spark, monkeypatch):
     assert len(bounds) == 20 and sum(r.weight for r in bounds) == 600 and all(r.total_cost <= r.most_cost and r.inserted >= r.weight for r in bounds)
 
 
-def test_stream_keeps_its_state(spark, tmp_path):
-    """Several files, one in each trigger: kept state is read back, and the result is that of one file."""
-    from corelake.streaming.facilities import merge, stream_facilities
-
-    rng = np.random.default_rng(2)
-    rows = [(k, [float(x)], 1.0) for k, x in enumerate(rng.normal(size=300) * 4)]
-    found = {}
-    for files in (1, 5):
-        folder, out = tmp_path / f"in{files}", tmp_path / f"out{files}"
-        for k in range(files):
-            frame(spark, rows[300 * k // files : 300 * (k + 1) // files]).coalesce(1).write.mode("append").parquet(str(folder))
-        points = spark.readStream.schema("id long, v array<double>, w double").option("maxFilesPerTrigger", 1).parquet(str(folder))
-        emitted = stream_facilities(points, 3, 150, shards=2)
-        write = lambda batch, number, out=out: batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(str(out))
-        emitted.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / f"c{files}")).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-        got = spark.read.parquet(str(out))
-        assert got.select("batch").distinct().count() == files
-        found[files] = merge(got.drop("batch"), 3).agg(F.sum("weight")).first()[0]
-    assert found == {1: 300.0, 5: 300.0}
-
-
 def test_written_results(spark, tmp_path):
     df = line(spark, range(30))
     model = ClusterModel(3, fraction=0.5, shards=2)
@@ -426,6 +405,34 @@ def test_idx_and_csv(spark, tmp_path):
         src.read_labelled_csv(spark, str(tmp_path / "q.csv"), 2).collect()
 
 
+def test_idx_in_ranges(spark, tmp_path):
+    """Many tasks read ranges of rows of several files; ids have no gaps; other types, widths and lengths raise."""
+    rng = np.random.default_rng(1)
+    x = rng.integers(-9, 9, (50, 3))
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for name, rows in (("b", x[20:]), ("a", x[:20]), ("c", x[:0])):
+        (folder / name).write_bytes(struct.pack(">4B2I", 0, 0, 0x0C, 2, len(rows), 3) + rows.astype(">i4").tobytes())
+    src.idx.register(spark)
+    found = spark.read.format("idx").option("range_bytes", 84).load(str(folder))
+    assert found.rdd.getNumPartitions() == 8
+    assert [(r.id, r.v) for r in found.orderBy("id").collect()] == [(k, v) for k, v in enumerate(x.astype(float).tolist())]
+    assert src.read_idx(spark, f"file://{folder}", "i32").count() == 50
+    for kind, rows, what in (("u8", b"", "holds i32"), (None, struct.pack(">4B2I", 0, 0, 8, 2, 1, 2) + b"ab", "differ in length"), (None, b"\1\0\x08\x01", "not an IDX"), (None, b"\0\0\x08\x03\0", "doesn't fit")):
+        if rows:
+            (folder / "d").write_bytes(rows)
+        with pytest.raises(Exception, match=what):
+            src.read_idx(spark, str(folder), kind).collect()
+    with pytest.raises(Exception, match="there is no"):
+        src.read_idx(spark, str(tmp_path / "none")).collect()
+    whole = spark.createDataFrame([(k, [float(k), 7.0]) for k in range(40)], "id long, v array<double>").repartitionByRange(3, "id")
+    src.write_idx(whole, str(tmp_path / "out"))
+    src.write_idx(whole.limit(0), str(tmp_path / "out"))
+    assert [(r.id, r.v) for r in src.read_idx(spark, str(tmp_path / "out"), "u8").orderBy("id").collect()] == [(k, [float(k), 7.0]) for k in range(40)]
+    with pytest.raises(Exception, match="don't fit"):
+        src.write_idx(whole.withColumn("v", F.array(F.lit(0.5))), str(tmp_path / "bad"))
+
+
 def test_command_line(spark, tmp_path):
     from corelake.cli import main
 
