@@ -21,6 +21,8 @@ from .scale import quantiles as value_quantiles
 
 #: Values (centres times dimensions) that are sent to every task at most.
 MOST_VALUES = 4_000_000
+#: Centres from which on most are passed over by pivots.
+MANY = 1024
 
 
 def _collected(centres: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -64,21 +66,72 @@ def _nearest_native(points: DataFrame, centres: DataFrame, d: dist.Distance, kep
     return rows.select(*[F.col(f"p.`{c}`") for c in kept], F.col("best.rank").alias("rank"), F.col("best.dist").alias("dist"))
 
 
+class Pivots:
+    """Nearest of many centres by a distance that obeys the triangle inequality: the result of meeting them all.
+
+    Centres go to the nearest of some of them, the pivots. A point meets the group of its nearest pivot first; the
+    centres of another group lie no nearer than its pivot less the group's radius, so groups that can't be better or
+    equal are passed over. met counts the distances.
+    """
+
+    def __init__(self, d: dist.Distance, vectors: np.ndarray):
+        self.d, self.met = d, 0
+        count = max(1, int(np.sqrt(len(vectors))))
+        self.pivots = vectors[np.random.default_rng(5).choice(len(vectors), count, replace=False)]
+        step = max(1, (1 << 22) // self.pivots.size)
+        far = [d.block(vectors[k : k + step], self.pivots) for k in range(0, len(vectors), step)]
+        of, near = (np.concatenate(x) for x in zip(*((f.argmin(1), f.min(1)) for f in far), strict=True))
+        self.groups = [np.flatnonzero(of == g) for g in range(count)]  # in order of rank
+        self.radius = np.array([near[g].max(initial=-np.inf) for g in self.groups])
+        self.vectors = [vectors[g] for g in self.groups]
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, distance) of the nearest centre of each row; of equally near ones the first, infinity for none."""
+        to = self.d.block(x, self.pivots)
+        self.met += to.size
+        to = np.where(np.isnan(to), np.inf, to)
+        best, place = np.full(len(x), np.inf), np.zeros(len(x), np.int64)
+
+        def meet(rows: np.ndarray, g: int) -> None:
+            found = self.d.block(x[rows], self.vectors[g])
+            self.met += found.size
+            own = found.argmin(1)
+            least, at = found[np.arange(len(rows)), own], self.groups[g][own]
+            better = (least < best[rows]) | ((least == best[rows]) & (at < place[rows]))
+            best[rows], place[rows] = np.where(better, least, best[rows]), np.where(better, at, place[rows])
+
+        first = to.argmin(1)
+        for g in np.unique(first).tolist():
+            meet(np.flatnonzero((first == g) & np.isfinite(to[:, g])), g)
+        slack = 1e-9 * (1 + np.where(np.isfinite(to), to, 0))
+        for g in np.argsort(-self.radius).tolist():
+            rows = np.flatnonzero(np.isfinite(to[:, g]) & (to[:, g] - self.radius[g] - slack[:, g] <= best) & (first != g))
+            if len(rows) and len(self.groups[g]):
+                meet(rows, g)
+        return place, best
+
+
 def _met(rows: DataFrame, d: dist.Distance, held: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """rows (p, v, rank, dist) with the least (dist, rank) of those so far and of the held centres, in order of rank."""
     shared = rows.sparkSession.sparkContext.broadcast(held)
+    finite = d.metric and len(held[1]) >= MANY and np.isfinite(held[1]).all()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, vectors = shared.value
+        pivots = Pivots(d, vectors) if finite else None
         for batch in batches:
             x, at = matrix(batch.column(1), vectors.shape[1])
             rank = pc.fill_null(batch.column(2), np.iinfo(np.int64).max).to_numpy().copy()
             least = pc.fill_null(batch.column(3), float("inf")).to_numpy().copy()
             if len(x):
-                found = d.block(x, vectors)
-                found = np.where(np.isnan(found), np.inf, found)
-                best = found.argmin(1)
-                new, own = found[np.arange(len(best)), best], ranks[best]
+                if pivots:
+                    best, new = pivots.nearest(x)
+                else:
+                    found = d.block(x, vectors)
+                    found = np.where(np.isnan(found), np.inf, found)
+                    best = found.argmin(1)
+                    new = found[np.arange(len(best)), best]
+                own = ranks[best]
                 better = (new < least[at]) | ((new == least[at]) & (own < rank[at]))
                 rank[at], least[at] = np.where(better, own, rank[at]), np.where(better, new, least[at])
             none = np.isinf(least)

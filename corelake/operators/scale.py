@@ -55,6 +55,28 @@ def _by_ranges(df: DataFrame, column: str, at: tuple[float, ...]) -> DataFrame:
     return spark.createDataFrame([(float(q), float(between(q))) for q in at], "q double, value double")
 
 
+def sketches(df: DataFrame, column: str, *by: str, size: int = 400) -> DataFrame:
+    """The columns by, n, and sketch: a KLL sketch of the column's values in each group, combined before the shuffle.
+
+    Ranks read from a sketch are off by about 1.65 / size of the values, however many there are; up to about size values
+    it is exact. Nulls don't count. A group's sketches may be merged with those of other parts, days or shards.
+    """
+    return df.groupBy(*by).agg(F.count(column).alias("n"), F.kll_sketch_agg_double(F.col(column).cast("double"), size).alias("sketch"))
+
+
+def merged_sketches(parts: DataFrame, *by: str) -> DataFrame:
+    """One sketch for each group of the columns by, from those of its parts (n and sketch)."""
+    return parts.groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketch_quantiles(found: DataFrame, at: tuple[float, ...]) -> DataFrame:
+    """The groups' columns, q and value: the least value whose rank reaches q; groups without values have no rows."""
+    value = F.kll_sketch_get_quantile_double("sketch", F.array(*map(F.lit, at)))
+    kept = [c for c in found.columns if c not in ("n", "sketch")]
+    pairs = F.arrays_zip(F.array(*map(F.lit, at)).alias("q"), value.alias("x"))
+    return found.where("n > 0").select(*kept, F.explode(pairs).alias("z")).select(*kept, F.col("z.q").alias("q"), F.col("z.x").alias("value"))
+
+
 def hashed_pairs(points: DataFrame, pairs: int, distance: str | dist.Distance = "l2", seed: int = 7) -> DataFrame:
     """d of so many pairs of different points, at most: the places of both come from hashes of the pair's number.
 

@@ -21,6 +21,8 @@ from .bicriteria import State, chances
 
 #: Partitions of the two-level prefix sum, at least; draws that are sent to every task at most (8 MB).
 _PARTS, AT_ONCE = 16, 1 << 20
+#: Ids of a leaf of split draws, on average.
+BUCKET = 20_000
 #: Samples that are united before they are drawn from again.
 UNITED = 4
 
@@ -138,6 +140,58 @@ def draw(distribution: DataFrame, draws: int, seed: int = 14537) -> DataFrame:
     return found.groupBy("id").agg(F.sum("n").alias("n"), F.first("p").alias("p")).select("id", "n", (F.col("n") / (F.col("p") * draws)).alias("weight"))
 
 
+def split_draws(distribution: DataFrame, draws: int, seed: int = 14537, n: int | None = None) -> DataFrame:
+    """id, n and weight: how often each id is drawn with replacement, and n / (p draws), without moving any draw.
+
+    The ids' hashes span a binary tree. How many of a node's draws fall to its left half is binomial, from a generator
+    that the seed and the node's number start; at the leaves, which hold BUCKET ids on average, a multinomial deals them
+    to the points in order of id. So exactly so many are drawn, and neither layout nor partitions change the result.
+    A number for each leaf reaches the driver, 65,536 at most. Rows that share an id, or whose p is zero or null, are
+    left out or points of their own, as their p says. n is the number of rows, counted if it isn't given.
+    """
+    rows = distribution.where("p > 0").select("id", "p")
+    empty = rows.select("id", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("weight")).limit(0)
+    if draws <= 0:
+        return empty
+    n = rows.count() if n is None else n
+    depth = min(16, max(0, int(np.ceil(np.log2(max(1, n) / BUCKET)))))
+    h = F.xxhash64(F.lit(seed), F.col("id"))
+    # whole numbers add up to the same in any order
+    whole = F.greatest(F.lit(1), F.round(F.col("p") * float(1 << 52))).cast("long")
+    rows = rows.select("id", "p", whole.alias("share"), (F.shiftrightunsigned(h, 64 - depth) if depth else F.lit(0)).cast("int").alias("leaf"))
+    shares = np.zeros(1 << depth)
+    for r in rows.groupBy("leaf").agg(F.sum("share").alias("s")).collect():
+        shares[r["leaf"]] = r["s"]
+    if not shares.any():
+        return empty
+    wanted = [(k, int(x)) for k, x in enumerate(_split(shares, draws, seed)) if x]
+    dealt = rows.join(F.broadcast(rows.sparkSession.createDataFrame(wanted, "leaf int, draws long")), "leaf")
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["id", "share"], kind="stable")
+        share = pdf["share"].to_numpy(np.float64)
+        rng = np.random.default_rng([seed, int(pdf["leaf"].iloc[0]), 1])
+        times = rng.multinomial(int(pdf["draws"].iloc[0]), share / share.sum())
+        hit = np.flatnonzero(times)
+        return pd.DataFrame({"id": pdf["id"].to_numpy()[hit], "n": times[hit], "p": pdf["p"].to_numpy()[hit]})
+
+    found = dealt.groupBy("leaf").applyInPandas(deal, "id long, n long, p double")
+    return found.select("id", "n", (F.col("n") / (F.col("p") * draws)).alias("weight"))
+
+
+def _split(shares: np.ndarray, draws: int, seed: int) -> np.ndarray:
+    """Draws of each leaf, by binomials from the root down."""
+    levels = [shares]
+    while len(levels[-1]) > 1:
+        levels.append(levels[-1].reshape(-1, 2).sum(1))
+    counts = np.array([draws], np.int64)
+    for depth, level in enumerate(levels[-2::-1]):
+        pairs = level.reshape(-1, 2)
+        left = np.array([np.random.default_rng([seed, depth, k]).binomial(n, a / (a + b)) if n else 0 for k, (n, (a, b)) in enumerate(zip(counts.tolist(), pairs.tolist(), strict=True))], np.int64)
+        counts = np.stack([left, counts - left], 1).ravel()
+    return counts
+
+
 def _drawn(part: int, ids: list, p: list, n: list, early: int = -1) -> pa.RecordBatch:
     """Rows of draws; early is -1 but for the one row of a range that tells the driver."""
     types = (pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
@@ -146,10 +200,10 @@ def _drawn(part: int, ids: list, p: list, n: list, early: int = -1) -> pa.Record
 
 
 def summary(points: DataFrame, assigned: DataFrame, fraction: float, seed: int = 14537, n: int | None = None) -> DataFrame:
-    """id, weight and v: floor(fraction * n) draws, those of one id merged; vectors are fetched last. n is the number of
-    points, counted if it isn't given."""
+    """id, weight and v: floor(fraction * n) draws (see split_draws), those of one id merged; vectors are fetched last. n is
+    the number of points, counted if it isn't given. Ids are distinct."""
     n = assigned.count() if n is None else n
-    chosen = draw(sampling_distribution(assigned), int(fraction * n), seed)
+    chosen = split_draws(sampling_distribution(assigned), int(fraction * n), seed, n)
     return points.select("id", "v").join(chosen, "id").select("id", "weight", "v")
 
 

@@ -665,6 +665,25 @@ def weight_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(scale.quantiles(vectors(spark, sf, True), "w", scale.WEIGHTS), "value")
 
 
+@query("kll_distances", _near() + f", q as (select rank, quantile_disc(d, {list(kmedoids.CLUSTER)}) as x from near group by 1), places as (select unnest(range(1, {len(kmedoids.CLUSTER) + 1})) as i) select rank, {list(kmedoids.CLUSTER)}[i]::double as q, round(x[i], 6) + 0.0 as value from q, places")
+def kll_distances(spark: SparkSession, sf: str) -> DataFrame:
+    """Quantiles of the distances at each facility from sketches of ten parts, merged."""
+    near = assign.nearest(vectors(spark, sf), centres(spark, sf)).withColumn("part", F.pmod("id", F.lit(10)))
+    parts = scale.sketches(near, "dist", "rank", "part", size=4096)
+    return rounded(scale.sketch_quantiles(scale.merged_sketches(parts, "rank"), kmedoids.CLUSTER), "value")
+
+
+@query("split_draws", "select cast(floor(0.11 * count(*)) as bigint) as draws, true as near_share from embeddings")
+def split_draws(spark: SparkSession, sf: str) -> DataFrame:
+    """As many draws as asked for, dealt by halves; points of the upper half of p get as many as their share, within five deviations."""
+    p = sensitivity.sampling_distribution(_assigned(spark, sf))
+    m = int(0.11 * p.count())
+    found = p.join(sensitivity.split_draws(p, m).select("id", "n"), "id", "left").fillna(0, ["n"])
+    upper = F.col("p") > p.agg(F.avg("p")).first()[0]
+    sums = found.agg(F.sum("n").alias("draws"), F.sum(F.when(upper, F.col("n")).otherwise(0)).alias("own"), F.sum(F.when(upper, F.col("p")).otherwise(0.0)).alias("share"))
+    return sums.select("draws", (F.abs(F.col("own") - m * F.col("share")) <= 5 * F.sqrt(m * F.col("share") * (1 - F.col("share")))).alias("near_share"))
+
+
 # --- sources, sinks, streams ---
 
 
