@@ -1,9 +1,11 @@
 """Facility location by ball radii: a point opens a facility unless one lies within twice its radius.
 
-Radii are found for all points in parallel; points that all others have to meet are sent to every task in blocks.
-The choice takes points by growing radius; it runs in rounds: the points of the smallest radii are settled on the
-driver, a bounded number of them, then all points that the new facilities cover are dropped in parallel, and what
-is left is written. Points are validated (see sources.points): a null or ragged vector raises.
+Radii are found for all points in parallel. The choice takes points by growing radius, ties in order of a hash of the
+id. A set within a checked size is settled in one task. A larger one is settled in rounds, in all of which the result is
+that of the sequential rule: a point opens when no undecided point or facility that comes before it lies within its
+range, and is covered when the first one there is a facility. For distances that obey the triangle inequality, what lies
+within a range is found by an index (see balls), else points meet all others in blocks that are sent to every task.
+Points are validated (see sources.points): a null or ragged vector raises.
 """
 
 from __future__ import annotations
@@ -19,12 +21,12 @@ from ..functions import distance as dist
 from ..functions.vectors import all_rows, lists, stacked
 from ..sources.scratch import discard, written
 from .assign import dispatch
+from .balls import BallIndex
 from .bicriteria import log2_floor
 from .scale import neighbourhood_size
 
-#: Points that a round settles; points that are sent to every task at once, and blocks that one job meets.
-ROUND, SAMPLED, TOGETHER = 4096, 20_000, 16
-_CENTRES = "rank long, center_id long, center array<double>"
+#: Points that one task settles in turn; points that are sent to every task at once, and blocks that one job meets.
+SETTLED, SAMPLED, TOGETHER = 50_000, 20_000, 16
 
 
 def estimated_radii(points: DataFrame, scale: float, distance: str | dist.Distance = "l2", seed: int = 123) -> DataFrame:
@@ -41,6 +43,8 @@ def estimated_radii(points: DataFrame, scale: float, distance: str | dist.Distan
     levels = max(1, log2_floor(n))
     sizes = [int(2 * (n / 2**j) / levels) for j in range(levels + 1)]
     # a place of its own for each point, also where ids repeat
+    if d.metric and sizes[1] > SAMPLED:
+        return _radii_by_levels(rows, d, sizes, scale, seed).select(*[F.col("v").cast(points.schema["v"].dataType).alias("v") if c == "v" else F.col(f"p.`{c}`") for c in kept], "r")
     sample = written(rows.select(F.xxhash64(F.lit(seed), F.col("id")).alias("h"), "id", F.monotonically_increasing_id().alias("no"), "v"), "sample")
     counted = rows.withColumn("n", F.array_repeat(F.lit(0).cast("long"), levels))
     start, last, blocks, held = 0, None, 0, None
@@ -62,6 +66,40 @@ def estimated_radii(points: DataFrame, scale: float, distance: str | dist.Distan
     return counted.select(*[F.col("v").cast(points.schema["v"].dataType).alias("v") if c == "v" else F.col(f"p.`{c}`") for c in kept], r.alias("r"))
 
 
+def _radii_by_levels(rows: DataFrame, d: dist.Distance, sizes: list[int], scale: float, seed: int) -> DataFrame:
+    """rows with r, from the level of the smallest radius on: points that have enough neighbours there are settled."""
+    rows = written(rows.withColumn("no", F.monotonically_increasing_id()), "points")
+    order = placed(rows.select(F.xxhash64(F.lit(seed), F.col("id")).alias("h"), "id", "no"), "h", "id", "no")
+    sample = written(rows.select("no", "v").join(order.where(F.col("place") < sizes[1]).select("no", "place"), "no"), "sample")
+    left = rows.select("no", "v")
+    settled, read = None, [rows, sample]
+    for j in range(len(sizes) - 1, 0, -1):
+        index = BallIndex(sample.where(F.col("place") < sizes[j]).select("no", "v"), d)
+        found = index.ask(left.withColumn("reach", F.lit(scale / 2**j)), "count")
+        found = written(left.join(found.select("no", "n"), "no", "left").withColumn("enough", F.coalesce("n", F.lit(0)) + 1 >= 2**j), "levels")
+        index.drop()
+        read.append(found)
+        own = found.where("enough").select("no", F.lit(scale / 2**j).alias("r"))
+        settled = own if settled is None else settled.unionByName(own)
+        left = found.where("not enough").select("no", "v")
+    settled = settled.unionByName(left.select("no", F.lit(float(scale)).alias("r")))
+    out = written(rows.join(settled, "no").drop("no"), "radii")
+    discard(*read)
+    return out
+
+
+def placed(rows: DataFrame, *columns: str) -> DataFrame:
+    """rows with place, from 0 in order of the columns: by counts of ranges of which a few numbers reach the driver."""
+    dealt = rows.repartitionByRange(*columns).sortWithinPartitions(*columns)
+    dealt = written(dealt.withColumns({"part": F.spark_partition_id(), "own": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "placed")
+    starts, at = [], 0
+    for part, count in sorted(map(tuple, dealt.groupBy("part").count().collect())):
+        starts.append((part, at))
+        at += count
+    starts = F.broadcast(rows.sparkSession.createDataFrame(starts, "part int, start long"))
+    return dealt.join(starts, "part").withColumn("place", F.col("start") + F.col("own")).drop("part", "own", "start")
+
+
 def _counted(points: DataFrame, d: dist.Distance, block: np.ndarray, sizes: list[int], scale: float) -> DataFrame:
     """points with n added to: for each level j from 1, how many of the first sizes[j - 1] of block lie within scale / 2**j."""
     shared = points.sparkSession.sparkContext.broadcast(block)
@@ -179,41 +217,58 @@ def weighted_radii(points: DataFrame, alfa: float, distance: str | dist.Distance
 
 
 def choose(points: DataFrame, distance: str | dist.Distance = "l2") -> DataFrame:
-    """Facilities (rank, center_id, center) from points (id, v, r), by growing radius, ties by id, then by place in the table."""
+    """Facilities (rank, center_id, center) from points (id, v, r), by growing radius, ties by a hash of the id, then by id
+    and place in the table."""
     d = dist.get(distance)
-    spark = points.sparkSession
-    left = written(points.select("id", F.col("v").cast("array<double>").alias("v"), F.col("r").cast("double").alias("r"), F.monotonically_increasing_id().alias("no")), "uncovered")
-    found: list[DataFrame] = []
-    count = 0
-    while rows := left.orderBy("r", "id", "no").limit(ROUND).collect():
-        new: list = []
-        vectors = stacked([r["v"] for r in rows])
-        held = np.zeros_like(vectors)
-        for v, r in zip(vectors, rows, strict=True):
-            if not new or d.block(v[None], held[: len(new)])[0].min() > 2 * r["r"]:
-                held[len(new)] = v
-                new.append(r)
-        found.append(written(spark.createDataFrame([(count + k, r["id"], r["v"]) for k, r in enumerate(new)], _CENTRES), "chosen"))
-        count += len(new)
-        if len(rows) < ROUND:
-            break
-        shared, top = spark.sparkContext.broadcast(held[: len(new)].copy()), rows[-1]
+    rows = points.select("id", F.col("v").cast("array<double>").alias("v"), F.col("r").cast("double").alias("r"), F.xxhash64("id").alias("h"))
+    rows = placed(rows.withColumn("no", F.monotonically_increasing_id()), "r", "h", "id", "no").drop("no", "h").withColumnRenamed("place", "no")
+    left = written(rows, "undecided")
+    n = left.count()
+    found = None
+    while n > SETTLED and d.metric:
+        open_ = left if found is None else left.unionByName(found)
+        index = BallIndex(open_.select("no", "v"), d)
+        least = index.ask(left.select("no", "v", (2 * F.col("r")).alias("reach")), "least").select("no", "least")
+        judged = written(left.join(least, "no"), "judged")  # each point is within its own range
+        index.drop()
+        new = judged.where("least = no").drop("least")
+        found = written(new if found is None else found.unionByName(new), "facilities")
+        covering = found.select(F.col("no").alias("least"))
+        rest = judged.where("least < no").join(covering, "least", "left_anti").drop("least")
+        old, left = left, written(rest, "undecided")
+        discard(old, judged)
+        n = left.count()
+    if found is not None and n:  # what facilities cover that are not the first in reach
+        index = BallIndex(found.select("no", "v"), d)
+        covered = index.ask(left.select("no", "v", (2 * F.col("r")).alias("reach")), "least").select("no")
+        old, left = left, written(left.join(covered, "no", "left_anti"), "undecided")
+        index.drop()
+        discard(old)
+    found = _in_turn(left, d) if found is None else found.unionByName(_in_turn(left, d))
+    found = written(found, "chosen")
+    ranks = placed(found.select("no"), "no").withColumnRenamed("place", "rank")
+    return ranks.join(found, "no").select("rank", F.col("id").alias("center_id"), F.col("v").alias("center"))
 
-        def uncovered(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    free = d.block(all_rows(batch.column(1)), shared.value).min(1) > 2 * batch.column(2).to_numpy()
-                    yield batch.filter(pa.array(free))
 
-        later = left.where(_after(top, "r", "id", "no"))
-        old, left = left, written(later.mapInArrow(uncovered, left.schema), "uncovered")
-        discard(old)
-    if not found:
-        return spark.createDataFrame([], _CENTRES)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+def _in_turn(left: DataFrame, d: dist.Distance) -> DataFrame:
+    """The points that the sequential rule opens, in one task, which holds the facilities and passes over the points."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, reach = all_rows(batch.column(1)), 2 * batch.column(2).to_numpy()
+            near = np.full(len(x), np.inf) if held is None else np.concatenate([d.block(x[k : k + 512], held).min(1) for k in range(0, len(x), 512)])
+            new = []
+            for k in range(len(x)):
+                if near[k] > reach[k]:
+                    new.append(k)
+                    near[k:] = np.minimum(near[k:], d.block(x[k:], x[k : k + 1])[:, 0])
+            held = x[new] if held is None else np.concatenate([held, x[new]])
+            yield batch.take(pa.array(new, pa.int64()))
+
+    return left.select("id", "v", "r", "no").coalesce(1).sortWithinPartitions("no").mapInArrow(run, "id long, v array<double>, r double, no long").select(*left.columns)
 
 
 def facilities(points: DataFrame, alfa: float = 1.0, distance: str | dist.Distance = "l2", seed: int = 123) -> DataFrame:

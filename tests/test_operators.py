@@ -311,14 +311,6 @@ def test_radii_count_over_the_whole_sample(spark, monkeypatch):
     assert len(set(found.values())) > 1
 
 
-def test_choice_in_rounds(spark, monkeypatch):
-    rng = np.random.default_rng(4)
-    df = frame(spark, [(k, rng.uniform(0, 10, 2).tolist(), 1.0) for k in range(120)]).withColumn("r", F.lit(0.6))
-    whole = sorted(facility_location.choose(df).collect())
-    monkeypatch.setattr(facility_location, "ROUND", 16)
-    assert sorted(facility_location.choose(df).collect()) == whole
-
-
 def test_places_of_repeated_ids(spark, monkeypatch):
     """Points that share an id are all met, wherever blocks and rounds are cut; columns of any name are carried."""
     rng = np.random.default_rng(14)
@@ -328,7 +320,7 @@ def test_places_of_repeated_ids(spark, monkeypatch):
     r = same.withColumn("r", F.lit(0.6))
     found = {}
     for most in (4096, 8):
-        monkeypatch.setattr(facility_location, "ROUND", most)
+        monkeypatch.setattr(facility_location, "SETTLED", most)
         monkeypatch.setattr(facility_location, "SAMPLED", most)
         centres = sorted(tuple(c.center) for c in facility_location.choose(r).collect())
         assert len(centres) > 20
