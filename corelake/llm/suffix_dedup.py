@@ -274,7 +274,7 @@ def repeated_spans(docs: DataFrame, *, id: str = "doc_id", text: str = "text", d
     found = equal
     for spans in _settled(pieces, depth, shard_bytes, FINER, shard_bytes // (depth + GRID)):
         found = found.unionByName(spans)
-    return rows, written(found.groupBy("row", "size").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
+    return rows, written(found.groupBy("row", "size").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
 
 
 def dedup(docs: DataFrame, *, id: str = "doc_id", text: str = "text", depth: int = 200, texts_out: bool = True, shard_bytes: int = SHARD_BYTES) -> DataFrame:
