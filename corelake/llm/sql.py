@@ -6,7 +6,55 @@ _WORDS = r"regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCD
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": op7(), "op11_embedding_dedup": op11(), "op12_ranked_search": op12()}
+    return {"op6_license_scan": op6(), "op7_decontamination": op7(), "op11_embedding_dedup": op11(), "op12_ranked_search": op12()}
+
+
+def pattern(items: list) -> str:
+    """A parsed license template as a regular expression over words that each end with a space."""
+    out = ""
+    for item in items:
+        if isinstance(item, bytes):
+            out += item.decode() + " "
+        elif item[0] == "optional":
+            out += f"(?:{pattern(item[1])})?"
+        elif item[0] == "choice":
+            out += f"(?:{'|'.join(pattern(x) for x in item[1])})"
+        elif item[2] is None:
+            out += "(?:[^ ]+ )" + "*+"[bool(item[1])]
+        else:
+            out += f"(?:.{{1,{item[2]}}} )" + "?"[bool(item[1]) :]
+    return out
+
+
+def op6() -> str:
+    """Phrases by comparison of words; templates and declarations by regular expressions over the text's words."""
+    from . import licenses
+
+    def trimmed(template: str) -> list:
+        items = licenses.parsed(template)
+        skips = lambda x: isinstance(x, tuple) and (x[0] == "optional" or x[0] == "any")
+        while skips(items[0]):
+            items.pop(0)
+        while isinstance(items[-1], tuple) and items[-1][0] == "any":
+            items.pop()
+        return items
+
+    places = [f"list_transform(list_filter(range(1, len(w) - {len(p.split()) - 2}), lambda i: w[i:i + {len(p.split()) - 1}] = {p.split()}), lambda i: {{'at': i - 1, 'label': '{label}'}})" for p, label in licenses.PHRASES.items()]
+    whole = ", ".join(f"case when regexp_matches(s, ' {pattern(trimmed(t))}') then '{label}' end" for label, t in licenses.TEMPLATES.items())
+    denied = "|".join(sorted(x.decode() for x in licenses._DENIALS))
+    named = ", ".join(
+        f"case when len(list_filter(regexp_extract_all(s, ' ((?:[^ ]+ ){{0,3}}){pattern(trimmed(t))}', 1), lambda p: not regexp_matches(' ' || p, ' (?:{denied}) '))) > 0 then '{label}' end" for label, t in licenses.DECLARATIONS.items()
+    )
+    return f"""
+with d as (select doc_id, {_WORDS} as w, ' ' || array_to_string(w, ' ') || ' ' as s from documents),
+p as (select *, list_concat({places[0]}, list_concat({places[1]}, list_concat({places[2]}, {places[3]}))) as places from d),
+l as (select *, list_transform(places, lambda x: x.label) as base, list_filter([{whole}], lambda x: x is not null) as whole, list_filter([{named}], lambda x: x is not null) as named from p)
+select doc_id, cast(len(w) as bigint) as n_words, cast(len(places) as bigint) as n_base,
+  cast(list_min(list_transform(places, lambda x: x.at)) as bigint) as first_word, cast(list_max(list_transform(places, lambda x: x.at)) as bigint) as last_word,
+  coalesce(array_to_string(list_sort(list_distinct(base)), ','), '') as base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(base, list_concat(whole, named)))), ','), '') as labels,
+  cast(case when len(whole) > 0 then 1 when len(named) > 0 then 0.75 when len(base) > 0 then 0.5 else 0 end as double) as score
+from l"""
 
 
 def op7(window: int = 13) -> str:

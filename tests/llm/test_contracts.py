@@ -117,6 +117,28 @@ def test_op6(spark, documents):
         assert own == sorted(set(own)) and {x for _, x in places} <= set(own) and 0 <= r.score <= 1
 
 
+def test_op6_equals_sql(spark, tmp_path):
+    """The table, and texts of every template and declaration, some of them denied or a word short."""
+    import duckdb
+
+    from corelake.llm import sql
+
+    from .test_models import _filled
+
+    texts = []
+    for template in (licenses.TEMPLATES | licenses.DECLARATIONS).values():
+        words = [_filled(licenses.parsed(template), full, k) for full, k in ((True, 0), (False, 1))]
+        texts += [" ".join(x) for own in words for x in (own, own[:-1], ["it", "is", "not", *own], ["It is not so.", *own, "and", "never"], [*own, ".", *own[1:]])]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(10_000 + k, t) for k, t in enumerate([*texts, None, ""])], "doc_id long, text string"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    found = {r[0]: tuple(r) for r in queries.op6_license_scan(spark, str(tmp_path)).collect()}
+    want = {r[0]: r for r in con.execute(sql.op6()).fetchall()}
+    assert found == want
+    assert {x for r in found.values() for x in r[6].split(",")} >= licenses.TEMPLATES.keys() | licenses.DECLARATIONS.keys()
+
+
 def test_op8(spark):
     pages = {r.page_id: r for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
     found = {r.page_id: r for r in queries.op8_html_extraction(spark, SMALL).collect()}
