@@ -17,10 +17,13 @@ from pyspark.sql import functions as F
 
 from ..functions import distance as dist
 from ..functions.vectors import matrix
+from ..sources.scratch import written
 from .scale import quantiles as value_quantiles
 
 #: Values (centres times dimensions) that are sent to every task at most.
 MOST_VALUES = 4_000_000
+#: Rows of which all pairs are met at most.
+MOST_PAIRED = 50_000
 #: Centres from which on most are passed over by pivots.
 MANY = 1024
 
@@ -224,13 +227,22 @@ def mean_costs(facilities: DataFrame) -> DataFrame:
     return facilities.select("rank", "weight", "cost", F.when(F.col("weight") > 0, F.col("cost") / F.col("weight")).alias("mean"))
 
 
+def paired(rows: DataFrame) -> None:
+    """Raises if all pairs of the rows are too many."""
+    if rows.limit(MOST_PAIRED + 1).count() > MOST_PAIRED:
+        raise ValueError(f"more than {MOST_PAIRED} rows: all their pairs are not met")
+
+
 def cross_distances(centres: DataFrame, distance: str | dist.Distance = "l2", quantiles: tuple[float, ...] = (0.01, 0.05, 0.1, 0.5, 0.75)) -> DataFrame:
     """q and dist: quantiles of the distances between different centres; no rows if there are fewer than two.
 
-    Each pair is met once: for sets as summaries and facility location give, whose squares are bearable.
+    Each pair is met once: for sets as summaries and facility location give. More than MOST_PAIRED centres raise, since
+    the pairs are their square: look at samples of larger sets (see scale.pair_quantiles).
     """
     d = dist.get(distance)
+    paired(centres)
     a, b = centres.select(F.col("rank").alias("i"), F.col("center").alias("a")), centres.select(F.col("rank").alias("j"), F.col("center").alias("b"))
     pairs = a.join(b, F.col("i") < F.col("j")).select(d.expr(F.col("a"), F.col("b")).alias("d"))
+    pairs = written(pairs, "pairs")
     both = pairs.unionByName(pairs)  # either way round, as the quantiles are of ordered pairs
     return value_quantiles(both, "d", quantiles).withColumnRenamed("value", "dist")

@@ -33,9 +33,10 @@ def column_entropies(table: DataFrame) -> DataFrame:
 
 
 def dense(table: DataFrame, labels: list | None = None) -> DataFrame:
-    """The table with a column for each of the given second labels, by default all that there are (Spark pivots 10,000 at most)."""
-    by = table.groupBy("l1")
-    return (by.pivot("l2") if labels is None else by.pivot("l2", labels)).agg(F.sum("n")).fillna(0)
+    """The table with a column for each of the given second labels, by default all that there are, in their order."""
+    if labels is None:
+        labels = [r["l2"] for r in table.select("l2").where("l2 is not null").distinct().orderBy("l2").collect()]  # they become columns
+    return table.groupBy("l1").pivot("l2", labels).agg(F.sum("n")).fillna(0)
 
 
 def information(table: DataFrame) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import distance as dist
 from ..sources.scratch import discard, written
+from .bicriteria import chances
 
 PAIRS = (0.0001, 0.001, 0.01, 0.5, 0.99, 0.999)
 CHECKED = (0.005, 0.01, 0.025, 0.25, 0.5, 0.75, 0.99)
@@ -24,28 +28,33 @@ def quantiles(df: DataFrame, column: str, at: tuple[float, ...], exact: bool = T
 
     Nulls don't count; without values there are no rows.
     """
-    if exact and df.count() > IN_ONE_TASK:
-        return _by_ranges(df, column, at)
+    if exact:
+        values = written(df.select(F.col(column).cast("double").alias("x")).where("x is not null"), "values")  # computed once
+        if values.count() > IN_ONE_TASK:
+            found = _by_ranges(values, at)
+            discard(values)
+            return found
+        df, column = values, "x"
     found = F.percentile(column, F.array(*map(F.lit, at))) if exact else F.percentile_approx(column, list(at), 10_000)
     row = df.agg(found.alias("x")).where("x is not null")
     return row.select(F.explode(F.arrays_zip(F.array(*map(F.lit, at)).alias("q"), "x")).alias("z")).select(F.col("z.q").alias("q"), F.col("z.x").alias("value"))
 
 
-def _by_ranges(df: DataFrame, column: str, at: tuple[float, ...]) -> DataFrame:
-    """The values are dealt to ranges; counts of these tell in which range, and where there, a quantile's neighbours stand."""
-    spark = df.sparkSession
-    rows = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
-    rows = written(rows.repartitionByRange("x").withColumn("part", F.spark_partition_id()), "values")
-    counts = sorted((r["part"], r["count"], r["x"]) for r in rows.groupBy("part").agg(F.count("*").alias("count"), F.min("x").alias("x")).collect())
-    n = sum(c for _, c, _ in counts)
-    if not n:
-        return spark.createDataFrame([], "q double, value double")
-    starts = np.cumsum([0, *(c for _, c, _ in counts)])
+def _by_ranges(values: DataFrame, at: tuple[float, ...]) -> DataFrame:
+    """Different values x are dealt to ranges with their counts, which tell in which range, and where there, a quantile's
+    neighbours stand: one value that fills half of the table is one row."""
+    spark = values.sparkSession
+    rows = values.groupBy("x").agg(F.count("*").alias("c")).repartitionByRange("x").withColumn("part", F.spark_partition_id())
+    rows = written(rows, "ranges")
+    counts = sorted((r["part"], r["c"]) for r in rows.groupBy("part").agg(F.sum("c").alias("c")).collect())
+    n = sum(c for _, c in counts)
+    starts = np.cumsum([0, *(c for _, c in counts)])
     places = sorted({int(f(q * (n - 1))) for q in at for f in (np.floor, np.ceil)})
     range_of = {p: int(np.searchsorted(starts, p, "right") - 1) for p in places}
-    wanted = spark.createDataFrame([(counts[k][0], p - int(starts[k]) + 1, p) for p, k in range_of.items()], "part int, n int, place long")
-    placed = rows.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("x")))
-    value = {r["place"]: r["x"] for r in placed.join(F.broadcast(wanted), ["part", "n"]).collect()}  # two rows for each quantile
+    wanted = spark.createDataFrame([(counts[k][0], p - int(starts[k]), p) for p, k in range_of.items()], "part int, own long, place long")
+    upto = rows.withColumn("upto", F.sum("c").over(Window.partitionBy("part").orderBy("x")))
+    found = upto.join(F.broadcast(wanted), "part").where("own < upto and own >= upto - c").collect()  # two rows for each quantile
+    value = {r["place"]: r["x"] for r in found}
     discard(rows)
 
     def between(q: float) -> float:
@@ -116,20 +125,32 @@ def summary_scales(summary: DataFrame, distance: str | dist.Distance = "l2", *,
 
 
 def neighbourhood_size(points: DataFrame, q: float, distance: str | dist.Distance = "l2") -> float:
-    """The q-quantile of the distance to the second nearest of a few sampled points, over the first few points.
+    """The q-quantile, over the first few points, of the distance to the second nearest of a few partners of each one's own.
 
-    Few is the logarithm of the number of points; tables of fewer than four points give the largest distance.
+    Few is the logarithm of the number of points; a point's partners are those of the smallest hashes of both ids. Tables
+    of fewer than four points give the largest distance.
     """
     d = dist.get(distance)
     n = points.count()
-    few = max(2, n.bit_length() - 1)
-    first = points.select("id", "v").orderBy("id").limit(few).collect()
-    others = points.select("id", "v").orderBy(F.xxhash64(F.lit("near"), F.col("id")), "id").limit(few + 2).collect()
     if n < 2:
         return 0.0
-    found = []
-    for r in first:
-        rest = [o["v"] for o in others if o["id"] != r["id"]]
-        own = np.sort(d.block(np.array([r["v"]]), np.array(rest))[0])
-        found.append(own[min(1, len(own) - 1)])
-    return float(np.quantile(found, q))
+    few = max(2, n.bit_length() - 1)
+    first = points.select("id", "v").orderBy("id").limit(few).collect()
+    shared = points.sparkSession.sparkContext.broadcast([r["id"] for r in first])
+
+    def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for k, own in enumerate(shared.value):
+                u = np.where(ids == own, np.inf, chances(own, 1, ids))
+                near = np.argsort(u, kind="stable")[: few + 2]
+                near = near[np.isfinite(u[near])]
+                yield pa.record_batch([pa.array(np.full(len(near), k, np.int32)), pa.array(u[near]), *(c.take(pa.array(near)) for c in batch.columns)], names=["k", "u", "id", "v"])
+
+    met = points.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).mapInArrow(partners, "k int, u double, id long, v array<double>")
+    met = met.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("u", "id"))).where(F.col("n") <= few + 2)
+    own: dict[int, list] = {}
+    for r in met.orderBy("k", "n").collect():  # few rows for each of a few points
+        own.setdefault(r["k"], []).append(r["v"])
+    found = [np.sort(d.block(np.array([first[k]["v"]]), np.array(rest))[0]) for k, rest in own.items()]
+    return float(np.quantile([x[min(1, len(x) - 1)] for x in found], q)) if found else 0.0

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import distance as dist
 from ..functions.vectors import stacked
 from ..sources.scratch import discard, written
+from .assign import paired
 from .bicriteria import State, chances
 
 #: Partitions of the two-level prefix sum, at least; draws that are sent to every task at most (8 MB).
@@ -266,8 +267,9 @@ def sampled(ids: np.ndarray, x: np.ndarray, w: np.ndarray, draws: int, k: int, b
 
 
 def pairwise(points: DataFrame, distance: str | dist.Distance = "l2") -> DataFrame:
-    """i, j and d for all ordered pairs, the diagonal 0. For summaries: its size is the square of theirs."""
+    """i, j and d for all ordered pairs, the diagonal 0. For summaries: more than assign.MOST_PAIRED points raise."""
     d = dist.get(distance)
+    paired(points)
     a, b = points.select(F.col("id").alias("i"), F.col("v").alias("a")), points.select(F.col("id").alias("j"), F.col("v").alias("b"))
     upper = a.join(b, F.col("i") < F.col("j")).select("i", "j", d.expr(F.col("a"), F.col("b")).alias("d"))
     return upper.unionByName(upper.select(F.col("j").alias("i"), F.col("i").alias("j"), "d")).unionByName(a.select("i", F.col("i").alias("j"), F.lit(0.0).alias("d")))

@@ -81,3 +81,22 @@ def test_nearest_of_many_centres(spark, monkeypatch):
             m.setattr(assign, "MANY", 16)
             m.setattr(assign, "MOST_VALUES", 900)
             assert sorted(map(tuple, assign.nearest(points, centres, name).select("id", "rank", "dist").collect())) == found
+
+
+def test_sets_whose_pairs_are_too_many(spark, monkeypatch):
+    df = spark.createDataFrame([(k, k, [float(k)]) for k in range(20)], "rank long, center_id long, center array<double>")
+    assert assign.cross_distances(df).count() == 5
+    monkeypatch.setattr(assign, "MOST_PAIRED", 10)
+    with pytest.raises(ValueError, match="pairs"):
+        assign.cross_distances(df)
+    with pytest.raises(ValueError, match="pairs"):
+        sensitivity.pairwise(df.select(F.col("rank").alias("id"), F.col("center").alias("v")))
+
+
+def test_neighbourhood_of_own_partners(spark):
+    """Each point has partners of its own: with two distances only, the second nearest of ten is the smaller one."""
+    rows = [(k, [float(k % 2 * 100 + k / 1000)]) for k in range(200)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    assert scale.neighbourhood_size(df, 0.999) < 1
+    assert scale.neighbourhood_size(df.repartition(7), 0.5) == scale.neighbourhood_size(df, 0.5)
+    assert scale.neighbourhood_size(df.limit(2), 0.5) == 100.001
