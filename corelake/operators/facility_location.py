@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import distance as dist
 from ..functions.vectors import all_rows, lists, stacked
 from ..sources.scratch import discard, written
-from .assign import dispatch
+from .assign import dispatch, nearest
 from .balls import BallIndex
 from .bicriteria import log2_floor
 from .scale import neighbourhood_size
@@ -221,11 +221,20 @@ def choose(points: DataFrame, distance: str | dist.Distance = "l2") -> DataFrame
     and place in the table."""
     d = dist.get(distance)
     rows = points.select("id", F.col("v").cast("array<double>").alias("v"), F.col("r").cast("double").alias("r"), F.xxhash64("id").alias("h"))
-    rows = placed(rows.withColumn("no", F.monotonically_increasing_id()), "r", "h", "id", "no").drop("no", "h").withColumnRenamed("place", "no")
-    left = written(rows, "undecided")
-    n = left.count()
+    rows = rows.withColumn("no", F.monotonically_increasing_id())
+    n = points.count()
+    if n <= SETTLED:
+        return written(_in_turn(rows, d, "r", "h", "id", "no").select("rank", F.col("id").alias("center_id"), F.col("v").alias("center")), "chosen")
+    left = written(placed(rows, "r", "h", "id", "no").drop("no", "h").withColumnRenamed("place", "no"), "undecided")
+    found = _by_rounds(left, d, n) if d.metric else _by_parts(left, d, n)
+    ranks = placed(found.select("no"), "no").withColumnRenamed("place", "rank")
+    return ranks.join(found, "no").select("rank", F.col("id").alias("center_id"), F.col("v").alias("center"))
+
+
+def _by_rounds(left: DataFrame, d: dist.Distance, n: int) -> DataFrame:
+    """The facilities among points (id, v, r, no in order), found by local decisions until few are undecided."""
     found = None
-    while n > SETTLED and d.metric:
+    while n > SETTLED:
         open_ = left if found is None else left.unionByName(found)
         index = BallIndex(open_.select("no", "v"), d)
         least = index.ask(left.select("no", "v", (2 * F.col("r")).alias("reach")), "least").select("no", "least")
@@ -238,20 +247,32 @@ def choose(points: DataFrame, distance: str | dist.Distance = "l2") -> DataFrame
         old, left = left, written(rest, "undecided")
         discard(old, judged)
         n = left.count()
-    if found is not None and n:  # what facilities cover that are not the first in reach
-        index = BallIndex(found.select("no", "v"), d)
-        covered = index.ask(left.select("no", "v", (2 * F.col("r")).alias("reach")), "least").select("no")
-        old, left = left, written(left.join(covered, "no", "left_anti"), "undecided")
-        index.drop()
+    # what facilities cover that are not the first in reach
+    index = BallIndex(found.select("no", "v"), d)
+    covered = index.ask(left.select("no", "v", (2 * F.col("r")).alias("reach")), "least").select("no")
+    rest = written(left.join(covered, "no", "left_anti"), "undecided")
+    index.drop()
+    discard(left)
+    return written(found.unionByName(_in_turn(rest, d, "no").drop("rank")), "chosen")
+
+
+def _by_parts(left: DataFrame, d: dist.Distance, n: int) -> DataFrame:
+    """The same for any distance: the first points in turn in one task, then all that they cover dropped in parallel."""
+    found = None
+    while n:
+        first = left.orderBy("no").limit(SETTLED)
+        new = written(_in_turn(first, d, "no"), "facilities")
+        found = new.drop("rank") if found is None else found.unionByName(new.drop("rank"))
+        last = first.agg(F.max("no")).first()[0]
+        later = nearest(left.where(F.col("no") > last), new.select("rank", F.col("id").alias("center_id"), F.col("v").alias("center")), d)
+        old, left = left, written(later.where(F.col("dist") > 2 * F.col("r")).drop("rank", "dist"), "undecided")
         discard(old)
-    found = _in_turn(left, d) if found is None else found.unionByName(_in_turn(left, d))
-    found = written(found, "chosen")
-    ranks = placed(found.select("no"), "no").withColumnRenamed("place", "rank")
-    return ranks.join(found, "no").select("rank", F.col("id").alias("center_id"), F.col("v").alias("center"))
+        n = left.count()
+    return found
 
 
-def _in_turn(left: DataFrame, d: dist.Distance) -> DataFrame:
-    """The points that the sequential rule opens, in one task, which holds the facilities and passes over the points."""
+def _in_turn(left: DataFrame, d: dist.Distance, *order: str) -> DataFrame:
+    """The points that the sequential rule opens, and their rank, in one task, which holds the facilities and passes over the points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -265,10 +286,12 @@ def _in_turn(left: DataFrame, d: dist.Distance) -> DataFrame:
                 if near[k] > reach[k]:
                     new.append(k)
                     near[k:] = np.minimum(near[k:], d.block(x[k:], x[k : k + 1])[:, 0])
+            ranks = np.arange(len(new)) + (0 if held is None else len(held))
             held = x[new] if held is None else np.concatenate([held, x[new]])
-            yield batch.take(pa.array(new, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(new, pa.int64())).columns[:4], pa.array(ranks)], names=["id", "v", "r", "no", "rank"])
 
-    return left.select("id", "v", "r", "no").coalesce(1).sortWithinPartitions("no").mapInArrow(run, "id long, v array<double>, r double, no long").select(*left.columns)
+    first = left.select("id", "v", "r", "no", *(F.col(c).alias(f"_{c}") for c in order)).coalesce(1).sortWithinPartitions(*(f"_{c}" for c in order))
+    return first.mapInArrow(run, "id long, v array<double>, r double, no long, rank long").select(*[c for c in left.columns if c != "h"], "rank")
 
 
 def facilities(points: DataFrame, alfa: float = 1.0, distance: str | dist.Distance = "l2", seed: int = 123) -> DataFrame:

@@ -69,6 +69,11 @@ def test_choice_is_that_of_the_sequential_rule(spark, monkeypatch, settled):
     assert [r["rank"] for r in found] == list(range(len(found)))
     assert [r.center_id for r in found] == plain_choice(spark, rows)
     assert facility_location.choose(df.where("id < 0")).count() == 0
+    if settled:  # any other distance, by parts
+        with monkeypatch.context() as m:
+            m.setattr(facility_location, "SETTLED", 30)
+            other = dist.Distance("plain", dist.L2.expr, dist.L2.block)
+            assert [r.center_id for r in facility_location.choose(df, other).orderBy("rank").collect()] == plain_choice(spark, rows)
 
 
 def test_radii_by_levels(spark, monkeypatch):
