@@ -18,13 +18,23 @@ from pyspark.sql import functions as F
 class Distance:
     """expr(a, b) on array columns; block(x, y) from (m, d) and (k, d) arrays to an (m, k) array.
 
-    metric tells whether it obeys the triangle inequality, so that bounds may save distances.
+    metric tells whether it obeys the triangle inequality, so that bounds may save distances. A distance that doesn't may
+    have lift: a growing function of distances whose values do, up to slack.
     """
 
     name: str
     expr: Callable[[Column, Column], Column]
     block: Callable[[np.ndarray, np.ndarray], np.ndarray]
     metric: bool = False
+    lift: Callable[[np.ndarray], np.ndarray] | None = None
+    slack: float = 1e-9
+
+    @property
+    def bounded(self) -> bool:
+        return self.metric or self.lift is not None
+
+    def lifted(self, distances: np.ndarray) -> np.ndarray:
+        return distances if self.lift is None else self.lift(distances)
 
 
 def _total(a: Column, b: Column, term: Callable[[Column, Column], Column]) -> Column:
@@ -50,6 +60,12 @@ def _cosine_block(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where(norms > 0, value, np.where((nx == 0)[:, None] & (ny == 0)[None, :], 0.0, 1.0))
 
 
+def _angle(distances: np.ndarray) -> np.ndarray:
+    """The angle that a cosine distance stands for. A zero vector is at right angles to all others, which keeps the
+    triangle inequality; near zero an angle is known to the root of a distance's rounding."""
+    return np.arccos(np.clip(1 - distances, -1.0, 1.0))
+
+
 _REGISTRY: dict[str, Distance] = {}
 
 
@@ -69,7 +85,7 @@ def get(distance: str | Distance) -> Distance:
 
 L1 = register(Distance("l1", lambda a, b: _total(a, b, lambda x, y: F.abs(x - y)), lambda x, y: _blocked(x, y, lambda d: np.abs(d).sum(-1)), True))
 L2 = register(Distance("l2", lambda a, b: F.sqrt(_total(a, b, lambda x, y: (x - y) * (x - y))), lambda x, y: _blocked(x, y, lambda d: np.sqrt((d * d).sum(-1))), True))
-COSINE = register(Distance("cosine", _cosine, _cosine_block))
+COSINE = register(Distance("cosine", _cosine, _cosine_block, lift=_angle, slack=1e-6))
 HAMMING = register(
     Distance("hamming", lambda a, b: _total(a, b, lambda x, y: F.when(x == y, 0.0).otherwise(1.0)) / F.size(a), lambda x, y: _blocked(x, y, lambda d: (d != 0).mean(-1)), True)
 )

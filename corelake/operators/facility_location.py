@@ -3,8 +3,9 @@
 Radii are found for all points in parallel. The choice takes points by growing radius, ties in order of a hash of the
 id. A set within a checked size is settled in one task. A larger one is settled in rounds, in all of which the result is
 that of the sequential rule: a point opens when no undecided point or facility that comes before it lies within its
-range, and is covered when the first one there is a facility. For distances that obey the triangle inequality, what lies
-within a range is found by an index (see balls), else points meet all others in blocks that are sent to every task.
+range, and is covered when the first one there is a facility. For distances that obey the triangle inequality, or have a
+lift that does, as cosine has, what lies within a range is found by an index (see balls) and weighted radii by its
+nearest ones, else points meet all others in blocks that are sent to every task.
 Points are validated (see sources.points): a null or ragged vector raises.
 """
 
@@ -43,7 +44,7 @@ def estimated_radii(points: DataFrame, scale: float, distance: str | dist.Distan
     levels = max(1, log2_floor(n))
     sizes = [int(2 * (n / 2**j) / levels) for j in range(levels + 1)]
     # a place of its own for each point, also where ids repeat
-    if d.metric and sizes[1] > SAMPLED:
+    if d.bounded and sizes[1] > SAMPLED:
         return _radii_by_levels(rows, d, sizes, scale, seed).select(*[F.col("v").cast(points.schema["v"].dataType).alias("v") if c == "v" else F.col(f"p.`{c}`") for c in kept], "r")
     sample = written(rows.select(F.xxhash64(F.lit(seed), F.col("id")).alias("h"), "id", F.monotonically_increasing_id().alias("no"), "v"), "sample")
     counted = rows.withColumn("n", F.array_repeat(F.lit(0).cast("long"), levels))
@@ -159,17 +160,19 @@ def _met(points: DataFrame, state: DataFrame, d: dist.Distance, update) -> DataF
     return state
 
 
-def weighted_radii(points: DataFrame, alfa: float, distance: str | dist.Distance = "l2") -> DataFrame:
+def weighted_radii(points: DataFrame, alfa: float, distance: str | dist.Distance = "l2", *, at_once: int = SAMPLED) -> DataFrame:
     """id, v, w and r: the r at which a point's ball is worth alfa times that of its log2 n nearest.
 
-    The worth of a ball is sum of w (r - d) over the points d away, d <= r: a convex function of r. The nearest ones
-    come from one pass in which each point meets all others, in blocks. If alfa is at most 1 they hold r as well; else
-    Newton's steps follow, each a pass, until no r changes. Points that share an id are points of their own.
+    The worth of a ball is sum of w (r - d) over the points d away, d <= r: a convex function of r. If alfa is at most 1 the
+    nearest ones hold r as well; else Newton's steps follow until no r changes. Up to at_once points meet all others
+    in each pass; of more, the nearest ones and what lies within r are found by an index, if the distance has bounds, and
+    only points whose r changed take another step. Points that share an id are points of their own.
     """
     d = dist.get(distance)
-    points = written(points.select("id", "v", "w", F.monotonically_increasing_id().alias("no")), "points")
+    points = written(points.select("id", F.col("v").cast("array<double>").alias("v"), "w", F.monotonically_increasing_id().alias("no")), "points")
     n = points.count()
     place = min(n, max(1, log2_floor(max(1, n))) + 1)
+    index = BallIndex(points.select("no", "v", "w"), d) if d.bounded and n > at_once else None
 
     def nearest_of(s: np.ndarray, found: np.ndarray, weights: np.ndarray) -> np.ndarray:
         # s: distances, then weights, of the place nearest so far
@@ -179,8 +182,12 @@ def weighted_radii(points: DataFrame, alfa: float, distance: str | dist.Distance
         at = np.take_along_axis(at, np.argsort(np.take_along_axis(far, at, 1), axis=1, kind="stable"), 1)
         return np.concatenate([np.take_along_axis(far, at, 1), np.take_along_axis(heavy, at, 1)], 1)
 
-    state = points.select("no", "v", F.concat(F.array_repeat(F.lit(float("inf")), place), F.array_repeat(F.lit(0.0), place)).alias("s"))
-    state = _met(points, state, d, nearest_of)
+    if index is not None:
+        near = index.nearest(points.select("no", "v"), place)
+        state = points.select("no", "v").join(near.select("no", F.concat("far", "w").alias("s")), "no")
+    else:
+        state = points.select("no", "v", F.concat(F.array_repeat(F.lit(float("inf")), place), F.array_repeat(F.lit(0.0), place)).alias("s"))
+        state = _met(points, state, d, nearest_of)
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,7 +205,21 @@ def weighted_radii(points: DataFrame, alfa: float, distance: str | dist.Distance
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(np.stack([r, target, r, r], 1))], names=["no", "v", "s"])
 
     state = state.mapInArrow(solve, state.schema)  # s: r, target, and two sums of the next step
-    while alfa > 1:
+    if alfa > 1:
+        state = _newton(points, state, d, index)
+    out = points.join(state.select("no", F.col("s")[0].alias("r")), "no").drop("no")
+    if index is None:
+        return out
+    out = written(out, "radii")
+    index.drop()
+    return out
+
+
+def _newton(points: DataFrame, state: DataFrame, d: dist.Distance, index: BallIndex | None) -> DataFrame:
+    """state (no, v, s: r, target, two more) after steps until no r changes. From the right of the root they fall, from its
+    left the first one leads to its right."""
+    still = None
+    while True:
         state = written(state, "radii")
 
         def sums(s: np.ndarray, found: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -206,14 +227,22 @@ def weighted_radii(points: DataFrame, alfa: float, distance: str | dist.Distance
             return np.stack([s[:, 0], s[:, 1], s[:, 2] + inside.sum(1), s[:, 3] + (inside * found).sum(1)], 1)
 
         cleared = state.select("no", "v", F.array(F.col("s")[0], F.col("s")[1], F.lit(0.0), F.lit(0.0)).alias("s"))
+        if index is not None:
+            found = index.ask(state.select("no", "v", F.col("s")[0].alias("reach")), "sums").select("no", "weight", "moment")
+            whole = F.array(F.col("s")[0], F.col("s")[1], F.coalesce("weight", F.lit(0.0)), F.coalesce("moment", F.lit(0.0)))
+            met = state.join(found, "no", "left").select("no", "v", whole.alias("s"))
+        else:
+            met = _met(points, cleared, d, sums)
         r = F.when(F.col("s")[2] > 0, (F.col("s")[1] + F.col("s")[3]) / F.col("s")[2]).otherwise(0.0)
-        # from the right of the root Newton's steps fall, from its left the first one leads to its right
-        new = written(_met(points, cleared, d, sums).select("no", "v", F.array(r, F.col("s")[1], F.col("s")[0], F.lit(0.0)).alias("s")), "radii")
+        new = written(met.select("no", "v", F.array(r, F.col("s")[1], F.col("s")[0], F.lit(0.0)).alias("s")), "radii")
         discard(state)
-        state = new
-        if state.where(F.abs(F.col("s")[0] - F.col("s")[2]) > 1e-12 * F.abs(F.col("s")[0])).isEmpty():
-            break
-    return points.join(state.select("no", F.col("s")[0].alias("r")), "no").drop("no")
+        moved = F.abs(F.col("s")[0] - F.col("s")[2]) > 1e-12 * F.abs(F.col("s")[0])
+        if index is not None:  # settled points ask no more
+            own = new.where(~moved)
+            still = own if still is None else still.unionByName(own)
+        state = new if index is None else new.where(moved)
+        if new.where(moved).isEmpty():
+            return new if index is None else still
 
 
 def choose(points: DataFrame, distance: str | dist.Distance = "l2") -> DataFrame:
@@ -226,7 +255,7 @@ def choose(points: DataFrame, distance: str | dist.Distance = "l2") -> DataFrame
     if n <= SETTLED:
         return written(_in_turn(rows, d, "r", "h", "id", "no").select("rank", F.col("id").alias("center_id"), F.col("v").alias("center")), "chosen")
     left = written(placed(rows, "r", "h", "id", "no").drop("no", "h").withColumnRenamed("place", "no"), "undecided")
-    found = _by_rounds(left, d, n) if d.metric else _by_parts(left, d, n)
+    found = _by_rounds(left, d, n) if d.bounded else _by_parts(left, d, n)
     ranks = placed(found.select("no"), "no").withColumnRenamed("place", "rank")
     return ranks.join(found, "no").select("rank", F.col("id").alias("center_id"), F.col("v").alias("center"))
 
@@ -238,7 +267,8 @@ def _by_rounds(left: DataFrame, d: dist.Distance, n: int) -> DataFrame:
         open_ = left if found is None else left.unionByName(found)
         index = BallIndex(open_.select("no", "v"), d)
         least = index.ask(left.select("no", "v", (2 * F.col("r")).alias("reach")), "least").select("no", "least")
-        judged = written(left.join(least, "no"), "judged")  # each point is within its own range
+        # each point is within its own range, whatever rounding says
+        judged = written(left.join(least, "no", "left").withColumn("least", F.least("least", "no")), "judged")
         index.drop()
         new = judged.where("least = no").drop("least")
         found = written(new if found is None else found.unionByName(new), "facilities")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distance as dist
 from ..operators import assign, bicriteria, facility_location, kmedoids, medoids, quality, scale, sensitivity, swaps
+from ..operators.balls import BallIndex
 from ..sources.points import points as as_points
 from ..sources.points import append_points, pair_labels, read_idx, read_labelled_csv, validate_points, write_csv, write_facilities, write_idx
 from ..sources.scratch import shared_path, written
@@ -423,6 +424,43 @@ def weighted_ball_radius(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(facility_location.weighted_radii(points, 0.5).select("id", "r"), "r")
 
 
+def order_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as vectors of price and month, weighing 1 to 5."""
+    rows = spark.read.parquet(f"{sf}/orders.parquet")
+    v = F.array(F.col("o_totalprice") / 5e5, F.month("o_orderdate") / 12)
+    return as_points(rows.withColumns({"v": v, "w": 1.0 + F.col("o_custkey") % 5}), id="o_orderkey", vector="v", weight="w")
+
+
+_ORDERS = "o as (select o_orderkey as id, o_totalprice / 5e5 as a, month(o_orderdate) / 12 as b, (1 + o_custkey % 5)::double as w from orders)"
+
+
+@query(
+    "order_radii",
+    f"with {_ORDERS}, k as (select least(count(*), 1 + greatest(1, floor(log2(count(*)))))::bigint as k from o), "
+    "pr as (select x.id, sqrt((x.a - y.a) ** 2 + (x.b - y.b) ** 2) as d, y.w from o x, o y), "
+    "near as (select id, unnest(min(struct_pack(d := d, w := w), 32)) as p from pr group by id), "
+    "cum as (select id, p.d as d, row_number() over o as n, sum(p.w) over o as sw, sum(p.w * p.d) over o as swd from near window o as (partition by id order by p.d, p.w rows unbounded preceding)), "
+    "t as (select id, 0.5 * max(d * sw - swd) as target from cum where n = (select k from k) group by 1), "
+    "l as (select id, target, sw, swd, row_number() over (partition by id order by n desc) as last from cum join t using (id) where n <= (select k from k) and d * sw - swd <= target) "
+    "select id, round((target + swd) / sw, 6) as r from l where last = 1",
+)
+def order_radii(spark: SparkSession, sf: str) -> DataFrame:
+    """Radii of all weighted orders, from the nearest ones that the index of balls finds."""
+    return rounded(facility_location.weighted_radii(order_points(spark, sf), 0.5, at_once=0).select("id", "r"), "r")
+
+
+@query(
+    "cosine_neighbourhood",
+    f"with {_POINTS}, pair as (select x.id, greatest(0, 1 - {_DOT.format(a='x.v', b='y.v')} / (sqrt({_DOT.format(a='x.v', b='x.v')}) * sqrt({_DOT.format(a='y.v', b='y.v')}))) as d from points x, points y) "
+    "select id, count(*) as n from pair where d <= 0.75 group by id",
+)
+def cosine_neighbourhood(spark: SparkSession, sf: str) -> DataFrame:
+    """How many vectors lie within a cosine distance of 0.75 of each, by the index of balls."""
+    rows = vectors(spark, sf).select(F.col("id").alias("no"), "v")
+    index = BallIndex(rows, "cosine")
+    return index.ask(rows.withColumn("reach", F.lit(0.75)), "count").select(F.col("no").alias("id"), "n")
+
+
 def _separated(found: DataFrame, radii: DataFrame) -> DataFrame:
     """Whether facilities lie further apart than twice the larger radius, and each point within twice its own."""
     r = radii.select(F.col("id").alias("center_id"), "r")
