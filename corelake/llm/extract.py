@@ -3,8 +3,13 @@
 A page is read into elements and blocks of text. Each block-level subtree has a hash of its tags and words. Spark
 counts on how many pages of a host each subtree stands; subtrees that recur on many of them are the site's
 template and are deleted, wherever they stand. Inside the article the bar is higher: there a paragraph counts as
-template only if half of the host's pages have it, since articles quote and copy each other. What differs from page
-to page (adverts, reader comments, breadcrumbs) or stands on hosts of few pages is known by its tags and names.
+template only if half of the host's pages have it, since articles quote and copy each other.
+
+Menus, adverts and footers whose words differ from page to page recur as shells: hashes of a subtree's tags and
+class names, repeats folded, and of its place, without its words. Shells count outside the article only. On a host whose
+pages have neither article nor main element, the place that holds most of the paragraphs on its pages takes the article's
+part, and only shells with little text outside links go. What recurs in neither way, or stands on hosts of few pages,
+is known by its tags and names.
 
 Reading takes time in proportion to the page, however broken its markup is: no place is looked at again and again.
 """
@@ -25,6 +30,8 @@ from .common import map_text, written
 
 #: A subtree is template if so many pages of its host, and this share of them, hold it: outside and inside articles.
 OUTSIDE, INSIDE = (5, 0.2), (10, 0.5)
+#: A shell of a host without articles has at most this share of the text that the paragraphs of the main place have.
+LITTLE = 0.2
 
 _OPEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 _IN_TAG = re.compile(r"[>=]")
@@ -106,16 +113,27 @@ _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _BARRIER = frozenset("ul ol dl table menu body html article section div main".split())
 _SCOPES = frozenset("article main body".split())
+_CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_DIGITS = re.compile(r"[0-9]+")
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+#: What a page tells of a hash: a subtree outside or inside the article, a shell, or a place that holds paragraphs.
+SUBTREE, WITHIN, SHELL, PLACE = range(4)
 
 
 class Page:
-    """Elements (tag, parent, rule that drops them, hash of the subtree) and blocks of text (element, text)."""
+    """Elements (tag, parent, rule that drops them, hashes of subtree, shell and place) and blocks of text (element, text)."""
 
     def __init__(self, source: str):
         self.tags: list[str] = ["html"]
         self.parents: list[int] = [-1]
         self.ruled: list[bool] = [False]
         self.hashes: list[int] = [0]
+        self.shells: list[int] = [0]
+        self.places: list[int] = [0]
+        self._names: list[str] = ["html"]
+        self._shapes: list[list[int]] = [[]]
+        # characters outside links of the blocks of each element itself
+        self.plain: list[int] = [0]
         self.blocks: list[tuple[int, str]] = []
         self._parts: list[list[str]] = [[]]
         self._stack: list[int] = [0]
@@ -123,13 +141,18 @@ class Page:
         self._open: dict[str, list[int]] = {}
         self._scopes: list[int] = []
         self._barriers: list[int] = [0]
-        stack, pieces, last = self._stack, [], 0
+        self._linked = 0
+        stack, pieces, last, link = self._stack, [], 0, False
         for start, end, closing, tag, names in tokens(source):
             if start > last:
                 pieces.append(source[last:start])
+                if link:
+                    self._linked += start - last
             last = end
             if not tag:
                 continue
+            if tag == "a":
+                link = not closing
             if tag == "br":
                 pieces.append(" ")
                 continue
@@ -157,6 +180,14 @@ class Page:
             self.parents.append(stack[-1])
             self.ruled.append(ruled)
             self.hashes.append(0)
+            self.shells.append(0)
+            self.plain.append(0)
+            found = _CLASS.search(names) if len(names) > 4 else None
+            # numbers in class names are often those of the page
+            classes = " ".join(sorted(_DIGITS.sub("#", (found[1] or found[2] or found[3] or "").lower()).split())) if found else ""
+            self._names.append(f"{tag} {classes}")
+            self.places.append(_hash(f"{self.places[stack[-1]]:x}", self._names[-1]))
+            self._shapes.append([])
             self._parts.append([])
             if not names.endswith("/") or block:
                 self._push(tag)
@@ -181,7 +212,9 @@ class Page:
             if text := " ".join(text.split()):
                 self.blocks.append((element, text))
                 self._parts[element].append(text)
+                self.plain[element] += max(0, len(text) - self._linked)
             pieces.clear()
+        self._linked = 0
 
     def _pop_to(self, depth: int) -> None:
         while len(self._stack) > depth:
@@ -195,8 +228,14 @@ class Page:
             self._scopes.pop()
         if tag in _BARRIER:
             self._barriers.pop()
+        shape = _hash(self._names[k], *(f"{h:x}" for h in self._shapes[k]))
+        beside = self._shapes[self.parents[k]]
+        if not beside or beside[-1] != shape:
+            beside.append(shape)
+        self._shapes[k] = []
         parts = self._parts[k]
         if parts:
+            self.shells[k] = _hash(f"{self.places[k]:x}", f"{shape:x}")
             digest = xxhash.xxh3_64_intdigest("\x1f".join([tag, *parts]).encode("utf-8", "surrogatepass"))
             self.hashes[k] = digest - (1 << 63)
             self._parts[self.parents[k]].append(f"{digest:x}")
@@ -212,27 +251,35 @@ class Page:
     def inside(self) -> list[bool]:
         """Whether each element is an article, or lies in one (or in the main element if there is no article)."""
         tags = self.tags
-        dropped = self._dropped(frozenset())
+        dropped = self._dropped(frozenset(), None)
         scope = next((s for s in ("article", "main") if any(t == s and not d for t, d in zip(tags, dropped, strict=True))), None)
         out = [False] * len(tags)
         for k in range(1, len(tags)):
             out[k] = out[self.parents[k]] or tags[k] == scope and not dropped[k]
         return out
 
-    def _dropped(self, templates: frozenset[int]) -> list[str]:
+    def _dropped(self, templates: frozenset[int], place: int | None) -> list[str]:
         """Why each element goes: "template", "rule", or "" if it stays."""
         tags, parents = self.tags, self.parents
-        holds = [t in _SCOPES for t in tags]
         content = [t in ("article", "main") for t in tags]
+        shells = any(content)
+        holds = [t in _SCOPES for t in tags]
+        main = content
+        if not shells and place is not None:
+            main = [p == place for p in self.places]
+            shells = any(main)
+        has = list(main)
         for k in range(len(tags) - 1, 0, -1):
             holds[parents[k]] |= holds[k]
+            has[parents[k]] |= has[k]
         out = [""] * len(tags)
-        within = [False] * len(tags)
+        within, near = [False] * len(tags), [False] * len(tags)
         for k in range(1, len(tags)):
             within[k] = within[parents[k]] or content[k]
+            near[k] = near[parents[k]] or main[k]
             if out[parents[k]]:
                 out[k] = out[parents[k]]
-            elif self.hashes[k] in templates and not holds[k]:
+            elif not holds[k] and (self.hashes[k] in templates or shells and not near[k] and not has[k] and self.shells[k] in templates):
                 out[k] = "template"
             # reader comments are often articles of their own
             elif self.ruled[k] and (not holds[k] and not (tags[k] == "header" and within[k]) or tags[k] == "article" and within[parents[k]]):
@@ -242,19 +289,46 @@ class Page:
     def text(self, templates: frozenset[int] = frozenset()) -> str:
         return self.result(templates)[0]
 
-    def result(self, templates: frozenset[int]) -> tuple[str, int, int]:
-        """The text, and how many blocks went as parts of templates and by rules."""
-        dropped = self._dropped(templates)
+    def result(self, templates: frozenset[int], place: int | None = None) -> tuple[str, int, int]:
+        """The text, and how many blocks went as parts of templates and by rules; place is the main one of a host without articles."""
+        dropped = self._dropped(templates, place)
         inside = self.inside()
         scoped = any(inside)
         why = [dropped[k] for k, _ in self.blocks]
         text = "\n".join(t for k, t in self.blocks if not dropped[k] and (inside[k] or not scoped))
         return text, why.count("template"), why.count("rule")
 
-    def subtrees(self) -> dict[int, bool]:
-        """Hashes of the block-level subtrees with text; whether they lie inside the article."""
+    def subtrees(self) -> list[tuple[int, int, int]]:
+        """(hash, kind, characters outside links) of what a page tells its host, each hash once for its kind.
+
+        Block-level subtrees with text, inside the article or not; shells outside it, without characters; on a page without
+        an article all shells and the places that hold paragraphs, with theirs.
+        """
+        tags, parents = self.tags, self.parents
         inside = self.inside()
-        return {h: inside[k] for k, h in enumerate(self.hashes) if h and self.tags[k] not in ("article", "main", "body", "html")}
+        # as in _dropped: any article or main element, also one that goes itself, tells that the page has such
+        content = [t in ("article", "main") for t in tags]
+        scoped, has, near = any(content), list(content), list(content)
+        text = list(self.plain)
+        for k in range(len(tags) - 1, 0, -1):
+            has[parents[k]] |= has[k]
+            text[parents[k]] += text[k]
+        found: dict[tuple[int, int], int] = {}
+        for k in range(1, len(tags)):
+            near[k] |= near[parents[k]]
+            if not scoped and tags[k] in _PROSE and self.plain[k] and not self.ruled[k]:
+                at = (self.places[parents[k]], PLACE)
+                found[at] = found.get(at, 0) + self.plain[k]
+            if not self.hashes[k] or tags[k] in ("article", "main", "body", "html"):
+                continue
+            found[self.hashes[k], WITHIN if inside[k] else SUBTREE] = 0
+            if not near[k] and not has[k]:
+                found[self.shells[k], SHELL] = 0 if scoped else found.get((self.shells[k], SHELL), 0) + text[k]
+        return [(h, kind, n) for (h, kind), n in found.items()]
+
+
+def _hash(*parts: str) -> int:
+    return xxhash.xxh3_64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def _furniture(attributes: str) -> bool:
@@ -268,22 +342,28 @@ def _furniture(attributes: str) -> bool:
 
 
 def site_templates(pages: DataFrame) -> DataFrame:
-    """(host, templates: array of hashes) from rows (host, html). A page counts once for each subtree it holds."""
+    """(host, templates: array of hashes of subtrees and shells, place: the main one of a host without articles, or null) from
+    rows (host, html). A page counts once for each hash it holds."""
 
     def make():
         def run(sources):
             found = [Page(s or "").subtrees() for s in sources]
-            return {"subtrees": [[{"hash": h, "inside": i} for h, i in x.items()] for x in found]}
+            return {"found": [[{"hash": h, "kind": k, "text": n} for h, k, n in x] for x in found]}
 
         return run
 
-    own = map_text(pages.where("host != ''"), make, T.StructType.fromDDL("subtrees array<struct<hash: long, inside: boolean>>"), "html", ["host"])
-    seen = own.select("doc.host", F.inline("subtrees")).groupBy("host", "hash").agg(F.count("*").alias("n"), F.max("inside").alias("inside"))
+    own = map_text(pages.where("host != ''"), make, T.StructType.fromDDL("found array<struct<hash: long, kind: int, text: long>>"), "html", ["host"])
+    seen = own.select("doc.host", F.inline("found")).groupBy("host", "hash", F.greatest("kind", F.lit(WITHIN)).alias("sort"))
+    seen = seen.agg(F.count("*").alias("n"), F.max("kind").alias("kind"), F.sum("text").alias("text"))
     hosts = pages.groupBy("host").agg(F.count("*").alias("pages"))
     least = lambda rule: (F.col("n") >= rule[0]) & (F.col("n") >= rule[1] * F.col("pages"))
-    kept = seen.where(F.col("n") >= min(OUTSIDE[0], INSIDE[0])).join(hosts, "host").where(F.when(F.col("inside"), least(INSIDE)).otherwise(least(OUTSIDE)))
-    # a template stands on a fixed share of a host's pages, so their number is at most a few pages' subtrees
-    return written(kept.groupBy("host").agg(F.collect_list("hash").alias("templates")), "templates")
+    seen = seen.where(F.col("n") >= min(OUTSIDE[0], INSIDE[0])).join(hosts, "host").where(F.when(F.col("kind") == WITHIN, least(INSIDE)).otherwise(least(OUTSIDE)))
+    # what is left stands on a fixed share of a host's pages, so its number is at most a few pages' subtrees
+    place = F.max_by(F.when(F.col("kind") == PLACE, F.struct("hash", (F.col("text") / F.col("n")).alias("text"))), F.when(F.col("kind") == PLACE, F.struct("text", "hash")))
+    others = F.collect_list(F.when(F.col("kind") != PLACE, F.struct("hash", (F.col("text") / F.col("n")).alias("text"))))
+    kept = seen.groupBy("host").agg(place.alias("main"), others.alias("others"))
+    few = F.filter("others", lambda x: (x["text"] == 0) | (x["text"] <= LITTLE * F.coalesce(F.col("main.text"), F.lit(0.0))))
+    return written(kept.select("host", F.transform(few, lambda x: x["hash"]).alias("templates"), F.col("main.hash").alias("place")), "templates")
 
 
 def extract_main_text(pages: DataFrame, *, url: str = "url", source: str = "html", keep: list[str] | None = None) -> DataFrame:
@@ -296,11 +376,11 @@ def extract_main_text(pages: DataFrame, *, url: str = "url", source: str = "html
     kept = pages.columns if keep is None else keep
     host = F.lower(F.regexp_extract(F.coalesce(F.col(f"`{url}`").cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc"), host.alias("host"), F.col(f"`{source}`").cast("string").alias("html"))
-    rows = rows.join(site_templates(rows.select("host", "html")), "host", "left").select("doc", "html", "templates")
+    rows = rows.join(site_templates(rows.select("host", "html")), "host", "left").select("doc", "html", "templates", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [Page(s or "").result(frozenset(t or ())) for s, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            found = [Page(s or "").result(frozenset(t or ()), p) for s, t, p in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)]
             texts, templates, rules = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(templates, pa.int64()), pa.array(rules, pa.int64())], names=["doc", "text", "by_template", "by_rule"])
 

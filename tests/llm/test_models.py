@@ -475,6 +475,26 @@ def test_templates_without_telling_names(spark):
     assert kept[0].startswith("Topic 0") and kept[0].endswith("Rome")  # too few pages to tell
 
 
+def test_shells_of_a_host(spark):
+    """Menus and footers of neutral names whose words differ on every page go by their shape and place; nothing of the main place does."""
+    menu = lambda k: "".join(f'<div class="c"><a href="/{k}">Alpha{k} Beta{j}{k}</a></div>' for j in range(2 + k % 3))
+    page = lambda k: f'<html><body><div class="a{k}"><div class="b">{menu(k)}</div><div class="d"><h1>T{k}</h1>{"<p>Body {k} and many more words of it, told at length</p>" * (1 + k % 4)}</div><div class="e"><table><tr><td>cell {k}, as long as its paragraphs are</table></div><div class="f">(c) {k}</div></div></body></html>'.replace("{k}", str(k))
+    rows = [(k, f"http://h.example/{k}", page(k)) for k in range(40)]
+    # pages with an article of their own, and a page without the main place
+    rows += [(k, f"http://i.example/{k}", f'<html><body><div class="b">{menu(k)}</div><article><div class="b">{menu(k)}</div><p>Own {k}</p></article><div class="f">(c) {k}</div></body></html>') for k in range(10)]
+    rows += [(99, "http://h.example/99", '<html><body><div class="a"><div class="f">(c) 99</div></div></body></html>')]
+    found = {(r.doc.url, r.doc.page_id): r for r in extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(40):
+        r = found[f"http://h.example/{k}", k]
+        body = [f"Body {k} and many more words of it, told at length"] * (1 + k % 4)
+        assert r.text.split("\n") == [f"T{k}", *body, f"cell {k}, as long as its paragraphs are"]
+        assert (r.by_template, r.by_rule) == (3 + k % 3, 0)
+    for k in range(10):
+        r = found[f"http://i.example/{k}", k]
+        assert r.text.split("\n") == [*(f"Alpha{k} Beta{j}{k}" for j in range(2 + k % 3)), f"Own {k}"] and r.by_template == 3 + k % 3
+    assert found["http://h.example/99", 99].text == "(c) 99"
+
+
 def test_broken_markup_takes_linear_time():
     n = 120_000
     odd = ["<p " * n, "<scriptx" * n, '<p ">" ' * n, '<p a=">" ' * n, "<div>" * n + "</p>" * n, "<blockquote>" * n + "<li></li>" * n, "<!" * n, "&#" + "9" * n, "<" * n, '<a ="' * n, "<div class= " * n, "<p>x" * n]
