@@ -1,12 +1,13 @@
 """Lexical retrieval packing: documents that share words fill a training window together.
 
-Documents are tokenized once. Their whole windows are sequences as they are; what is left of each, less than a
-window, is packed. Leftovers are dealt to shards by a min-hash of their tokens, so that like texts meet while a
-shard stays small; copies and other hot values are dealt on by a hash of the row. A shard is a BM25 inverted
-index over token ids, with document frequencies of the whole corpus. Its leftovers in turn are seeds: the index
-returns unused neighbours, best first, which greedily fill the seed's window; the one that crosses the end is
-cut there and seeds the next window. Tokens left at the end of a partition form sequences of powers of two, so
-nothing is padded.
+Documents are tokenized once and packed whole, however long. They are dealt to shards by a min-hash of their
+tokens, so that like texts meet while a shard stays small; copies and other hot values are dealt on by a hash of
+the row. A shard is a BM25 inverted index over all token ids of its documents, with document frequencies of the
+whole corpus. Its documents in turn are seeds: the index returns unused neighbours, best first, which greedily
+fill the seed's window; the one that crosses the end is cut there and seeds the next window, so a long document
+runs through as many windows as it fills, and its neighbours follow where it ends. Tokens left at the end of a
+partition form sequences of powers of two, so nothing is padded. Which documents share a shard depends on the
+number of range partitions.
 """
 
 from __future__ import annotations
@@ -14,8 +15,9 @@ from __future__ import annotations
 import json
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text, written
+from .common import ARROW_BATCH_BYTES, map_text, written
 
-#: Documents of a shard, and characters of the texts that are encoded together.
-SHARD, TOGETHER = 1024, 16_000_000
+#: Documents of a shard; it ends earlier with the document that brings it to so many ids. Characters of the texts that are encoded together.
+SHARD, SHARD_IDS, TOGETHER = 1024, 1 << 22, 16_000_000
 #: BM25's constants.
 K1, B = 1.2, 0.75
 
@@ -97,10 +99,13 @@ class LatinWords:
         """(ids of all words in turn, ids of each word) of words of lower-case Latin-1 letters."""
         if not len(words):
             return np.zeros(0, "<u4"), np.zeros(0, np.int64)
-        data = np.frombuffer("\n".join(words.to_pylist()).encode() + b"\n", np.uint8)
-        last = np.append(data[1:] == 10, False)
-        text = np.where(last, self.ending[data], self.sign[data])[data != 10]
-        own = np.array(self.coder.encode_ordinary(text.tobytes().decode("ascii")), np.int64)
+        _, offsets, data = words.cast(pa.large_string()).buffers()
+        offsets = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
+        data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+        last = offsets[1:] - offsets[0] - 1
+        text = self.sign[data]
+        text[last] = self.ending[data[last]]
+        own = self.coder.encode_to_numpy(text.tobytes().decode("ascii"), disallowed_special=())
         ends = np.flatnonzero(self.closing[own]) + 1
         return self.ids[own], np.diff(ends, prepend=0)
 
@@ -124,6 +129,8 @@ class WordTokenizer:
     #: How the tokenizer's file splits a stretch (fixed value).
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     LATIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+    #: A word and the signs after it, which the split takes as one; ``<`` may begin a special token.
+    SIGNED = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<signs>[!-/:;=-@\[-`{-~]*)$"
 
     def __init__(self, path: str):
         import regex
@@ -165,9 +172,15 @@ class WordTokenizer:
 
     def _stretches(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids in turn, ids of each) of distinct stretches without white space of ASCII."""
-        simple = pc.match_substring_regex(distinct, self.LATIN)
-        ids, size = self.latin.encode(pc.utf8_lower(distinct.filter(simple)))
-        simple = simple.to_numpy(zero_copy_only=False)
+        found = pc.extract_regex(distinct, self.SIGNED)
+        simple = found.is_valid().to_numpy(zero_copy_only=False)
+        words, signs = found.drop_null().flatten()
+        words, signs = pc.utf8_lower(words).dictionary_encode(), signs.dictionary_encode()
+        word_ids, word_size = self.latin.encode(words.dictionary)
+        more = [np.frombuffer(x, "<u4") for x in self._plain(signs.dictionary.to_pylist())]
+        codes = np.stack([words.indices.to_numpy(), len(word_size) + signs.indices.to_numpy()], axis=1).ravel()
+        ids, size = ragged(np.concatenate([word_ids, *more]), np.append(word_size, [len(x) for x in more]).astype(np.int64), codes)
+        size = size.reshape(-1, 2).sum(axis=1)
         rest = distinct.filter(pa.array(~simple)).to_pylist()
         if not rest:
             return ids, size
@@ -202,73 +215,75 @@ def word_tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def tokenized(docs: DataFrame, *, tokenizer: str, end_id: int = 1, window: int = 2048, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """doc, n_tokens (with the end), whole (CRC-32 of each whole window), rest (ids beyond these, of width bytes each) and key (its min-hash)."""
+def tokenized(docs: DataFrame, *, tokenizer: str, end_id: int = 1, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """doc, n_tokens (with the end), ids (all of them, of width bytes each) and key (their min-hash)."""
 
     def make():
         coder = word_tokenizer(tokenizer)
         end = np.uint32(end_id).tobytes()
-        size = 4 * window
-        narrow = coder.narrow
+        narrow = coder.narrow and end_id < 1 << 16
 
         def run(texts):
-            out = {"n_tokens": [], "whole": [], "rest": [], "width": [], "key": []}
-            for ids in coder.encode(texts):
-                ids += end
-                cut = len(ids) // size * size
-                rest = ids[cut:]
-                out["n_tokens"].append(len(ids) // 4)
-                out["whole"].append([zlib.crc32(ids[k : k + size]) for k in range(0, cut, size)])
+            out = {"n_tokens": [], "ids": [], "width": [], "key": []}
+            for own in coder.encode(texts):
+                own += end
+                ids = np.frombuffer(own, "<u4")
+                out["n_tokens"].append(len(ids))
+                out["ids"].append(ids.astype("<u2").tobytes() if narrow else own)
                 out["width"].append(2 if narrow else 4)
-                ids = np.frombuffer(rest, "<u4")
-                out["rest"].append(ids.astype("<u2").tobytes() if narrow else rest)
-                mixed = ids * np.uint32(0x9E3779B1)
-                out["key"].append(int(mixed.min()) if len(mixed) else -1)
+                out["key"].append(int((ids * np.uint32(0x9E3779B1)).min()))
             return out
 
         return run
 
-    return map_text(docs, make, T.StructType.fromDDL("n_tokens long, whole array<long>, rest binary, width int, key long"), text, keep)
+    return map_text(docs, make, T.StructType.fromDDL("n_tokens long, ids binary, width int, key long"), text, keep)
 
 
 def document_frequencies(tokens: DataFrame) -> tuple[dict[int, int], int, float]:
-    """Documents that hold each token id, over all rests; their number and mean length. Bounded by the vocabulary."""
+    """Documents that hold each token id; their number and mean length. Bounded by the vocabulary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(1 << 16, np.int64)
+        few, held, n = np.zeros(len(found), np.uint8), np.zeros(len(found), np.uint8), 0
         for batch in batches:
-            for rest, width in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.unique(np.frombuffer(rest, f"<u{width}"))
-                if len(ids) and ids[-1] >= len(found):
-                    found = np.concatenate([found, np.zeros(int(ids[-1]) + 1, np.int64)])
-                found[ids] += 1
+            for own, width in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = np.frombuffer(own, f"<u{width}")
+                top = int(ids.max()) + 1
+                if n == 255 or top > len(found):
+                    found = np.append(found + few, np.zeros(max(0, top - len(found)), np.int64))
+                    few, held, n = np.zeros(len(found), np.uint8), np.zeros(len(found), np.uint8), 0
+                held[ids] = 1
+                few += held
+                held[ids] = 0
+                n += 1
+        found += few
         ids = np.flatnonzero(found)
         yield pa.record_batch({"token": pa.array(ids), "n": pa.array(found[ids])})
 
-    rows = tokens.select("rest", "width").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
-    n, length = tokens.agg(F.count("*"), F.avg(F.octet_length("rest") / F.col("width"))).first()
+    rows = tokens.select("ids", "width").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    n, length = tokens.agg(F.count("*"), F.avg("n_tokens")).first()
     return {r["token"]: r["n"] for r in rows}, n, length or 1.0
 
 
 class Shard:
-    """A BM25 inverted index over some rests (arrays of ids)."""
+    """A BM25 inverted index over some documents (arrays of ids)."""
 
-    def __init__(self, rests: list[np.ndarray], idf: np.ndarray, mean: float):
+    def __init__(self, documents: list[np.ndarray], idf: np.ndarray, mean: float):
         self.terms = []
         docs, ids, weight = [], [], []
-        for k, rest in enumerate(rests):
-            own, tf = np.unique(rest, return_counts=True)
+        for k, document in enumerate(documents):
+            own, tf = np.unique(document, return_counts=True)
             self.terms.append(own)
             docs.append(np.full(len(own), k))
             ids.append(own)
-            weight.append(tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(rest) / mean)))
+            weight.append(tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(document) / mean)))
         docs, ids, weight = np.concatenate(docs), np.concatenate(ids), np.concatenate(weight)
         weight = weight * idf[ids]
         order = np.argsort(ids, kind="stable")
         self.docs, self.weight = docs[order], weight[order]
         self.vocabulary, self.start = np.unique(ids[order], return_index=True)
         self.end = np.append(self.start[1:], len(order))
-        self.n = len(rests)
+        self.n = len(documents)
         # weights of terms that a quarter of the documents hold, as whole rows: faster to add than their postings
         size = self.end - self.start
         common = 4 * size >= self.n
@@ -295,6 +310,20 @@ class Shard:
                 yield k
 
 
+def shards(batches: Iterable[list], size: Callable[[tuple], int], most: int = SHARD, ids: int = SHARD_IDS) -> Iterator[list]:
+    """Rows in turn, as lists of at most so many that end with the row that brings their sizes to so many ids."""
+    held: list = []
+    total = 0
+    for row in chain.from_iterable(batches):
+        held.append(row)
+        total += size(row)
+        if len(held) >= most or total >= ids:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
+
+
 def pack_shard(shard: Shard, sizes: list[int], window: int) -> Iterator[list[tuple[int, int, int]]]:
     """Windows as lists of (document, first id, ids); all but the last are full."""
     used = np.zeros(len(sizes), bool)
@@ -308,100 +337,81 @@ def pack_shard(shard: Shard, sizes: list[int], window: int) -> Iterator[list[tup
         if first >= len(sizes):
             return
         following, out, space = None, [], window
-        for k in (first, *()):
+        used[first] = True
+        for k in chain([first], shard.neighbours(first, used)):
             used[k] = True
-            n = sizes[k] - begun[k]
-            out.append((k, begun[k], n))
+            n = min(space, sizes[k] - begun[k])
+            if n:
+                out.append((k, begun[k], n))
             begun[k] += n
             space -= n
-        if space:
-            for k in shard.neighbours(first, used):
-                used[k] = True
-                n = min(space, sizes[k] - begun[k])
-                if n:
-                    out.append((k, begun[k], n))
-                begun[k] += n
-                space -= n
-                if begun[k] < sizes[k]:
-                    following = k
-                if not space:
-                    break
+            if begun[k] < sizes[k]:
+                following = k
+            if not space:
+                break
         yield out
 
 
 def pack(docs: DataFrame, *, tokenizer: str, id: str = "doc_id", text: str = "text", window: int = 2048, end_id: int = 1, keep: list[str] | None = None) -> DataFrame:
-    """One row for each piece: doc, start, length, ids (little-endian unsigned 32-bit; null for whole windows, which
-    are the document's ids from start), ids_crc32, doc_tokens, sequence_id, offset.
+    """One row for each piece: doc, start, length, ids (little-endian unsigned 32-bit), ids_crc32, doc_tokens,
+    sequence_id, offset.
 
     Each id of each row of docs lies in exactly one piece. A null or empty text has the end id alone. Repeated
     rows are packed each by itself; an empty table gives no pieces. Pieces of a sequence are gapless from offset
     0; a sequence is as long as the window, or a smaller power of two.
     """
     spark = docs.sparkSession
-    tokens = written(tokenized(docs, tokenizer=tokenizer, end_id=end_id, window=window, text=text, keep=keep), "tokens")
+    tokens = written(tokenized(docs, tokenizer=tokenizer, end_id=end_id, text=text, keep=keep), "tokens")
     frequency, n, mean = document_frequencies(tokens)
     idf = np.zeros(max(frequency, default=0) + 1)
     for token, df in frequency.items():
         idf[token] = np.log(1 + (n - df + 0.5) / (df + 0.5))
     weights = spark.sparkContext.broadcast(idf)  # one number for each id of the vocabulary
-    dealt = tokens.withColumn("tie", F.xxhash64("rest", "doc")).repartitionByRange("key", "tie").sortWithinPartitions("key", "tie", "n_tokens")
+    # long documents stand together, so partitions are more than Spark's number where they would be large
+    parts = int(n * mean) // SHARD_IDS
+    number = [parts] if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else []
+    dealt = tokens.withColumn("tie", F.xxhash64("ids", "doc")).repartitionByRange(*number, "key", "tie").sortWithinPartitions("key", "tie", "n_tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = weights.value
         sequence = TaskContext.get().partitionId() << 40
         left: list[tuple] = []  # pieces that fill no window, of this partition: less than a window
-
-        def table(rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=names)
-
-        def piece(row: tuple, start: int, n: int, sequence: int, offset: int) -> tuple:
-            doc, total, whole, rest, width = row
-            ids = np.frombuffer(rest, f"<u{width}")[start : start + n].astype("<u4").tobytes()
-            return doc, len(whole) * window + start, n, ids, zlib.crc32(ids), total, sequence, offset
-
-        def shards() -> Iterator[list[tuple]]:
-            held: list[tuple] = []
-            for batch in batches:
-                held += zip(*(c.to_pylist() for c in batch.columns), strict=True)
-                while len(held) >= SHARD:
-                    yield held[:SHARD]
-                    del held[:SHARD]
-            if held:
-                yield held
-
-        kinds, names = None, ["doc", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+        names = ["doc", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         kinds = [doc_type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-        for rows in shards():
-            out = []
-            for doc, total, whole, *_ in rows:
-                for k, crc in enumerate(whole):
-                    out.append((doc, k * window, window, None, crc, total, sequence, 0))
-                    sequence += 1
-            rests = [np.frombuffer(r[3], f"<u{r[4]}") for r in rows]
-            for filled in pack_shard(Shard(rests, idf, mean), [len(r) for r in rests], window):
-                pieces = [(rows[k], start, size) for k, start, size in filled]
-                if sum(p[2] for p in pieces) < window:
-                    left += pieces
-                    pieces, taken = [], 0
-                    if sum(p[2] for p in left) >= window:
+
+        def sequences() -> Iterator[list[tuple]]:
+            rows_of = (list(zip(*(c.to_pylist() for c in batch.columns), strict=True)) for batch in batches)
+            for rows in shards(rows_of, lambda row: row[1]):
+                documents = [np.frombuffer(ids, f"<u{width}") for _, _, ids, width in rows]
+                for filled in pack_shard(Shard(documents, idf, mean), [len(d) for d in documents], window):
+                    pieces = [(*rows[k][:2], start, documents[k][start : start + n].astype("<u4")) for k, start, n in filled]
+                    if sum(len(p[3]) for p in pieces) == window:
+                        yield pieces
+                        continue
+                    left.extend(pieces)
+                    if sum(len(p[3]) for p in left) >= window:
                         pieces, left[:] = _cut(left, window)
-                taken = 0
-                for row, start, size in pieces:
-                    out.append(piece(row, start, size, sequence, taken))
-                    taken += size
-                sequence += bool(pieces)
-            if out:
-                yield table(out)
-        out = []
-        while left:
-            total = sum(p[2] for p in left)
-            pieces, left[:] = _cut(left, min(window, 1 << (total.bit_length() - 1)))
-            taken = 0
-            for row, start, size in pieces:
-                out.append(piece(row, start, size, sequence, taken))
-                taken += size
+                        yield pieces
+            while left:
+                total = sum(len(p[3]) for p in left)
+                pieces, left[:] = _cut(left, min(window, 1 << (total.bit_length() - 1)))
+                yield pieces
+
+        def table(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+        out, held = [], 0
+        for pieces in sequences():
+            offset = 0
+            for doc, total, start, ids in pieces:
+                data = ids.tobytes()
+                out.append((doc, start, len(ids), data, zlib.crc32(data), total, sequence, offset))
+                offset += len(ids)
             sequence += 1
+            held += 4 * offset
+            if held >= ARROW_BATCH_BYTES // 4:
+                yield table(out)
+                out, held = [], 0
         if out:
             yield table(out)
 
@@ -409,17 +419,17 @@ def pack(docs: DataFrame, *, tokenizer: str, id: str = "doc_id", text: str = "te
 
     doc_type = to_arrow_type(tokens.schema["doc"].dataType)
     schema = T.StructType([tokens.schema["doc"], *T.StructType.fromDDL("start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long").fields])
-    return dealt.select("doc", "n_tokens", "whole", "rest", "width").mapInArrow(run, schema)
+    return dealt.select("doc", "n_tokens", "ids", "width").mapInArrow(run, schema)
 
 
 def _cut(pieces: list[tuple], size: int) -> tuple[list[tuple], list[tuple]]:
     """The first pieces, of size ids in all, and the others; the piece that crosses the end is cut."""
     taken, rest = [], []
-    for row, start, n in pieces:
-        use = min(n, size)
+    for doc, total, start, ids in pieces:
+        use = min(len(ids), size)
         size -= use
         if use:
-            taken.append((row, start, use))
-        if use < n:
-            rest.append((row, start + use, n - use))
+            taken.append((doc, total, start, ids[:use]))
+        if use < len(ids):
+            rest.append((doc, total, start + use, ids[use:]))
     return taken, rest

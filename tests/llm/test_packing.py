@@ -1,5 +1,5 @@
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -8,7 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from corelake.llm.packing import Shard, pack, pack_shard, word_tokenizer
+from corelake.llm import packing
+from corelake.llm.packing import Shard, document_frequencies, pack, pack_shard, shards, tokenized, word_tokenizer
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 PLAIN = Tokenizer.from_file(PATH)
@@ -122,3 +123,73 @@ def test_like_documents_share_windows():
     windows = list(pack_shard(Shard(rests, np.ones(200), 30.0), [30] * 6, 60))
     assert [{k % 2 for k, *_ in w} for w in windows] == [{0}, {1}, {0, 1}]  # the last two are left to each other
     assert sum(n for w in windows for *_, n in w) == 180 and all(sum(n for *_, n in w) == 60 for w in windows)
+
+
+def grouped(spark):
+    """Texts of 90 tokens or more of which the first 64 tell their group and the last ones, by windows of 64, are alike."""
+    groups = ["apple river stone cloud", "paper engine winter garden"]
+    texts = {k: f"{groups[k % 2]} " * 16 + "the " * 26 for k in range(8)}
+    assert {len(ids_of(t)) for t in texts.values()} == {91}
+    return texts, spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+
+
+def test_words_of_whole_windows_count_for_retrieval(spark):
+    texts, docs = grouped(spark)
+    rows = pack(docs, tokenizer=PATH, window=64).collect()
+    check(rows, {k: [t] for k, t in texts.items()}, 64)
+    held = defaultdict(set)
+    for r in rows:
+        held[r.sequence_id].add(r.doc.doc_id % 2)
+    # 5.7 windows of each group, of which only those where a group ends hold both
+    assert sum(len(x) > 1 for x in held.values()) <= 1
+
+
+def test_frequencies_are_of_whole_documents(spark):
+    texts = [(0, "apple river stone cloud " * 600 + "the"), (1, "paper engine " * 1100 + "the")]
+    found, n, mean = document_frequencies(tokenized(spark.createDataFrame(texts, "doc_id long, text string"), tokenizer=PATH))
+    own = [ids_of(t) for _, t in texts]
+    assert min(map(len, own)) > 2048
+    assert (found, n, mean) == (Counter(x for ids in own for x in set(ids)), 2, sum(map(len, own)) / 2)
+
+
+def test_every_piece_holds_its_ids(small, spark):
+    """Also those of documents beyond a window, and with ids that need four bytes."""
+    for window, end_id in ((64, 1), (2048, 70_000)):
+        texts = {r.doc_id: r.text for r in small.collect()}
+        got = defaultdict(dict)
+        for r in pack(small, tokenizer=PATH, keep=["doc_id"], window=window, end_id=end_id).collect():
+            assert r.ids is not None and len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32
+            got[r.doc.doc_id][r.start] = r.ids
+        for k, t in texts.items():
+            whole = b"".join(got[k][s] for s in sorted(got[k]))
+            assert np.frombuffer(whole, "<u4").tolist() == [*ids_of(t)[:-1], end_id]
+
+
+def test_shards_are_bounded_by_ids_too():
+    rows = [(k, n) for k, n in enumerate([5, 5, 30, 1, 1, 1, 1, 1])]
+    found = list(shards([rows[:3], rows[3:]], lambda r: r[1], most=4, ids=20))
+    assert [[k for k, _ in x] for x in found] == [[0, 1, 2], [3, 4, 5, 6], [7]]
+    assert list(shards([], len)) == []
+
+
+def test_large_tables_have_more_partitions(spark, monkeypatch):
+    texts, docs = grouped(spark)
+    monkeypatch.setattr(packing, "SHARD_IDS", 91)
+    packed = pack(docs, tokenizer=PATH, window=64)
+    assert packed.rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    check(packed.collect(), {k: [t] for k, t in texts.items()}, 64)
+
+
+def test_a_long_document_runs_through_windows():
+    rests = [np.arange(100, dtype="<u4"), np.arange(200, 210, dtype="<u4"), np.arange(90, 250, dtype="<u4")]
+    windows = list(pack_shard(Shard(rests, np.ones(300), 90.0), [100, 10, 160], 60))
+    assert windows == [[(0, 0, 60)], [(0, 60, 40), (2, 0, 20)], [(2, 20, 60)], [(2, 80, 60)], [(2, 140, 20), (1, 0, 10)]]
+
+
+def test_words_with_signs_behind_them():
+    """Every run of up to two signs behind words of both cases, and special tokens cut short."""
+    signs = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    texts = [" ".join(f"{w}{a}{b}" for w in ("It", "é", "don't") for b in ["", *signs]) for a in signs]
+    texts += ["it' it's its' 's 'S x'll' a<|endoftext|>b a<|endoftext| a|> ÀÉ''", "a\x1cb a\x1c! a\x7f a\xa0! a\x85!"]
+    for text, ids in zip(texts, word_tokenizer(PATH).encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == PLAIN.encode(text, add_special_tokens=False).ids
