@@ -69,3 +69,26 @@ def test_tiny_tables(spark, rows, tmp_path):
     spark.createDataFrame([(1, "Ein kurzer Text.", "de", "s", 16)][:rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{SMALL}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert p.run(spark, str(tmp_path)).select("doc_id").distinct().count() == rows
+
+
+def test_stages_send_small_batches(spark, small):
+    """Workers keep what their largest batch took: no stage leaves the bound of the session or of single operators."""
+    import corpus_pipeline as p
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.record_batch({"n": pa.array([batch.nbytes])})
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    wide = spark.range(24, numPartitions=1).select(F.expr("repeat(string(id % 10), 1048576)").alias("text"))
+    docs, before = small.limit(20).persist(), spark.conf.get(name)
+    try:
+        for stage_name, stage in p.STAGES:
+            spark.conf.set(name, str(1 << 30))
+            stage(spark, docs, SMALL)
+            found = [r.n for r in wide.mapInArrow(sizes, "n long").collect()]
+            assert sum(found) >= 24 << 20 and max(found) <= 6 << 20, stage_name
+    finally:
+        spark.conf.set(name, before)
