@@ -569,3 +569,24 @@ def test_recall_of_random_vectors(spark):
         s[ids == q] = -9
         recall.append(len(own & set(ids[np.argsort(-s)[:20]].tolist())) / 20)
     assert len(found) == len(ids) // 20 and np.mean(recall) > 0.9
+
+
+def test_vectors_are_not_shuffled_to_leaves(spark):
+    """What is shuffled hangs on the vectors and the best of each query, not on the leaves that a query takes."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    shuffled = lambda: sum(e.totalShuffleWrite() for e in (lambda s: [s.apply(k) for k in range(s.size())])(store.executorList(False)))
+    before = shuffled()
+    assert ann.nearest(df).count() == 2000
+    assert shuffled() - before < 3 * df.count() * 64 * 8
+
+
+def test_best_of_queries_in_blocks(spark, monkeypatch):
+    """Few queries at a time, with the same result."""
+    df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    got = lambda: sorted(map(tuple, ann.nearest(df, query_modulus=5).collect()))
+    want = got()
+    monkeypatch.setattr(ann, "SENT", 30)
+    monkeypatch.setattr(ann, "BLOCK", 11)
+    monkeypatch.setattr(ann, "CHUNK", 40)
+    assert got() == want and len(want) == 2000
