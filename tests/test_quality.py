@@ -32,3 +32,17 @@ def test_expected_information_of_large_and_empty_tables(spark):
     assert abs(2 * n * whole - 1) < 1e-3
     empty = spark.createDataFrame([], "l1 string, l2 string, n long")
     assert quality.expected_information(empty).first().e_exact is None
+
+
+def test_a_dense_table_of_many_columns(spark):
+    """More labels than a pivot takes; rows of a null label, and labels without a count, are there."""
+    from pyspark.sql import functions as F
+
+    from corelake.operators import quality
+
+    n = 12_000
+    table = spark.range(n).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("l1"), F.col("id").alias("l2"), (F.col("id") % 5 + 1).alias("n"))
+    found = {r.l1: r for r in quality.dense_rows(table).collect()}
+    assert set(found) == {None, 1, 2}
+    for k, r in found.items():
+        assert r.labels == list(range(n)) and r.counts == [j % 5 + 1 if j % 3 == (k or 0) else 0 for j in range(n)]
