@@ -178,3 +178,17 @@ def test_repeated_ids_in_rounds(spark, monkeypatch):
             m.setattr(kmedoids, "BLOCK", 7)
             found = kmedoids.fit(moved, 2, 4, distance=name).orderBy("cost").collect()
         np.testing.assert_allclose([r.total_cost for r in found], [r.total_cost for r in whole])
+
+
+@pytest.mark.parametrize("name", ["l1", "l2"])
+def test_means_of_groups_leave_few_candidates(spark, name):
+    """Of lines of orders hardly any candidate meets all members, and none that could be the best is lost."""
+    from corelake.plans.queries import line_points
+
+    lines = line_points(spark, "/root/testdata/sf0.001").withColumn("cluster", F.pmod("id", F.lit(2))).withColumnRenamed("w", "weight")
+    rows = lines.select("cluster", "v", "weight").toPandas()
+    for r in medoids.exact_medoids(lines, name).collect():
+        own = rows[rows.cluster == r.cluster]
+        x = np.array(own.v.tolist())
+        cost = dist.get(name).block(x, x) @ own.weight.to_numpy()
+        assert abs(r.cost - cost.min()) < 1e-6 and r.computed <= len(own) // 20
