@@ -137,3 +137,20 @@ def test_radii_by_levels(spark, monkeypatch):
     found = facility_location.estimated_radii(df, 4.0)
     assert found.columns == ["id", "v", "w", "place", "r"]
     assert sorted((r.id, r.r, r.place) for r in found.collect()) == whole
+
+
+def test_few_chunks_are_asked_on_a_line(spark, monkeypatch):
+    """Cells whose pivot lies further than a point's own by more than its reach allows aren't asked, however wide they are."""
+    monkeypatch.setattr(balls, "CELL", 32)
+    rng = np.random.default_rng(4)
+    rows = [(k, [float(x), float(k % 12) / 12]) for k, x in enumerate(rng.random(1500))]
+    df = spark.createDataFrame(rows, "no long, v array<double>")
+    index = balls.BallIndex(df, "l2")
+    found = {r.no: r for r in index.ask(df.withColumn("reach", F.lit(1e-4)), "count").collect()}
+    x = np.array([v for _, v in rows])
+    full = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    assert all(found[k].n == (full[k] <= 1e-4).sum() for k in range(len(rows)))
+    rings = index.rings
+    assert sum(r.met for r in found.values()) < 1.5 * len(rows) * (rings.count**2).sum() / len(rows)
+    near = {r.no: r for r in index.nearest(index.targets(), 6).collect()}
+    assert all(np.allclose(near[k].far, np.sort(full[k])[:6]) for k in range(len(rows)))
