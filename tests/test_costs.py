@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from corelake.operators import sensitivity
+from corelake.operators import assign, sensitivity
+from corelake.plans import queries
+from corelake.plans.cluster import ClusterModel
 from corelake.sources.scratch import written
 
 
@@ -19,3 +21,45 @@ def test_points_stay_where_they_are_for_their_distribution(spark):
     found = p.groupBy("id").count()
     assert p.count() == 402 and found.where("count = 3").first()["id"] == 7 and p.where("rank = 9 or rank is null").count() == 0
     assert abs(p.agg(F.sum("p")).first()[0] - 1) < 1e-12
+
+
+def test_the_check_of_medoids_meets_no_rows_by_a_join(spark):
+    """Points of one id, null vectors and null ids count as in a join of both tables by id, which grows with the square of an id's rows."""
+    rows = [(k % 45, [float(k % 11), float(k % 3)], 1.0) for k in range(60)] + [(0, [50.0, 1.0], 1.0)] * 3
+    points = spark.createDataFrame(rows, "id long, v array<double>, w double")
+    model = ClusterModel(3, shards=1)
+    medoids = model.fit(points)
+    centres = medoids.select(F.col("cluster").alias("rank"), "center_id", "center")
+    odd = points.unionByName(spark.createDataFrame([(100, None, 1.0), (None, [1.0, 1.0], 1.0), (None, None, 1.0), (101, [float("inf"), 0.0], 1.0)], points.schema))
+    for own in (points, odd, points.dropDuplicates(["id"]), odd.where("id >= 100 and v is null"), points.where("id < 0")):
+        check = assign.nearest(own.select("id", "v"), centres, native=True).select("id", F.col("dist").alias("least"))
+        joined = model.transform(own, medoids).join(check, "id")
+        want = joined.agg(F.count("*").alias("points"), F.count_distinct("id").alias("ids"), F.bool_and(F.abs(F.col("dist") - F.col("least")) <= 1e-9).alias("nearest"))
+        found = queries._nearest_medoids(own, Fitted(model, medoids))
+        assert found.collect() == want.collect() and found.schema == want.schema
+        joins = [x for x in plan(found).split("\n") if "Join" in x]
+        assert joins and not any("[id#" in x for x in joins)
+
+
+class Fitted:
+    """A model that has its medoids."""
+
+    def __init__(self, model, medoids):
+        self.fit, self.transform, self.distance = lambda _: medoids, model.transform, model.distance
+
+
+def test_vectors_that_are_not_asked_for_stay_with_the_workers(spark, monkeypatch):
+    rows = [(k, [float(k), 1.0], 1.0, "x") for k in range(50)] + [(50, None, 1.0, "y")]
+    points = spark.createDataFrame(rows, "id long, v array<double>, w double, rank string")
+    centres = points.where("id % 7 = 3").select(F.col("id").alias("rank"), F.col("id").alias("center_id"), F.col("v").alias("center"))
+    for most in (assign.MOST_VALUES, 6):  # at once, in blocks
+        monkeypatch.setattr(assign, "MOST_VALUES", most)
+        for native in (False, True):
+            whole = assign.nearest(points, centres, native=native)
+            found = assign.nearest(points, centres, native=native, vectors=False)
+            assert found.columns == ["id", "w", "rank", "dist"] and sorted(found.collect(), key=str) == sorted(whole.drop("v").collect(), key=str)
+    medoids = centres.withColumnRenamed("rank", "cluster")
+    got = ClusterModel(2).transform(points.select("v", "id"), medoids)
+    assert got.columns == ["v", "id", "cluster", "center_id", "dist"] and got.where("v is null").first()["cluster"] is None
+    assert ClusterModel(2).transform(points.select("v"), medoids).columns == ["v", "cluster", "center_id", "dist"]
+    assert "(v, v#" not in got._jdf.queryExecution().optimizedPlan().toString()  # once, not also among the other columns
