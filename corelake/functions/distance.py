reduced_lines opens a facility in half the steps

Symptom: reduced_lines takes 15.3 CPU seconds for 600,000 lines (10.8 MB), of which 11.9 in Python.
Evidence: a profile of one part of 8000 lines shows 1540 openings of facilities, each of which turns the sums of all facilities from lists to arrays and back, adds up points even where none joins, and takes a block's distances a component at a time.
Fix: the sums stay arrays while points are judged, an opening that follows another at once adds nothing, and a block of few components takes one difference of all. Facilities, weights and costs are the same to the last bit (833 states and blocks compared with the code before).
Effect, together with 5 more commits on this code: at 1 GB of input CPU 2938 -> 1870 s, shuffle 3.03 -> 1.90 GB, spill 0.00 -> 0.00 GB, read 1.91 -> 1.91 GB, longest task 87 -> 57 s, most memory of a task 269 -> 235 MB; at 6 GB of input CPU 13896 -> 11012 s, shuffle 18.56 -> 11.83 GB, spill 0.00 -> 0.00 GB, read 13.01 -> 13.01 GB, longest task 74 -> 57 s, most memory of a task 235 -> 235 MB; with hot keys, at 1 GB of input CPU 2891 -> 1898 s, shuffle 3.03 -> 1.90 GB, spill 0.00 -> 0.00 GB, read 1.83 -> 1.83 GB, longest task 81 -> 59 s, most memory of a task 269 -> 235 MB.

@@ -54,15 +54,17 @@ _TINY = 1e-37
 def _blocked(x: np.ndarray, y: np.ndarray, term: Callable[[np.ndarray], np.ndarray], part: Callable[..., np.ndarray] | None = None) -> np.ndarray:
     """term of the differences; of few components it may be the sum of part of each, taken in turn, which numpy does in the same order."""
     out, width = np.zeros((len(x), len(y))), max(1, x.shape[1])
-    if part and width < 8:
-        columns = max(1, min(len(y), _CACHED // 4))
-        rows = max(1, _CACHED // 4 // columns)
+    if part and 0 < x.shape[1] < 8:
+        columns = max(1, min(len(y), _CACHED // width))
+        rows = max(1, _CACHED // width // columns)
+        a, b = x.T[:, :, None], y.T[:width, None, :]
         for k in range(0, len(x), rows):
             for j in range(0, len(y), columns):
-                own = out[k : k + rows, j : j + columns]
-                for c in range(x.shape[1]):
-                    far = x[k : k + rows, None, c] - y[None, j : j + columns, c]
-                    own += part(far, out=far)
+                far = a[:, k : k + rows] - b[:, :, j : j + columns]
+                own, *others = part(far, out=far)
+                for other in others:
+                    own += other
+                out[k : k + rows, j : j + columns] = own
         return out
     columns = max(1, min(len(y), _CACHED // width))
     rows = max(1, _CACHED // (columns * width))
