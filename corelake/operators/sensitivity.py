@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import distance as dist
-from ..functions.vectors import stacked
+from ..functions.vectors import all_rows, lists
 from ..sources.scratch import discard, written
 from .assign import paired
 from .bicriteria import State, chances
@@ -226,7 +226,7 @@ def reduced(points: DataFrame, most: int, k: int, *, beta: float = 2.0, gamma: f
         dealt = points.withColumn("part", F.pmod(F.xxhash64(F.lit(level), F.col("id")), F.lit(parts)).cast("int"))
 
         rule = _reducing(most, k, beta, gamma, d, seed + level)
-        points = written(dealt.groupBy("part").applyInPandas(rule, "id long, weight double, v array<double>"), "reduced")
+        points = written(dealt.groupBy("part").applyInArrow(rule, "id long, weight double, v array<double>"), "reduced")
         if held is not None:
             discard(held)
         held, level, left = points, level + 1, points.count()
@@ -237,13 +237,15 @@ def reduced(points: DataFrame, most: int, k: int, *, beta: float = 2.0, gamma: f
 
 
 def _reducing(most: int, k: int, beta: float, gamma: float, d: dist.Distance, seed: int):
-    def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = stacked(pdf["v"].tolist())
-        order = np.lexsort((*x.T[::-1], pdf["id"].to_numpy()))  # whatever the layout, also of repeated ids
-        ids, w, x = pdf["id"].to_numpy()[order], pdf["weight"].to_numpy()[order], x[order]
+    def reduce(rows: pa.Table) -> pa.Table:
+        x = all_rows(rows["v"].combine_chunks())
+        ids, w = (rows[c].to_numpy() for c in ("id", "weight"))
+        order = np.lexsort((*x.T[::-1], ids))  # whatever the layout, also of repeated ids
+        ids, w, x = ids[order], w[order], x[order]
         times, weight = sampled(ids, x, w, min(most, len(ids)), k, beta, gamma, d, seed)
         hit = np.flatnonzero(times)
-        return pd.DataFrame({"id": ids[hit], "weight": weight[hit], "v": list(x[hit])})
+        # null ids and components came as NaN
+        return pa.table({"id": pa.array(ids[hit], pa.int64(), from_pandas=True), "weight": weight[hit], "v": lists(x[hit], True)})
 
     return reduce
 

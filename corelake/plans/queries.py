@@ -407,7 +407,9 @@ def reduced_lines(spark: SparkSession, sf: str) -> DataFrame:
     """All lines reduced to 2000 weighted ones, level by level."""
     points = line_points(spark, sf)
     found = sensitivity.reduced(points.withColumnRenamed("w", "weight"), 2000, 10)
-    joined = found.join(points.select("id", F.col("v").alias("own")), "id", "left")
+    # the lines that were drawn are few: they are found where they lie, and only they are joined
+    own = points.select("id", F.col("v").alias("own")).join(found.select("id"), "id", "left_semi")
+    joined = found.join(own, "id", "left")
     return joined.agg(F.round(F.sum("weight"), 3).alias("weight"), (F.count("*") <= 2000).alias("bounded"), F.bool_and(F.coalesce(F.col("v") == F.col("own"), F.lit(False))).alias("from_data"))
 
 

@@ -1,6 +1,7 @@
 """Plans and sizes that tell what a job costs as its tables grow; results on odd rows stay those of a plain statement."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,36 @@ def test_facilities_that_open_at_once_change_no_sums(name):
                 state.process(ids, x, w)
                 made.append((str(state.facilities()), state.phase, str(state.total_cost), state.weight, state.inserted, {type(v) for v in state.weights + state.costs}))
         assert made[0] == made[1] == made[2] and made[0][-1] == {float}
+
+
+def test_reduced_sets_go_to_the_workers_as_they_are(spark):
+    """Groups travel as Arrow tables; null ids and components, repeated ids and empty vectors are kept, what has no vector raises."""
+    rng = np.random.default_rng(3)
+    rows = [(k * 7919, 1.0 + k % 3, [float(a) for a in rng.normal(size=2)]) for k in range(300)]
+    schema = "id long, weight double, v array<double>"
+
+    def reduced(own):
+        return sensitivity.reduced(spark.createDataFrame(own, schema), 20, 3).collect()
+
+    found = reduced([(3, 1.0, [0.5, 0.5])] + [(None, 1.0, [0.5, 0.5])] * 50)
+    assert {r.id for r in found} >= {None} and abs(sum(r.weight for r in found) - 51) < 1e-9
+    assert {tuple(r.v) for r in reduced([(k, 1.0, [None, 0.5]) for k in range(60)])} == {(None, 0.5)}
+    assert len(reduced([(1, 1.0, v) for _, _, v in rows])) > 1 and {tuple(r.v) for r in reduced([(k, 1.0, []) for k in range(100)])} == {()}
+    assert all((r.id, tuple(r.v)) in {(i, tuple(v)) for i, _, v in rows} for r in reduced(rows + rows))
+    for own in ((5, None, [0.5, 0.5]), (5, 1.0, None), (5, 1.0, [1.0])):
+        with pytest.raises(Exception, match="weights are finite and not negative|are null or differ in length"):
+            reduced([*rows, own])
+    sent = []
+    with pytest.MonkeyPatch.context() as m:
+        real = sensitivity._reducing
+        m.setattr(sensitivity, "_reducing", lambda *a: sent.append(real(*a)) or sent[-1])
+        reduced(rows)
+    table = pa.table({"id": [3, 4], "weight": [1.0, 1.0], "v": [[0.0, 1.0], [2.0, 3.0]]})
+    assert sent and isinstance(sent[0](table), pa.Table)
+
+
+def test_only_the_lines_that_were_drawn_are_joined(spark):
+    found = queries.queries()["reduced_lines"](spark, "/root/testdata/sf0.001")
+    text = plan(found)
+    assert "LeftSemi" in text and "Exchange hashpartitioning(id" not in text.split("LeftSemi")[1]
+    assert found.collect() == [(6000.0, True, True)]
