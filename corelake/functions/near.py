@@ -41,15 +41,16 @@ def _slices(x: np.ndarray, y: np.ndarray) -> list[slice]:
 def nearest(d: Distance, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place, distance) of the nearest of y for each of x, the first of equally near ones; infinity for none."""
     place, best = np.zeros(len(x), np.int64), np.full(len(x), np.inf)
-    rough = serves(d, y)
+    rough = d.rough(y) if serves(d, y) else None
     for s in _slices(x, y):
         own, fit = x[s], _fit(x[s]) if rough else np.zeros(len(x[s]), bool)
         if fit.any():
             rows = np.flatnonzero(fit)
-            found, off = d.rough(own[rows], y)
-            close = found <= (found.min(1) + 2 * off)[:, None]
-            row, at = np.nonzero(close)
-            if len(row) <= MANY * close.size + len(rows):
+            found, off = rough(own[rows])
+            # rounded up to the precision of what it is held against
+            most = np.nextafter((found.min(1) + 2 * off).astype(np.float32), np.float32(np.inf))
+            row, at = np.divmod(np.flatnonzero(found <= most[:, None]), len(y))
+            if len(row) <= MANY * found.size + len(rows):
                 exact = _exact(d, own[rows], y, row, at)
                 order = np.lexsort((at, exact, row))
                 first = order[np.r_[True, np.diff(row[order]) != 0]]
@@ -68,11 +69,11 @@ def nearest(d: Distance, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.n
 def counts(d: Distance, x: np.ndarray, y: np.ndarray, within: list[tuple[int, float]]) -> np.ndarray:
     """For each of x and each (size, reach): how many of the first so many of y lie within reach."""
     out = np.zeros((len(x), len(within)), np.int64)
-    rough = serves(d, y)
+    rough = d.rough(y) if serves(d, y) else None
     for s in _slices(x, y):
         own = x[s]
         if rough and _fit(own).all():
-            found, off = d.rough(own, y)
+            found, off = rough(own)
             for k, (size, reach) in enumerate(within):
                 part = found[:, : max(0, size)]
                 sure = part <= (reach**d.power - off)[:, None]
@@ -91,11 +92,11 @@ def smallest(d: Distance, x: np.ndarray, y: np.ndarray, far: np.ndarray, heavy:
     """(distances, weights) of the k nearest, by growing distance, equal ones by weight: of those known so far (far and heavy, k
     of each of x, infinitely far where there are fewer) and of y with its weights."""
     far, heavy, k = far.copy(), heavy.copy(), far.shape[1]
-    rough = serves(d, y)
+    rough = d.rough(y) if serves(d, y) else None
     for s in _slices(x, y):
         own = x[s]
         if rough and _fit(own).all():
-            found, off = d.rough(own, y)
+            found, off = rough(own)
             last = far[s].max(1) ** d.power
             if len(y) > k and np.isinf(last).any():
                 last = np.minimum(last, np.partition(found, k - 1, axis=1)[:, k - 1] + off)

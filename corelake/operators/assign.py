@@ -29,11 +29,11 @@ MOST_PAIRED = 50_000
 #: Centres from which on most are passed over by pivots; values up to which the JVM's array functions meet them.
 MANY, NATIVE = 1024, 1 << 16
 #: Points that tell whether pivots pass over enough centres, and the share that they may meet, where rough distances serve.
-TRIED, MET = 256, 0.05
+TRIED, MET = 32, 0.05
 
 
 def _collected(centres: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    rows = centres.select("rank", "center").orderBy("rank").collect()
+    rows = sorted(centres.select("rank", "center").collect(), key=lambda r: r["rank"])  # here, as all of them come here
     return np.array([r["rank"] for r in rows], np.int64), np.array([r["center"] for r in rows], np.float64)
 
 
@@ -86,11 +86,9 @@ class Pivots:
         self.d, self.met = d, 0
         count = max(1, int(np.sqrt(len(vectors))))
         self.pivots = vectors[np.random.default_rng(5).choice(len(vectors), count, replace=False)]
-        step = max(1, (1 << 22) // self.pivots.size)
-        far = [d.block(vectors[k : k + step], self.pivots) for k in range(0, len(vectors), step)]
-        of, near = (np.concatenate(x) for x in zip(*((f.argmin(1), f.min(1)) for f in far), strict=True))
+        of, far = near.nearest(d, vectors, self.pivots)
         self.groups = [np.flatnonzero(of == g) for g in range(count)]  # in order of rank
-        self.radius = np.array([near[g].max(initial=-np.inf) for g in self.groups])
+        self.radius = np.array([far[g].max(initial=-np.inf) for g in self.groups])
         self.vectors = [vectors[g] for g in self.groups]
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,11 +1,13 @@
 """Plans and sizes that tell what a job costs as its tables grow; results on odd rows stay those of a plain statement."""
 
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corelake.functions import distance
+from corelake.functions import distance, near
 from corelake.operators import assign, bicriteria, sensitivity
 from corelake.plans import queries
 from corelake.plans.cluster import ClusterModel
@@ -128,3 +130,37 @@ def test_only_the_lines_that_were_drawn_are_joined(spark):
     text = plan(found)
     assert "LeftSemi" in text and "Exchange hashpartitioning(id" not in text.split("LeftSemi")[1]
     assert found.collect() == [(6000.0, True, True)]
+
+
+def test_centres_are_prepared_once_and_few_points_try_the_pivots(spark, monkeypatch):
+    """However many blocks a batch's pairs fill, the centres are made ready for rough distances once."""
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(500, 16)), rng.normal(size=(300, 16))
+    y[200:] = y[:100]
+    for name in ("l1", "l2"):
+        d, made = distance.get(name), []
+        monkeypatch.setattr(near, "PAIRS", 2000)
+        place, least = near.nearest(replace(d, rough=lambda y, d=d, made=made: made.append(len(y)) or d.rough(y)), x, y)
+        assert made == [300]
+        full = d.block(x, y)
+        assert (place == full.argmin(1)).all() and (least == full.min(1)).all()
+        for scale in (1e-6, 1.0, 1e6):  # rough distances are as near as they say
+            found, off = d.rough(y * scale + scale)(x * scale)
+            assert (np.abs(found - d.block(x * scale, y * scale + scale) ** d.power) <= off[:, None]).all()
+    pivots = assign.Pivots(distance.get("l2"), y)
+    assert pivots.met == 0 and np.isclose(pivots.radius.max(), distance.get("l2").block(y, pivots.pivots).min(1).max(), rtol=0, atol=0)
+    assert assign.TRIED * 300 < 500 * 300 * assign.MET * 2
+
+
+def test_centres_are_collected_without_a_shuffle(spark):
+    centres = spark.createDataFrame([(k, k, [float(k)]) for k in (5, 3, 9, 1)], "rank long, center_id long, center array<double>").repartition(3)
+    asked = []
+
+    class Watched:
+        def select(self, *names):
+            asked.append(centres.select(*names))
+            return asked[-1]
+
+    ranks, vectors = assign._collected(Watched())
+    assert ranks.tolist() == [1, 3, 5, 9] and vectors[:, 0].tolist() == [1.0, 3.0, 5.0, 9.0] and vectors.dtype == float
+    assert "Sort" not in plan(asked[0])
