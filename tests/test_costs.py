@@ -164,3 +164,20 @@ def test_centres_are_collected_without_a_shuffle(spark):
     ranks, vectors = assign._collected(Watched())
     assert ranks.tolist() == [1, 3, 5, 9] and vectors[:, 0].tolist() == [1.0, 3.0, 5.0, 9.0] and vectors.dtype == float
     assert "Sort" not in plan(asked[0])
+
+
+def test_draws_send_no_more_than_ids_and_chances(spark, monkeypatch):
+    """Neither draws nor shares travel with the rows; shares are those that the leaves' sums are made of, and null ids stay."""
+    monkeypatch.setattr(sensitivity, "BUCKET", 50)
+    p = np.r_[10.0 ** np.random.default_rng(5).uniform(-25, 0, 300), (np.arange(200) % 7 + 0.5) * 2.0**-52]
+    df = spark.createDataFrame([(k, float(x)) for k, x in enumerate(p)] + [(None, 0.3), (None, 0.3), (1000, None), (1001, 0.0)], "id long, p double")
+    found = sensitivity.split_draws(df, 900, 5)
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in text and "share" not in text
+    rows = found.collect()
+    assert sum(r.n for r in rows) == 900 and sum(r.id is None for r in rows) == 2 and not {r.id for r in rows} & {1000, 1001}
+    sums = []
+    monkeypatch.setattr(sensitivity, "_split", lambda shares, *a: sums.append(shares.copy()) or np.zeros(len(shares), np.int64))
+    assert sensitivity.split_draws(df, 900, 5).count() == 0  # leaves without draws have no rows
+    whole = np.maximum(1.0, np.floor(np.r_[p, 0.3, 0.3] * 2.0**52 + 0.5))
+    assert sums[0].sum() == whole.sum()
